@@ -269,6 +269,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     table = places(local_search(best_fit(counts, capacity), capacity))
     shared = pieces.sparkSession.sparkContext.broadcast({k: np.asarray(v, np.int64) for k, v in table.items()})
     ranked = salted_rank(kept, ["length"], ["doc_id", "piece"], "rank")
+    names = kept.columns
     extra = T.StructType([*kept.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +283,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 within = rank[own] - row[:, 0]
                 sequence[own] = row[:, 1] + within % row[:, 2]
                 offset[own] = row[:, 3] + within // row[:, 2] * k
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept.schema.fields], pa.array(sequence), pa.array(offset)], extra.names)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(sequence), pa.array(offset)], extra.names)
 
     return ranked.mapInArrow(run, extra)
 
