@@ -9,8 +9,6 @@ pieces are then dealt to the places of their length by distributed ranks.
 from __future__ import annotations
 
 import os
-import re
-import unicodedata
 import zlib
 from array import array
 from bisect import bisect_right
@@ -19,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,21 +30,24 @@ Pattern = tuple[tuple[int, int], ...]  #: ((length, copies), ...), longest first
 
 
 #: Letters of words that are looked up; all are single code points in composed form.
-_LETTERS = "a-zàáâäãåæçèéêëìíîïñòóôöõøœùúûüýÿßğışčćžšđ"
+_LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøœùúûüýÿßğšžčćđ"
+_SIGNS = ".,;:!?()[]{}\"#*$%&|<>=+/_@~^\\-"
+_CAPITALS = "".join(c.upper() for c in _LETTERS if len(c.upper()) == 1 and c.upper().lower() == c)
 
 
 class WordTokenizer:
     """Ids of a tokenizers file, by distinct words.
 
     A tokenizer whose pre-tokenizer splits texts into words encodes each word alone, so the ids
-    of a text are those of its words joined. Words of plain letters and digits are looked up in
-    a table that the tokenizer itself fills; a text with any other character than the simple
-    ones below goes to the tokenizer whole, so that ids always are the tokenizer's own.
+    of a text are those of its words joined. A batch of texts is split into coded words by Arrow,
+    distinct words are looked up in a table that the tokenizer itself fills, and the ids are
+    gathered by numpy. A text with any character but those above goes to the tokenizer whole,
+    so that ids always are the tokenizer's own.
     """
 
-    _ODD = re.compile(rf"[^{_LETTERS}0-9 \t\n\r.,;:!?()\[\]{{}}\"#*$%&|<>=+/_@~^\\-]")
-    _WORD = re.compile(rf"[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
-    _SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>")
+    _CLASS = "".join("\\" + c for c in _SIGNS)
+    _ODD = rf"[^{_LETTERS}{_CAPITALS}0-9 \t\n\r{_CLASS}]|<\|(?:start|end)oftext\|>"
+    _APART = rf"([{_CLASS}]+|[0-9])"
 
     def __init__(self, path: str, cache_size: int = 500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use all cores
@@ -54,33 +56,46 @@ class WordTokenizer:
         self.whole, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.words.normalizer = normalizers.Sequence([])  # the words below are normalised
         self.cache_size = cache_size
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        out: list[list[str] | bytes] = []
-        for text in texts:
-            low = text.lower()
-            if self._ODD.search(low) or self._SPECIAL.search(text) or not unicodedata.is_normalized("NFC", text):
-                out.append(np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
-            else:
-                out.append(self._WORD.findall(low))
+        return self.encode_all(pa.array([text]))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers; null as empty."""
+        texts = pc.fill_null(texts, "")
+        odd = np.asarray(pc.match_substring_regex(texts, self._ODD))
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        parts = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(plain), self._APART, r" \1 "))
+        coded = parts.flatten().dictionary_encode()
+        vocabulary, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+        known = self._known(vocabulary)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool = np.frombuffer(b"".join(known), "<u4")
+        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(known) else np.zeros(0, np.int64)
+        n = sizes[codes]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(begin[codes] - upto[:-1], n) + np.arange(upto[-1])]
+        first = upto[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(parts), np.int64))])]
+        out = [ids[s:e].tobytes() for s, e in zip(first[:-1], first[1:], strict=True)]
+        for i in np.flatnonzero(odd):
+            out[i] = np.asarray(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return out
+
+    def _known(self, words: list[str]) -> list[bytes]:
         cache = self.cache
-        needed = set().union(*[x for x in out if isinstance(x, list)])
-        missing = list(needed - cache.keys())
+        missing = [w for w in words if w not in cache]
         if len(cache) + len(missing) > self.cache_size:
             cache.clear()
-            missing = list(needed)
+            cache[""] = b""
+            missing = [w for w in words if w]
         for w, e in zip(missing, self.words.encode_batch_fast(missing, add_special_tokens=False), strict=True):
             cache[w] = array("I", e.ids).tobytes()
-        ids = [x if isinstance(x, bytes) else b"".join(map(cache.__getitem__, x)) for x in out]
+        out = [cache[w] for w in words]
         for w in missing:
-            if len(w) > 64:
+            if len(w) > 64:  # the table stays small
                 del cache[w]
-        return ids
+        return out
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -106,7 +121,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         encode, end = _TOKENIZERS[tokenizer].encode_all, np.asarray([end_id], dtype="<u4").tobytes()
         for b in batches:
             rows: list[tuple] = []
-            docs_ids = ((doc, ids + end) for lo, hi in slices(b.column(1), 2 << 20) for doc, ids in zip(b.column(0)[lo:hi].to_pylist(), encode([t or "" for t in b.column(1)[lo:hi].to_pylist()]), strict=True))
+            docs_ids = ((doc, ids + end) for lo, hi in slices(b.column(1)) for doc, ids in zip(b.column(0)[lo:hi].to_pylist(), encode(b.column(1)[lo:hi]), strict=True))
             for doc, ids in docs_ids:
                 for n, at in enumerate(range(0, len(ids) // 4, capacity)):
                     raw = ids[4 * at : 4 * (at + capacity)]
