@@ -49,7 +49,7 @@ class WordTokenizer:
     _ODD = rf"[^{_LETTERS}{_CAPITALS}0-9 \t\n\r{_CLASS}]|<\|(?:start|end)oftext\|>"
     _APART = rf"([{_CLASS}]+|[0-9])"
 
-    def __init__(self, path: str, cache_size: int = 500_000) -> None:
+    def __init__(self, path: str, cache_size: int = 300_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use all cores
         from tokenizers import Tokenizer, normalizers
 
@@ -121,7 +121,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         encode, end = _TOKENIZERS[tokenizer].encode_all, np.asarray([end_id], dtype="<u4").tobytes()
         for b in batches:
             rows: list[tuple] = []
-            docs_ids = ((doc, ids + end) for lo, hi in slices(b.column(1)) for doc, ids in zip(b.column(0)[lo:hi].to_pylist(), encode(b.column(1)[lo:hi]), strict=True))
+            docs_ids = ((doc, ids + end) for lo, hi in slices(b.column(1), 4 << 20) for doc, ids in zip(b.column(0)[lo:hi].to_pylist(), encode(b.column(1)[lo:hi]), strict=True))
             for doc, ids in docs_ids:
                 for n, at in enumerate(range(0, len(ids) // 4, capacity)):
                     raw = ids[4 * at : 4 * (at + capacity)]

@@ -301,7 +301,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in slices(b.column(1), 4 << 20):
+            for lo, hi in slices(b.column(1), 2 << 20):
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(shared.value.score(b.column(1)[lo:hi]))], schema.names)
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -315,7 +315,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             i = b.schema.get_field_index("text")
-            for lo, hi in slices(b.column(i), 4 << 20):
+            for lo, hi in slices(b.column(i), 2 << 20):
                 part = b.slice(lo, hi - lo)
                 yield part.filter(pa.array(shared.value.score(part.column(i)) < threshold))
 
