@@ -1,20 +1,465 @@
-"""The registered queries of the methylation operators on the driver's tables."""
+"""The registered queries: the methylation operators on the driver's tables, with DuckDB SQL.
+
+A text stands for a chromosome and the motif ``an`` for a site; orders are reads, their lines
+the calls of a read on groups. Doubles are rounded: sums run in another order in SQL.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandloom.functions import scalars
+from strandloom.operators import calls, comparison, evaluation, genome
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+MOTIF, WIDTH = "[Aa][Nn]", 2
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(c: Column | str, n: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+_SITES = """with p as (select doc_id, string_split_regex(text, '[Aa][Nn]') s from documents),
+q as (select doc_id, unnest(s) piece, generate_subscripts(s, 1) i, len(s) n from p),
+sites as (select doc_id, i - 1 as n, cast(sum(length(piece) + 2) over (partition by doc_id order by i) - 1 as bigint) as pos from q where i < n)"""
+_GROUPS = (
+    _SITES
+    + """, f as (select doc_id, pos, case when pos - lag(pos) over (partition by doc_id order by pos) <= 10 then 0 else 1 end nw from sites),
+g as (select doc_id, pos, sum(nw) over (partition by doc_id order by pos) grp from f),
+h as (select doc_id, cast(grp as int) grp, min(pos) first_pos, max(pos) last_pos, count(*) n_cpg from g group by 1, 2),
+groups as (select doc_id, grp, first_pos - case when t = 1 then 0 else 5 end grp_start, last_pos + case when t = 1 then 0 else 5 end grp_end, n_cpg, first_pos, last_pos
+ from (select *, sum(n_cpg) over (partition by doc_id) t from h))"""
+)
+
+
+def _sites(spark: SparkSession, d: str) -> DataFrame:
+    return genome.motif_positions(_t(spark, d, "documents"), "doc_id", "text", MOTIF, WIDTH)
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return genome.gap_groups(_sites(spark, d), "doc_id")
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return motif_groups(spark, sf_dir)
+
+
+@_query(_SITES + " select doc_id, n, pos from sites")
+def motif_positions(spark, d):
+    return _sites(spark, d)
+
+
+@_query(_GROUPS + " select * from groups")
+def motif_groups(spark, d):
+    return _groups(spark, d)
+
+
+@_query(_SITES + " select doc_id, pos, lead(pos) over (partition by doc_id order by pos) - pos as d_next from sites")
+def motif_distance(spark, d):
+    return genome.site_distances(_sites(spark, d), "doc_id").select("doc_id", "pos", "d_next")
+
+
+@_query(_GROUPS + " select doc_id, grp, lead(first_pos) over (partition by doc_id order by grp) - last_pos as d_next from groups")
+def group_distance(spark, d):
+    return genome.group_distances(_groups(spark, d), "doc_id").select("doc_id", "grp", "d_next")
+
+
+@_query(_SITES + " select doc_id, pos, round(count(*) over (partition by doc_id order by pos range between 501 preceding and 498 following) / 1000.0, 6) as rho from sites")
+def motif_density(spark, d):
+    return genome.site_density(_sites(spark, d), "doc_id").select("doc_id", "pos", _r("rho").alias("rho"))
+
+
+@_query("select doc_id as chr, s as chrst, least(s + 2999, n_chars) as chrend from (select doc_id, n_chars, unnest(range(1, n_chars + 1, 3000)) s from documents)")
+def tile_regions(spark, d):
+    return genome.tile_regions(_t(spark, d, "documents"), "doc_id", "n_chars").withColumnRenamed("doc_id", "chr")
+
+
+@_query("""with a as (select doc_id, n_chars sz, cast(ceil(n_chars / 351.0) as bigint) k from documents where n_chars > 0),
+b as (select doc_id, sz, k, sz // k base, sz % k more, unnest(range(1, k + 1)) i from a)
+select doc_id, i as k, case when i = 1 then 1 else base * (i - 1) + least(more, i - 1) end as sub_start, base * i + least(more, i) as sub_end from b""")
+def balanced_split(spark, d):
+    docs = _t(spark, d, "documents").where("n_chars > 0").select("doc_id", F.lit(1).cast("long").alias("st"), F.col("n_chars").alias("en"))
+    return genome.balanced_split(docs, "doc_id", "st", "en")
+
+
+@_query(_SITES + """, a as (select doc_id, n_chars sz, cast(ceil(n_chars / 351.0) as bigint) k from documents where n_chars > 0),
+b as (select s.doc_id, pos, k, sz // k base, sz % k more from sites s join a using (doc_id))
+select doc_id, pos, cast(least(case when pos < more * (base + 1) then pos // (base + 1) else more + (pos - more * (base + 1)) // base end, k - 1) + 1 as int) as k from b""")
+def assign_pieces(spark, d):
+    docs = _t(spark, d, "documents").where("n_chars > 0").select("doc_id", F.col("n_chars").alias("sz"))
+    return genome.assign_pieces(_sites(spark, d).join(docs, "doc_id"), F.lit(1).cast("long"), F.col("sz")).select("doc_id", "pos", "k")
+
+
+@_query(_GROUPS + """, r as (select doc_id, s chrst, least(s + 2999, n_chars) chrend from (select doc_id, n_chars, unnest(range(1, n_chars + 1, 3000)) s from documents))
+select g.doc_id as chr, chrst, chrend, cast(sum(n_cpg) as bigint) as n_cpg, count(*) as n_groups from groups g join r on g.doc_id = r.doc_id and first_pos between chrst and chrend group by 1, 2, 3""")
+def region_table(spark, d):
+    return genome.region_table(tile_regions(spark, d), _groups(spark, d).withColumnRenamed("doc_id", "chr"))
+
+
+@_query()
+def chromosome_partition(spark, d):
+    sizes = _t(spark, d, "documents").where("n_chars > 0").select(F.col("doc_id").cast("string").alias("chr"), F.lit(1).alias("first"), F.col("n_chars").alias("last"))
+    return genome.chromosome_partition(_sites(spark, d).select(F.col("doc_id").cast("string").alias("chr"), "pos"), sizes)
+
+
+@_query(_GROUPS + ", c as (select cast(grp_end - grp_start + 1 as int) bin, count(*) n from groups group by 1) select cast(r as int) as bin, coalesce(n, 0) as n from range(1, 501) t(r) left join c on c.bin = r")
+def group_len_hist(spark, d):
+    return genome.histogram(_groups(spark, d), F.col("grp_end") - F.col("grp_start") + 1, 500)
+
+
+@_query(_GROUPS + ", c as (select cast(n_cpg as int) bin, count(*) n from groups group by 1) select cast(r as int) as bin, coalesce(n, 0) as n from range(1, 101) t(r) left join c on c.bin = r")
+def group_cpg_hist(spark, d):
+    return genome.histogram(_groups(spark, d), F.col("n_cpg"), 100)
+
+
+@_query(_GROUPS + ", r as (select doc_id, s i0, least(s + 2999, n_chars) i1 from (select doc_id, n_chars, unnest(range(1, n_chars + 1, 3000)) s from documents)) select g.doc_id, grp, i0 from groups g join r on g.doc_id = r.doc_id and grp_start <= i1 and grp_end >= i0")
+def bed_overlap(spark, d):
+    tiles = genome.tile_regions(_t(spark, d, "documents"), "doc_id", "n_chars").select("doc_id", F.col("chrst").alias("i0"), F.col("chrend").alias("i1"))
+    return genome.overlap_join(_groups(spark, d), tiles, "doc_id", "grp_start", "grp_end", "i0", "i1", 2048).select("doc_id", "grp", "i0")
+
+
+def _calls(spark, d) -> DataFrame:
+    """Lines as calls: the read is the order, the group its part's brand's place, methylated by discount over tax."""
+    return _t(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("region_id"), F.col("l_orderkey").cast("string").alias("read_id"), F.col("l_linenumber").alias("grp"), F.col("l_discount").alias("log_m"), F.col("l_tax").alias("log_u"), "l_partkey")
+
+
+_ONE = "(select cast(l_suppkey as varchar) region_id, cast(l_orderkey as varchar) read_id, l_linenumber grp, arg_max(l_discount, l_partkey) log_m, arg_max(l_tax, l_partkey) log_u from (select *, row_number() over (partition by l_suppkey, l_orderkey, l_linenumber order by l_partkey desc, l_discount desc, l_tax desc) rn from lineitem) where rn = 1 group by 1, 2, 3)"
+
+
+def _last_calls(spark, d) -> DataFrame:
+    g = _calls(spark, d).groupBy("region_id", "read_id", "grp").agg(F.max(F.struct("l_partkey", "log_m", "log_u")).alias("v"))
+    return g.select("region_id", "read_id", "grp", "v.log_m", "v.log_u")
+
+
+@_query(f"select region_id, read_id, grp, log_m, log_u from {_ONE}")
+def calls_to_groups(spark, d):
+    return _last_calls(spark, d)
+
+
+@_query(f"with c as {_ONE} select region_id, round(sum(n) / 7.0, 6) as depth, round(count(*) / 7.0, 6) as perc_obs from (select region_id, grp, count(*) n from c group by 1, 2) group by 1 having sum(n) / 7.0 >= 10 and count(*) / 7.0 >= 0.66")
+def coverage_filter(spark, d):
+    c = _last_calls(spark, d)
+    groups = c.select("region_id").distinct().select("region_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("grp"), F.lit(2).alias("n_cpg"))
+    return calls.coverage_filter(c, groups).select("region_id", _r("depth").alias("depth"), _r("perc_obs").alias("perc_obs"))
+
+
+@_query("select l_orderkey, l_linenumber, case when l_discount > l_tax then 0.0 else -50.0 end::double as log_m, case when l_discount > l_tax then -50.0 else 0.0 end::double as log_u, case when l_discount > l_tax then 1 else -1 end as sgn from lineitem")
+def binarise_calls(spark, d):
+    m, u = scalars.binarise(F.col("l_discount"), F.col("l_tax"))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", m.alias("log_m"), u.alias("log_u"), scalars.call_sign(F.col("l_discount"), F.col("l_tax")).alias("sgn"))
+
+
+@_query(f"select region_id, grp, round(avg(case when log_m > log_u then 1 else -1 end), 6) as ex from {_ONE} group by 1, 2")
+def sample_ex(spark, d):
+    return calls.sample_ex(_last_calls(spark, d)).select("region_id", "grp", _r("ex").alias("ex"))
+
+
+@_query("""with s as (select l_linenumber grp, case when l_discount > l_tax then 1 else -1 end s, lead(case when l_discount > l_tax then 1 else -1 end) over w s2, lead(l_linenumber) over w g2
+from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_discount, l_tax))
+select 'all' as region_id, grp, round(avg(s * s2), 6) as exx from s where g2 = grp + 1 group by 2""")
+def sample_exx(spark, d):
+    by = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax")
+    s = scalars.call_sign(F.col("l_discount"), F.col("l_tax"))
+    pairs = _t(spark, d, "lineitem").select(F.col("l_linenumber").alias("grp"), s.alias("s"), F.lead(s).over(by).alias("s2"), F.lead("l_linenumber").over(by).alias("g2"))
+    return pairs.where("g2 = grp + 1").groupBy("grp").agg(F.avg(F.col("s") * F.col("s2")).alias("exx")).select(F.lit("all").alias("region_id"), "grp", _r("exx").alias("exx"))
+
+
+@_query(f"select region_id, grp, round(avg(case when log_m - log_u >= 0 then 1.0 else 0.0 end), 6) as p from {_ONE} group by 1, 2")
+def marginal_p(spark, d):
+    return calls.marginal_model(_last_calls(spark, d)).select("region_id", "grp", _r("p").alias("p"))
+
+
+@_query(f"""with p as (select region_id, grp, avg(case when log_m - log_u >= 0 then 1.0 else 0.0 end)::double p from {_ONE} group by 1, 2)
+select region_id, round(avg(p), 6) as mml, round(avg(-(p * log2(greatest(p, 2.220446049250313e-16)) + (1 - p) * log2(greatest(1 - p, 2.220446049250313e-16)))), 6) as nme from p group by 1""")
+def marginal_levels(spark, d):
+    p = calls.marginal_model(_last_calls(spark, d))
+    return calls.marginal_summaries(p, ["region_id"]).select("region_id", _r("mml").alias("mml"), _r(F.col("nme") + 0.0).alias("nme"))
+
+
+@_query("with e as (select l_partkey, avg(case when l_discount > l_tax then 1.0 else -1.0 end)::double ex from lineitem group by 1) select l_partkey, round(case when ex >= 1 then 20 when ex <= -1 then -20 else least(greatest(0.5 * ln((1 + ex) / (1 - ex)), -20), 20) end, 6) as alpha from e")
+def alpha_from_ex(spark, d):
+    e = _t(spark, d, "lineitem").groupBy("l_partkey").agg(F.avg(scalars.call_sign(F.col("l_discount"), F.col("l_tax")).cast("double")).alias("ex"))
+    return e.select("l_partkey", _r(scalars.alpha_from_ex(F.col("ex"))).alias("alpha"))
+
+
+_GROUPED = "(select l_partkey, case when s_nationkey < 12 then 1 else 2 end grp from lineitem join supplier on s_suppkey = l_suppkey)"
+
+
+def _grouped(spark, d) -> DataFrame:
+    return _t(spark, d, "lineitem").join(_t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_partkey", F.when(F.col("s_nationkey") < 12, 1).otherwise(2).alias("grp"))
+
+
+@_query(f"select l_partkey from {_GROUPED} group by 1 having count(*) filter (grp = 1) > 0 and count(*) filter (grp = 2) > 0")
+def common_regions(spark, d):
+    return comparison.common_keys(_grouped(spark, d), ["l_partkey"])
+
+
+_BAL = "(select c_mktsegment seg, c_nationkey % 8 i, round(avg(case when c_nationkey < 8 then c_acctbal end) - avg(case when c_nationkey >= 8 and c_nationkey < 16 then c_acctbal end), 4) x from customer where c_nationkey < 16 group by 1, 2)"
+
+
+@_query(f"""with v as {_BAL}, m as (select seg, avg(x) stat, count(*) n from v group by 1), j as (select unnest(range(0, 256)) j),
+t as (select seg, j, sum(case when (j >> i) & 1 = 1 then x else -x end) / 8 t from v, j group by 1, 2)
+select t.seg, round(any_value(stat), 4) as stat, round(count(*) filter (abs(t) >= abs(stat) - 1e-9) / 256.0, 6) as p from t join m on m.seg = t.seg group by 1""")
+def tmml_matched(spark, d):
+    c = _t(spark, d, "customer").where("c_nationkey < 16")
+    x = F.avg(F.when(F.col("c_nationkey") < 8, F.col("c_acctbal"))) - F.avg(F.when(F.col("c_nationkey") >= 8, F.col("c_acctbal")))
+    v = c.groupBy(F.col("c_mktsegment").alias("seg"), (F.col("c_nationkey") % 8).alias("i")).agg(_r(x, 4).alias("x"))
+    return comparison.matched_test(v, ["seg"]).select("seg", _r("stat", 4).alias("stat"), _r("p").alias("p"))
+
+
+_REP = "(select c_mktsegment seg, c_nationkey i, case when c_nationkey < 4 then 1 else 2 end grp, round(avg(c_acctbal), 4) x from customer where c_nationkey < 8 group by 1, 2, 3)"
+
+
+@_query(f"""with v as {_REP}, o as (select seg, avg(x) filter (grp = 1) - avg(x) filter (grp = 2) stat from v group by 1),
+m as (select j from (select unnest(range(0, 256)) j) where bit_count(j) = 4),
+t as (select seg, j, sum(case when (j >> i) & 1 = 1 then x else 0 end) / 4 - sum(case when (j >> i) & 1 = 1 then 0 else x end) / 4 t from v, m group by 1, 2)
+select t.seg, round(any_value(stat), 4) as stat, round(count(*) filter (abs(t) >= abs(stat) - 1e-9) / 70.0, 6) as p from t join o on o.seg = t.seg group by 1""")
+def tmml_unmatched(spark, d):
+    c = _t(spark, d, "customer").where("c_nationkey < 8")
+    v = c.groupBy(F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("i"), F.when(F.col("c_nationkey") < 4, 1).otherwise(2).alias("grp")).agg(_r(F.avg("c_acctbal"), 4).alias("x"))
+    return comparison.unmatched_test(v, ["seg"]).select("seg", _r("stat", 4).alias("stat"), _r("p").alias("p"))
+
+
+def _chains(spark, d) -> DataFrame:
+    """A small chain per nation: fields from supplier balances, one coupling."""
+    s = _t(spark, d, "supplier").where("s_suppkey <= 200").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", F.round(F.col("s_acctbal") / 10000.0, 4).alias("a")))).alias("v"))
+    s = s.select("s_nationkey", F.transform(F.slice("v", 1, 5), lambda x: x.a).alias("alpha")).where(F.size("alpha") >= 2)
+    return s.withColumn("beta", F.array_repeat(F.lit(0.25), F.size("alpha") - 1))
+
+
+_BRUTE = """with v as (select s_nationkey, list(round(s_acctbal / 10000.0, 4) order by s_suppkey)[1:5] a from supplier where s_suppkey <= 200 group by 1),
+c as (select s_nationkey, a, len(a) n from v where len(a) >= 2),
+st as (select s_nationkey, a, n, unnest(range(0, cast(1 << n as bigint))) j from c),
+e as (select s_nationkey, j, n, a, list_sum(list_transform(range(0, n), lambda i: a[i + 1] * (2 * ((j >> i) & 1) - 1))) + 0.25 * list_sum(list_transform(range(0, n - 1), lambda i: (2 * ((j >> i) & 1) - 1) * (2 * ((j >> (i + 1)) & 1) - 1))) u from st)"""
+
+
+@_query(_BRUTE + " select s_nationkey, round(ln(sum(exp(u))), 6) as log_z from e group by 1")
+def ising_logz(spark, d):
+    return _chains(spark, d).select("s_nationkey", _r(scalars.ising_log_z(F.col("alpha"), F.col("beta"))).alias("log_z"))
+
+
+def _summaries(spark, d) -> DataFrame:
+    from strandloom.operators import models
+    from strandloom.session import ship
+
+    ship(spark)
+    c = _chains(spark, d).withColumns({"region_id": F.col("s_nationkey").cast("string"), "p": F.array(F.lit(0)), "q": F.array(F.size("alpha") - 1)})
+    return models.summaries(c, ("region_id",))
+
+
+@_query(_BRUTE + ", z as (select s_nationkey, sum(exp(u)) z from e group by 1), i as (select s_nationkey, j, u, n, unnest(range(0, n)) i from e) select cast(s_nationkey as varchar) as region_id, cast(i as int) as n, round(sum(exp(u) * (2 * ((j >> i) & 1) - 1)) / any_value(z), 6) as ex from i join z using (s_nationkey) group by 1, 2")
+def ising_ex(spark, d):
+    return _summaries(spark, d).select("region_id", F.posexplode("ex").alias("n", "ex")).select("region_id", "n", _r("ex").alias("ex"))
+
+
+@_query(_BRUTE + ", z as (select s_nationkey, sum(exp(u)) z from e group by 1), i as (select s_nationkey, j, u, n, unnest(range(0, n - 1)) i from e) select cast(s_nationkey as varchar) as region_id, cast(i as int) as n, round(sum(exp(u) * (2 * ((j >> i) & 1) - 1) * (2 * ((j >> (i + 1)) & 1) - 1)) / any_value(z), 6) as exx from i join z using (s_nationkey) group by 1, 2")
+def ising_exx(spark, d):
+    return _summaries(spark, d).select("region_id", F.posexplode("exx").alias("n", "exx")).select("region_id", "n", _r("exx").alias("exx"))
+
+
+@_query(_BRUTE + ", z as (select s_nationkey, sum(exp(u)) z from e group by 1) select cast(s_nationkey as varchar) as region_id, round(-sum(exp(u) / z * log2(exp(u) / z)) / any_value(n), 6) as nme from e join z using (s_nationkey) group by 1")
+def ising_nme(spark, d):
+    return _summaries(spark, d).select("region_id", _r(F.col("nme")[0]).alias("nme"))
+
+
+@_query(_BRUTE + """, p as (select s_nationkey, j, n, exp(u) / sum(exp(u)) over (partition by s_nationkey) p, u from e),
+ab as (select x.s_nationkey i, y.s_nationkey j, x.j st, x.n, x.p p1, y.p p2, (x.u + y.u) / 2 um from p x join p y on x.j = y.j and x.n = y.n and x.s_nationkey < y.s_nationkey),
+m as (select *, exp(um) / sum(exp(um)) over (partition by i, j) pm from ab)
+select i, j, round(1 - (sum(p1 * ln(p1)) + sum(p2 * ln(p2))) / (sum(p1 * ln(pm)) + sum(p2 * ln(pm))), 6) as cmd from m group by 1, 2""")
+def cmd_pairs(spark, d):
+    from strandloom.operators import models
+    from strandloom.session import ship
+
+    ship(spark)
+    c = _chains(spark, d).select(F.size("alpha").cast("string").alias("region_id"), F.col("s_nationkey").alias("sample"), "alpha", "beta", F.array(F.lit(0)).alias("p"), F.array(F.size("alpha") - 1).alias("q"))
+    return models.divergences(models.model_pairs(c)).select("i", "j", _r("cmd").alias("cmd"))
+
+
+@_query("""with p as (select o_orderkey, o_orderpriority g, round(o_totalprice / 1000000.0, 3) p from orders),
+r as (select *, rank() over (partition by g order by p) + count(*) over (partition by g, p) - 1 r, count(*) over (partition by g) m from p)
+select o_orderkey, g, p, round(least(1.0, min(p * m / r) over (partition by g order by p desc range between unbounded preceding and current row)), 6) as q from r""")
+def bh_qvalues(spark, d):
+    p = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("g"), _r(F.col("o_totalprice") / 1000000.0, 3).alias("p"))
+    return comparison.bh(p, ["g"]).select("o_orderkey", "g", "p", _r("q").alias("q"))
+
+
+@_query()
+def split_reads(spark, d):
+    from strandloom.sources import writers
+
+    return writers.split_reads(_calls(spark, d), 8).groupBy("bucket").agg(F.countDistinct("read_id").alias("reads"), F.count(F.lit(1)).alias("rows"))
+
+
+@_query("""with raw as (select r_name || p_brand kmer, avg(p_retailprice) mean, p_size sd from part join region on p_size % 5 = r_regionkey group by 1, 3),
+u as (select kmer, sd sd_u, mean mean_u from raw where kmer not like '%M%' and kmer like '%C%'), m as (select replace(kmer, 'M', 'C') kmer, sd sd_m, mean mean_m from raw where kmer like '%M%')
+select coalesce(u.kmer, m.kmer) as kmer, round(mean_u, 4) as mean_u, sd_u, round(mean_m, 4) as mean_m, sd_m from u full join m on u.kmer = m.kmer""")
+def pore_merge(spark, d):
+    from strandloom.sources import readers
+
+    raw = _t(spark, d, "part").join(_t(spark, d, "region"), F.col("p_size") % 5 == F.col("r_regionkey")).groupBy(F.concat("r_name", "p_brand").alias("kmer"), F.col("p_size").alias("sd")).agg(F.avg("p_retailprice").alias("mean"))
+    return readers.merge_pore_model(raw).select("kmer", _r("mean_u", 4).alias("mean_u"), "sd_u", _r("mean_m", 4).alias("mean_m"), "sd_m")
+
+
+@_query("select n_nationkey, coalesce(cnt, donor) as n, cnt is null as augmented from nation left join (select s_nationkey, count(*) cnt from supplier where s_acctbal > 0 group by 1) on s_nationkey = n_nationkey, (select max(cnt) donor from (select count(*) cnt from supplier where s_acctbal > 0 group by s_nationkey))")
+def augment_left(spark, d):
+    s = _t(spark, d, "supplier").where("s_acctbal > 0").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("cnt"))
+    n = _t(spark, d, "nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    donor = F.max("cnt").over(W.partitionBy())  # a row per nation
+    return n.select("n_nationkey", F.coalesce("cnt", donor).alias("n"), F.col("cnt").isNull().alias("augmented"))
+
+
+@_query("select conv_id as qname, min(turn) as first, max(turn) as last from conversations group by 1 having count(*) = 2")
+def mates(spark, d):
+    r = _t(spark, d, "conversations").select(F.col("conv_id").alias("qname"), F.col("turn").alias("pos"), F.lit(0).alias("flag"), F.col("text").alias("xm"))
+    return calls.mate_pairs(r).select("qname", F.col("r1.pos").alias("first"), F.col("r2.pos").alias("last"))
+
+
+@_query("select l_orderkey, l_linenumber, case when f = 0 then 'OT' else 'OB' end as strand from (select *, case when l_returnflag = 'R' then 16 else 0 end f from lineitem)")
+def strand_case(spark, d):
+    flag = F.when(F.col("l_returnflag") == "R", 16).otherwise(0)
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.strand(F.lit(False), flag).alias("strand"))
+
+
+@_query("select doc_id, md5(replace(text, 'an', 'aM')) as marked, len(string_split(text, 'an')) - 1 as n from documents")
+def meth_string(spark, d):
+    n = F.size(F.split("text", "an", -1)) - 1
+    marked = scalars.meth_seq(F.col("text"), F.array_repeat(F.lit(1), n), "an", "aM")
+    return _t(spark, d, "documents").select("doc_id", F.md5(F.encode(marked, "UTF-8")).alias("marked"), n.cast("long").alias("n"))
+
+
+_SCORED = "(select toxic = 1 as t, quality = 1 as g, n_chars / 10000.0 as s from labels join documents using (doc_id))"
+_TH = [round(i / 20, 2) for i in range(21)]
+
+
+def _scored(spark, d) -> DataFrame:
+    j = _t(spark, d, "labels").join(_t(spark, d, "documents"), "doc_id")
+    return j.select((F.col("toxic") == 1).alias("t"), (F.col("quality") == 1).alias("g"), (F.col("n_chars") / 10000.0).alias("s"))
+
+
+_POINTS = f"(select x as threshold, count(*) filter (t and s >= x) tp, count(*) filter (not t and s >= x) fp, count(*) filter (t) p, count(*) filter (not t) n from {_SCORED}, (select unnest({_TH})::double x) group by 1)"
+
+
+@_query(f"select threshold, round(tp / p, 6) as tpr, round(fp / n, 6) as fpr from {_POINTS}")
+def roc_points(spark, d):
+    return evaluation.roc(_scored(spark, d), F.col("t"), F.col("s"), _TH).select("threshold", _r("tpr").alias("tpr"), _r("fpr").alias("fpr"))
+
+
+@_query(f"with r as (select tp / p tpr, fp / n fpr from {_POINTS}) select round(sum((nx - fpr) * tpr), 6) as auc from (select *, lead(fpr) over (order by fpr, tpr) nx from r)")
+def auc(spark, d):
+    return evaluation.auc(evaluation.roc(_scored(spark, d), F.col("t"), F.col("s"), _TH)).select(_r("auc").alias("auc"))
+
+
+@_query(f"select threshold, round(tp / (tp + fp), 3) as precision, round(tp / p, 3) as recall from {_POINTS} where tp + fp > 0 and p > 0")
+def pr_curve(spark, d):
+    return evaluation.precision_recall(_scored(spark, d), F.col("t"), F.col("s"), _TH)
+
+
+@_query(f"""with c as (select count(*) filter (t and not g) tp, count(*) filter (not t and not g) fp, count(*) filter (not t and g) tn, count(*) filter (t and g) fn from {_SCORED})
+select tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn), 6) as accuracy, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as sensitivity, round(tn / (tn + fp), 6) as specificity from c""")
+def caller_metrics(spark, d):
+    m = evaluation.confusion(_scored(spark, d), F.col("t"), ~F.col("g"))
+    return m.select("tp", "fp", "tn", "fn", *[_r(c).alias(c) for c in ("accuracy", "precision", "sensitivity", "specificity")])
+
+
+@_query(f"select x as threshold, round(count(*) filter (s >= x) / count(*), 6) as share from {_SCORED}, (select unnest({_TH})::double x) group by 1")
+def lrt_share(spark, d):
+    e = evaluation.by_threshold(_scored(spark, d), F.col("t"), F.col("s"), _TH)
+    return e.select("threshold", _r((F.col("tp") + F.col("fp")) / (F.col("p") + F.col("n"))).alias("share"))
+
+
+@_query(f"""with b as (select cast(floor(s * 10) as bigint) bin, count(*) n, count(*) filter (t) k from {_SCORED} group by 1)
+select bin, n, round(k / n, 6) as accuracy, cast(sum(n) over (order by bin) as bigint) as upto, round(sum(k) over (order by bin) / sum(n) over (order by bin), 6) as running from b""")
+def lrt_interval(spark, d):
+    b = _scored(spark, d).groupBy(F.floor(F.col("s") * 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("t").cast("long")).alias("k"))
+    w = W.orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)  # a row per interval
+    return b.select("bin", "n", _r(F.col("k") / F.col("n")).alias("accuracy"), F.sum("n").over(w).alias("upto"), _r(F.sum("k").over(w) / F.sum("n").over(w)).alias("running"))
+
+
+@_query(f"select x as threshold, round(avg(case when s <= x then 1.0 else 0.0 end), 6) as share from {_SCORED}, (select unnest({_TH})::double x) group by 1")
+def ecdf(spark, d):
+    return evaluation.ecdf(_scored(spark, d), F.col("s"), _TH).select("threshold", _r("share").alias("share"))
+
+
+@_query("with b as (select cast(floor(l_extendedprice / 5000.0) as bigint) bin, count(*) n from lineitem group by 1) select bin, n, round(n / sum(n) over (), 6) as share from b")
+def hist1d(spark, d):
+    return evaluation.histogram1d(_t(spark, d, "lineitem"), F.col("l_extendedprice"), 0.0, 5000.0).select("bin", "n", _r("share").alias("share"))
+
+
+@_query("""with c as (select cast(least(greatest(floor(l_discount * 8), 0), 7) as int) bx, cast(least(greatest(floor(l_tax * 8), 0), 7) as int) as by_, count(*) n from lineitem group by 1, 2),
+g as (select cast(i // 8 as int) bx, cast(i % 8 as int) by_ from range(64) t(i)), f as (select g.bx, g.by_, coalesce(n, 0) + 1 n from g left join c on c.bx = g.bx and c.by_ = g.by_)
+select bx, by_ as "by", round(-log10(n / sum(n) over ()), 6) as v from f""")
+def hist2d_log(spark, d):
+    return evaluation.histogram2d_log(_t(spark, d, "lineitem"), F.col("l_discount"), F.col("l_tax"), 8).select("bx", "by", _r("v").alias("v"))
+
+
+@_query("select o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 4) as q1, round(quantile_cont(o_totalprice, 0.5), 4) as median, round(quantile_cont(o_totalprice, 0.75), 4) as q3, count(*) as n from orders group by 1")
+def median_stats(spark, d):
+    b = evaluation.box_statistics(_t(spark, d, "orders"), ["o_orderpriority"], F.col("o_totalprice"))
+    return b.select("o_orderpriority", *[_r(c, 4).alias(c) for c in ("q1", "median", "q3")], "n")
+
+
+@_query("select l_returnflag, round(corr(l_quantity, l_extendedprice), 6) as r from lineitem group by 1")
+def corr_pairs(spark, d):
+    return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(_r(F.corr("l_quantity", "l_extendedprice")).alias("r"))
+
+
+@_query("""with e as (select vec_id, embedding::double[] v, lag(embedding::double[]) over (partition by label order by vec_id) w, label from embeddings)
+select vec_id, round(list_dot_product(v, w) / sqrt(list_dot_product(v, v) * list_dot_product(w, w)), 6) as cosine from e where w is not null""")
+def cosine_pairs(spark, d):
+    e = _t(spark, d, "embeddings").withColumn("w", F.lag("embedding").over(W.partitionBy("label").orderBy("vec_id")))
+    return e.where("w is not null").select("vec_id", _r(scalars.cosine(F.col("embedding"), F.col("w"))).alias("cosine"))
+
+
+@_query("select l_returnflag, round(avg(abs(l_discount - l_tax)), 6) as mae, round(avg((l_discount - l_tax) ** 2), 6) as mse from lineitem group by 1")
+def mae_mse(spark, d):
+    e = F.col("l_discount") - F.col("l_tax")
+    return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(_r(F.avg(F.abs(e))).alias("mae"), _r(F.avg(e * e)).alias("mse"))
+
+
+@_query("with a as (select avg(n_chars)::double theta, count(*) n from documents) select round(theta, 6) as theta, n, round(-n * (ln(theta) + 1), 4) as log_lik, round(2 + 2 * n * (ln(theta) + 1), 4) as aic from a")
+def exp_mle(spark, d):
+    return evaluation.exponential_fit(_t(spark, d, "documents"), F.col("n_chars")).select(_r("theta").alias("theta"), "n", _r("log_lik", 4).alias("log_lik"), _r("aic", 4).alias("aic"))
+
+
+@_query("select distinct user_id from events")
+def dedup_unique(spark, d):
+    return _t(spark, d, "events").select("user_id").distinct()
+
+
+@_query("select c_custkey as k from customer except select o_custkey from orders")
+def set_complement(spark, d):
+    return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(_t(spark, d, "orders").select("o_custkey"))
+
+
+@_query("select s_nationkey as k from supplier intersect select c_nationkey from customer where c_acctbal > 5000")
+def set_intersection(spark, d):
+    return _t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).intersect(_t(spark, d, "customer").where("c_acctbal > 5000").select("c_nationkey"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
