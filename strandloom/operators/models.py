@@ -67,7 +67,7 @@ def alphas(profile: DataFrame) -> DataFrame:
 
 
 def fit_regions(calls: DataFrame, profile: DataFrame, reads: DataFrame, starts: int = 10, iters: int = 20, seed: int = 17, group: tuple[str, ...] = ("region_id",)) -> DataFrame:
-    """region_id, phi, q, converged: EM per region, whose reads and groups make one group.
+    """region_id, phi, log_lik, converged: EM per region, whose reads and groups make one group.
 
     ``profile``: region_id, n, rho, d (arrays over groups). ``reads`` counts the reads with no
     call too. Seeds come from the region's id, so a retried task gives the same fit.
@@ -83,9 +83,9 @@ def fit_regions(calls: DataFrame, profile: DataFrame, reads: DataFrame, starts:
         at = (row[has], pdf["grp"][has].to_numpy().astype(int) - 1)
         u[at], m[at] = pdf["log_u"][has], pdf["log_m"][has]
         f = ising.fit_em(u, m, n, rho, d, starts, iters, zlib.crc32(f"{key}{seed}".encode()))
-        return pd.DataFrame([(*key, f.phi if f.converged else None, f.q if f.converged else None, f.converged)], columns=[*group, "phi", "q", "converged"])
+        return pd.DataFrame([(*key, f.phi if f.converged else None, f.q if f.converged else None, f.converged)], columns=[*group, "phi", "log_lik", "converged"])
 
-    return full.groupBy(*group).applyInPandas(run, ", ".join(f"{g} string" for g in group) + ", phi array<double>, q double, converged boolean")
+    return full.groupBy(*group).applyInPandas(run, ", ".join(f"{g} string" for g in group) + ", phi array<double>, log_lik double, converged boolean")
 
 
 def simulate_calls(models: DataFrame, reads: int, sd: float = 2.0, observed: float = 1.0, seed: int = 17) -> DataFrame:
