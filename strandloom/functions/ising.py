@@ -140,6 +140,11 @@ def fit_em(log_u: np.ndarray, log_m: np.ndarray, n: np.ndarray, rho: np.ndarray,
         log_z, p, exx, _, _ = expectations(fields(a), b)
         return a, b, float(log_z), stats((p * S).sum(-1), exx)
 
+    def moments(phis):
+        a = n * (phis[:, :1] + phis[:, 1:2] * rho)
+        _, p, exx, _, _ = expectations(fields(a), phis[:, 2:] * inv_d)
+        return stats((p * S).sum(-1), exx)
+
     best = Fit(np.full(3, np.nan), -np.inf, False)
     for _ in range(starts):
         phi = np.asarray([rng.integers(-500, 501) / 100, rng.uniform(-50, 50), rng.uniform(0, 10)])
@@ -148,7 +153,7 @@ def fit_em(log_u: np.ndarray, log_m: np.ndarray, n: np.ndarray, rho: np.ndarray,
             a, b, log_z, _ = model(phi)
             _, p, exx, _, _ = expectations(fields(a) + evidence, b)
             target = stats((p * S).sum(-1), exx).mean(0)
-            new = _match(phi, target, model, limit)
+            new = _match(phi, target, model, moments, limit)
             moved, phi = np.linalg.norm(new - phi), new
             if moved <= tol and it:
                 done = True
@@ -161,14 +166,15 @@ def fit_em(log_u: np.ndarray, log_m: np.ndarray, n: np.ndarray, rho: np.ndarray,
     return best
 
 
-def _match(phi, target, model, limit, steps: int = 20, tol: float = 1e-3) -> np.ndarray:
+def _match(phi, target, model, moments, limit, steps: int = 20, tol: float = 1e-3) -> np.ndarray:
     x = phi.copy()
     now = model(x)[3] - target
     for _ in range(steps):
         if np.abs(now).max() < tol:
             break
         h = 1e-4 * np.maximum(1, np.abs(x))
-        jac = np.stack([(model(x + h[i] * np.eye(3)[i])[3] - model(x - h[i] * np.eye(3)[i])[3]) / (2 * h[i]) for i in range(3)], axis=1)
+        moved = moments(np.concatenate([x + np.diag(h), x - np.diag(h)]))  # all six in one batch
+        jac = ((moved[:3] - moved[3:]) / (2 * h[:, None])).T
         step = np.linalg.lstsq(jac + 1e-9 * np.eye(3), now, rcond=None)[0]
         scale = 1.0
         while scale > 1e-3:

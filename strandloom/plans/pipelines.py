@@ -86,7 +86,8 @@ def analyze_nano(spark: SparkSession, calls: DataFrame, sequences: DataFrame, co
     tables = genome_tables(sequences, config, targets)
     on, reads = _observed(calls, tables, config)
     phi = models.fit_regions(on, tables["by_group"], reads, config.max_em_init, config.max_em_iters, config.seed)
-    result = summarise(phi.where("converged"), tables, config)
+    # every result reads the fits, by far the dearest step; what is lost is fitted anew from the same seeds
+    result = summarise(phi.persist().where("converged"), tables, config)
     if out:
         writers.write_outputs(result["models"], result["sites"], result["analysis"], out)
     return result
