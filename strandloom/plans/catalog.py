@@ -123,14 +123,14 @@ def chromosome_partition(spark, d):
     return genome.chromosome_partition(_sites(spark, d).select(F.col("doc_id").cast("string").alias("chr"), "pos"), sizes)
 
 
-@_query(_GROUPS + ", c as (select cast(grp_end - grp_start + 1 as int) bin, count(*) n from groups group by 1) select cast(r as int) as bin, coalesce(n, 0) as n from range(1, 501) t(r) left join c on c.bin = r")
+@_query(_GROUPS + ", c as (select cast(grp_end - grp_start + 1 as int) bin, count(*) n from groups group by 1) select cast(r as int) as bin, coalesce(n, 0) as n from range(1, 50001) t(r) left join c on c.bin = r")
 def group_len_hist(spark, d):
-    return genome.histogram(_groups(spark, d), F.col("grp_end") - F.col("grp_start") + 1, 500)
+    return genome.histogram(_groups(spark, d), F.col("grp_end") - F.col("grp_start") + 1, 50_000)
 
 
-@_query(_GROUPS + ", c as (select cast(n_cpg as int) bin, count(*) n from groups group by 1) select cast(r as int) as bin, coalesce(n, 0) as n from range(1, 101) t(r) left join c on c.bin = r")
+@_query(_GROUPS + ", c as (select cast(n_cpg as int) bin, count(*) n from groups group by 1) select cast(r as int) as bin, coalesce(n, 0) as n from range(1, 10001) t(r) left join c on c.bin = r")
 def group_cpg_hist(spark, d):
-    return genome.histogram(_groups(spark, d), F.col("n_cpg"), 100)
+    return genome.histogram(_groups(spark, d), F.col("n_cpg"), 10_000)
 
 
 @_query(_GROUPS + ", r as (select doc_id, s i0, least(s + 2999, n_chars) i1 from (select doc_id, n_chars, unnest(range(1, n_chars + 1, 3000)) s from documents)) select g.doc_id, grp, i0 from groups g join r on g.doc_id = r.doc_id and grp_start <= i1 and grp_end >= i0")
@@ -215,46 +215,65 @@ def common_regions(spark, d):
     return comparison.common_keys(_grouped(spark, d), ["l_partkey"])
 
 
-_BAL = "(select c_mktsegment seg, c_nationkey % 8 i, round(avg(case when c_nationkey < 8 then c_acctbal end) - avg(case when c_nationkey >= 8 and c_nationkey < 16 then c_acctbal end), 4) x from customer where c_nationkey < 16 group by 1, 2)"
+#: Nations are dealt to two groups of 8 replicates, so that all customers count.
+_BAL = "(select c_mktsegment seg, c_nationkey % 8 i, avg(case when c_nationkey // 8 % 2 = 0 then c_acctbal end) - avg(case when c_nationkey // 8 % 2 = 1 then c_acctbal end) x from customer group by 1, 2)"
 
 
 @_query(f"""with v as {_BAL}, m as (select seg, avg(x) stat, count(*) n from v group by 1), j as (select unnest(range(0, 256)) j),
 t as (select seg, j, sum(case when (j >> i) & 1 = 1 then x else -x end) / 8 t from v, j group by 1, 2)
 select t.seg, round(any_value(stat), 4) as stat, round(count(*) filter (abs(t) >= abs(stat) - 1e-9) / 256.0, 6) as p from t join m on m.seg = t.seg group by 1""")
 def tmml_matched(spark, d):
-    c = _t(spark, d, "customer").where("c_nationkey < 16")
-    x = F.avg(F.when(F.col("c_nationkey") < 8, F.col("c_acctbal"))) - F.avg(F.when(F.col("c_nationkey") >= 8, F.col("c_acctbal")))
-    v = c.groupBy(F.col("c_mktsegment").alias("seg"), (F.col("c_nationkey") % 8).alias("i")).agg(_r(x, 4).alias("x"))
+    first = F.floor(F.col("c_nationkey") / 8) % 2 == 0
+    x = F.avg(F.when(first, F.col("c_acctbal"))) - F.avg(F.when(~first, F.col("c_acctbal")))
+    v = _t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("seg"), (F.col("c_nationkey") % 8).alias("i")).agg(x.alias("x"))
     return comparison.matched_test(v, ["seg"]).select("seg", _r("stat", 4).alias("stat"), _r("p").alias("p"))
 
 
-_REP = "(select c_mktsegment seg, c_nationkey i, case when c_nationkey < 4 then 1 else 2 end grp, round(avg(c_acctbal), 4) x from customer where c_nationkey < 8 group by 1, 2, 3)"
+_REP = "(select c_mktsegment seg, c_nationkey % 8 i, case when c_nationkey % 8 < 4 then 1 else 2 end grp, avg(c_acctbal) x from customer group by 1, 2, 3)"
 
 
 @_query(f"""with v as {_REP}, o as (select seg, avg(x) filter (grp = 1) - avg(x) filter (grp = 2) stat from v group by 1),
 m as (select j from (select unnest(range(0, 256)) j) where bit_count(j) = 4),
 t as (select seg, j, sum(case when (j >> i) & 1 = 1 then x else 0 end) / 4 - sum(case when (j >> i) & 1 = 1 then 0 else x end) / 4 t from v, m group by 1, 2)
-select t.seg, round(any_value(stat), 6) as stat, round(count(*) filter (abs(t) >= abs(stat) - 1e-9) / 70.0, 6) as p from t join o on o.seg = t.seg group by 1""")
+select t.seg, round(any_value(stat), 4) as stat, round(count(*) filter (abs(t) >= abs(stat) - 1e-9) / 70.0, 6) as p from t join o on o.seg = t.seg group by 1""")
 def tmml_unmatched(spark, d):
-    c = _t(spark, d, "customer").where("c_nationkey < 8")
-    v = c.groupBy(F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("i"), F.when(F.col("c_nationkey") < 4, 1).otherwise(2).alias("grp")).agg(_r(F.avg("c_acctbal"), 4).alias("x"))
-    return comparison.unmatched_test(v, ["seg"]).select("seg", _r("stat").alias("stat"), _r("p").alias("p"))
+    i = F.col("c_nationkey") % 8
+    v = _t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("seg"), i.alias("i"), F.when(i < 4, 1).otherwise(2).alias("grp")).agg(F.avg("c_acctbal").alias("x"))
+    return comparison.unmatched_test(v, ["seg"]).select("seg", _r("stat", 4).alias("stat"), _r("p").alias("p"))
 
 
 def _chains(spark, d) -> DataFrame:
-    """A small chain per nation: fields from supplier balances, one coupling."""
-    s = _t(spark, d, "supplier").where("s_suppkey <= 200").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", F.round(F.col("s_acctbal") / 10000.0, 4).alias("a")))).alias("v"))
-    s = s.select("s_nationkey", F.transform(F.slice("v", 1, 5), lambda x: x.a).alias("alpha")).where(F.size("alpha") >= 2)
+    """A chain per nation over all its suppliers: fields from their balances, one coupling."""
+    s = _t(spark, d, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", (F.col("s_acctbal") / 10000.0).alias("a")))).alias("v"))
+    s = s.select("s_nationkey", F.transform("v", lambda x: x.a).alias("alpha")).where(F.size("alpha") >= 2)
     return s.withColumn("beta", F.array_repeat(F.lit(0.25), F.size("alpha") - 1))
 
 
-_BRUTE = """with v as (select s_nationkey, list(round(s_acctbal / 10000.0, 4) order by s_suppkey)[1:5] a from supplier where s_suppkey <= 200 group by 1),
-c as (select s_nationkey, a, len(a) n from v where len(a) >= 2),
-st as (select s_nationkey, a, n, unnest(range(0, cast(1 << n as bigint))) j from c),
-e as (select s_nationkey, j, n, a, list_sum(list_transform(range(0, n), lambda i: a[i + 1] * (2 * ((j >> i) & 1) - 1))) + 0.25 * list_sum(list_transform(range(0, n - 1), lambda i: (2 * ((j >> i) & 1) - 1) * (2 * ((j >> (i + 1)) & 1) - 1))) u from st)"""
+def _chain_sql(name: str, source: str) -> str:
+    """CTEs of forward and backward messages (own field in, out) of chains (id, i from 1, a, n)."""
+    lse = lambda x, y: f"greatest({x}, {y}) + ln(1 + exp(-abs(({x}) - ({y}))))"
+    return f""", {name} as ({source}),
+{name}_f as (select id, i, n, a p, -a m from {name} where i = 1 union all
+ select c.id, c.i, c.n, c.a + {lse("f.p + 0.25", "f.m - 0.25")}, -c.a + {lse("f.p - 0.25", "f.m + 0.25")} from {name}_f f join {name} c on c.id = f.id and c.i = f.i + 1),
+{name}_b as (select id, i, n, 0::double p, 0::double m from {name} where i = n union all
+ select c.id, c.i - 1, c.n, {lse("0.25 + c.a + b.p", "-0.25 - c.a + b.m")}, {lse("-0.25 + c.a + b.p", "0.25 - c.a + b.m")} from {name}_b b join {name} c on c.id = b.id and c.i = b.i where b.i > 1),
+{name}_z as (select id, n, {lse("p", "m")} z from {name}_f where i = n)"""
 
 
-@_query(_BRUTE + " select s_nationkey, round(ln(sum(exp(u))), 6) as log_z from e group by 1")
+def _moments_sql(name: str) -> str:
+    """CTE of E[X] and E[XX] of each place of the chains of ``_chain_sql``."""
+    pair = " + ".join(f"({s * t}) * exp(f.{'p' if s > 0 else 'm'} + ({0.25 * s * t}) + ({t}) * c.a + b2.{'p' if t > 0 else 'm'} - z)" for s in (1, -1) for t in (1, -1))
+    return f""", {name}_e as (select f.id, f.i, f.n, exp(f.p + b.p - z) - exp(f.m + b.m - z) ex, {pair} exx from {name}_f f join {name}_z z on z.id = f.id join {name}_b b on b.id = f.id and b.i = f.i
+ left join {name} c on c.id = f.id and c.i = f.i + 1 left join {name}_b b2 on b2.id = f.id and b2.i = f.i + 1)"""
+
+
+_ONE_CHAIN = """select s_nationkey id, row_number() over (partition by s_nationkey order by s_suppkey) i, s_acctbal / 10000.0 a, count(*) over (partition by s_nationkey) n from supplier"""
+_LOGZ = "with recursive nothing as (select 1)" + _chain_sql("c", f"select * from ({_ONE_CHAIN}) where n >= 2")
+_MOMENTS = _LOGZ + _moments_sql("c")
+_ENERGY = "(select c.id, sum(c.a * ex) + 0.25 * sum(coalesce(exx, 0)) u from c join c_e e on e.id = c.id and e.i = c.i group by 1)"
+
+
+@_query(_LOGZ + " select id as s_nationkey, round(z, 6) as log_z from c_z")
 def ising_logz(spark, d):
     return _chains(spark, d).select("s_nationkey", _r(scalars.ising_log_z(F.col("alpha"), F.col("beta"))).alias("log_z"))
 
@@ -268,25 +287,29 @@ def _summaries(spark, d) -> DataFrame:
     return models.summaries(c, ("region_id",))
 
 
-@_query(_BRUTE + ", z as (select s_nationkey, sum(exp(u)) z from e group by 1), i as (select s_nationkey, j, u, n, unnest(range(0, n)) i from e) select cast(s_nationkey as varchar) as region_id, cast(i as int) as n, round(sum(exp(u) * (2 * ((j >> i) & 1) - 1)) / any_value(z), 6) as ex from i join z using (s_nationkey) group by 1, 2")
+@_query(_MOMENTS + " select cast(id as varchar) as region_id, cast(i - 1 as int) as n, round(ex, 6) as ex from c_e")
 def ising_ex(spark, d):
     return _summaries(spark, d).select("region_id", F.posexplode("ex").alias("n", "ex")).select("region_id", "n", _r("ex").alias("ex"))
 
 
-@_query(_BRUTE + ", z as (select s_nationkey, sum(exp(u)) z from e group by 1), i as (select s_nationkey, j, u, n, unnest(range(0, n - 1)) i from e) select cast(s_nationkey as varchar) as region_id, cast(i as int) as n, round(sum(exp(u) * (2 * ((j >> i) & 1) - 1) * (2 * ((j >> (i + 1)) & 1) - 1)) / any_value(z), 6) as exx from i join z using (s_nationkey) group by 1, 2")
+@_query(_MOMENTS + " select cast(id as varchar) as region_id, cast(i - 1 as int) as n, round(exx, 6) as exx from c_e where exx is not null")
 def ising_exx(spark, d):
     return _summaries(spark, d).select("region_id", F.posexplode("exx").alias("n", "exx")).select("region_id", "n", _r("exx").alias("exx"))
 
 
-@_query(_BRUTE + ", z as (select s_nationkey, sum(exp(u)) z from e group by 1) select cast(s_nationkey as varchar) as region_id, round(-sum(exp(u) / z * log2(exp(u) / z)) / any_value(n), 6) as nme from e join z using (s_nationkey) group by 1")
+@_query(_MOMENTS + f" select cast(z.id as varchar) as region_id, round((z - u) / (n * ln(2)), 6) as nme from c_z z join {_ENERGY} u on u.id = z.id")
 def ising_nme(spark, d):
     return _summaries(spark, d).select("region_id", _r(F.col("nme")[0]).alias("nme"))
 
 
-@_query(_BRUTE + """, p as (select s_nationkey, j, n, exp(u) / sum(exp(u)) over (partition by s_nationkey) p, u from e),
-ab as (select x.s_nationkey i, y.s_nationkey j, x.j st, x.n, x.p p1, y.p p2, (x.u + y.u) / 2 um from p x join p y on x.j = y.j and x.n = y.n and x.s_nationkey < y.s_nationkey),
-m as (select *, exp(um) / sum(exp(um)) over (partition by i, j) pm from ab)
-select i, j, round(1 - (sum(p1 * ln(p1)) + sum(p2 * ln(p2))) / (sum(p1 * ln(pm)) + sum(p2 * ln(pm))), 6) as cmd from m group by 1, 2""")
+#: Pairs of nations with as many suppliers; a mixture's chain has the id first * 1000 + second.
+_MIX = "select x.id * 1000 + y.id id, x.i, (x.a + y.a) / 2 a, x.n, x.id x, y.id y from c x join c y on x.n = y.n and x.i = y.i and x.id < y.id"
+
+
+@_query(_MOMENTS + _chain_sql("m", _MIX) + f""", u as {_ENERGY},
+cross_ as (select m.id, sum(m.a * (ex.ex + ey.ex)) + 0.25 * sum(coalesce(ex.exx, 0) + coalesce(ey.exx, 0)) u from m join c_e ex on ex.id = m.x and ex.i = m.i join c_e ey on ey.id = m.y and ey.i = m.i group by 1)
+select cast(m.x as int) as i, cast(m.y as int) as j, round(1 - (zx.z - ux.u + zy.z - uy.u) / (2 * mz.z - k.u), 6) as cmd from m join m_z mz on mz.id = m.id join cross_ k on k.id = m.id join c_z zx on zx.id = m.x join c_z zy on zy.id = m.y
+join u ux on ux.id = m.x join u uy on uy.id = m.y where m.i = 1""")
 def cmd_pairs(spark, d):
     from strandloom.operators import models
     from strandloom.session import ship
@@ -452,9 +475,9 @@ def set_complement(spark, d):
     return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(_t(spark, d, "orders").select("o_custkey"))
 
 
-@_query("select s_nationkey as k from supplier intersect select c_nationkey from customer where c_acctbal > 5000")
+@_query("select s_nationkey as k from supplier intersect select c_nationkey from customer")
 def set_intersection(spark, d):
-    return _t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).intersect(_t(spark, d, "customer").where("c_acctbal > 5000").select("c_nationkey"))
+    return _t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).intersect(_t(spark, d, "customer").select("c_nationkey"))
 
 
 def queries() -> dict[str, Query]:
