@@ -106,6 +106,19 @@ def sample(alpha, beta, size: int, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
+def metropolis(alpha, beta, sweeps: int, size: int, rng: np.random.Generator) -> np.ndarray:
+    """(size, N) approximate draws: ``sweeps`` passes of single-site Metropolis moves over all chains at once."""
+    a, b = np.asarray(alpha, float), np.asarray(beta, float)
+    x = np.where(rng.random((size, len(a))) < 0.5, 1, -1)
+    for _ in range(sweeps):
+        for i in range(len(a)):
+            pull = a[i] + (b[i - 1] * x[:, i - 1] if i else 0) + (b[i] * x[:, i + 1] if i + 1 < len(a) else 0)
+            # flipping changes the exponent by -2 x pull
+            flip = np.log(1 - rng.random(size)) < -2 * x[:, i] * pull
+            x[flip, i] *= -1
+    return x.astype(np.int8)
+
+
 def emissions(x: np.ndarray, rng: np.random.Generator, sd: float = 2.0, mean: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
     """(log p(y | -1), log p(y | +1)) of Gaussian readings around -mean and +mean."""
     y = x * mean + rng.normal(0, sd, x.shape)

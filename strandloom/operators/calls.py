@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.config import FLAGS, MIN_MAPQ
+from strandloom.config import FLAGS, LOG_RIGHT, LOG_WRONG, MIN_MAPQ
 from strandloom.functions.scalars import binary_entropy, binarise, call_sign
 from strandloom.operators.genome import overlap_join
 
@@ -79,17 +79,42 @@ def usable_alignments(records: DataFrame) -> DataFrame:
     return records.where(F.col("xm").isNotNull() & ~F.col("has_xs") & F.col("flag").isin(*FLAGS) & (F.col("mapq") > MIN_MAPQ))
 
 
-def mate_pairs(records: DataFrame) -> DataFrame:
-    """qname, r1, r2 (by position) of templates with exactly two records."""
-    g = records.groupBy("qname").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "flag", "xm")).alias("r1"), F.max(F.struct("pos", "flag", "xm")).alias("r2"))
-    return g.where("n = 2").select("qname", "r1", "r2")
+def mate_pairs(records: DataFrame, keys: tuple[str, ...] = ("qname",)) -> DataFrame:
+    """keys, r1, r2 (by position) of templates with exactly two records."""
+    g = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "flag", "xm")).alias("r1"), F.max(F.struct("pos", "flag", "xm")).alias("r2"))
+    return g.where("n = 2").select(*keys, "r1", "r2")
+
+
+def _trimmed(xm: Column, left: int, right: int) -> Column:
+    return F.when(F.length(xm) > left + right, xm.substr(F.lit(left + 1), F.length(xm) - left - right)).otherwise("")
+
+
+def paired_calls(records: DataFrame, trim: tuple[int, int, int, int] = (0, 0, 0, 0)) -> DataFrame:
+    """qname, chr, pos (of the C), log_m, log_u of templates of two mates; others go.
+
+    The first mate by position covers its whole stretch, called or not; the second counts past its
+    end. ``trim``: ends cut off the first mate (left, right) and the second (right, left). Flags
+    other than 99/147 and 83/163 raise.
+    """
+    pairs = mate_pairs(records, ("qname", "chr"))
+    low, high = F.least("r1.flag", "r2.flag"), F.greatest("r1.flag", "r2.flag")
+    flags = F.concat(F.lit("unexpected flags "), low.cast("string"), F.lit("/"), high.cast("string"))
+    shift = F.when((low == 99) & (high == 147), 0).when((low == 83) & (high == 163), -1).otherwise(F.raise_error(flags).cast("int"))
+    one, two = _trimmed(F.col("r1.xm"), trim[0], trim[1]), _trimmed(F.col("r2.xm"), trim[3], trim[2])
+    start, other = F.col("r1.pos") + trim[0], F.col("r2.pos") + trim[3]
+    spread = lambda text, at: F.transform(F.split(text, ""), lambda c, i: F.struct((at + i).alias("pos"), c.alias("c")))
+    rest = F.filter(spread(two, other), lambda x: x.pos >= start + F.length(one))
+    seen = pairs.select("qname", "chr", shift.alias("shift"), F.explode(F.filter(F.concat(spread(one, start), rest), lambda x: x.c.isin("Z", "z"))).alias("x"))
+    m = F.when(F.col("x.c") == "Z", LOG_RIGHT).otherwise(LOG_WRONG)
+    u = F.when(F.col("x.c") == "Z", LOG_WRONG).otherwise(LOG_RIGHT)
+    return seen.select("qname", "chr", (F.col("x.pos") + F.col("shift")).alias("pos"), m.alias("log_m"), u.alias("log_u"))
 
 
 def bisulfite_calls(records: DataFrame, trim: tuple[int, int] = (0, 0)) -> DataFrame:
     """qname, chr, pos (of the C), log_m, log_u from XM strings: Z methylated, z not."""
     t5, t3 = trim
     body = F.substring(F.col("xm"), 1, 1 << 30)
-    cut = F.when(F.length(body) > t5 + t3, body.substr(F.lit(t5 + 1), F.length(body) - t5 - t3)).otherwise("")
+    cut = _trimmed(body, t5, t3)
     top = F.col("flag").isin(0, 99, 147)
     offset = F.when(top, 0).otherwise(-1)
     each = records.select("qname", "chr", "flag", (F.col("pos") + t5 + offset).alias("base"), F.posexplode(F.split(cut, "")).alias("i", "c")).where(F.col("c").isin("Z", "z"))

@@ -41,6 +41,22 @@ def precision_recall(df: DataFrame, truth: Column, score: Column, thresholds: li
     return t.where("tp + fp > 0 and p > 0").select("threshold", F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 3).alias("precision"), F.round(F.col("tp") / F.col("p"), 3).alias("recall"))
 
 
+def pvalue_roc(df: DataFrame, truth: Column, p: Column, keys: tuple[str, ...] = (), steps: int = 1000) -> DataFrame:
+    """keys, threshold, tpr, fpr of p <= threshold at 0, 1/steps, ..., 1; the rates' denominators are one larger.
+
+    p are counted by the first threshold that they pass, so no row is repeated a threshold.
+    """
+    first = F.greatest(F.ceil(p * steps - 1e-9), F.lit(0)).cast("int")
+    n = lambda c: F.sum(c.cast("long"))
+    counts = df.where(p.isNotNull()).groupBy(*keys, first.alias("i")).agg(n(truth).alias("t"), n(~truth).alias("f"))
+    grid = counts.select(*keys).distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    by = W.partitionBy(*keys)  # steps + 1 rows a key
+    upto = by.orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    full = grid.join(counts, [*keys, "i"], "left").fillna(0, ["t", "f"])
+    rate = lambda c: F.sum(c).over(upto) / (F.sum(c).over(by) + 1)
+    return full.select(*keys, (F.col("i") / steps).alias("threshold"), rate("t").alias("tpr"), rate("f").alias("fpr"))
+
+
 def histogram1d(df: DataFrame, value: Column, low: float, width: float) -> DataFrame:
     """bin, n, share."""
     counts = df.select(F.floor((value - low) / width).cast("long").alias("bin")).where("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))

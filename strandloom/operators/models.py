@@ -88,15 +88,15 @@ def fit_regions(calls: DataFrame, profile: DataFrame, reads: DataFrame, starts:
     return full.groupBy(*group).applyInPandas(run, ", ".join(f"{g} string" for g in group) + ", phi array<double>, log_lik double, converged boolean")
 
 
-def simulate_calls(models: DataFrame, reads: int, sd: float = 2.0, observed: float = 1.0, seed: int = 17) -> DataFrame:
-    """region_id, read_id, grp, log_m, log_u: exact draws of ``reads`` reads with Gaussian emissions."""
+def simulate_calls(models: DataFrame, reads: int, sd: float = 2.0, observed: float = 1.0, seed: int = 17, mean: float = 2.0) -> DataFrame:
+    """region_id, read_id, grp, log_m, log_u: exact draws of ``reads`` reads with Gaussian emissions around -mean and mean."""
 
     def run(batches):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 rng = np.random.default_rng(zlib.crc32(f"{r.region_id}{seed}".encode()))
                 x = ising.sample(r.alpha, np.asarray(r.beta, float), reads, rng)
-                u, m = ising.emissions(x, rng, sd)
+                u, m = ising.emissions(x, rng, sd, mean)
                 i, g = np.nonzero(rng.random(x.shape) < observed)
                 yield pd.DataFrame({"region_id": r.region_id, "read_id": [f"{r.region_id}:{k}" for k in i], "grp": g + 1, "log_m": m[i, g], "log_u": u[i, g]})
 

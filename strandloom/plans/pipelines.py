@@ -108,7 +108,8 @@ def nano_smp_est(calls: DataFrame, sequences: DataFrame, config: Config = Config
 
 def analyze_bisulfite(spark: SparkSession, records: DataFrame, sequences: DataFrame, config: Config = Config(min_grp_dist=1), targets: DataFrame | None = None, out: str | None = None) -> dict[str, DataFrame]:
     """The same analysis of bisulfite alignments: each site is its own group."""
-    found = C.bisulfite_calls(C.usable_alignments(records), (config.trim[0], config.trim[1]))
+    usable = C.usable_alignments(records)
+    found = C.paired_calls(usable, config.trim) if config.pe else C.bisulfite_calls(usable, config.trim[:2])
     as_calls = found.select("chr", (F.col("pos") - 1).alias("start"), (F.col("pos") - 1).alias("end"), F.col("qname").alias("read_id"), "log_m", "log_u")
     return analyze_nano(spark, as_calls, sequences, config, targets, out)
 
