@@ -73,6 +73,8 @@ def fit_regions(calls: DataFrame, profile: DataFrame, reads: DataFrame, starts:
     call too. Seeds come from the region's id, so a retried task gives the same fit.
     """
     full = reads.join(calls, ["region_id", "read_id"], "left").join(profile.select("region_id", "n", "rho", "d"), "region_id")
+    # a fit is dear and its rows few: a set number of partitions keeps them from being merged by bytes
+    full = full.repartition(int(full.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group)
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         n, rho, d = (np.asarray(pdf[c].iloc[0], float) for c in ("n", "rho", "d"))

@@ -221,7 +221,8 @@ def diff_two_samp_comp(spark: SparkSession, model1: DataFrame, model2: DataFrame
     unit_calls = halves.join(on, ["region_id", "read_id"]).select(F.col("unit").alias("region_id"), "read_id", "grp", "log_m", "log_u")
     units = halves.select("region_id", "unit").distinct()
     profile = units.join(tables["by_group"], "region_id").select(F.col("unit").alias("region_id"), "n", "rho", "d")
-    fits = models.fit_regions(unit_calls, profile, halves.select(F.col("unit").alias("region_id"), "read_id"), config.max_em_init, config.max_em_iters, config.seed).where("converged")
+    fits = models.fit_regions(unit_calls, profile, halves.select(F.col("unit").alias("region_id"), "read_id"), config.max_em_init, config.max_em_iters, config.seed).where("converged").persist()
+    # read by every statistic: without it each would fit all permutations anew
     part = F.split("region_id", "#")
     info = tables["regions"].select("region_id", "chr", "chrst", "chrend")
     null = fits.select(part[0].alias("region_id"), part[1].alias("perm"), part[2].cast("int").alias("sample"), "phi").join(info, "region_id").withColumn("grp", F.col("sample") + 1)

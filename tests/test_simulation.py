@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from strandloom.config import Config
 from strandloom.functions import ising
-from strandloom.operators import calls, evaluation, models, simulation
-from strandloom.plans import pipelines, studies
+from strandloom.operators import calls, evaluation, simulation
+from strandloom.plans import studies
 from strandloom.sources import bam
 
 
@@ -179,22 +179,3 @@ def test_group_study_with_fits(spark):
 def test_noise_study(spark):
     got = studies.noise_study(spark, [0.3], 4, reads=20, config=Config(max_em_init=2, max_em_iters=60)).collect()
     assert got and all(x.mse >= 0 and x.model in ("noise", "certain") for x in got)
-
-
-def test_two_samples_with_permuted_reads(spark):
-    r = random.Random(1)
-    s = "".join(r.choice(("CG", "A", "T", "G", "C", "AT")) if r.random() < 0.3 else r.choice("ACGT") for _ in range(900))
-    seqs = spark.createDataFrame([("c1", s, len(s))], "chr string, seq string, length long")
-    t = pipelines.genome_tables(seqs, Config())
-    sides, fits = [], []
-    for k, a in enumerate((-1.0, 1.0)):
-        phi = F.array(F.lit(a), F.lit(0.0), F.lit(1.0))
-        g = t["groups"].join(t["regions"], "region_id")
-        sim = models.simulate_calls(models.alphas(t["by_group"].withColumn("phi", phi)), 12, 1.0, seed=k)
-        sides.append(sim.join(g, ["region_id", "grp"]).select("chr", (F.col("first_pos") - 1).alias("start"), (F.col("last_pos") - 1).alias("end"), "read_id", "log_m", "log_u").cache())
-        none = F.lit(None).cast("array<double>")
-        fits.append(t["regions"].withColumns({"phi": phi, "alpha": none, "beta": none}))
-    d = pipelines.diff_two_samp_comp(spark, *fits, *sides, seqs, Config(max_em_init=2, max_em_iters=60, lmax_two_samp=30)).collect()
-    assert {x.test for x in d} == {"tmml", "tnme", "tcmd"}
-    p = [x.p for x in d if x.test == "tmml"]
-    assert all(x is not None for x in p) and max(p) < 0.2
