@@ -135,13 +135,12 @@ class Index:
         diagonal = np.repeat(at, n) - self.place[which] + (1 << 40)  # never negative
         step = 2 * self.k[owner] + 1
         band = diagonal // step
-        out = []
-        for shift in (0, 1):  # each diagonal is in two bands of 2 * step diagonals
-            keys = np.stack([owner, band - shift], axis=1)
-            found, count = np.unique(keys, axis=0, return_counts=True)
-            enough = count >= self.t[found[:, 0]]
-            out += [(int(p), int(b) * int(2 * self.k[p] + 1) - (1 << 40)) for p, b in found[enough]]
-        return sorted({(p, d, d + 2 * int(2 * self.k[p] + 1) - 1) for p, d in out})
+        # each diagonal is in two bands of 2 * step diagonals: band b has those of steps b and b + 1
+        keys = np.stack([np.concatenate([owner, owner]), np.concatenate([band, band - 1])], axis=1)
+        found, count = np.unique(keys, axis=0, return_counts=True)
+        enough = count >= self.t[found[:, 0]]
+        out = [(int(p), int(b) * int(2 * self.k[p] + 1) - (1 << 40)) for p, b in found[enough]]
+        return [(p, d, d + 2 * int(2 * self.k[p] + 1) - 1) for p, d in out]
 
 
 def banded_alignment(pattern: np.ndarray, x: np.ndarray, first: int, last: int, k: int) -> tuple[int, int, int] | None:

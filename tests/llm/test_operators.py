@@ -251,6 +251,22 @@ def test_regions_by_brute_force():
         assert bool(decontaminate.find_regions([text], index)) == want
 
 
+def test_edits_at_the_budget_at_every_offset():
+    r = random.Random(6)
+    item = " ".join(words(12, 31))[:58]
+    index = decontaminate.Index([(1, item)])
+    k, step = int(index.k[0]), 2 * int(index.k[0]) + 1
+    y, at = list(item), [13 * (i + 1) for i in range(k)]  # the rest shares just the q-grams of the lemma
+    for kinds in ([0] * k, [1] * k):
+        y = list(item)
+        for p, kind in sorted(zip(at, kinds, strict=True), reverse=True):
+            y[p : p + 1] = [] if kind else [y[p], r.choice("xyz")]
+        for offset in range(2 * step):
+            text = "9" * offset + "".join(y) + " tail"
+            assert edit_distance_inside(index.texts[0], decontaminate.fold(text)) <= k
+            assert decontaminate.find_regions([text], index), (kinds, offset)
+
+
 def test_contamination(spark, docs, empty):
     item = texts()[8][1][200:420]
     bench = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, "short")], "item_id long, text string")
