@@ -23,11 +23,16 @@ Q = 12
 RATE = 0.06
 #: Items are matched in patterns of this many code points (an item that is shorter is one pattern).
 PATTERN = 120
+#: Quotations of items: parts of this many code points, one at every PART_STEP. A verbatim quote
+#: of PART + PART_STEP - 1 code points holds a whole part.
+PART, PART_STEP = 60, 15
 #: Benchmark text that is indexed and broadcast at once; a larger benchmark goes in more blocks.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 #: Bits of the table that tells whether any q-gram of the block has a hash.
 _TABLE_BITS = 24
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+#: Between texts that are searched together: longer than any edit budget, equal to nothing.
+_GAP = np.full(64, 0xFFFFFFFE, np.uint32)
 
 
 @lru_cache(maxsize=1)
@@ -85,24 +90,37 @@ def budget(length: int, q: int = Q, rate: float = RATE) -> tuple[int, int]:
 
 
 class Index:
-    """Q-grams of one block of a benchmark, with pattern and place, sorted by hash."""
+    """Q-grams of one block of a benchmark, with pattern and place, sorted by hash.
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, pattern: int = PATTERN, rate: float = RATE) -> None:
+    ``part``: besides its patterns, an item that is longer is matched in parts of this length at
+    every ``part_step`` (0: none; parts of fewer letters and digits than ``q`` tell nothing). An item of fewer letters and digits than ``q`` is matched
+    exactly, as whole words.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, pattern: int = PATTERN, rate: float = RATE, part: int = 0, part_step: int = PART_STEP) -> None:
         self.q = q
+        self.short: dict[int, dict[bytes, list[int]]] = {}  # by length, the items of each short text
         self.items: list[tuple[int, int]] = []  # of each pattern: item, place in it
         self.texts: list[np.ndarray] = []
         for item, text in items:
             x = fold(text or "")
             if int((x != 32).sum()) < q:
-                continue  # too short to tell a copy from chance
+                letters = np.flatnonzero(x != 32)
+                if len(letters):  # too short for q-grams and edits
+                    x = x[letters[0] : letters[-1] + 1]
+                    self.short.setdefault(len(x), {}).setdefault(x.tobytes(), []).append(item)
+                continue
             n = max(1, -(-len(x) // pattern))
             width = -(-len(x) // n)
             starts = list(range(0, max(1, len(x) - width + 1), max(1, width // 2))) if n > 1 else [0]
             if starts[-1] + width < len(x):
                 starts.append(len(x) - width)
-            for s in starts:
+            spans = [(s, width) for s in starts]
+            if part and len(x) > part:
+                spans += [(s, part) for s in [*range(0, len(x) - part, part_step), len(x) - part] if int((x[s : s + part] != 32).sum()) >= q]
+            for s, size in dict.fromkeys(spans):
                 self.items.append((item, s))
-                self.texts.append(x[s : s + width])
+                self.texts.append(x[s : s + size])
         self.k, self.t = (np.asarray([budget(len(x), q, rate)[i] for x in self.texts], np.int64) for i in (0, 1))
         self.lengths = np.asarray([len(x) for x in self.texts], np.int64)
         grams = [qgram_hashes(x, q) for x in self.texts]
@@ -110,10 +128,21 @@ class Index:
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([*[np.arange(len(g)) for g in grams], np.zeros(0, np.int64)])
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owner, self.place = hashes[order], owner[order].astype(np.int64), place[order].astype(np.int64)
+        self.hashes, self.owner, self.place = hashes[order], owner[order].astype(np.int32), place[order].astype(np.int32)
         self.seen = np.zeros(1 << _TABLE_BITS, bool)
         self.seen[self.hashes >> np.uint64(64 - _TABLE_BITS)] = True
 
+    def whole_words(self, x: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, start, end) of each exact occurrence of a short item that no letter or digit adjoins."""
+        out = []
+        bounds = np.concatenate([[True], (x == 32) | (x == _GAP[0]), [True]])  # bounds[i]: before x[i]
+        for size, texts in self.short.items():
+            h = qgram_hashes(x, size)
+            own = np.concatenate([qgram_hashes(np.frombuffer(t, np.uint32), size) for t in texts])
+            for s in np.flatnonzero(bounds[: len(h)] & bounds[size + 1 :] & np.isin(h, own)).tolist():
+                out += [(item, s, s + size) for item in texts.get(x[s : s + size].tobytes(), [])]
+        return out
+
     def regions(self, x: np.ndarray) -> list[tuple[int, int, int]]:
         """(pattern, first diagonal, last diagonal) of bands with enough shared q-grams.
 
@@ -131,7 +160,7 @@ class Index:
             return []
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
         which = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        owner = self.owner[which]
+        owner = self.owner[which].astype(np.int64)
         diagonal = np.repeat(at, n) - self.place[which] + (1 << 40)  # never negative
         step = 2 * self.k[owner] + 1
         band = diagonal // step
@@ -185,10 +214,6 @@ def banded_alignment(pattern: np.ndarray, x: np.ndarray, first: int, last: int,
     return (int(score[j]), int(begin[j]), int(lo + m + j)) if score[j] <= k else None
 
 
-#: Between texts that are searched together: longer than any edit budget, equal to nothing.
-_GAP = np.full(64, 0xFFFFFFFE, np.uint32)
-
-
 def find_regions(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
     """(number of the text, item, start, end, edits) of verified regions, merged per item.
 
@@ -207,6 +232,9 @@ def find_regions(texts: list[str], index: Index) -> list[tuple[int, int, int, in
             row = int(np.searchsorted(begins, (start + end) // 2, "right")) - 1
             lo, hi = int(begins[row]), int(begins[row] + sizes[row])
             hits.setdefault((row, index.items[p][0]), []).append((max(start, lo) - lo, min(end, hi) - lo, edits))
+    for item, start, end in index.whole_words(x):
+        row = int(np.searchsorted(begins, start, "right")) - 1
+        hits.setdefault((row, item), []).append((start - int(begins[row]), end - int(begins[row]), 0))
     out = []
     for (row, item), spans in sorted(hits.items()):
         merged: list[list[int]] = []
@@ -236,11 +264,12 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[int, str]
     return blocks
 
 
-def contaminated_regions(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, pattern: int = PATTERN, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated_regions(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, pattern: int = PATTERN, block_chars: int = BLOCK_CHARS, part: int = PART, part_step: int = PART_STEP) -> DataFrame:
     """doc_id, item_id, start, end, edits: each region of a text that repeats benchmark text.
 
-    Code points, end exclusive; a region is a run of matched patterns of one item, each within
-    its edit budget, and ``edits`` the most of any of its patterns. Narrow: texts aren't
+    Code points, end exclusive; a region is a run of matched patterns or parts of one item, each
+    within its edit budget, and ``edits`` the most of any of them. Every verbatim quote of
+    part + part_step - 1 code points of an item is found. Narrow: texts aren't
     shuffled. The benchmark (a stated query set) is broadcast as an index of at most
     ``block_chars`` characters; a larger one takes a pass over the documents per block. Null
     and short texts have no region; repeated rows each give theirs; empty tables give none.
@@ -249,14 +278,14 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     out = None
     for items in _blocks(benchmark, block_chars):
-        found = _scan(source, spark.sparkContext.broadcast(items), q, pattern, rate)
+        found = _scan(source, spark.sparkContext.broadcast(items), q, pattern, rate, part, part_step)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _scan(source: DataFrame, items, q: int, pattern: int, rate: float) -> DataFrame:
+def _scan(source: DataFrame, items, q: int, pattern: int, rate: float, part: int, part_step: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items.value, q, pattern, rate)
+        index = Index(items.value, q, pattern, rate, part, part_step)
         for b in batches:
             for lo, hi in slices(b.column(1), 2 << 20):
                 ids = b.column(0)[lo:hi].to_pylist()

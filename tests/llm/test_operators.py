@@ -267,6 +267,20 @@ def test_edits_at_the_budget_at_every_offset():
             assert decontaminate.find_regions([text], index), (kinds, offset)
 
 
+def test_quotes_and_short_items(spark):
+    item, rest = " ".join(words(50, 32))[:233], " ".join(words(9, 33))
+    least = decontaminate.PART + decontaminate.PART_STEP - 1
+    rows = [(i, f"{rest} {item[i : i + least]} {rest}") for i in range(len(item) - least + 1)]
+    rows += [(1000, f"{rest} Tiny, item! {rest}"), (1001, f"{rest} tiny  item {rest}"), (1002, f"{rest} xtiny, item {rest}"), (1003, "tiny, item"), (1004, rest)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "tiny, item"), (3, "-")], "item_id long, text string")
+    got = decontaminate.contaminated_regions(docs, bench).collect()
+    quotes = {r.doc_id: r for r in got if r.item_id == 1}
+    assert set(quotes) == set(range(len(item) - least + 1))
+    assert all(r.end - r.start >= decontaminate.PART - 3 for r in quotes.values())
+    assert sorted((r.doc_id, r.item_id) for r in got if r.item_id != 1) == [(1000, 2), (1001, 2), (1003, 2)]
+
+
 def test_contamination(spark, docs, empty):
     item = texts()[8][1][200:420]
     bench = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, "short")], "item_id long, text string")
