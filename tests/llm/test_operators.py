@@ -104,6 +104,18 @@ def test_passages(docs, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_passages_in_pieces(spark):
+    rows, pieces = [], 30
+    for i in range(pieces):  # each half alone before, between (odd i) and after the first document with both
+        whole, noise = words(50, 5000 + i), [words(30, 6000 + 20 * i + j) for j in range(6)]
+        a, b = noise[0] + whole[:25] + noise[1], noise[2] + whole[25:] + noise[3]
+        both = [noise[4] + whole + noise[5], noise[5] + whole + noise[4]]
+        for j, t in enumerate([a, b, both[0], *([a[::-1] + a, b[::-1] + b] if i % 2 else [[], []]), both[1]]):
+            rows.append((10 * i + j, " ".join(t)))
+    got = {(r.doc_id, r.other_doc_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(10 * i + 5, 10 * i + 2) for i in range(0, pieces, 2)} <= got
+
+
 def test_chains_by_brute_force():
     r = np.random.default_rng(4)
     for _ in range(60):
