@@ -113,7 +113,17 @@ def test_passages_in_pieces(spark):
         for j, t in enumerate([a, b, both[0], *([a[::-1] + a, b[::-1] + b] if i % 2 else [[], []]), both[1]]):
             rows.append((10 * i + j, " ".join(t)))
     got = {(r.doc_id, r.other_doc_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {(10 * i + 5, 10 * i + 2) for i in range(0, pieces, 2)} <= got
+    assert {(10 * i + 5, 10 * i + 2) for i in range(pieces)} <= got
+
+
+def test_passages_with_many_edits(spark):
+    rows = []
+    for i in range(60):  # 50 words, every sixth or so another one: each run between two holds a 5-gram or two
+        a, noise = words(50, 7000 + i), [words(30, 8000 + 4 * i + j) for j in range(4)]
+        b = [f"zz{i}x{j}" if (j + i) % 6 == 5 else w for j, w in enumerate(a)]
+        rows += [(2 * i, " ".join(noise[0] + a + noise[1])), (2 * i + 1, " ".join(noise[2] + b + noise[3]))]
+    got = {(r.doc_id, r.other_doc_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum((2 * i + 1, 2 * i) in got for i in range(60)) >= 57
 
 
 def test_chains_by_brute_force():
