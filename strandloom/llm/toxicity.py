@@ -138,12 +138,13 @@ class Boosted:
         return np.clip(np.interp(self.margin(x), *self.calibration), 0.0, 1.0)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: (places, fitted means), one knot per pool."""
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: (places, fitted means), one knot per pool; rows count ``weight`` times."""
     order = np.argsort(x, kind="stable")
+    weight = np.ones(len(x)) if weight is None else weight
     pools: list[list[float]] = []  # sum of y, weight, sum of x
-    for a, b in zip(x[order], y[order], strict=True):
-        pools.append([b, 1.0, a])
+    for a, b, w in zip(x[order], y[order], weight[order], strict=True):
+        pools.append([w * b, w, w * a])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             last = pools.pop()
             pools[-1] = [p + q for p, q in zip(pools[-1], last, strict=True)]
@@ -154,17 +155,17 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _LOGISTIC = (np.linspace(-8, 8, 65), 1 / (1 + np.exp(-np.linspace(-8, 8, 65))))
 
 
-def grow_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, least: int = 8, ridge: float = 1.0) -> Boosted:
-    """Trees only; the calibration is that of the bare logistic margin."""
+def grow_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, least: int = 8, ridge: float = 1.0) -> Boosted:
+    """Trees only; the calibration is that of the bare logistic margin. A row counts ``weight`` times."""
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     model = Boosted(edges, [], 0.0, _LOGISTIC)
     b, t = model.bins(x), y
-    p = np.clip(t.mean(), 1e-3, 1 - 1e-3)
+    p = np.clip(np.average(t, weights=weight), 1e-3, 1 - 1e-3)
     model.start = float(np.log(p / (1 - p)))
     margin = np.full(len(t), model.start)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        g, h = t - p, p * (1 - p)
+        g, h = weight * (t - p), weight * p * (1 - p)
         nodes: list[list[float]] = []
 
         def grow(rows: np.ndarray, left: int) -> int:
@@ -200,19 +201,25 @@ def grow_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, ra
     return model
 
 
-def fit(x: np.ndarray, y: np.ndarray, folds: int = 4) -> Boosted:
-    """Trees on all rows; the isotonic curve on the margins that each fold gets from the others' trees."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, folds: int = 4) -> Boosted:
+    """Trees on all rows; the isotonic curve on the margins that each fold gets from the others' trees.
+
+    ``weight``: the rows that a sampled row stands for, so that the prior is that of all rows.
+    """
+    weight = np.ones(len(y)) if weight is None else weight
     if not len(y) or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.0
         return Boosted([np.zeros(0)] * x.shape[1], [], 0.0, (np.asarray([0.0]), np.asarray([p])))
-    model = grow_trees(x, y)
+    # quantities of evidence stay those of the sample: its weights have mean 1
+    weight = weight / weight.mean()
+    model = grow_trees(x, y, weight)
     part = np.arange(len(y)) % folds
     margins = np.zeros(len(y))
     for k in range(folds):
         own = part == k
         if own.any() and not own.all() and 0 < y[~own].sum() < (~own).sum():
-            margins[own] = grow_trees(x[~own], y[~own]).margin(x[own])
-    model.calibration = isotonic(margins, y)
+            margins[own] = grow_trees(x[~own], y[~own], weight[~own]).margin(x[own])
+    model.calibration = isotonic(margins, y, weight)
     return model
 
 
@@ -267,9 +274,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tox
     """Learn from at most ``max_train`` labelled rows that aren't held out.
 
     The sample's ids (bounded) are broadcast, so texts aren't shuffled to find its rows; their
-    features, not their texts, come to the driver. Contradicting labels of a row count as 1.
+    features, not their texts, come to the driver. A sampled row weighs as many rows of its label
+    as it stands for, so scores keep to the prior of all usable labels, whatever their number.
+    Contradicting labels of a row count as 1.
     """
     usable = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    usable = scratch(usable, "usable")
+    labelled = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     # the rarer label 1 gets half of the room, so that the bound doesn't leave it with a few rows
     half = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(max_train // 2) for y in (0, 1)]
     chosen = scratch(half[0].unionByName(half[1]), "chosen")
@@ -288,7 +299,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tox
     x = np.asarray([r["x"] for r in rows]).reshape(-1, len(FEATURES))
     # a fixed shuffle: the folds of the calibration are random ones
     order = np.random.default_rng(7).permutation(len(rows))
-    return ToxicityModel(lexicon, fit(x[order], np.asarray([r["toxic"] for r in rows], float)[order]))
+    y = np.asarray([r["toxic"] for r in rows], float)[order]
+    weight = np.ones(len(y))
+    for label in (0, 1):  # of ids chosen: rows of ids that aren't in the documents, or are repeated, count as their like
+        weight[y == label] = max(labelled.get(label, 0) / (max_train // 2), 1.0)
+    return ToxicityModel(lexicon, fit(x[order], y, weight))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:

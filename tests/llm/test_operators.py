@@ -348,6 +348,18 @@ def test_toxicity_learns(spark):
     assert again == {x.doc_id: x.score for x in got}
 
 
+def test_toxicity_keeps_the_prior(spark):
+    """Scores are calibrated to the share of all labels, though the sample takes as many of either."""
+    r = random.Random(12)
+    rows = [(i, " ".join([*words(20, 3000 + i), *(["zzword"] if r.random() < (0.8 if i % 10 == 0 else 0.2) else [])]), int(i % 10 == 0)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.score_toxicity(docs, toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), max_train=300)).collect()
+    mean = sum(x.score for x in got) / len(got)
+    assert 0.06 < mean < 0.15  # the share of label 1 is 0.1; half of the sample has it
+    marked = [x.score for x in got if "zzword" in rows[x.doc_id][1]]
+    assert 0.2 < sum(marked) / len(marked) < 0.42  # 0.08 / (0.08 + 0.18) = 0.31
+
+
 def test_toxicity_odd_rows(docs, labels, empty):
     model = toxicity.train(docs, labels)
     assert toxicity.score_toxicity(docs, model).where("score is null or predicted is null").count() == 0
