@@ -65,17 +65,25 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int) -> lis
     breaks = [m.start() for m in re.finditer(r"\n[^\S\n]*\n", text)]
     scope = lambda at: bisect_right(breaks, at)
 
-    def near(span: tuple[int, int], others: list[tuple[int, int]], begins: list[int]) -> bool:
-        """others are sorted and hardly overlap: only those around the span's place can be in reach."""
-        lo = bisect_left(begins, span[0] - reach)
-        for s, e in others[max(0, lo - 4) : bisect_right(begins, span[1] + reach)]:
-            if (s, e) != span and s - span[1] <= reach and span[0] - e <= reach and scope(s) == scope(span[0]):
+    def near(span: tuple[int, int], others: list[tuple[int, int]], begins: list[int], scopes: list[int], tops: list[int]) -> bool:
+        """others are sorted; ``tops``, the furthest end so far in the paragraph, tells the first that can be in reach."""
+        own = scope(span[0])
+        lo = bisect_left(tops, span[0] - reach, bisect_left(scopes, own), bisect_right(scopes, own))
+        for s, e in others[lo : bisect_right(begins, span[1] + reach)]:
+            if (s, e) != span and s - span[1] <= reach and span[0] - e <= reach and scope(s) == own:
                 return True
         return False
 
-    groups = {"id": sorted(ids + accounts), "secret": sorted(secrets + bodies), "point": sorted(points)}
-    begin = {k: [s for s, _ in v] for k, v in groups.items()}
-    close = lambda span, kind: near(span, groups[kind], begin[kind])
+    def listed(parts: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[int], list[int], list[int]]:
+        begins, tops = [s for s, _ in parts], [e for _, e in parts]
+        scopes = [scope(s) for s in begins]
+        for i in range(1, len(parts)):
+            if scopes[i] == scopes[i - 1]:
+                tops[i] = max(tops[i], tops[i - 1])
+        return parts, begins, scopes, tops
+
+    groups = {"id": listed(sorted(ids + accounts)), "secret": listed(sorted(secrets + bodies)), "point": listed(sorted(points))}
+    close = lambda span, kind: near(span, *groups[kind])
     out = [("weak_secret", *x) for x in bodies if close(x, "id") or close(x, "point")]
     out += [("weak_id", *x) for x in accounts if close(x, "secret")]
     return out + [("endpoint", *x) for x in points if close(x, "id") and close(x, "secret")]

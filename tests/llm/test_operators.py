@@ -461,6 +461,14 @@ def test_secrets(docs, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_parts_behind_a_long_secret():
+    value = ("a" * 32 + "Z") * 6 + "Z" * 450  # starts out of reach, ends in it, six hex spans sorted after its start
+    for gap, found in ((1, True), (390, True), (401, False)):
+        text = f"token={value}" + " " * gap + "login: bobby"
+        assert ("weak_id" in {k for k, *_ in secrets.scan_text(text)}) == found
+    assert "weak_id" not in {k for k, *_ in secrets.scan_text(f"token={value}\n\nlogin: bobby")}
+
+
 def test_secret_patterns_by_brute_force():
     r = random.Random(6)
     bits = ["password", "Secret", "api_key", "token", "=", ": ", '"', "abc", "ABCDEF12", "AKIA", "0123456789abcdef", " ", "\n", "/", "é"]
