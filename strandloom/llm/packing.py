@@ -219,28 +219,31 @@ def _exchange(a: Pattern, b: Pattern, capacity: int) -> tuple[list[int], list[in
 def local_search(bins: Counter, capacity: int = CAPACITY, steps: int = 20_000, partners: int = 400) -> Counter:
     """Exchange pieces between underfull bins, raising squared fill, until bins empty.
 
-    The fullest underfull pattern draws from the emptiest ones (up to ``partners`` patterns are
-    tried): a move, one-for-one or two-for-one exchange applies to as many pairs of bins as both
-    patterns have. Every exchange raises the sum of squared fills, so the search ends; ``steps``
+    The fullest underfull pattern draws from the emptiest ones (``partners`` patterns are tried
+    first, the others once these give nothing): a move, one-for-one or two-for-one exchange
+    applies to as many pairs of bins as both patterns have. Every exchange raises the sum of squared fills, so the search ends; ``steps``
     bounds it, independent of the corpus. A bin that has lost all its pieces is gone.
     """
     full = Counter({p: n for p, n in bins.items() if _fill(p) == capacity})
     under = Counter({p: n for p, n in bins.items() if _fill(p) < capacity})
-    stuck: set[tuple[Pattern, Pattern]] = set()
+    number: dict[Pattern, int] = {}
+    stuck: Counter[Pattern] = Counter()  # bits of the numbers of the patterns that have nothing for this one
     lower = -(-sum(_fill(p) * n for p, n in bins.items()) // capacity)
     for _ in range(steps):
         if sum(full.values()) + sum(under.values()) <= lower:
             break  # no packing has fewer
-        order = sorted(under, key=lambda p: (-_fill(p), p))
+        fills = {p: _fill(p) for p in under}
+        order = sorted(under, key=lambda p: (-fills[p], p))
         done = True
-        for a in order:
-            givers = [b for b in reversed(order) if _fill(b) <= _fill(a)][:partners]
-            for b in givers:
-                if (a, b) in stuck or (a == b and under[a] < 2):
+        for a, few in [(a, few) for few in (True, False) for a in order]:
+            givers = [b for b in reversed(order) if fills[b] <= fills[a]]
+            for b in givers[:partners] if few else givers[partners:]:
+                bit = 1 << number.setdefault(b, len(number))
+                if stuck[a] & bit or (a == b and under[a] < 2):
                     continue
                 how = _exchange(a, b, capacity)
                 if how is None:
-                    stuck.add((a, b))
+                    stuck[a] |= bit
                     continue
                 times = under[a] // 2 if a == b else min(under[a], under[b])
                 new_a, new_b = _change(a, how[0], how[1]), _change(b, how[1], how[0])

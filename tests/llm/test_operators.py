@@ -380,6 +380,17 @@ def test_tokenizer_ids():
         assert mine.encode(t) == np.asarray(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_local_search_ends_without_an_exchange():
+    r = random.Random(3)
+    for _ in range(20):
+        counts = {k: r.randint(1, 3) for k in r.sample(range(20, 70), 20)}
+        total = sum(k * n for k, n in counts.items())
+        got = packing.local_search(packing.best_fit(counts, 100), 100, partners=1)
+        under = [p for p in got if packing._fill(p) < 100]
+        left = [(a, b) for a in under for b in under if packing._fill(b) <= packing._fill(a) and (a != b or got[a] > 1) and packing._exchange(a, b, 100)]
+        assert not left or sum(got.values()) <= -(-total // 100)
+
+
 def test_local_search_empties_bins():
     r = random.Random(2)
     for _ in range(30):
