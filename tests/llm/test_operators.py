@@ -218,8 +218,64 @@ def test_classes_by_brute_force(spark, block):
             w[r.randrange(len(w))] = f"w{r.random()}"
         rows.append((i, " ".join(w)))
     rows += [(i, " ".join(words(50, i))) for i in range(60, 80)] + [(80, " ".join(base)), (81, "ab cd"), (82, "ab cd"), (83, ""), (84, None)]
-    got = {x.doc_id: (x.class_id, x.n_links) for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
-    assert got == brute_classes(rows)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    assert_classes(got, brute_classes(rows))
+
+
+def assert_classes(got: list, want: dict) -> None:
+    assert {x.doc_id: x.class_id for x in got} == {i: c for i, (c, _) in want.items()}
+    for x in got:  # links that were verified: some of those that there are
+        assert min(1, want[x.doc_id][1]) <= x.n_links <= want[x.doc_id][1]
+
+
+def test_classes_of_many_distances(spark):
+    """A chain of drifting texts: neighbours are linked, the ends are far from each other."""
+    r = random.Random(13)
+    rows, w = [], words(100, 40)
+    for i in range(120):
+        w = list(w)
+        w[r.randrange(100)] = f"d{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({"block": 16}, {"rounds": 0, "block": 16}, {"rounds": 1}):
+        assert_classes(jaccard.near_duplicates(df, **how).collect(), brute_classes(rows))
+
+
+def test_recall_on_the_documents(spark, sf_dir):
+    """Links between all pairs of sf0.01, by counting shared shingles."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sets = [(r.doc_id, frozenset(zip(*[(w := re.findall(r"\w+", (r.text or "").lower()))[k:] for k in range(5)], strict=False)) or frozenset([tuple(w)] if w else [])) for r in docs.collect()]
+    holders: dict = {}
+    for i, s in sets:
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    size, shared = {i: len(s) for i, s in sets}, Counter()
+    for x in holders.values():
+        shared.update((a, b) for k, a in enumerate(x) for b in x[k + 1 :])
+    linked = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (size[a] + size[b] - n)]
+    of = {r.doc_id: r.class_id for r in jaccard.near_duplicates(docs).collect()}
+    assert len(linked) > 100 and all(of[a] == of[b] for a, b in linked)
+
+
+def test_work_in_a_group_is_linear(spark):
+    """A row or so a node is compared in blocks, whatever the block and the group."""
+    made = {}
+    for n in (64, 128, 256, 512):
+        r, base, rows = random.Random(n), words(150, 41), []
+        for i in range(n):  # near copies: up to two words of 150 are others; the plain text is one of them
+            w = list(base)
+            for _ in range(i % 3 if i else 2):
+                w[r.randrange(150)] = f"w{i}x{r.random()}"
+            rows.append((i, " ".join(w)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        nodes = jaccard.signatures(docs).withColumnsRenamed({"doc_id": "rep"}).dropDuplicates(["node"])
+        keys = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", 16 * k + 1, 16)) for k in range(jaccard.BANDS)])
+        members = jaccard.band_members(nodes.select("rep", F.explode(keys).alias("band")))
+        stars = jaccard.star_pairs(members, 0)
+        after = jaccard._relabel(members, jaccard.verified(stars, nodes, jaccard._sets(docs, 5), 0.8, 1e-6))
+        made[n] = stars.count(), jaccard.dealt_blocks(after, nodes, 8, 1 << 20).count()
+    assert all(stars <= 2 * n and rest == 0 for n, (stars, rest) in made.items()), made
+    assert made[512][0] <= 2.2 * made[256][0]
 
 
 def test_classes_of_odd_rows(docs, empty):
