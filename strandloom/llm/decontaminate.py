@@ -6,12 +6,13 @@ digits being a space, so that places in the folded text are places in the text i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +101,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], q: int = Q, pattern: int = PATTERN, rate: float = RATE, part: int = 0, part_step: int = PART_STEP) -> None:
         self.q = q
         self.short: dict[int, dict[bytes, list[int]]] = {}  # by length, the items of each short text
+        self.whole: dict[int, np.ndarray] = {}  # by item, its text
         self.items: list[tuple[int, int]] = []  # of each pattern: item, place in it
         self.texts: list[np.ndarray] = []
         for item, text in items:
@@ -110,6 +112,7 @@ class Index:
                     x = x[letters[0] : letters[-1] + 1]
                     self.short.setdefault(len(x), {}).setdefault(x.tobytes(), []).append(item)
                 continue
+            self.whole[item] = x
             n = max(1, -(-len(x) // pattern))
             width = -(-len(x) // n)
             starts = list(range(0, max(1, len(x) - width + 1), max(1, width // 2))) if n > 1 else [0]
@@ -214,10 +217,29 @@ def banded_alignment(pattern: np.ndarray, x: np.ndarray, first: int, last: int,
     return (int(score[j]), int(begin[j]), int(lo + m + j)) if score[j] <= k else None
 
 
+def grown(item: np.ndarray, x: np.ndarray, drop: int = 6) -> int:
+    """Code points that ``item`` and ``x`` go on to share: the best score of +1 / -2 before it drops."""
+    n, at = min(len(item), len(x)), 0
+    best, top, score = 0, 0, 0
+    while at < n:  # in strides: most regions end soon
+        same = item[at : at + 64][: n - at] == x[at : at + 64][: n - at]
+        run = score + np.cumsum(np.where(same, 1, -2))
+        tops = np.maximum.accumulate(np.maximum(run, top))
+        stop = np.flatnonzero(tops - run > drop)
+        run = run[: stop[0]] if len(stop) else run
+        if len(run) and run.max() > top:
+            top, best = int(run.max()), at + int(run.argmax()) + 1
+        if len(stop):
+            break
+        score, at = int(run[-1]), at + len(run)
+    return best
+
+
 def find_regions(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
     """(number of the text, item, start, end, edits) of verified regions, merged per item.
 
-    The texts are searched as one array, so that a batch costs a few array operations.
+    The texts are searched as one array, so that a batch costs a few array operations. Regions
+    grow at both ends as long as the text goes on like the item.
     """
     folded = [y for t in texts for y in (fold(t), _GAP)]
     if not folded:
@@ -225,68 +247,104 @@ def find_regions(texts: list[str], index: Index) -> list[tuple[int, int, int, in
     x = np.concatenate(folded)
     sizes = np.asarray([len(y) for y in folded[::2]], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes + len(_GAP))[:-1]])
-    hits: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    hits: dict[tuple[int, int], list[list[int]]] = {}
     for p, first, last in index.regions(x):
         if found := banded_alignment(index.texts[p], x, first, last, int(index.k[p])):
             edits, start, end = found
             row = int(np.searchsorted(begins, (start + end) // 2, "right")) - 1
             lo, hi = int(begins[row]), int(begins[row] + sizes[row])
-            hits.setdefault((row, index.items[p][0]), []).append((max(start, lo) - lo, min(end, hi) - lo, edits))
+            item, place = index.items[p]
+            hits.setdefault((row, item), []).append([max(start, lo) - lo, min(end, hi) - lo, edits, place, place + len(index.texts[p])])
     for item, start, end in index.whole_words(x):
         row = int(np.searchsorted(begins, start, "right")) - 1
-        hits.setdefault((row, item), []).append((start - int(begins[row]), end - int(begins[row]), 0))
+        hits.setdefault((row, item), []).append([start - int(begins[row]), end - int(begins[row]), 0, 0, 0])
     out = []
     for (row, item), spans in sorted(hits.items()):
-        merged: list[list[int]] = []
-        for s, e, edits in sorted(spans):
+        merged: list[list[int]] = []  # start, end, edits, and the places in the item that these stand for
+        for s, e, edits, i, j in sorted(spans):
             if merged and s <= merged[-1][1]:
-                merged[-1][1:] = [max(merged[-1][1], e), max(merged[-1][2], edits)]
+                top = merged[-1]
+                top[2] = max(top[2], edits)
+                if e > top[1]:
+                    top[1], top[4] = e, j
             else:
-                merged.append([s, e, edits])
-        out += [(row, item, s, e, edits) for s, e, edits in merged]
+                merged.append([s, e, edits, i, j])
+        if (whole := index.whole.get(item)) is not None:
+            own = x[int(begins[row]) : int(begins[row] + sizes[row])]
+            for span in merged:
+                span[0] -= grown(whole[: span[3]][::-1], own[: span[0]][::-1])
+                span[1] += grown(whole[span[4] :], own[span[1] :])
+        ends: list[list[int]] = []
+        for s, e, edits, *_ in sorted(merged):
+            if ends and s <= ends[-1][1]:
+                ends[-1][1:] = [max(ends[-1][1], e), max(ends[-1][2], edits)]
+            else:
+                ends.append([s, e, edits])
+        out += [(row, item, s, e, edits) for s, e, edits in ends]
     return out
 
 
 _REGION = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "item_id", "start", "end", "edits")])
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[int, str]]]:
-    """The benchmark's items in blocks of bounded text. Its size is checked by reading it in parts."""
-    blocks: list[list[tuple[int, str]]] = [[]]
+#: The index that this worker has built last, by the number of its block.
+_BUILT: dict[str, Index] = {}
+
+
+def _index(number: str, items, how: tuple) -> Index:
+    """The index of a broadcast block, built once in a worker, not once in a task."""
+    if number not in _BUILT:
+        _BUILT.clear()
+        _BUILT[number] = Index(items.value, *how)
+    return _BUILT[number]
+
+
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's items in blocks of bounded text, one at a time: the driver never holds more."""
+    block: list[tuple[int, str]] = []
     size = 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     for r in rows.toLocalIterator():
-        if size + len(r["text"]) > block_chars and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["item_id"], r["text"]))
+        if size + len(r["text"]) > block_chars and block:
+            yield block
+            block, size = [], 0
+        block.append((r["item_id"], r["text"]))
         size += len(r["text"])
-    return blocks
+    if block:
+        yield block
+
+
+def _shared(spark: SparkSession, items: list[tuple[int, str]]) -> tuple[str, object]:
+    return uuid.uuid4().hex, spark.sparkContext.broadcast(items)
 
 
 def contaminated_regions(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, pattern: int = PATTERN, block_chars: int = BLOCK_CHARS, part: int = PART, part_step: int = PART_STEP) -> DataFrame:
     """doc_id, item_id, start, end, edits: each region of a text that repeats benchmark text.
 
     Code points, end exclusive; a region is a run of matched patterns or parts of one item, each
-    within its edit budget, and ``edits`` the most of any of them. Every verbatim quote of
-    part + part_step - 1 code points of an item is found. Narrow: texts aren't
-    shuffled. The benchmark (a stated query set) is broadcast as an index of at most
-    ``block_chars`` characters; a larger one takes a pass over the documents per block. Null
-    and short texts have no region; repeated rows each give theirs; empty tables give none.
+    within its edit budget, grown to where the text stops being the item's, and ``edits`` the
+    most of any pattern or part. Every verbatim quote of part + part_step - 1 code points of an
+    item is found, unless its parts have fewer than ``q`` letters and digits. An item of fewer
+    than ``q`` letters and digits counts where it occurs exactly, as whole words. Narrow: texts
+    aren't shuffled. The benchmark (a stated query set) is read in blocks of ``block_chars``
+    characters, each broadcast and indexed by itself; every block takes a pass over the documents.
+
+    Texts are taken whole, whatever their length. Null and short texts have no region, null items
+    neither; repeated rows each give theirs, rows with a null id too; other columns are ignored;
+    empty tables give none.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    out = None
-    for items in _blocks(benchmark, block_chars):
-        found = _scan(source, spark.sparkContext.broadcast(items), q, pattern, rate, part, part_step)
-        out = found if out is None else out.unionByName(found)
+    out = docs.sparkSession.createDataFrame([], _REGION)
+    for n, items in enumerate(_blocks(benchmark, block_chars)):
+        found = _scan(source, *_shared(docs.sparkSession, items), (q, pattern, rate, part, part_step))
+        out = found if not n else out.unionByName(found)
     return out
 
 
-def _scan(source: DataFrame, items, q: int, pattern: int, rate: float, part: int, part_step: int) -> DataFrame:
+def _scan(source: DataFrame, number: str, items, how: tuple) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items.value, q, pattern, rate, part, part_step)
         for b in batches:
+            index = _index(number, items, how)
             for lo, hi in slices(b.column(1), 2 << 20):
                 ids = b.column(0)[lo:hi].to_pylist()
                 rows = [(ids[row], *hit) for row, *hit in find_regions(b.column(1)[lo:hi].to_pylist(), index)]
@@ -296,7 +354,25 @@ def _scan(source: DataFrame, items, q: int, pattern: int, rate: float, part: int
     return source.mapInArrow(run, _REGION)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents without any contaminated region, all columns kept."""
-    bad = contaminated_regions(docs, benchmark, **how).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, pattern: int = PATTERN, block_chars: int = BLOCK_CHARS, part: int = PART, part_step: int = PART_STEP) -> DataFrame:
+    """The rows of ``docs`` without any contaminated region, all columns kept.
+
+    Narrow: rows are judged and filtered in place, so repeated rows and null ids are judged each
+    by its own text; rows of null texts stay. A pass over what is left for each block of the benchmark.
+    """
+
+    def without(rows: DataFrame, number: str, items) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                index = _index(number, items, (q, pattern, rate, part, part_step))
+                texts = b.column(b.schema.get_field_index("text"))
+                for lo, hi in slices(texts, 2 << 20):
+                    bad = {row for row, *_ in find_regions([t or "" for t in texts[lo:hi].to_pylist()], index)}
+                    own = b.slice(lo, hi - lo)
+                    yield own.filter(pa.array([i not in bad for i in range(hi - lo)])) if bad else own
+
+        return rows.mapInArrow(run, rows.schema)
+
+    for items in _blocks(benchmark, block_chars):
+        docs = without(docs, *_shared(docs.sparkSession, items))
+    return docs
