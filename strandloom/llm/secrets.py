@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -19,11 +18,39 @@ _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 # Parts that mean nothing alone: an endpoint, a bare key body, an account identifier.
-_ENDPOINT = re.compile(r"""(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s"'<>]+|\b(?:[a-z0-9-]+\.)+(?:com|net|org|io|cloud|internal)(?::\d+)?\b""", re.A)
+_URL = re.compile(r"""(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s"'<>]+""", re.A)
+_DOTTED = re.compile(r"(?<![a-z0-9-])[a-z0-9-]+(?:\.[a-z0-9-]+)+")  # takes a whole run of labels, so a scan is linear
+_PORT = re.compile(r":\d+\b", re.A)
+_DOMAINS = frozenset(("com", "net", "org", "io", "cloud", "internal"))
 _BODY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 _ACCOUNT = re.compile(r"(?<![0-9A-Za-z])(?:\d{12}|(?:user(?:name)?|login|client_?id|account)\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,})", re.A | re.I)
 
 
+def endpoint_spans(text: str) -> list[tuple[int, int]]:
+    """URLs, and host names: labels up to the last one of a known domain, with a port behind it."""
+    urls = [m.span() for m in _URL.finditer(text)]
+    starts, out = [s for s, _ in urls], list(urls)
+    for m in _DOTTED.finditer(text):
+        s, e = m.span()
+        if (i := bisect_left(starts, e)) and urls[i - 1][1] > s:
+            continue  # inside a URL
+        labels = m.group().split(".")
+        ends = [k for k in range(1, len(labels)) if labels[k] in _DOMAINS]
+        if not ends:
+            continue
+        end = s + sum(len(x) + 1 for x in labels[: ends[-1] + 1]) - 1
+        if end == e and (e < len(text) and text[e].isascii() and (text[e].isalnum() or text[e] == "_")):
+            continue  # the last label goes on with capitals
+        if s and text[s - 1].isascii() and (text[s - 1].isalnum() or text[s - 1] == "_"):
+            s += len(labels[0]) + 1  # the first label began with something else
+            if ends[-1] < 2:
+                continue
+        if end == e and (port := _PORT.match(text, e)):
+            end = port.end()
+        out.append((s, end))
+    return sorted(out)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the three self-evident kinds, leftmost and non-overlapping within a kind."""
     out = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
@@ -58,7 +85,7 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int) -> lis
         return []
     ids = [(s, e) for k, s, e in base if k == "access"]
     secrets = [(s, e) for k, s, e in base if k != "access"]
-    points = [m.span() for m in _ENDPOINT.finditer(text) if free(*m.span())]
+    points = [x for x in endpoint_spans(text) if free(*x)]
     accounts = [m.span() for m in _ACCOUNT.finditer(text) if free(*m.span())]
     if not (bodies or points or accounts):
         return []
@@ -163,12 +190,3 @@ def span_digest(found: DataFrame) -> DataFrame:
     n = lambda kind: F.size(of(kind)).cast("long").alias(f"n_{kind}")
     base = F.sha2(F.encode(text(of("assign", "access", "hex")), "UTF-8"), 256)
     return found.select("doc_id", n("assign"), n("access"), n("hex"), base.alias("base_sha256"), text(F.col("spans")).alias("spans"))
-
-
-def reference_digest(text: str | None) -> tuple[int, int, int, str]:
-    """The base columns by the plainest code, for tests."""
-    text, found = text or "", []
-    for order, (kind, pattern, group, least) in enumerate((("assign", _ASSIGN, 2, 8), ("access", _ACCESS, 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32))):
-        found += [(m.start(), order, f"{kind}:{m.start()}:{m.end()}") for m in pattern.finditer(text) if len(m.group(group)) >= least]
-    n = [sum(x[1] == i for x in found) for i in range(3)]
-    return *n, hashlib.sha256(",".join(x[2] for x in sorted(found)).encode()).hexdigest()
