@@ -24,6 +24,8 @@ MAX_TRAIN = 12_000
 #: Words of the learnt lexicon, at most.
 MAX_LEXICON = 400
 THRESHOLD = 0.7
+#: Folds of the labelled rows for the calibration.
+FOLDS = 4
 
 # Common insults, and second-person words of the four languages.
 INSULTS = ("idiot", "moron", "stupid", "loser", "trash", "garbage", "worthless", "pathetic", "disgusting", "scum", "dumb", "clown", "fool", "hate", "ugly", "liar", "coward", "imbecile", "dummkopf", "idiota", "imbécile", "estúpido")
@@ -201,59 +203,75 @@ def grow_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 80
     return model
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, folds: int = 4) -> Boosted:
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, part: np.ndarray | None = None, folds: int = FOLDS) -> Boosted:
     """Trees on all rows; the isotonic curve on the margins that each fold gets from the others' trees.
 
-    ``weight``: the rows that a sampled row stands for, so that the prior is that of all rows.
+    ``x``: features of all rows with the lexicon of all rows, or, by a first axis more, these and
+    then those with the lexicon that each fold's outside gives, so that no margin of a fold has
+    seen its labels. ``part``: the fold of each row. ``weight``: the rows that a sampled row
+    stands for, so that the prior is that of all rows.
     """
+    x = x if x.ndim == 3 else np.stack([x] * (folds + 1))
     weight = np.ones(len(y)) if weight is None else weight
+    part = np.arange(len(y)) % folds if part is None else part
     if not len(y) or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.0
-        return Boosted([np.zeros(0)] * x.shape[1], [], 0.0, (np.asarray([0.0]), np.asarray([p])))
+        return Boosted([np.zeros(0)] * x.shape[2], [], 0.0, (np.asarray([0.0]), np.asarray([p])))
     # quantities of evidence stay those of the sample: its weights have mean 1
     weight = weight / weight.mean()
-    model = grow_trees(x, y, weight)
-    part = np.arange(len(y)) % folds
-    margins = np.zeros(len(y))
+    model = grow_trees(x[0], y, weight)
+    margins, known = np.zeros(len(y)), np.zeros(len(y), bool)
     for k in range(folds):
         own = part == k
         if own.any() and not own.all() and 0 < y[~own].sum() < (~own).sum():
-            margins[own] = grow_trees(x[~own], y[~own], weight[~own]).margin(x[own])
-    model.calibration = isotonic(margins, y, weight)
+            margins[own] = grow_trees(x[k + 1][~own], y[~own], weight[~own]).margin(x[k + 1][own])
+            known |= own
+    if known.any():
+        model.calibration = isotonic(margins[known], y[known], weight[known])
     return model
 
 
-def learn_lexicon(sample: DataFrame, most: int = MAX_LEXICON, least_docs: int = 4, ratio: float = 4.0) -> dict[str, float]:
-    """Words much more common in label-1 texts than elsewhere, with their log odds.
+def learn_lexicons(sample: DataFrame, folds: int = FOLDS, most: int = MAX_LEXICON, least_docs: int = 4, ratio: float = 4.0) -> list[dict[str, float]]:
+    """Words much more common in label-1 texts than elsewhere, with their log odds: from all rows
+    of ``sample`` (text, toxic, part), then from those outside of each fold.
 
-    ``sample``: text, toxic. Document frequencies are summed up by Spark; only the ``most``
-    strongest words come to the driver.
+    Document frequencies are summed up by Spark; only the ``most`` strongest words of each
+    lexicon come to the driver.
     """
-    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("toxic", T.IntegerType()), T.StructField("n", T.LongType())])
+    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in slices(b.column(0), 2 << 20):
                 words, codes, offsets = flat_words(b.column(0)[lo:hi])
-                label = np.asarray(b.column(1)[lo:hi])
+                kind = np.asarray(b.column(1)[lo:hi])
                 doc = np.repeat(np.arange(hi - lo), np.diff(offsets))
                 pairs = np.unique(doc * (len(words) + 1) + codes)
                 d, c = pairs // (len(words) + 1), pairs % (len(words) + 1)
-                for y in (0, 1):
-                    n = np.bincount(c[label[d] == y], minlength=len(words))
+                for k in np.unique(kind):
+                    n = np.bincount(c[kind[d] == k], minlength=len(words))
                     own = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([words.take(pa.array(own)).cast(pa.string()), pa.array(np.full(len(own), y, np.int32)), pa.array(n[own].astype(np.int64))], schema.names)
-
-    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = totals.get(1, 0), totals.get(0, 0)
-    if not bad or not good:
-        return {}
-    counts = sample.select("text", "toxic").mapInArrow(run, schema).groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
-    rate = (F.col("bad") + 0.5) / (bad + 1) / ((F.col("good") + 0.5) / (good + 1))
-    # scaled by the evidence: a word of four texts says less than one of four hundred
-    strength = F.log(rate) * F.sqrt(F.col("bad"))
-    rows = counts.where((F.col("bad") >= least_docs) & (rate >= ratio)).select("word", F.log(rate).alias("odds"), strength.alias("s")).orderBy(F.desc("s"), "word").limit(most).collect()
-    return {r["word"]: float(r["odds"]) for r in rows}
+                    yield pa.RecordBatch.from_arrays([words.take(pa.array(own)).cast(pa.string()), pa.array(np.full(len(own), k, np.int32)), pa.array(n[own].astype(np.int64))], schema.names)
+
+    # kind: 2 x fold + label
+    marked = sample.select("text", (2 * F.col("part") + F.col("toxic")).cast("int").alias("kind"))
+    totals = {r["kind"]: r["n"] for r in marked.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"k{k}")
+    counts = scratch(marked.mapInArrow(run, schema).groupBy("word").agg(*[of(k) for k in range(2 * folds)]), "words")
+    out = []
+    for left_out in (None, *range(folds)):
+        kinds = [[2 * k + y for k in range(folds) if k != left_out] for y in (0, 1)]
+        good, bad = (sum(totals.get(k, 0) for k in x) for x in kinds)
+        if not bad or not good:
+            out.append({})
+            continue
+        n_good, n_bad = (sum((F.col(f"k{k}") for k in x), F.lit(0)) for x in kinds)
+        rate = (n_bad + 0.5) / (bad + 1) / ((n_good + 0.5) / (good + 1))
+        # scaled by the evidence: a word of four texts says less than one of four hundred
+        strength = F.log(rate) * F.sqrt(n_bad)
+        rows = counts.where((n_bad >= least_docs) & (rate >= ratio)).select("word", F.log(rate).alias("odds"), strength.alias("s")).orderBy(F.desc("s"), "word").limit(most).collect()
+        out.append({r["word"]: float(r["odds"]) for r in rows})
+    return out
 
 
 @dataclass
@@ -270,13 +288,14 @@ def held_out(doc_id="doc_id"):
     return F.pmod(F.crc32(F.encode(F.col(doc_id).cast("long").cast("string"), "UTF-8")), F.lit(3)) == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: int = FOLDS) -> ToxicityModel:
     """Learn from at most ``max_train`` labelled rows that aren't held out.
 
     The sample's ids (bounded) are broadcast, so texts aren't shuffled to find its rows; their
-    features, not their texts, come to the driver. A sampled row weighs as many rows of its label
-    as it stands for, so scores keep to the prior of all usable labels, whatever their number.
-    Contradicting labels of a row count as 1.
+    features, not their texts, come to the driver: a row an id, the least text of rows that
+    repeat one. A sampled row weighs as many rows of its label as it stands for, so scores keep
+    to the prior of all usable labels, whatever their number. Contradicting labels of a row count
+    as 1; null labels don't count; without labels of both kinds every score is the prior.
     """
     usable = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     usable = scratch(usable, "usable")
@@ -286,29 +305,30 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tox
     chosen = scratch(half[0].unionByName(half[1]), "chosen")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # a row of ``chosen`` is two numbers and there are at most max_train
-    sample = scratch(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic"), "sample")
-    lexicon = learn_lexicon(sample)
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = scratch(found.withColumn("part", F.pmod(F.xxhash64(F.lit(folds), "doc_id"), F.lit(folds)).cast("int")), "sample")
+    lexicons = learn_lexicons(sample, folds)
+    schema = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("toxic", T.IntegerType()), ("part", T.IntegerType()), ("x", T.ArrayType(T.DoubleType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in slices(b.column(1), 2 << 20):
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array(features(b.column(1)[lo:hi], lexicon).tolist(), pa.list_(pa.float64()))], schema.names)
+            for lo, hi in slices(b.column(2), 2 << 20):
+                x = np.concatenate([features(b.column(2)[lo:hi], lexicon) for lexicon in lexicons], axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], b.column(3)[lo:hi], pa.array(x.tolist(), pa.list_(pa.float64()))], schema.names)
 
-    rows = sample.mapInArrow(run, schema).orderBy("doc_id").limit(2 * max_train).collect()
-    x = np.asarray([r["x"] for r in rows]).reshape(-1, len(FEATURES))
-    # a fixed shuffle: the folds of the calibration are random ones
-    order = np.random.default_rng(7).permutation(len(rows))
-    y = np.asarray([r["toxic"] for r in rows], float)[order]
+    rows = sorted(sample.mapInArrow(run, schema).collect(), key=lambda r: r["doc_id"])  # max_train at most
+    x = np.asarray([r["x"] for r in rows]).reshape(len(rows), folds + 1, len(FEATURES)).transpose(1, 0, 2)
+    y, part = (np.asarray([r[k] for r in rows], t) for k, t in (("toxic", float), ("part", int)))
     weight = np.ones(len(y))
-    for label in (0, 1):  # of ids chosen: rows of ids that aren't in the documents, or are repeated, count as their like
+    for label in (0, 1):  # of ids chosen: rows of ids that aren't in the documents count as their like
         weight[y == label] = max(labelled.get(label, 0) / (max_train // 2), 1.0)
-    return ToxicityModel(lexicon, fit(x[order], y, weight))
+    return ToxicityModel(lexicons[0], fit(x, y, weight, part, folds))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text, null as empty. Narrow.
 
+    Repeated rows each give a row; a null id isn't held out; an empty table gives none.
     The model is broadcast; its size is bounded by its parameters (trees, lexicon).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

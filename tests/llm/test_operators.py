@@ -225,8 +225,21 @@ def test_binomial_bound(spark):
         assert r.p == pytest.approx(log(sum(comb(r.n, i) * 0.1**i * 0.9 ** (r.n - i) for i in range(r.k + 1))), abs=1e-9)
 
 
+def test_rules_share_the_risk(spark):
+    """Four rules that each reject other good documents: together they stay under alpha."""
+    from math import comb
+
+    rules = tuple(quality.Rule(f"v{k}", (1.0,)) for k in range(4))
+    for bad, n in ((0, 3000), (2, 3000), (12, 12000), (40, 12000)):
+        df = spark.range(n).select(F.lit("a").alias("s"), F.lit(1).alias("quality"), *[((F.col("id") % n >= k * bad) & (F.col("id") < (k + 1) * bad)).cast("double").alias(f"v{k}") for k in range(4)])
+        got = quality.choose_cutoffs(df, "s", F.col("quality") == 1, rules, 0.01, 0.05).count()
+        proven = sum(comb(n, i) * 0.0025**i * 0.9975 ** (n - i) for i in range(bad + 1)) <= 0.05 / 4
+        assert got == (4 if proven else 0)
+        assert not got or 4 * bad <= 0.01 * n
+
+
 def test_cutoffs_keep_the_promise(spark):
-    rule = (quality.Rule("v", (3.0, 2.0, 1.0)),)
+    rule = (quality.Rule("v", (3.0, 2.0, 1.0)),)  # one rule has all of alpha
     rows = [("a", 1, float(i % 1000 == 0) * 1.5) for i in range(3000)] + [("b", 1, 0.0) for _ in range(20)]
     df = spark.createDataFrame(rows, "s string, quality int, v double")
     got = {(r.stratum, r.cutoff) for r in quality.choose_cutoffs(df, "s", F.col("quality") == 1, rule).collect()}
@@ -481,6 +494,36 @@ def test_toxicity_odd_rows(docs, labels, empty):
     assert toxicity.score_toxicity(docs, none).count() == len(texts())
 
 
+def test_a_split_by_brute_force():
+    """The first tree's first cut is the one of most gain among all features and bins."""
+    r = np.random.default_rng(9)
+    for _ in range(20):
+        x, w = r.normal(size=(60, 3)).round(1), r.uniform(0.5, 2, 60)
+        y = ((x[:, r.integers(3)] > r.normal()) ^ (r.random(60) < 0.2)).astype(float)
+        if not 0.1 < y.mean() < 0.9:
+            continue
+        model = toxicity.grow_trees(x, y, w, trees=1, depth=1, least=5, ridge=1.0, rate=1.0)
+        p = np.average(y, weights=w)
+        g, h = w * (y - p), w * p * (1 - p)
+        value = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1)
+        cuts = [(x[:, j] < e) for j in range(3) for e in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 33)[1:-1]))]
+        best = max([value(c) + value(~c) - value(slice(None)) for c in cuts if 5 <= c.sum() <= 55], default=0)
+        margin = model.margin(x) - model.start
+        left = margin == margin[0]
+        if best > 1e-6:
+            assert value(left) + value(~left) - value(slice(None)) == pytest.approx(best)
+            for side in (left, ~left):
+                assert margin[side] == pytest.approx(g[side].sum() / (h[side].sum() + 1))
+
+
+def test_folds_do_not_see_their_labels(spark):
+    """A word that one fold alone has isn't in the lexicon that calibrates it."""
+    rows = [(i, f"{'aword' if i % 2 else 'plain'} {'fold' + str(i % 4) if i % 2 else 'other'} text", i % 2, i % 4) for i in range(400)]
+    lexicons = toxicity.learn_lexicons(spark.createDataFrame(rows, "doc_id long, text string, toxic int, part int"))
+    assert set(lexicons[0]) == {"aword", "fold1", "fold3"}
+    assert set(lexicons[2]) == {"aword", "fold3"} and set(lexicons[4]) == {"aword", "fold1"}
+
+
 # --- 7
 
 
