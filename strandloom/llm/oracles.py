@@ -13,6 +13,7 @@ _GRID = ", ".join(f"('{r.measure}', {place}, {cutoff}::double)" for r in RULES f
 _VALUE = "case g.measure " + " ".join(f"when '{r.measure}' then l.{r.measure}" for r in RULES) + " end"
 _HIT = ", ".join(f"case when r.{r.measure} >= (select cutoff from chosen c where c.stratum = r.stratum and c.measure = '{r.measure}') then '{r.measure}' end" for r in RULES)
 _RATES = ", ".join(r.measure for r in RULES)
+_PART = ALPHA / len(RULES)
 
 QUALITY = rf"""
 with d as (select row_number() over () rid, doc_id, coalesce(lang, '') stratum, coalesce(text, '') t from documents),
@@ -30,7 +31,7 @@ truth as (select doc_id, max(quality) quality from labels where quality is not n
 good as (select r.* from r join truth using (doc_id) where quality = 1 and not base_failed),
 grid(measure, place, cutoff) as (values {_GRID}),
 counts as (select stratum, g.measure, place, cutoff, count(*) n, count(*) filter ({_VALUE} >= cutoff) k from good l, grid g group by all),
-tested as (select *, case when k < n * {ALPHA} then list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA}))))
+tested as (select *, case when k < n * {_PART} then list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_PART}) + (n - i) * ln(1 - {_PART}))))
  <= {DELTA} / (select {len(RULES)} * count(distinct stratum) from counts) else false end proven from counts),
 chosen as (select stratum, measure, arg_max(cutoff, place) cutoff from (select *, bool_and(proven) over (partition by stratum, measure order by place) ok from tested) where ok group by 1, 2),
 judged as (select *, case when base_failed then 'base' else coalesce({_HIT}) end rejected_by from r)

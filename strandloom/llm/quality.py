@@ -32,7 +32,7 @@ RULES = (
     Rule("repeat_rate", (0.30, 0.25, 0.20, 0.15, 0.12, 0.10, 0.08)),
     Rule("long_word_rate", (20.0, 18.0, 16.0, 14.0, 12.0, 11.0, 10.0)),
 )
-#: At most this share of good documents may be rejected by a rule in a stratum ...
+#: At most this share of good documents may be rejected in a stratum, by all rules together ...
 ALPHA = 0.01
 #: ... with this probability of any wrong promise over all strata, rules and cutoffs.
 DELTA = 0.05
@@ -124,9 +124,10 @@ def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
 def choose_cutoffs(labelled: DataFrame, stratum: str, good: Column, rules: tuple[Rule, ...] = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """stratum, measure, cutoff: the strictest cutoff per stratum and rule with a proven bound.
 
-    ``labelled`` holds the measures of labelled documents; only good ones bear on the risk. For
-    each cutoff, k of n good documents would be rejected. The hypothesis "more than alpha of all
-    good documents are rejected" is discarded if P(Bin(n, alpha) <= k) <= delta / m: the
+    A document goes if any rule rejects it, so each rule gets an equal part of ``alpha``: what
+    the rules reject together is at most the sum of their parts. ``labelled`` holds the measures of labelled documents; only good ones bear on the risk. For
+    each cutoff, k of n good documents would be rejected. The hypothesis "more than a = alpha /
+    rules of all good documents are rejected" is discarded if P(Bin(n, a) <= k) <= delta / m: the
     Clopper-Pearson bound. Cutoffs of one rule are tested in a fixed order from mild to strict
     and testing stops at the first that isn't proven, so that m is only the number of
     (stratum, rule) pairs (Bonferroni): the family-wise error stays at most delta. A pair with
@@ -140,6 +141,7 @@ def choose_cutoffs(labelled: DataFrame, stratum: str, good: Column, rules: tuple
     # a row per stratum and cutoff from here on, whatever the corpus
     counts = scratch(counts, "cutoffs")
     m = max(1, counts.select("stratum").distinct().count() * len(rules))
+    alpha /= len(rules)
     # a share of rejects at or over alpha can't be proven under it: the fold stays short
     hopeful = F.col("k") < F.col("n") * alpha
     tested = counts.withColumn("proven", F.when(hopeful, log_binomial_cdf(F.col("k"), F.col("n"), alpha) <= F.log(F.lit(delta / m))).otherwise(False))
@@ -153,7 +155,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rul
 
     ``labels``: doc_id, quality (1 good). Documents that fail the base rule are rejected first
     and don't count in the risk, which is about what the cutoffs add. A null stratum is a
-    stratum of its own. Repeated rows each give a row; label rows of one doc_id count once, and
+    stratum of its own, null texts count as empty and fail the base rule; an empty table gives
+    none. Repeated rows each give a row; label rows of one doc_id count once, and
     contradicting ones as good (the safe side).
     """
     names = [r.measure for r in rules]
