@@ -2,7 +2,8 @@
 
 How full bins get depends on lengths alone, and there are at most ``capacity`` different ones.
 So the packing is decided on the histogram of piece lengths (at most ``capacity`` numbers,
-whatever the corpus), where a class of equal bins is one pattern with a multiplicity. The
+whatever the corpus), where a class of equal bins is one pattern with a multiplicity: bins are
+filled as lengths come, and exchanges between underfull ones do the rest. The
 pieces are then dealt to the places of their length by distributed ranks.
 """
 
@@ -11,9 +12,10 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,10 @@ _SIGNS = ".,;:!?()[]{}\"#*$%&|<>=+/_@~^\\-"
 _CAPITALS = "".join(c.upper() for c in _LETTERS if len(c.upper()) == 1 and c.upper().lower() == c)
 
 
+#: Texts on which a table by words must give what the tokenizer gives.
+_PROBES = ["Hello, World! 42 times\n\tand\r on", _LETTERS, " ".join(_LETTERS), _CAPITALS, _SIGNS, " ".join(_SIGNS), "it's (a) [b] {c} <d> e=f/g_h@i~j^k", "a1b22c333 3.14 1,000", "  lead  and trail  ", "Straße ÀÉÎ naïve déjà-vu"]
+
+
 class WordTokenizer:
     """Ids of a tokenizers file, by distinct words.
 
@@ -57,6 +63,12 @@ class WordTokenizer:
         self.words.normalizer = normalizers.Sequence([])  # the words below are normalised
         self.cache_size = cache_size
         self.cache: dict[str, bytes] = {"": b""}
+        # a file that normalises or splits in another way is used on whole texts
+        self.by_words = True
+        self.by_words = self.encode_all(pa.array(_PROBES)) == [self._whole(t) for t in _PROBES]
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         return self.encode_all(pa.array([text]))[0]
@@ -64,6 +76,8 @@ class WordTokenizer:
     def encode_all(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers; null as empty."""
         texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            return [self._whole(t) for t in texts.to_pylist()]
         odd = np.asarray(pc.match_substring_regex(texts, self._ODD))
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         parts = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(plain), self._APART, r" \1 "))
@@ -79,7 +93,7 @@ class WordTokenizer:
         first = upto[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(parts), np.int64))])]
         out = [ids[s:e].tobytes() for s, e in zip(first[:-1], first[1:], strict=True)]
         for i in np.flatnonzero(odd):
-            out[i] = np.asarray(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            out[i] = self._whole(texts[i].as_py())
         return out
 
     def _known(self, words: list[str]) -> list[bytes]:
@@ -137,34 +151,24 @@ def _largest(have: list[int], room: int) -> int:
     return have[i - 1] if i else 0
 
 
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Counter:
-    """Patterns by best fit, longest first, applied as often as the counts allow at once."""
+def as_they_come(counts: dict[int, int], capacity: int = CAPACITY) -> Counter:
+    """Patterns of bins filled one after the other, lengths in an order that a hash gives.
+
+    A bin is closed by the first length that it has no room for; a pattern is applied as often as
+    the counts allow at once, so there are at most as many patterns as lengths.
+    """
     left = {k: v for k, v in counts.items() if v > 0}
-    have, bins = sorted(left), Counter()
-    while have:
-        pattern, room = Counter(), capacity
-        while room and (k := _largest(have, room)):
-            spare = left[k] - pattern[k]
-            if not spare:  # used up inside this pattern: next shorter one
-                i = bisect_right(have, k) - 1
-                while i >= 0 and left[have[i]] - pattern[have[i]] <= 0:
-                    i -= 1
-                if i < 0:
-                    break
-                k = have[i]
-                spare = left[k] - pattern[k]
-            n = min(spare, room // k)
-            # as many copies as fit would starve other bins of this length: one at a time unless it fills
-            n = max(1, n) if n * k == room else 1
-            pattern[k] += n
-            room -= n * k
-        times = min(left[k] // n for k, n in pattern.items())
-        bins[tuple(sorted(pattern.items(), reverse=True))] += times
-        for k, n in pattern.items():
-            left[k] -= n * times
-            if not left[k]:
-                del left[k]
-                have.remove(k)
+    ring, bins = sorted(left, key=lambda k: (k * 0x9E3779B1 % 2**32, k)), Counter()
+    while ring:
+        taken = 1
+        while taken < len(ring) and sum(ring[: taken + 1]) <= capacity:
+            taken += 1
+        own, ring = ring[:taken], ring[taken:]
+        times = min(left[k] for k in own)
+        bins[tuple((k, 1) for k in sorted(own, reverse=True))] += times
+        for k in own:
+            left[k] -= times
+        ring += [k for k in own if left[k]]
     return bins
 
 
@@ -216,50 +220,113 @@ def _exchange(a: Pattern, b: Pattern, capacity: int) -> tuple[list[int], list[in
     return how
 
 
-def local_search(bins: Counter, capacity: int = CAPACITY, steps: int = 20_000, partners: int = 400) -> Counter:
+class Underfull:
+    """The underfull bins by pattern, with the patterns that hold each length."""
+
+    def __init__(self, bins: Counter, capacity: int) -> None:
+        self.capacity, self.bins = capacity, 0
+        self.full: Counter[Pattern] = Counter()
+        self.times: dict[Pattern, int] = {}
+        self.fill: dict[Pattern, int] = {}
+        self.holders: dict[int, set[Pattern]] = {}
+        self.lengths: list[int] = []  # sorted
+        self.heap: list[tuple[int, Pattern]] = []  # patterns to look at, fullest first
+        for p, n in bins.items():
+            self.put(p, n)
+
+    def put(self, p: Pattern, n: int) -> None:
+        if not p or not n:
+            return
+        self.bins += n
+        fill = _fill(p)
+        if fill == self.capacity:
+            self.full[p] += n
+        elif p in self.times:
+            self.times[p] += n
+        else:
+            self.times[p], self.fill[p] = n, fill
+            for k, _ in p:
+                if k not in self.holders:
+                    self.holders[k] = set()
+                    insort(self.lengths, k)
+                self.holders[k].add(p)
+            heappush(self.heap, (-fill, p))
+
+    def take(self, p: Pattern, n: int) -> None:
+        self.bins -= n
+        self.times[p] -= n
+        if not self.times[p]:
+            del self.times[p], self.fill[p]
+            for k, _ in p:
+                self.holders[k].discard(p)
+                if not self.holders[k]:
+                    del self.holders[k]
+                    self.lengths.pop(bisect_right(self.lengths, k) - 1)
+
+    def may_give(self, b: Pattern, a: Pattern) -> bool:
+        """Squared fill grows if a bin draws from one that isn't fuller, itself or another."""
+        return self.fill[b] <= self.fill[a] and (a != b or self.times[a] > 1)
+
+    def giver(self, k: int, a: Pattern) -> Pattern | None:
+        """The emptiest bin that holds a ``k`` for ``a``."""
+        return min((b for b in self.holders.get(k, ()) if self.may_give(b, a)), key=lambda b: (self.fill[b], b), default=None)
+
+    def one_of_theirs(self, a: Pattern) -> tuple[list[int], list[int], Pattern] | None:
+        """(from a, from b, b): the move, one-for-one or two-for-one exchange that fills ``a`` most.
+
+        What a gives up (nothing, one or two of its pieces) asks for one piece that is longer by
+        the room at most; the longest of these, and of its holders the emptiest, is found by the
+        lengths that there are, so the partners needn't be tried one by one.
+        """
+        room, many = self.capacity - self.fill[a], dict(a)
+        mine = list(many)
+        give = [([], 0), *(([x], x) for x in mine), *(([x, z], x + z) for i, x in enumerate(mine) for z in mine[i:] if z != x or many[x] > 1)]
+        best, how = 0, None
+        for out, size in give:
+            i = bisect_right(self.lengths, size + room)
+            while i and (y := self.lengths[i - 1]) - size > best:
+                if b := self.giver(y, a):
+                    best, how = y - size, (out, [y], b)
+                    if best == room:
+                        return how
+                i -= 1
+        return how
+
+    def apply(self, a: Pattern, out: list[int], into: list[int], b: Pattern) -> None:
+        """Exchange in as many pairs of bins as both patterns have."""
+        fill, n = self.fill[a], self.times[a] // 2 if a == b else min(self.times[a], self.times[b])
+        self.take(a, n)
+        self.take(b, n)
+        self.put(_change(a, out, into), n)
+        self.put(_change(b, into, out), n)
+        if a in self.times:
+            heappush(self.heap, (-fill, a))
+
+
+def local_search(bins: Counter, capacity: int = CAPACITY) -> Counter:
     """Exchange pieces between underfull bins, raising squared fill, until bins empty.
 
-    The fullest underfull pattern draws from the emptiest ones (``partners`` patterns are tried
-    first, the others once these give nothing): a move, one-for-one or two-for-one exchange
-    applies to as many pairs of bins as both patterns have. Every exchange raises the sum of squared fills, so the search ends; ``steps``
-    bounds it, independent of the corpus. A bin that has lost all its pieces is gone.
+    The fullest underfull bin draws from emptier ones: a move, a one-for-one or a two-for-one
+    exchange. First those in which it gets one piece, found by length; where no bin has one left,
+    all pairs of bins are tried, also for two pieces in return for one. Every exchange raises the
+    sum of squared fills, so the search ends: when no packing has fewer bins, or when no pair of
+    bins has an exchange. A bin that has lost all its pieces is gone. Nothing is capped; the work
+    depends on the number of lengths, not on that of pieces.
     """
-    full = Counter({p: n for p, n in bins.items() if _fill(p) == capacity})
-    under = Counter({p: n for p, n in bins.items() if _fill(p) < capacity})
-    number: dict[Pattern, int] = {}
-    stuck: Counter[Pattern] = Counter()  # bits of the numbers of the patterns that have nothing for this one
+    under = Underfull(bins, capacity)
     lower = -(-sum(_fill(p) * n for p, n in bins.items()) // capacity)
-    for _ in range(steps):
-        if sum(full.values()) + sum(under.values()) <= lower:
-            break  # no packing has fewer
-        fills = {p: _fill(p) for p in under}
-        order = sorted(under, key=lambda p: (-fills[p], p))
-        done = True
-        for a, few in [(a, few) for few in (True, False) for a in order]:
-            givers = [b for b in reversed(order) if fills[b] <= fills[a]]
-            for b in givers[:partners] if few else givers[partners:]:
-                bit = 1 << number.setdefault(b, len(number))
-                if stuck[a] & bit or (a == b and under[a] < 2):
-                    continue
-                how = _exchange(a, b, capacity)
-                if how is None:
-                    stuck[a] |= bit
-                    continue
-                times = under[a] // 2 if a == b else min(under[a], under[b])
-                new_a, new_b = _change(a, how[0], how[1]), _change(b, how[1], how[0])
-                under[a] -= times
-                under[b] -= times
-                (full if _fill(new_a) == capacity else under)[new_a] += times
-                if new_b:
-                    under[new_b] += times
-                under = +under
-                done = False
-                break
-            if not done:
-                break
-        if done:
+    while under.bins > lower:
+        while under.heap and under.bins > lower:
+            fill, a = heappop(under.heap)
+            if under.fill.get(a) == -fill and (how := under.one_of_theirs(a)):
+                under.apply(a, *how)
+        order = sorted(under.fill, key=lambda p: (-under.fill[p], p))
+        found = next(((a, *how, b) for a in order for b in reversed(order) if under.may_give(b, a) and (how := _exchange(a, b, capacity))), None) if under.bins > lower else None
+        if not found:
             break
-    return full + under
+        under.apply(*found)
+        under.heap = sorted((-f, p) for p, f in under.fill.items())
+    return under.full + Counter(under.times)
 
 
 def places(bins: Counter) -> dict[int, list[tuple[int, int, int, int, int]]]:
@@ -284,7 +351,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     kept = scratch(pieces, "pieces")
     counts = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    table = places(local_search(best_fit(counts, capacity), capacity))
+    table = places(local_search(as_they_come(counts, capacity), capacity))
     shared = pieces.sparkSession.sparkContext.broadcast({k: np.asarray(v, np.int64) for k, v in table.items()})
     ranked = salted_rank(kept, ["length"], ["doc_id", "piece"], "rank")
     names = kept.columns
@@ -307,5 +374,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack ``docs``: a row per piece with its sequence and place in it."""
+    """Tokenise, cut and pack ``docs``: a row per piece with its sequence and place in it.
+
+    Texts are tokenised whole, whatever their length, and only cut between sequences. Null texts
+    and empty ones are one piece, the end id; null ids and repeated rows are packed like others;
+    other columns are ignored; an empty table gives none.
+    """
     return pack(token_pieces(docs, tokenizer, capacity, end_id, with_ids), capacity)

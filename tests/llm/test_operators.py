@@ -545,30 +545,89 @@ def test_tokenizer_ids():
         assert mine.encode(t) == np.asarray(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_another_tokenizer_is_used_whole():
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    own = Path(queries.tokenizer_path(queries.PACK_TOKENIZER))
+    assert packing.WordTokenizer(str(own)).by_words
+    for path in sorted(own.parent.glob("*.json")):
+        try:
+            whole = Tokenizer.from_file(str(path))
+        except Exception:  # noqa: BLE001  other json files lie there too
+            continue
+        mine = packing.WordTokenizer(str(path))
+        for t in ("Hello, World! it's 42", "Àb  c\n\nd", ""):
+            assert mine.encode(t) == np.asarray(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def used_up(bins: Counter, capacity: int) -> Counter:
+    out = Counter()
+    for p, n in bins.items():
+        assert sum(k * m for k, m in p) <= capacity
+        for k, m in p:
+            out[k] += m * n
+    return out
+
+
+def fewest_bins(sizes: list[int], capacity: int) -> int:
+    """By trying all packings (pieces in order of size, each into every bin that has room)."""
+    best = len(sizes)
+
+    def put(i: int, rooms: list[int]) -> None:
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= sizes[i]:
+                rest = list(rooms)
+                rest.remove(r)
+                put(i + 1, [*rest, r - sizes[i]])
+        put(i + 1, [*rooms, capacity - sizes[i]])
+
+    sizes.sort(reverse=True)
+    put(0, [])
+    return best
+
+
+def test_local_search_by_brute_force():
+    r, over = random.Random(11), 0
+    for _ in range(150):
+        counts = Counter(r.randint(3, 20) for _ in range(r.randint(2, 9)))
+        got = packing.local_search(packing.as_they_come(counts, 24), 24)
+        assert used_up(got, 24) == counts
+        over += sum(got.values()) - fewest_bins(list(counts.elements()), 24)
+        assert sum(got.values()) <= fewest_bins(list(counts.elements()), 24) + 1
+    assert over <= 15
+
+
 def test_local_search_ends_without_an_exchange():
     r = random.Random(3)
     for _ in range(20):
         counts = {k: r.randint(1, 3) for k in r.sample(range(20, 70), 20)}
         total = sum(k * n for k, n in counts.items())
-        got = packing.local_search(packing.best_fit(counts, 100), 100, partners=1)
+        got = packing.local_search(packing.as_they_come(counts, 100), 100)
         under = [p for p in got if packing._fill(p) < 100]
         left = [(a, b) for a in under for b in under if packing._fill(b) <= packing._fill(a) and (a != b or got[a] > 1) and packing._exchange(a, b, 100)]
         assert not left or sum(got.values()) <= -(-total // 100)
 
 
-def test_local_search_empties_bins():
+def test_the_exchanges_pack(sf_dir):
+    """From bins as they come to the fewest that any packing can have."""
     r = random.Random(2)
     for _ in range(30):
         counts = {k: r.randint(1, 4) for k in r.sample(range(5, 60), 12)}
-        one = Counter({((k, 1),): n for k, n in counts.items()})  # a bin for each: much to gain
-        got = packing.local_search(one, 100)
-        used = Counter()
-        for p, n in got.items():
-            assert sum(k * m for k, m in p) <= 100
-            for k, m in p:
-                used[k] += m * n
-        assert used == counts and sum(got.values()) < sum(one.values())
-        assert sum(packing.local_search(packing.best_fit(counts, 100), 100).values()) <= sum(packing.best_fit(counts, 100).values())
+        start = packing.as_they_come(counts, 100)
+        got = packing.local_search(start, 100)
+        assert used_up(start, 100) == used_up(got, 100) == counts and sum(got.values()) <= sum(start.values())
+    counts = Counter(min(4096, int(r.lognormvariate(5.5, 1.2)) + 1) for _ in range(30_000))
+    start = packing.as_they_come(counts)
+    got = packing.local_search(start)
+    assert used_up(got, 4096) == counts and sum(got.values()) == -(-sum(k * n for k, n in counts.items()) // 4096) < 0.9 * sum(start.values())
 
 
 def test_packing(docs, empty):
