@@ -838,6 +838,59 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def cut(parts: list[list[int]]) -> int:
+    return sum((sum(n) ** 2 - sum(x * x for x in n)) // 2 for n in parts)
+
+
+def least_cut(sizes: list[int], quota: list[int]) -> int:
+    """Over all ways to put each hub's rows into shards within the quotas."""
+    best = [10**9]
+
+    def put(k: int, room: list[int], so_far: int) -> None:
+        if so_far >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = so_far
+            return
+        for n in splits(sizes[k], room):
+            put(k + 1, [r - x for r, x in zip(room, n, strict=True)], so_far + cut([list(n)]))
+
+    def splits(size: int, room: list[int]):
+        if len(room) == 1:
+            if size <= room[0]:
+                yield (size,)
+            return
+        for x in range(min(size, room[0]) + 1):
+            for more in splits(size - x, room[1:]):
+                yield (x, *more)
+
+    put(0, quota, 0)
+    return best[0]
+
+
+def test_propagation_by_brute_force(spark):
+    r, got, least, first = random.Random(21), 0, 0, 0
+    for _ in range(12):
+        shards = r.choice([2, 3])
+        sizes = [r.randint(2, 6) for _ in range(r.randint(2, 4))]
+        total = sum(sizes) + r.randint(2, 8)
+        quota = [total // shards + (s < total % shards) for s in range(shards)]
+        start, room = [], list(quota)
+        for n in sizes:
+            row = [0] * shards
+            for _ in range(n):
+                s = r.choice([s for s in range(shards) if room[s]])
+                row[s] += 1
+                room[s] -= 1
+            start.append(row)
+        labels = sharding.propagate_labels(spark.createDataFrame([(bytes([k]), n) for k, n in enumerate(start)], "hub binary, n array<long>"), quota, 30)
+        after = [list(x.n) for x in sorted(labels.collect(), key=lambda x: x.hub)]
+        assert [sum(n) for n in after] == sizes and all(sum(n[s] for n in after) <= quota[s] for s in range(shards))
+        assert sharding.cut_links(labels) == cut(after) <= cut(start)
+        got, least, first = got + cut(after), least + least_cut(sizes, quota), first + cut(start)
+    assert got - least <= 0.25 * (first - least), (got, least, first)
+
+
 # --- the pipeline
 
 
