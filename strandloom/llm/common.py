@@ -16,8 +16,10 @@ LOCAL_SCRATCH = "/tmp/strandloom-checkpoints"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a local one only where it is unset on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (named or LOCAL_SCRATCH).rstrip("/")
 
 

@@ -920,6 +920,25 @@ def test_pipeline(spark, sf_dir, tmp_path):
 def test_pipeline_stages_take_odd_rows(spark, docs, empty, sf_dir):
     import corpus_pipeline
 
-    for source in (docs, empty):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, source.select("doc_id", "text", "lang", "source", "n_chars"), sf_dir).count() >= 0
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = Counter((i, t) for i, t, *_ in texts())
+    near = Counter({x: n for x, n in rows.items() if x[0] not in (2, 3, 15)}) - Counter([(12, texts()[12][1])])
+    want = {"toxicity": rows, "near_duplicates": near, "decontamination": rows, "secrets": Counter((i, t if t is None else secrets.redact_text(t)) for i, t, *_ in texts())}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs.select(*columns), sf_dir)
+        none = stage(spark, empty.select(*columns), sf_dir)
+        assert none.count() == 0 and none.columns == got.columns
+        if name == "packing":
+            assert Counter(r.doc_id for r in got.where("piece = 0").collect()) == Counter(i for i, _ in rows.elements())
+        else:
+            assert got.columns == columns and Counter((r.doc_id, r.text) for r in got.collect()) == want[name], name
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    session = lambda master, folder: N(conf=N(get=lambda k, d: folder), sparkContext=N(master=master, getConf=lambda: {}))
+    assert common.checkpoint_dir(session("spark://elsewhere:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert common.checkpoint_dir(session("local[8]", None)) == common.LOCAL_SCRATCH
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.checkpoint_dir(session("spark://elsewhere:7077", None))
