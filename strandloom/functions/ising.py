@@ -87,6 +87,54 @@ def cmd(s1: Summary, s2: Summary, mix: Summary, p: int, q: int) -> float:
     return float("nan") if c == 0 else 1 - h / c
 
 
+def kl(p: Summary, q: Summary) -> float:
+    """Divergence of q from p over the whole chain, in nats."""
+    last = len(p.alpha) - 1
+    return _energy(p, q, 0, last) - _energy(p, p, 0, last)
+
+
+def correlations(s: Summary) -> np.ndarray:
+    """corr(X_n, X_{n+1})."""
+    sd = np.sqrt(1 - s.ex**2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (s.exx - s.ex[:-1] * s.ex[1:]) / (sd[:-1] * sd[1:])
+
+
+def second_moments(s: Summary) -> np.ndarray:
+    """E[X_i X_j] for i < j, the variance on the diagonal, NaN below it.
+
+    A chain is Markov: the conditional means of X_j given X_i are carried on place by place.
+    """
+    n = len(s.alpha)
+    out = np.full((n, n), np.nan)
+    field = fields(s.alpha)
+    step = np.exp((field + s.b)[1:, None, :] + s.beta[:, None, None] * SS - s.b[:-1, :, None]) if n > 1 else np.zeros((0, 2, 2))
+    out[np.arange(n), np.arange(n)] = 1 - s.ex**2
+    for i in range(n - 1):
+        carry = np.eye(2)  # P(X_j = t | X_i = r)
+        for j in range(i + 1, n):
+            carry = carry @ step[j - 1]
+            out[i, j] = (s.p[i] * S) @ carry @ S
+    return out
+
+
+def read_log_likelihoods(alpha, beta, log_u: np.ndarray, log_m: np.ndarray) -> np.ndarray:
+    """log p(y) of each read (row; NaN where a group isn't observed)."""
+    field, beta = fields(np.asarray(alpha, float)), np.asarray(beta, float)
+    seen = ~np.isnan(log_u)
+    evidence = np.where(seen[..., None], np.stack([log_u, log_m], axis=-1), 0.0)
+    return expectations(field + evidence, beta)[0] - expectations(field, beta)[0]
+
+
+def expected_log_emissions(alpha, beta, log_u: np.ndarray, log_m: np.ndarray) -> np.ndarray:
+    """E[log p(y | X)] of each read under its own posterior."""
+    field, beta = fields(np.asarray(alpha, float)), np.asarray(beta, float)
+    seen = ~np.isnan(log_u)
+    evidence = np.where(seen[..., None], np.stack([log_u, log_m], axis=-1), 0.0)
+    p = expectations(field + evidence, beta)[1]
+    return (p * evidence).sum(axis=(-1, -2))
+
+
 def mixture(s1: Summary, s2: Summary) -> Summary:
     return summarise(0.5 * (s1.alpha + s2.alpha), 0.5 * (s1.beta + s2.beta))
 
@@ -132,12 +180,13 @@ class Fit:
     converged: bool
 
 
-def fit_em(log_u: np.ndarray, log_m: np.ndarray, n: np.ndarray, rho: np.ndarray, d: np.ndarray, starts: int = 10, iters: int = 20, seed: int = 0, tol: float = 0.03, box=(20.0, 150.0, 50.0)) -> Fit:
+def fit_em(log_u: np.ndarray, log_m: np.ndarray, n: np.ndarray, rho: np.ndarray, d: np.ndarray, starts: int = 10, iters: int = 20, seed: int = 0, tol: float = 0.03, box=(20.0, 150.0, 50.0), most_reads: int = 100) -> Fit:
     """EM for (a, b, c) from reads x groups log-likelihoods (NaN where not observed).
 
     The M-step matches the sufficient statistics by damped Newton, whose Jacobian is their
     covariance by differences of the exact expectations. The best of several random starts
-    counts; a start must converge within ``iters``.
+    counts, by the likelihood of at most ``most_reads`` reads; a start must converge within
+    ``iters``. All starts are stepped at once.
     """
     rng = np.random.default_rng(seed)
     seen = ~np.isnan(log_u)
@@ -145,58 +194,59 @@ def fit_em(log_u: np.ndarray, log_m: np.ndarray, n: np.ndarray, rho: np.ndarray,
     limit = np.asarray(box)
     inv_d = 1 / np.asarray(d, float)[: len(rho) - 1]
 
-    def stats(ex, exx):
-        return np.stack([(n * ex).sum(-1), (n * rho * ex).sum(-1), (exx * inv_d).sum(-1)], axis=-1)
+    def parameters(phis):
+        return n * (phis[:, :1] + phis[:, 1:2] * rho), phis[:, 2:] * inv_d
 
-    def model(phi):
-        a, b = link(phi, n, rho, d)
-        log_z, p, exx, _, _ = expectations(fields(a), b)
-        return a, b, float(log_z), stats((p * S).sum(-1), exx)
+    def stats(p, exx):
+        ex = (p * S).sum(-1)
+        return np.stack([(n * ex).sum(-1), (n * rho * ex).sum(-1), (exx * inv_d).sum(-1)], axis=-1)
 
     def moments(phis):
-        a = n * (phis[:, :1] + phis[:, 1:2] * rho)
-        _, p, exx, _, _ = expectations(fields(a), phis[:, 2:] * inv_d)
-        return stats((p * S).sum(-1), exx)
-
-    best = Fit(np.full(3, np.nan), -np.inf, False)
-    for _ in range(starts):
-        phi = np.asarray([rng.integers(-500, 501) / 100, rng.uniform(-50, 50), rng.uniform(0, 10)])
-        done = False
-        for it in range(iters):
-            a, b, log_z, _ = model(phi)
-            _, p, exx, _, _ = expectations(fields(a) + evidence, b)
-            target = stats((p * S).sum(-1), exx).mean(0)
-            new = _match(phi, target, model, moments, limit)
-            moved, phi = np.linalg.norm(new - phi), new
-            if moved <= tol and it:
-                done = True
-                break
-        if done:
-            a, b, log_z, _ = model(phi)
-            q = float((expectations(fields(a) + evidence, b)[0] - log_z).mean())
-            if q > best.q:
-                best = Fit(phi, q, True)
-    return best
-
-
-def _match(phi, target, model, moments, limit, steps: int = 20, tol: float = 1e-3) -> np.ndarray:
+        a, b = parameters(phis)
+        _, p, exx, _, _ = expectations(fields(a), b)
+        return stats(p, exx)
+
+    phi = np.asarray([[rng.integers(-500, 501) / 100, rng.uniform(-50, 50), rng.uniform(0, 10)] for _ in range(starts)]).reshape(-1, 3)
+    done, going = np.zeros(starts, bool), np.arange(starts)
+    for it in range(iters):
+        a, b = parameters(phi[going])
+        _, p, exx, _, _ = expectations(fields(a)[:, None] + evidence, b[:, None])
+        new = _match(phi[going], stats(p, exx).mean(axis=1), moments, limit)
+        moved = np.linalg.norm(new - phi[going], axis=1)
+        phi[going] = new
+        if it:
+            done[going] = moved <= tol
+            going = going[moved > tol]
+        if not len(going):
+            break
+    if not done.any():
+        return Fit(np.full(3, np.nan), -np.inf, False)
+    a, b = parameters(phi[done])
+    q = (expectations(fields(a)[:, None] + evidence[:most_reads], b[:, None])[0] - expectations(fields(a), b)[0][:, None]).mean(axis=1)
+    return Fit(phi[done][q.argmax()], float(q.max()), True)
+
+
+def _match(phi: np.ndarray, target: np.ndarray, moments, limit: np.ndarray, steps: int = 20, tol: float = 1e-3) -> np.ndarray:
+    """Rows of phi whose moments are ``target``'s, each by its own damped Newton steps."""
     x = phi.copy()
-    now = model(x)[3] - target
+    gap = moments(x) - target
+    on = np.flatnonzero(np.abs(gap).max(axis=1) >= tol)
     for _ in range(steps):
-        if np.abs(now).max() < tol:
-            break
-        h = 1e-4 * np.maximum(1, np.abs(x))
-        moved = moments(np.concatenate([x + np.diag(h), x - np.diag(h)]))  # all six in one batch
-        jac = ((moved[:3] - moved[3:]) / (2 * h[:, None])).T
-        step = np.linalg.lstsq(jac + 1e-9 * np.eye(3), now, rcond=None)[0]
-        scale = 1.0
-        while scale > 1e-3:
-            y = np.clip(x - scale * step, -limit, limit)
-            then = model(y)[3] - target
-            if np.linalg.norm(then) < np.linalg.norm(now):
-                x, now = y, then
-                break
-            scale /= 2
-        else:
+        if not len(on):
             break
+        h = 1e-4 * np.maximum(1, np.abs(x[on]))
+        shift = h[:, :, None] * np.eye(3)
+        sides = moments(np.concatenate([x[on][:, None] + shift, x[on][:, None] - shift], axis=1).reshape(-1, 3)).reshape(len(on), 6, 3)  # all six of all rows in one batch
+        jac = ((sides[:, :3] - sides[:, 3:]) / (2 * h[:, :, None])).transpose(0, 2, 1)
+        step = (np.linalg.pinv(jac + 1e-9 * np.eye(3)) @ gap[on][:, :, None])[:, :, 0]
+        left, better, scale = np.arange(len(on)), np.zeros(len(on), bool), 1.0
+        while len(left) and scale > 1e-3:
+            y = np.clip(x[on[left]] - scale * step[left], -limit, limit)
+            then = moments(y) - target[on[left]]
+            good = np.linalg.norm(then, axis=1) < np.linalg.norm(gap[on[left]], axis=1)
+            rows = on[left[good]]
+            x[rows], gap[rows], better[left[good]] = y[good], then[good], True
+            left, scale = left[~good], scale / 2
+        on = on[better]
+        on = on[np.abs(gap[on]).max(axis=1) >= tol]
     return x

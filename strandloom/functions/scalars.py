@@ -10,7 +10,7 @@ EPS = 2.220446049250313e-16
 
 def alpha_from_ex(ex: Column) -> Column:
     """atanh clamped to [-20, 20]; null stays null."""
-    return F.when(ex >= 1, F.lit(20.0)).when(ex <= -1, F.lit(-20.0)).otherwise(F.least(F.greatest(0.5 * F.log((1 + ex) / (1 - ex)), F.lit(-20.0)), F.lit(20.0)))
+    return F.when(ex.isNull(), F.lit(None).cast("double")).when(ex >= 1, F.lit(20.0)).when(ex <= -1, F.lit(-20.0)).otherwise(F.least(F.greatest(0.5 * F.log((1 + ex) / (1 - ex)), F.lit(-20.0)), F.lit(20.0)))
 
 
 def log_sum_exp(a: Column, b: Column) -> Column:
@@ -31,12 +31,31 @@ def call_sign(m: Column, u: Column) -> Column:
     return F.when(m > u, 1).otherwise(-1)
 
 
-def strand(paired: Column, flag: Column) -> Column:
-    """OT, OB, CTOT or CTOB by flag; any other flag raises."""
-    single = F.when(flag == 0, "OT").when(flag == 16, "OB")
-    mates = F.when(flag.isin(99, 147), "OT").when(flag.isin(83, 163), "OB")
-    known = F.when(paired, mates).otherwise(single)
-    return F.when(known.isNull(), F.raise_error(F.concat(F.lit("unexpected flag "), flag.cast("string"))).cast("string")).otherwise(known)
+def strand(paired: Column, flag1: Column, flag2: Column | None = None) -> Column:
+    """OT, OB, CTOT or CTOB by the flag of an alignment, or those of both mates in order; others raise."""
+    flag2 = F.lit(None).cast("int") if flag2 is None else flag2
+    single = F.when(flag1 == 0, "OT").when(flag1 == 16, "OB")
+    mates = lambda a, b: (flag1 == a) & (flag2 == b)
+    double = F.when(mates(99, 147), "OT").when(mates(83, 163), "OB").when(mates(147, 99), "CTOT").when(mates(163, 83), "CTOB")
+    known = F.when(paired, double).otherwise(single)
+    return F.when(known.isNull(), F.raise_error(F.concat_ws(" ", F.lit("unexpected flag"), flag1.cast("string"), flag2.cast("string"))).cast("string")).otherwise(known)
+
+
+def parse_range(text: Column) -> Column:
+    """start and end of ``"a:b"``; null if it isn't one."""
+    part = lambda i: F.split(text, ":")[i].try_cast("long")
+    return F.when(F.size(F.split(text, ":")) == 2, F.struct(part(0).alias("start"), part(1).alias("end")))
+
+
+def product_moment(ex: Column, next_ex: Column, exx: Column) -> Column:
+    """E[YY'] of y = (x + 1) / 2 from moments of x, kept in [0, 1]."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.25 * (exx + ex + next_ex + 1)))
+
+
+def site_correlation(ex: Column, next_ex: Column, exx: Column) -> Column:
+    """Pearson correlation of neighbours in {-1, 1}; null where one of them is certain."""
+    sd = F.sqrt(1 - ex * ex) * F.sqrt(1 - next_ex * next_ex)
+    return F.when(sd > 0, (exx - ex * next_ex) / sd)
 
 
 def link(a: Column, b: Column, c: Column, n: Column, rho: Column, d: Column) -> tuple[Column, Column]:
@@ -59,7 +78,8 @@ def ising_log_z(alpha: Column, beta: Column) -> Column:
     return F.aggregate(rest, start, step, lambda x: log_sum_exp(x.m, x.p))
 
 
-def site_density_text(seq: Column, motif: str = "CG") -> Column:
+def count_motif(seq: Column, motif: str = "CG") -> Column:
+    """Occurrences of a motif (a pattern), case and all."""
     return F.regexp_count(seq, F.lit(motif))
 
 

@@ -6,7 +6,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,51 +16,79 @@ from strandloom.config import LMAX
 TIE = 1e-12
 
 
-def masks(spark, n: int, k: int, lmax: int = LMAX, seed: int = 17) -> tuple[DataFrame | None, int, bool]:
-    """(mask bits, denominator, exact) of the relabellings of k among n; None where p can't be small.
+def masks(n: int, k: int, lmax: int = LMAX, seed: int = 17) -> tuple[list[int], int, bool]:
+    """(masks, denominator, exact) of the relabellings of k among n; no masks where p can't be small.
 
     At most ``lmax`` masks: enumerated if there are fewer, else random ones with repeats dropped.
     """
     total = comb(n, k)
     if total <= 20:
-        return None, total, True
+        return [], total, True
     if total < lmax:
-        rows = [sum(1 << i for i in c) for c in combinations(range(n), k)]
-        return spark.createDataFrame([(m,) for m in rows], "mask long"), total, True
+        return [sum(1 << i for i in c) for c in combinations(range(n), k)], total, True
     rng = np.random.default_rng(seed)
     rows = sorted({sum(1 << int(i) for i in rng.choice(n, k, replace=False)) for _ in range(lmax)})
-    return spark.createDataFrame([(m,) for m in rows], "mask long"), len(rows) + 1, False
+    return rows, len(rows) + 1, False
+
+
+def with_masks(df: DataFrame, lmax: int = LMAX) -> DataFrame:
+    """Adds masks (array), denominator, exact to rows with n and n1: by a join with a row for each
+    pair of numbers of replicates that occurs, of which there are at most replicates squared."""
+    shapes = [(r["n"], r["n1"]) for r in df.select(F.col("n").cast("int").alias("n"), F.col("n1").cast("int").alias("n1")).distinct().collect()]
+    table = df.sparkSession.createDataFrame([(n, n1, *masks(n, n1, lmax)) for n, n1 in shapes], "m_n int, m_n1 int, masks array<long>, denominator int, exact boolean")
+    return df.join(F.broadcast(table), (F.col("n") == F.col("m_n")) & (F.col("n1") == F.col("m_n1"))).drop("m_n", "m_n1")
+
+
+def p_of_hits(hits: Column) -> Column:
+    """p of rows of ``with_masks``; null where there are no masks."""
+    return F.when(F.size("masks") > 0, (hits + F.when(F.col("exact"), 0).otherwise(1)) / F.col("denominator"))
 
 
 def unmatched_test(values: DataFrame, keys: list[str], lmax: int = LMAX) -> DataFrame:
     """keys, stat, p: difference of group means of ``x`` with p by relabelling.
 
-    ``values``: keys, grp (1 or 2), i (place among all of a key, from 0), x. All keys with the
-    same numbers of replicates share one mask table (at most ``lmax`` rows, so it's broadcast).
+    ``values``: keys, grp (1 or 2), i (place among all of a key, from 0), x. Relabellings are
+    folded inside the row of a key: none is a row of its own.
     """
-    spark = values.sparkSession
     shape = values.groupBy(*keys).agg(F.sum((F.col("grp") == 1).cast("int")).alias("n1"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("i", "x", "grp")).alias("v"))
-    x = F.transform(F.sort_array("v"), lambda r: F.struct(r.x.alias("x"), r.grp.alias("g")))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, r: s + r.x)
-    one = total(F.filter("v", lambda r: r.g == 1))
-    both = shape.withColumn("v", x).withColumns({"s": total(F.col("v")), "s1": one})
-    stat = F.col("s1") / F.col("n1") - (F.col("s") - F.col("s1")) / (F.col("n") - F.col("n1"))
-    both = both.where("n1 > 0 and n1 < n").withColumn("stat", stat)
-    out = None
-    for r in both.select("n", "n1").distinct().collect():  # one row per pair of group sizes
-        part = both.where((F.col("n") == r["n"]) & (F.col("n1") == r["n1"]))
-        table, denominator, exact = masks(spark, r["n"], r["n1"], lmax)
-        if table is None:
-            done = part.select(*keys, "stat", F.lit(None).cast("double").alias("p"))
-        else:
-            bits = [row["mask"] for row in table.collect()]
-            perms = part.withColumn("mask", F.explode(F.lit(bits)))
-            s1 = F.expr("aggregate(transform(v, (r, i) -> if(shiftright(mask, i) & 1 = 1, r.x, 0D)), 0D, (s, t) -> s + t)")
-            t = s1 / F.col("n1") - (F.col("s") - s1) / (F.col("n") - F.col("n1"))
-            hit = F.sum((F.abs(t) >= F.abs(F.col("stat")) - TIE * F.greatest(F.lit(1.0), F.abs(F.col("stat")))).cast("long"))
-            done = perms.groupBy(*keys).agg(F.first("stat").alias("stat"), hit.alias("hits")).select(*keys, "stat", ((F.col("hits") + (0 if exact else 1)) / denominator).alias("p"))
-        out = done if out is None else out.unionByName(done)
-    return out if out is not None else both.select(*keys, "stat", F.lit(None).cast("double").alias("p"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    v = F.sort_array("v")
+    both = shape.where("n1 > 0 and n1 < n").withColumns({"v": F.transform(v, lambda r: r.x), "s1": total(F.transform(F.filter(v, lambda r: r.grp == 1), lambda r: r.x))})
+    both = both.withColumn("s", total(F.col("v")))
+    mean_gap = lambda s1: s1 / F.col("n1") - (F.col("s") - s1) / (F.col("n") - F.col("n1"))
+    both = with_masks(both.withColumn("stat", mean_gap(F.col("s1"))), lmax)
+    least = F.abs(F.col("stat")) - TIE * F.greatest(F.lit(1.0), F.abs(F.col("stat")))
+    chosen = lambda m: total(F.transform("v", lambda x, i: F.when(m.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0, x).otherwise(0.0)))
+    hits = F.size(F.filter("masks", lambda m: F.abs(mean_gap(chosen(m))) >= least))
+    return both.select(*keys, "stat", p_of_hits(hits).alias("p"))
+
+
+def divergence_test(cmd: DataFrame, members: DataFrame, keys: list[str], lmax: int = LMAX) -> DataFrame:
+    """keys, stat, p: mean divergence over the pairs of one replicate of each group, p by relabelling.
+
+    ``cmd``: keys, i, j, cmd of all pairs of replicates; ``members``: keys, sample, grp, a row for
+    each replicate that a key has. Keys are tested with their own numbers of replicates: where
+    some are missing there are fewer relabellings, and none if 20 or fewer. One-sided.
+    """
+    order = F.sort_array(F.collect_list(F.struct("grp", "sample")))
+    own = members.groupBy(*keys).agg(order.alias("m")).withColumns({"n": F.size("m"), "n1": F.size(F.filter("m", lambda r: r.grp == 1)), "at": F.transform("m", lambda r: r["sample"])})
+    pairs = cmd.groupBy(*[F.col(k).alias(f"c_{k}") for k in keys]).agg(F.collect_list(F.struct("i", "j", "cmd")).alias("c"))
+    same = [F.col(k).eqNullSafe(F.col(f"c_{k}")) for k in keys]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    place = lambda x: (F.array_position(F.col("at"), x) - 1).cast("int")
+    both = own.where("n1 > 0 and n1 < n").join(pairs, on).withColumn("c", F.transform("c", lambda r: F.struct(place(r.i).alias("a"), place(r.j).alias("b"), r.cmd.alias("x")))).withColumn("c", F.filter("c", lambda r: (r.a >= 0) & (r.b >= 0)))
+
+    def mean(mask: Column) -> Column:
+        bit = lambda i: mask.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0
+        apart = F.filter("c", lambda r: bit(r.a) != bit(r.b))
+        return F.when(F.size(apart) > 0, F.aggregate(apart, F.lit(0.0), lambda s, r: s + r.x) / F.size(apart))
+
+    first = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n1")) - 1  # the first group's replicates come first
+    both = with_masks(both.withColumn("stat", mean(first)).where("stat is not null"), lmax)
+    hits = F.size(F.filter("masks", lambda m: mean(m) >= F.col("stat") - TIE))
+    return both.select(*keys, "stat", p_of_hits(hits).alias("p"))
 
 
 def matched_test(pairs: DataFrame, keys: list[str], lmax: int = LMAX, seed: int = 17) -> DataFrame:
@@ -78,10 +106,15 @@ def matched_test(pairs: DataFrame, keys: list[str], lmax: int = LMAX, seed: int
     return done.select(*keys, "stat", F.when(F.col("l") > 0, p).alias("p"))
 
 
-def mean_divergence(cmd: DataFrame, group_of: DataFrame) -> DataFrame:
-    """region_id, k, stat: mean divergence over the pairs of one replicate of each group."""
-    g = lambda c: group_of.select(F.col("sample").alias(c), F.col("grp").alias(f"g_{c}"))
-    return cmd.join(g("i"), "i").join(g("j"), "j").where("g_i <> g_j").groupBy("region_id", "k").agg(F.avg("cmd").alias("stat"))
+def mean_divergence(cmd: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, stat: mean of the matched pairs' divergences (rows of ``cmd``)."""
+    return cmd.groupBy(*keys).agg(F.avg("cmd").alias("stat"))
+
+
+def group_pairs(models: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, i, j: each replicate of group 1 with each of group 2 of the same key (keys, sample, grp)."""
+    side = lambda g, x: models.where(F.col("grp") == g).select(*keys, F.col("sample").alias(x))
+    return side(1, "i").join(side(2, "j"), keys)
 
 
 def bh(df: DataFrame, keys: list[str], p: str = "p") -> DataFrame:

@@ -16,13 +16,115 @@ def confusion(df: DataFrame, truth: Column, call: Column) -> DataFrame:
     return counts.select("*", r(tp + tn, tp + fp + tn + fn).alias("accuracy"), r(tp, tp + fp).alias("precision"), r(tp, tp + fn).alias("sensitivity"), r(tn, tn + fp).alias("specificity"))
 
 
+def _passed(df: DataFrame, thresholds: list[float], passes, sums: list[Column]) -> DataFrame:
+    """threshold and, for each, the sums of the rows that pass it; ``passes(v, t)`` on column v.
+
+    Thresholds ascend. A row is counted by how many it passes, so no row is repeated a threshold;
+    one row of at most thresholds + 1 counts is left.
+    """
+    grid = sorted(set(thresholds))
+    n = F.size(F.filter(F.lit(grid), lambda t: passes(F.col("v"), t)))
+    names = [f"c{i}" for i in range(len(sums))]
+    counts = df.groupBy(n.alias("i")).agg(*[c.alias(k) for c, k in zip(sums, names, strict=True)])
+    row = counts.agg(F.collect_list(F.struct("i", *names)).alias("c")).where(F.size("c") > 0)
+    at = row.select("c", F.posexplode(F.lit(grid)).alias("place", "threshold"))
+    total = lambda keep, k: F.aggregate(F.filter("c", keep), F.lit(0).cast("long"), lambda x, r: x + r[k])
+    first = lambda r: r.i > F.col("place") if passes is _reaches else r.i >= len(grid) - F.col("place")
+    return at.select("threshold", *[total(first, k).alias(k) for k in names], *[total(lambda r: F.lit(True), k).alias(f"all_{k}") for k in names])
+
+
+def _reaches(v: Column, t: Column) -> Column:
+    return v >= t
+
+
+def _stays_under(v: Column, t: Column) -> Column:
+    return v <= t
+
+
 def by_threshold(df: DataFrame, truth: Column, score: Column, thresholds: list[float]) -> DataFrame:
     """threshold, tp, fp, p, n: score >= threshold counts as a call. One pass, map-side summed."""
-    t = F.explode(F.lit(thresholds)).alias("threshold")
-    rows = df.select(truth.alias("t"), score.alias("s")).where("t is not null and s is not null").select("t", "s", t)
-    hit = (F.col("s") >= F.col("threshold"))
+    rows = df.select(truth.alias("t"), score.alias("v")).where("t is not null and v is not null")
     n = lambda c: F.sum(c.cast("long"))
-    return rows.groupBy("threshold").agg(n(hit & F.col("t")).alias("tp"), n(hit & ~F.col("t")).alias("fp"), n(F.col("t")).alias("p"), n(~F.col("t")).alias("n"))
+    out = _passed(rows, thresholds, _reaches, [n(F.col("t")), n(~F.col("t"))])
+    return out.select("threshold", F.col("c0").alias("tp"), F.col("c1").alias("fp"), F.col("all_c0").alias("p"), F.col("all_c1").alias("n"))
+
+
+def call_at(score: Column, threshold: float) -> Column:
+    """0 without a score, 1 from the threshold on, else -1."""
+    return F.when(score.isNull(), 0).when(score >= threshold, 1).otherwise(-1)
+
+
+def share_above(df: DataFrame, ratio: Column, right: Column, thresholds: list[float]) -> DataFrame:
+    """threshold, share, accuracy of calls whose ratio is that far from 0; no call has accuracy 1."""
+    rows = df.select(F.abs(ratio).alias("v"), right.alias("t")).where("v is not null")
+    out = _passed(rows, thresholds, _reaches, [F.count(F.lit(1)), F.sum(F.coalesce(F.col("t"), F.lit(False)).cast("long"))])
+    return out.select("threshold", (F.col("c0") / F.col("all_c0")).alias("share"), F.when(F.col("c0") > 0, F.col("c1") / F.col("c0")).otherwise(1.0).alias("accuracy"))
+
+
+def adjacent_pairs(df: DataFrame, keys: list[str], order: list[str], ratio: Column, truth: Column, call: Column) -> DataFrame:
+    """keys, ratio (the lesser one's distance from 0), truth, call (products) of neighbours in order."""
+    by = W.partitionBy(*keys).orderBy(*order)
+    rows = df.where(ratio.isNotNull()).select(*dict.fromkeys([*keys, *order]), F.abs(ratio).alias("r"), truth.alias("t"), call.alias("c"))
+    two = rows.select("*", *[F.lead(x).over(by).alias(f"{x}2") for x in ("r", "t", "c")]).where("r2 is not null")
+    return two.select(*keys, F.least("r", "r2").alias("ratio"), (F.col("t") * F.col("t2")).alias("truth"), (F.col("c") * F.col("c2")).alias("call"))
+
+
+def accuracy_by_interval(df: DataFrame, value: Column, right: Column, low: float, width: float) -> DataFrame:
+    """bin, n, share, accuracy of calls by interval of ``value``, and both summed up from the first bin.
+
+    upto: the calls of this and earlier bins; running: their accuracy.
+    """
+    place = F.floor((value - low) / width).cast("long").alias("bin")
+    b = df.select(place, right.alias("t")).where("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("t").cast("long")).alias("k"))
+    w = W.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)  # a row per interval
+    every = F.sum("n").over(W.partitionBy(F.lit(0)))
+    return b.select("bin", "n", (F.col("n") / every).alias("share"), (F.col("k") / F.col("n")).alias("accuracy"), F.sum("n").over(w).alias("upto"), (F.sum("k").over(w) / F.sum("n").over(w)).alias("running"))
+
+
+def accuracy_curve(intervals: DataFrame, half: int) -> DataFrame:
+    """step, share, accuracy: intervals -half..half folded around 0, from the surest inwards, both
+    running: shares summed, accuracies weighted by them. Intervals without a call are right."""
+    both = intervals.select(F.abs("bin").alias("far"), "share", "accuracy").where(F.col("far") <= half)
+    full = both.sparkSession.range(half + 1).select(F.col("id").alias("far")).join(both.groupBy("far").agg(F.sum("share").alias("share"), F.sum("accuracy").alias("acc"), F.count(F.lit(1)).alias("seen")), "far", "left")
+    sides = F.when(F.col("far") == 0, 1).otherwise(2)
+    one = full.select("far", F.coalesce("share", F.lit(0.0)).alias("share"), ((F.coalesce("acc", F.lit(0.0)) + sides - F.coalesce("seen", F.lit(0))) / sides).alias("accuracy"))
+    w = W.partitionBy(F.lit(0)).orderBy(F.desc("far")).rowsBetween(W.unboundedPreceding, W.currentRow)  # half + 1 rows
+    summed = one.select((half - F.col("far")).cast("int").alias("step"), F.col("far"), "accuracy", F.sum("share").over(w).alias("share"))
+    return summed.select("step", "share", (F.sum(F.col("accuracy") * F.col("share")).over(w) / F.sum("share").over(w)).alias("accuracy"))
+
+
+def pearson(df: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:
+    return df.groupBy(*keys).agg(F.corr(x, y).alias("r"))
+
+
+def errors(df: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:
+    """keys, mae, mse of two estimates of the same."""
+    return df.groupBy(*keys).agg(F.avg(F.abs(x - y)).alias("mae"), F.avg((x - y) * (x - y)).alias("mse"))
+
+
+def paired_estimates(one: DataFrame, two: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, x, y of regions that both have, for scatter plots."""
+    return one.select(*keys, F.col(value).alias("x")).join(two.select(*keys, F.col(value).alias("y")), keys)
+
+
+def row_moments(df: DataFrame, keys: list[str], signal: str) -> DataFrame:
+    """keys, n, mean, std of each row's array: sample deviation, null below two values."""
+    n = F.size(signal)
+    mean = F.aggregate(signal, F.lit(0.0), lambda a, x: a + x) / n
+    square = F.aggregate(signal, F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
+    return df.where(n > 0).withColumn("mean", mean).select(*keys, n.alias("n"), "mean", F.when(n > 1, F.sqrt(square / (n - 1))).alias("std"))
+
+
+def summary(df: DataFrame, keys: list[str], value: Column, cuts: list[float]) -> DataFrame:
+    """keys, n, least, most, sum, and upto: for each cut the share of values that aren't over it."""
+    part = [F.avg((F.col("v") <= c).cast("double")) for c in cuts]
+    rows = df.select(*keys, value.alias("v")).where("v is not null")
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum("v").alias("sum"), F.array(*part).alias("upto"))
+
+
+def exponential_shares(theta: Column, edges: list[float]) -> Column:
+    """Shares of an exponential distribution of mean ``theta`` between neighbouring edges."""
+    return F.transform(F.lit(edges[:-1]), lambda a, i: F.exp(-a / theta) - F.exp(-F.get(F.lit(edges), i + 1) / theta))
 
 
 def roc(df: DataFrame, truth: Column, score: Column, thresholds: list[float]) -> DataFrame:
@@ -41,6 +143,19 @@ def precision_recall(df: DataFrame, truth: Column, score: Column, thresholds: li
     return t.where("tp + fp > 0 and p > 0").select("threshold", F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 3).alias("precision"), F.round(F.col("tp") / F.col("p"), 3).alias("recall"))
 
 
+def precision_drops(points: DataFrame) -> DataFrame:
+    """recall, precision in order of recall, where the precision falls; ties in order of threshold."""
+    by = W.partitionBy(F.lit(0)).orderBy("recall", "threshold")  # a row per threshold
+    return points.withColumn("before", F.lag("precision").over(by)).where("precision < before").select("threshold", "recall", "precision")
+
+
+def precision_recall_auc(points: DataFrame) -> DataFrame:
+    """Left Riemann sum over rising recall of the points where the precision falls."""
+    by = W.partitionBy(F.lit(0)).orderBy("recall", "threshold")
+    step = precision_drops(points).select("precision", "recall", F.lead("recall").over(by).alias("next"))
+    return step.agg(F.coalesce(F.sum((F.col("next") - F.col("recall")) * F.col("precision")), F.lit(0.0)).alias("auc"))
+
+
 def pvalue_roc(df: DataFrame, truth: Column, p: Column, keys: tuple[str, ...] = (), steps: int = 1000) -> DataFrame:
     """keys, threshold, tpr, fpr of p <= threshold at 0, 1/steps, ..., 1; the rates' denominators are one larger.
 
@@ -73,14 +188,38 @@ def histogram2d_log(df: DataFrame, x: Column, y: Column, bins: int) -> DataFrame
     return full.select("bx", "by", (-F.log10(F.col("n") / F.sum("n").over(W.partitionBy()))).alias("v"))
 
 
-def box_statistics(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    q = F.percentile(value, F.lit([0.25, 0.5, 0.75]))
-    return df.groupBy(*keys).agg(q.alias("q"), F.count(value).alias("n")).select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "n")
+def box_statistics(df: DataFrame, keys: list[str], value: Column, near: float = 0.01) -> DataFrame:
+    """keys, q1, median, q3 (between ranks linear, exact), n.
+
+    A sketch bounds each quartile; the values inside the bounds, a small share, are counted and
+    ranked, those below only counted, so no group's values meet in one buffer.
+    """
+    rows = df.select(*keys, value.cast("double").alias("v")).where("v is not null and not isnan(v)")
+    marks = [0.25, 0.5, 0.75]
+    sketch = F.percentile_approx("v", F.lit([x for q in marks for x in (q - near, q + near)]), F.lit(10_000))
+    bounds = rows.groupBy(*keys).agg(sketch.alias("b"), F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # where ranks are few, the sketch's bounds can cut a neighbour off: the ends stand in
+    few = F.col("n") < F.lit(4 / near)
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.when(few, F.col("lo")).otherwise(F.get("b", F.lit(2 * i))).alias("a"), F.when(few, F.col("hi")).otherwise(F.get("b", F.lit(2 * i + 1))).alias("z")) for i, q in enumerate(marks)])).alias("e")
+    ranges = bounds.select(*[F.col(k).alias(f"r_{k}") for k in keys], "n", each).select(*[f"r_{k}" for k in keys], "n", "e.*")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"r_{k}"))
+    hit = rows.join(ranges, on).where("v <= z")
+    counts = hit.groupBy(*keys, "q", "n", F.when(F.col("v") >= F.col("a"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    by = W.partitionBy(*keys, "q").orderBy(F.asc_nulls_first("v")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = counts.withColumn("upto", F.sum("c").over(by))
+    rank = F.col("q") * (F.col("n") - 1)
+    at = lambda r: F.min(F.when((F.col("upto") > r) & F.col("v").isNotNull(), F.col("v")))
+    quart = ranked.groupBy(*keys, "q", "n").agg(at(F.floor(rank)).alias("x"), at(F.ceil(rank)).alias("y")).select(*keys, "q", "n", (F.col("x") + (rank - F.floor(rank)) * (F.col("y") - F.col("x"))).alias("x"))
+    pick = lambda q: F.max(F.when(F.col("q") == q, F.col("x")))
+    return quart.groupBy(*keys).agg(pick(0.25).alias("q1"), pick(0.5).alias("median"), pick(0.75).alias("q3"), F.max("n").alias("n"))
 
 
 def ecdf(df: DataFrame, value: Column, thresholds: list[float]) -> DataFrame:
-    rows = df.select(value.alias("v")).where("v is not null").select("v", F.explode(F.lit(thresholds)).alias("threshold"))
-    return rows.groupBy("threshold").agg(F.avg((F.col("v") <= F.col("threshold")).cast("double")).alias("share"))
+    rows = df.select(value.alias("v")).where("v is not null")
+    out = _passed(rows, thresholds, _stays_under, [F.count(F.lit(1))])
+    return out.select("threshold", (F.col("c0") / F.col("all_c0")).alias("share"))
 
 
 def exponential_fit(df: DataFrame, value: Column) -> DataFrame:

@@ -60,12 +60,8 @@ def region_density(sites: DataFrame, regions: DataFrame, chr_size: Column, half:
     r = regions.withColumns({"c0": ctx0, "c1": ctx1}).withColumn("blk", F.explode(F.sequence(F.floor(F.col("c0") / block), F.floor(F.col("c1") / block))))
     s = sites.withColumn("blk", F.floor(F.col("pos") / block))
     inside = s.join(r, ["chr", "blk"]).where("pos >= c0 and pos + 1 <= c1")
-    off = F.col("pos") - F.col("c0")
-    lo, hi = F.col("c0") + F.greatest(F.lit(1), off - half) - 1, F.col("c0") + F.least(F.col("c1") - F.col("c0") + 1, off + half) - 1
-    w = W.partitionBy("region_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    allp = F.collect_list("pos").over(w)
-    count = F.size(F.filter(allp, lambda p: (p >= lo) & (p + 1 <= hi)))
-    return inside.withColumn("rho", count / (2.0 * half)).where("pos between chrst and chrend").select("region_id", "chr", "chrst", "chrend", "pos", "rho")
+    # the context clips by itself: no site outside of it is in the frame
+    return site_density(inside, "region_id", half).where("pos between chrst and chrend").select("region_id", "chr", "chrst", "chrend", "pos", "rho")
 
 
 def tile_regions(df: DataFrame, key: str, size: str, width: int = 3000) -> DataFrame:
@@ -132,6 +128,31 @@ def chromosome_partition(sites: DataFrame, sizes: DataFrame, size: int = 3000, m
     return joined.groupBy("chr").applyInPandas(walk, "chr string, chrst long, chrend long")
 
 
+def subregion_table(regions: DataFrame, sites: DataFrame, max_size: int = 350, min_sites: int = 10) -> DataFrame:
+    """region_id, k, size, n_cpg of the pieces of regions with at least ``min_sites`` sites.
+
+    ``regions``: region_id, chrst, chrend; ``sites``: region_id, pos. A site on a bound belongs to
+    the next piece; empty pieces have 0.
+    """
+    full = sites.join(regions, "region_id")
+    k = assign_pieces(full, F.col("chrst"), F.col("chrend"), max_size).groupBy("region_id", "k").agg(F.count(F.lit(1)).alias("n"))
+    enough = k.groupBy("region_id").agg(F.sum("n").alias("all")).where(F.col("all") >= min_sites).select("region_id")
+    pieces = balanced_split(regions.join(enough, "region_id", "left_semi"), "region_id", "chrst", "chrend", max_size).withColumn("k", F.col("k").cast("int"))
+    return pieces.join(k, ["region_id", "k"], "left").select("region_id", "k", (F.col("sub_end") - F.col("sub_start")).alias("size"), F.coalesce("n", F.lit(0)).cast("long").alias("n_cpg"))
+
+
+def region_info(sites: DataFrame) -> DataFrame:
+    """region_id, pos, rho, d of every site, d 0 at a region's last: ``sites`` has region_id, pos, rho."""
+    return site_distances(sites, "region_id").select("region_id", "pos", "rho", F.coalesce("d_next", F.lit(0)).cast("long").alias("d"))
+
+
+def interval_of(points: DataFrame, intervals: DataFrame, key: str, pos: str, i0: str, i1: str, place: str, width: int = 4096) -> DataFrame:
+    """``points`` with the interval's ``place`` that holds each, -1 where none does; the first of several."""
+    hit = overlap_join(points, intervals.select(key, i0, i1, F.col(place).alias("__place")), key, pos, pos, i0, i1, width)
+    first = hit.groupBy(key, pos).agg(F.min("__place").alias("__place"))
+    return points.join(first, [key, pos], "left").withColumn(place, F.coalesce("__place", F.lit(-1))).drop("__place")
+
+
 def region_table(regions: DataFrame, groups: DataFrame) -> DataFrame:
     """chr, chrst, chrend, n_cpg, n_groups of regions that have groups (a group counts where it begins)."""
     block = 4096

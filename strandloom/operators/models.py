@@ -52,6 +52,59 @@ def divergences(pairs: DataFrame) -> DataFrame:
     return pairs.select("i", "j", "region_id", "alpha_i", "beta_i", "alpha_j", "beta_j", "p", "q").mapInPandas(run, "i int, j int, region_id string, k int, cmd double")
 
 
+def whole_divergences(pairs: DataFrame) -> DataFrame:
+    """i, j, region_id, cmd (kept in [0, 1]), kl (of j from i) of whole regions, from stored alpha and beta."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                a, b = ising.summarise(r.alpha_i, r.beta_i), ising.summarise(r.alpha_j, r.beta_j)
+                c = ising.cmd(a, b, ising.mixture(a, b), 0, len(a.alpha) - 1)
+                rows.append((r.i, r.j, r.region_id, min(1.0, max(0.0, c)), ising.kl(a, b)))
+            yield pd.DataFrame(rows, columns=["i", "j", "region_id", "cmd", "kl"])
+
+    return pairs.select("i", "j", "region_id", "alpha_i", "beta_i", "alpha_j", "beta_j").mapInPandas(run, "i int, j int, region_id string, cmd double, kl double")
+
+
+def moments(models: DataFrame) -> DataFrame:
+    """region_id, ex, exx, px (P(X = 1) of each site), corr, second (E[X_i X_j] as rows): of alpha, beta."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                s = ising.summarise(r.alpha, r.beta)
+                rows.append((r.region_id, s.ex, s.exx, s.p[:, 1], ising.correlations(s), ising.second_moments(s).tolist()))
+            yield pd.DataFrame(rows, columns=["region_id", "ex", "exx", "px", "corr", "second"])
+
+    return models.select("region_id", "alpha", "beta").mapInPandas(run, "region_id string, ex array<double>, exx array<double>, px array<double>, corr array<double>, second array<array<double>>")
+
+
+def read_likelihoods(calls: DataFrame, models: DataFrame) -> DataFrame:
+    """region_id, read_id, log_lik, log_emission: log p(y) of each read and E[log p(y | X)] under its posterior.
+
+    ``calls``: region_id, read_id, grp (from 1), log_m, log_u; ``models``: region_id, alpha, beta.
+    One row a read is made first, so a region with any number of reads is spread over tasks.
+    """
+    per = calls.groupBy("region_id", "read_id").agg(F.collect_list(F.struct("grp", "log_m", "log_u")).alias("v"))
+    rows = per.join(models.select("region_id", "alpha", "beta"), "region_id")
+    flat = rows.select("region_id", "read_id", "alpha", "beta", *[F.col(f"v.{c}").alias(c) for c in ("grp", "log_m", "log_u")])
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                u = np.full((1, len(r.alpha)), np.nan)
+                m = u.copy()
+                at = np.asarray(r.grp, int) - 1
+                u[0, at], m[0, at] = r.log_u, r.log_m
+                out.append((r.region_id, r.read_id, ising.read_log_likelihoods(r.alpha, r.beta, u, m)[0], ising.expected_log_emissions(r.alpha, r.beta, u, m)[0]))
+            yield pd.DataFrame(out, columns=["region_id", "read_id", "log_lik", "log_emission"])
+
+    return flat.mapInPandas(run, "region_id string, read_id string, log_lik double, log_emission double")
+
+
 def model_pairs(models: DataFrame) -> DataFrame:
     """All pairs i < j of the models of a region: a self equi-join on the region."""
     side = lambda x: models.select("region_id", F.col("sample").alias(x), F.col("alpha").alias(f"alpha_{x}"), F.col("beta").alias(f"beta_{x}"))
@@ -103,3 +156,14 @@ def simulate_calls(models: DataFrame, reads: int, sd: float = 2.0, observed: flo
                 yield pd.DataFrame({"region_id": r.region_id, "read_id": [f"{r.region_id}:{k}" for k in i], "grp": g + 1, "log_m": m[i, g], "log_u": u[i, g]})
 
     return models.select("region_id", "alpha", "beta").mapInPandas(run, "region_id string, read_id string, grp int, log_m double, log_u double")
+
+
+def gradients(summarised: DataFrame, profile: DataFrame) -> DataFrame:
+    """region_id, da, db, dc: the gradient of log Z by phi, the expected sufficient statistics.
+
+    ``summarised``: region_id, ex, exx; ``profile``: region_id, n, rho, d.
+    """
+    both = summarised.select("region_id", "ex", "exx").join(profile.select("region_id", "n", "rho", "d"), "region_id")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    weighted = F.zip_with("n", "ex", lambda n, x: n * x)
+    return both.select("region_id", total(weighted).alias("da"), total(F.zip_with(weighted, "rho", lambda x, r: x * r)).alias("db"), total(F.zip_with("exx", F.slice("d", 1, F.size("exx")), lambda x, d: x / d)).alias("dc"))

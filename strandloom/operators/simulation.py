@@ -180,3 +180,9 @@ def simulate_short_reads(models: DataFrame, reads: int, start: float = 0.5, run:
                 yield pd.DataFrame({"region_id": r.region_id, "read_id": [f"{r.region_id}:{k}" for k in i], "grp": g + 1, "log_m": np.where(up, 0.0, -50.0), "log_u": np.where(up, -50.0, 0.0)})
 
     return models.select("region_id", "alpha", "beta").mapInPandas(draw, "region_id string, read_id string, grp int, log_m double, log_u double")
+
+
+def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 17) -> DataFrame:
+    """``n`` rows without replacement, the same ones at every run: those of least hash of ``keys``."""
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    return df.withColumn("__order", order).orderBy("__order", *keys).limit(n).drop("__order")

@@ -6,40 +6,20 @@ the calls of a read on groups. Doubles are rounded: sums run in another order in
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions import scalars
 from strandloom.operators import calls, comparison, evaluation, genome
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
+from strandloom.plans.registry import ORACLES, QUERIES, Query
+from strandloom.plans.registry import query as _query
+from strandloom.plans.registry import rounded as _r
+from strandloom.plans.registry import table as _t
 
 MOTIF, WIDTH = "[Aa][Nn]", 2
 
 
-def _query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _r(c: Column | str, n: int = 6) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, n)
-
-
 _SITES = """with p as (select doc_id, string_split_regex(text, '[Aa][Nn]') s from documents),
 q as (select doc_id, unnest(s) piece, generate_subscripts(s, 1) i, len(s) n from p),
 sites as (select doc_id, i - 1 as n, cast(sum(length(piece) + 2) over (partition by doc_id order by i) - 1 as bigint) as pos from q where i < n)"""
@@ -117,7 +97,18 @@ def region_table(spark, d):
     return genome.region_table(tile_regions(spark, d), _groups(spark, d).withColumnRenamed("doc_id", "chr"))
 
 
-@_query()
+#: For each place that a padded group covers, the group as it is seen from there (1000 bases to both sides).
+_SEEN = """, near as (select g.doc_id, grp, first_pos, last_pos, n_chars as last, lag(last_pos) over w before, lead(first_pos) over w behind from groups g join documents using (doc_id) window w as (partition by g.doc_id order by grp)),
+cover as (select *, unnest(range(first_pos - 5, last_pos + 6)) e from near),
+marked as (select doc_id, pos, sum(nw) over (partition by doc_id order by pos) grp from f),
+far as (select c.doc_id, c.e, min(s.pos) lo, max(s.pos) hi from cover c join marked s on s.doc_id = c.doc_id and s.grp = c.grp and s.pos between c.e - 1000 and least(c.last, c.e + 1000) where c.last_pos - c.first_pos > 900 group by 1, 2),
+ends as (select c.doc_id, c.e, coalesce(far.lo, first_pos) lo, coalesce(far.hi, last_pos) hi, case when coalesce(far.hi, last_pos) > coalesce(far.lo, first_pos) or before >= c.e - 1000 or behind <= least(last, c.e + 1000) then 5 else 0 end pad from cover c left join far on far.doc_id = c.doc_id and far.e = c.e),
+seen as (select doc_id, e, lo - pad lo, hi + pad hi from ends where e between lo - pad and hi + pad)"""
+
+
+@_query("with recursive " + _GROUPS.removeprefix("with ") + _SEEN + """, walk as (select doc_id, cast(0 as bigint) a, cast(0 as bigint) b, n_chars as last from documents where n_chars > 1
+ union all select w.doc_id, w.b + 1, case when w.b + 3000 >= w.last then w.last when s.e is null then w.b + 3000 when 2 * s.e - s.lo > s.hi then s.hi + 2 else s.lo - 1 end, w.last from walk w left join seen s on s.doc_id = w.doc_id and s.e = w.b + 3000 where w.b + 1 < w.last)
+select cast(doc_id as varchar) as chr, a as chrst, b as chrend from walk where b > 0""")
 def chromosome_partition(spark, d):
     sizes = _t(spark, d, "documents").where("n_chars > 0").select(F.col("doc_id").cast("string").alias("chr"), F.lit(1).alias("first"), F.col("n_chars").alias("last"))
     return genome.chromosome_partition(_sites(spark, d).select(F.col("doc_id").cast("string").alias("chr"), "pos"), sizes)
@@ -144,7 +135,7 @@ def _calls(spark, d) -> DataFrame:
     return _t(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("region_id"), F.col("l_orderkey").cast("string").alias("read_id"), F.col("l_linenumber").alias("grp"), F.col("l_discount").alias("log_m"), F.col("l_tax").alias("log_u"), "l_partkey")
 
 
-_ONE = "(select cast(l_suppkey as varchar) region_id, cast(l_orderkey as varchar) read_id, l_linenumber grp, arg_max(l_discount, l_partkey) log_m, arg_max(l_tax, l_partkey) log_u from (select *, row_number() over (partition by l_suppkey, l_orderkey, l_linenumber order by l_partkey desc, l_discount desc, l_tax desc) rn from lineitem) where rn = 1 group by 1, 2, 3)"
+_ONE = "(select cast(l_suppkey as varchar) region_id, cast(l_orderkey as varchar) read_id, l_linenumber grp, any_value(l_discount) log_m, any_value(l_tax) log_u from (select *, row_number() over (partition by l_suppkey, l_orderkey, l_linenumber order by l_partkey desc, l_discount desc, l_tax desc) rn from lineitem) where rn = 1 group by 1, 2, 3)"
 
 
 def _last_calls(spark, d) -> DataFrame:
@@ -152,9 +143,21 @@ def _last_calls(spark, d) -> DataFrame:
     return g.select("region_id", "read_id", "grp", "v.log_m", "v.log_u")
 
 
-@_query(f"select region_id, read_id, grp, log_m, log_u from {_ONE}")
+def _line_groups(spark, d) -> DataFrame:
+    """Groups 1..7 of each supplier's region; a line is a call of the group that its number names."""
+    return _calls(spark, d).select("region_id").distinct().select("region_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("grp")).withColumns({"first_pos": F.col("grp") * 10, "last_pos": F.col("grp") * 10 + 4})
+
+
+@_query(f"select region_id, read_id, grp, log_m, log_u from {_ONE} where grp <= 6")
 def calls_to_groups(spark, d):
-    return _last_calls(spark, d)
+    placed = _calls(spark, d).withColumns({"start": F.col("grp") * 10 - 1, "end": F.col("grp") * 10 + 3})
+    return calls.calls_on_groups(placed.drop("grp").withColumn("last", F.struct("l_partkey", "log_m", "log_u")), _line_groups(spark, d).where("grp <= 6"), order="last")
+
+
+@_query(f"select region_id, read_id, grp, case when log_m > log_u then 0.0 else -50.0 end::double log_m, case when log_m > log_u then -50.0 else 0.0 end::double log_u from {_ONE}")
+def certain_calls(spark, d):
+    placed = _calls(spark, d).withColumns({"start": F.col("grp") * 10 - 1, "end": F.col("grp") * 10 + 3})
+    return calls.calls_on_groups(placed.drop("grp").withColumn("last", F.struct("l_partkey", "log_m", "log_u")), _line_groups(spark, d), order="last", certain=True)
 
 
 @_query(f"with c as {_ONE} select region_id, round(sum(n) / 7.0, 6) as depth, round(count(*) / 7.0, 6) as perc_obs from (select region_id, grp, count(*) n from c group by 1, 2) group by 1 having sum(n) / 7.0 >= 10 and count(*) / 7.0 >= 0.66")
@@ -175,14 +178,32 @@ def sample_ex(spark, d):
     return calls.sample_ex(_last_calls(spark, d)).select("region_id", "grp", _r("ex").alias("ex"))
 
 
-@_query("""with s as (select l_linenumber grp, case when l_discount > l_tax then 1 else -1 end s, lead(case when l_discount > l_tax then 1 else -1 end) over w s2, lead(l_linenumber) over w g2
-from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_discount, l_tax))
-select 'all' as region_id, grp, round(avg(s * s2), 6) as exx from s where g2 = grp + 1 group by 2""")
+#: Reads over the calls of one big region: nations, so that a read has several groups.
+_WIDE = "(select cast(o_custkey % 20 as varchar) region_id, cast(l_orderkey as varchar) read_id, l_linenumber grp, max(l_discount) log_m, min(l_tax) log_u from lineitem join orders on l_orderkey = o_orderkey group by 1, 2, 3)"
+
+
+def _wide_calls(spark, d) -> DataFrame:
+    j = _t(spark, d, "lineitem").join(_t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.groupBy((F.col("o_custkey") % 20).cast("string").alias("region_id"), F.col("l_orderkey").cast("string").alias("read_id"), F.col("l_linenumber").alias("grp")).agg(F.max("l_discount").alias("log_m"), F.min("l_tax").alias("log_u"))
+
+
+@_query(f"""with s as (select region_id, grp, case when log_m > log_u then 1 else -1 end s, lead(case when log_m > log_u then 1 else -1 end) over w s2, lead(grp) over w g2 from {_WIDE} window w as (partition by region_id, read_id order by grp))
+select region_id, grp, round(avg(s * s2), 6) as exx from s where g2 = grp + 1 group by 1, 2""")
 def sample_exx(spark, d):
-    by = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax")
-    s = scalars.call_sign(F.col("l_discount"), F.col("l_tax"))
-    pairs = _t(spark, d, "lineitem").select(F.col("l_linenumber").alias("grp"), s.alias("s"), F.lead(s).over(by).alias("s2"), F.lead("l_linenumber").over(by).alias("g2"))
-    return pairs.where("g2 = grp + 1").groupBy("grp").agg(F.avg(F.col("s") * F.col("s2")).alias("exx")).select(F.lit("all").alias("region_id"), "grp", _r("exx").alias("exx"))
+    return calls.sample_exx(_wide_calls(spark, d)).select("region_id", "grp", _r("exx").alias("exx"))
+
+
+@_query(f"""with c as {_WIDE}, x as (select region_id, grp, avg(case when log_m > log_u then 1.0 else -1.0 end)::double ex from c group by 1, 2),
+s as (select region_id, grp, case when log_m > log_u then 1 else -1 end s, lead(case when log_m > log_u then 1 else -1 end) over w s2, lead(grp) over w g2 from c window w as (partition by region_id, read_id order by grp)),
+y as (select region_id, grp, avg(s * s2) exx from s where g2 = grp + 1 group by 1, 2),
+sites as (select region_id, g * 100 + k * 4 as pos, g grp from (select distinct region_id from c), range(1, 8) t(g), range(0, 3) u(k)),
+n as (select *, lead(pos) over (partition by region_id order by pos) next_pos, lead(grp) over (partition by region_id order by pos) ng from sites)
+select n.region_id, n.pos, n.next_pos, round(ex, 6) as ex, round(case when ng = n.grp then case when ex is not null then 1.0 end when ng = n.grp + 1 then exx end, 6) as exx from n left join x on x.region_id = n.region_id and x.grp = n.grp left join y on y.region_id = n.region_id and y.grp = n.grp""")
+def site_averages(spark, d):
+    c = _wide_calls(spark, d)
+    site = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda g: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct((g * 100 + k * 4).cast("long").alias("pos"), g.alias("grp")))))).alias("s")
+    sites = c.select("region_id").distinct().select("region_id", site).select("region_id", "s.pos", "s.grp")
+    return calls.site_averages(sites, calls.sample_ex(c), calls.sample_exx(c)).select("region_id", "pos", "next_pos", _r("ex").alias("ex"), _r("exx").alias("exx"))
 
 
 @_query(f"select region_id, grp, round(avg(case when log_m - log_u >= 0 then 1.0 else 0.0 end), 6) as p from {_ONE} group by 1, 2")
@@ -327,7 +348,9 @@ def bh_qvalues(spark, d):
     return comparison.bh(p, ["g"]).select("o_orderkey", "g", "p", _r("q").alias("q"))
 
 
-@_query()
+@_query("""with r as (select distinct cast(l_orderkey as varchar) read_id from lineitem), o as (select read_id, row_number() over (order by md5('0:' || read_id), read_id) - 1 rk, count(*) over () n from r),
+b as (select read_id, case when rk < n // 8 + n % 8 then 0 else 1 + (rk - n // 8 - n % 8) // (n // 8) end bucket from o)
+select cast(bucket as int) as bucket, count(distinct b.read_id) as reads, count(*) as rows from b join lineitem on cast(l_orderkey as varchar) = read_id group by 1""")
 def split_reads(spark, d):
     from strandloom.sources import writers
 
@@ -344,24 +367,21 @@ def pore_merge(spark, d):
     return readers.merge_pore_model(raw).select("kmer", _r("mean_u", 4).alias("mean_u"), "sd_u", _r("mean_m", 4).alias("mean_m"), "sd_m")
 
 
-@_query("select n_nationkey, coalesce(cnt, donor) as n, cnt is null as augmented from nation left join (select s_nationkey, count(*) cnt from supplier where s_acctbal > 0 group by 1) on s_nationkey = n_nationkey, (select max(cnt) donor from (select count(*) cnt from supplier where s_acctbal > 0 group by s_nationkey))")
-def augment_left(spark, d):
-    s = _t(spark, d, "supplier").where("s_acctbal > 0").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("cnt"))
-    n = _t(spark, d, "nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    donor = F.max("cnt").over(W.partitionBy())  # a row per nation
-    return n.select("n_nationkey", F.coalesce("cnt", donor).alias("n"), F.col("cnt").isNull().alias("augmented"))
-
-
 @_query("select conv_id as qname, min(turn) as first, max(turn) as last from conversations group by 1 having count(*) = 2")
 def mates(spark, d):
     r = _t(spark, d, "conversations").select(F.col("conv_id").alias("qname"), F.col("turn").alias("pos"), F.lit(0).alias("flag"), F.col("text").alias("xm"))
     return calls.mate_pairs(r).select("qname", F.col("r1.pos").alias("first"), F.col("r2.pos").alias("last"))
 
 
-@_query("select l_orderkey, l_linenumber, case when f = 0 then 'OT' else 'OB' end as strand from (select *, case when l_returnflag = 'R' then 16 else 0 end f from lineitem)")
+#: Flags of single ends and of both mates, by lines.
+_FLAGS = ((0, None, False), (16, None, False), (99, 147, True), (83, 163, True), (147, 99, True), (163, 83, True))
+
+
+@_query("select l_orderkey, l_linenumber, ['OT', 'OB', 'OT', 'OB', 'CTOT', 'CTOB'][l_partkey % 6 + 1] as strand from lineitem")
 def strand_case(spark, d):
-    flag = F.when(F.col("l_returnflag") == "R", 16).otherwise(0)
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.strand(F.lit(False), flag).alias("strand"))
+    k = (F.col("l_partkey") % 6).cast("int")
+    at = lambda i: F.get(F.array(*[F.lit(x[i]).cast("int" if i < 2 else "boolean") for x in _FLAGS]), k)
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.strand(at(2), at(0), at(1)).alias("strand"))
 
 
 @_query("select doc_id, md5(replace(text, 'an', 'aM')) as marked, len(string_split(text, 'an')) - 1 as n from documents")
@@ -405,18 +425,55 @@ def caller_metrics(spark, d):
     return m.select("tp", "fp", "tn", "fn", *[_r(c).alias(c) for c in ("accuracy", "precision", "sensitivity", "specificity")])
 
 
-@_query(f"select x as threshold, round(count(*) filter (s >= x) / count(*), 6) as share from {_SCORED}, (select unnest({_TH})::double x) group by 1")
+@_query(f"select x as threshold, round(count(*) filter (s >= x) / count(*), 6) as share, round(case when count(*) filter (s >= x) = 0 then 1 else count(*) filter (s >= x and t) / count(*) filter (s >= x) end, 6) as accuracy from {_SCORED}, (select unnest({_TH})::double x) group by 1")
 def lrt_share(spark, d):
-    e = evaluation.by_threshold(_scored(spark, d), F.col("t"), F.col("s"), _TH)
-    return e.select("threshold", _r((F.col("tp") + F.col("fp")) / (F.col("p") + F.col("n"))).alias("share"))
+    return evaluation.share_above(_scored(spark, d), F.col("s"), F.col("t"), _TH).select("threshold", _r("share").alias("share"), _r("accuracy").alias("accuracy"))
+
+
+_TUPLES = "(select l_orderkey k, l_linenumber o, l_partkey o2, l_discount - l_tax lr, case when l_discount > l_tax then 1 else -1 end c, case when l_quantity > 25 then 1 else -1 end t from lineitem)"
+
+
+def _tuples(spark, d) -> DataFrame:
+    """Calls with a ratio, what was called, and a truth, in order within an order."""
+    return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("o"), F.col("l_partkey").alias("o2"), (F.col("l_discount") - F.col("l_tax")).alias("lr"), scalars.call_sign(F.col("l_discount"), F.col("l_tax")).alias("c"), F.when(F.col("l_quantity") > 25, 1).otherwise(-1).alias("t"))
+
+
+_PAIRS = f"(select round(least(abs(lr), abs(lr2)), 6) ratio, t * t2 truth, c * c2 call from (select *, lead(lr) over w lr2, lead(t) over w t2, lead(c) over w c2 from {_TUPLES} window w as (partition by k order by o, o2, lr)) where lr2 is not null)"
+_RATIOS = [round(i / 200 + 0.0025, 4) for i in range(20)]
+
+
+@_query(f"select x as threshold, round(count(*) filter (ratio >= x) / count(*), 6) as share, round(case when count(*) filter (ratio >= x) = 0 then 1 else count(*) filter (ratio >= x and truth = call) / count(*) filter (ratio >= x) end, 6) as accuracy from {_PAIRS}, (select unnest({_RATIOS})::double x) group by 1")
+def lrt_share_pairs(spark, d):
+    p = evaluation.adjacent_pairs(_tuples(spark, d), ["k"], ["o", "o2", "lr"], F.col("lr"), F.col("t"), F.col("c"))
+    return evaluation.share_above(p, F.round("ratio", 6), F.col("truth") == F.col("call"), _RATIOS).select("threshold", _r("share").alias("share"), _r("accuracy").alias("accuracy"))
+
+
+@_query(f"select truth, call, count(*) as n from {_PAIRS} group by 1, 2")
+def adjacent_products(spark, d):
+    p = evaluation.adjacent_pairs(_tuples(spark, d), ["k"], ["o", "o2", "lr"], F.col("lr"), F.col("t"), F.col("c"))
+    return p.groupBy("truth", "call").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("select l_orderkey, l_linenumber, case when l_returnflag = 'N' then 0 when l_discount >= 0.05 then 1 else -1 end as call from lineitem")
+def thresholded_calls(spark, d):
+    score = F.when(F.col("l_returnflag") != "N", F.col("l_discount"))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", evaluation.call_at(score, 0.05).alias("call"))
 
 
 @_query(f"""with b as (select cast(floor(s * 10) as bigint) bin, count(*) n, count(*) filter (t) k from {_SCORED} group by 1)
-select bin, n, round(k / n, 6) as accuracy, cast(sum(n) over (order by bin) as bigint) as upto, round(sum(k) over (order by bin) / sum(n) over (order by bin), 6) as running from b""")
+select bin, n, round(n / sum(n) over (), 6) as share, round(k / n, 6) as accuracy, cast(sum(n) over (order by bin) as bigint) as upto, round(sum(k) over (order by bin) / sum(n) over (order by bin), 6) as running from b""")
 def lrt_interval(spark, d):
-    b = _scored(spark, d).groupBy(F.floor(F.col("s") * 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("t").cast("long")).alias("k"))
-    w = W.orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)  # a row per interval
-    return b.select("bin", "n", _r(F.col("k") / F.col("n")).alias("accuracy"), F.sum("n").over(w).alias("upto"), _r(F.sum("k").over(w) / F.sum("n").over(w)).alias("running"))
+    b = evaluation.accuracy_by_interval(_scored(spark, d), F.col("s"), F.col("t"), 0.0, 0.1)
+    return b.select("bin", "n", _r("share").alias("share"), _r("accuracy").alias("accuracy"), "upto", _r("running").alias("running"))
+
+
+@_query(f"""with b as (select cast(floor((lr + 0.005) / 0.01) as bigint) bin, count(*) n, count(*) filter (c = t) k from {_TUPLES} group by 1), s as (select bin, n / sum(n) over () share, k / n accuracy from b),
+f as (select r far, coalesce(sum(share), 0) share, (coalesce(sum(accuracy), 0) + case when r = 0 then 1 else 2 end - count(bin)) / case when r = 0 then 1 else 2 end accuracy from range(0, 9) t(r) left join s on abs(bin) = r group by r),
+g as (select 8 - far step, far, accuracy, sum(share) over (order by far desc) share from f)
+select cast(step as int) as step, round(share, 6) as share, round(sum(accuracy * share) over (order by far desc) / sum(share) over (order by far desc), 6) as accuracy from g""")
+def accuracy_curve(spark, d):
+    b = evaluation.accuracy_by_interval(_tuples(spark, d), F.col("lr"), F.col("c") == F.col("t"), -0.005, 0.01)
+    return evaluation.accuracy_curve(b, 8).select("step", _r("share").alias("share"), _r("accuracy").alias("accuracy"))
 
 
 @_query(f"select x as threshold, round(avg(case when s <= x then 1.0 else 0.0 end), 6) as share from {_SCORED}, (select unnest({_TH})::double x) group by 1")
@@ -444,7 +501,7 @@ def median_stats(spark, d):
 
 @_query("select l_returnflag, round(corr(l_quantity, l_extendedprice), 6) as r from lineitem group by 1")
 def corr_pairs(spark, d):
-    return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(_r(F.corr("l_quantity", "l_extendedprice")).alias("r"))
+    return evaluation.pearson(_t(spark, d, "lineitem"), ["l_returnflag"], F.col("l_quantity"), F.col("l_extendedprice")).select("l_returnflag", _r("r").alias("r"))
 
 
 @_query("""with e as (select vec_id, embedding::double[] v, lag(embedding::double[]) over (partition by label order by vec_id) w, label from embeddings)
@@ -456,8 +513,7 @@ def cosine_pairs(spark, d):
 
 @_query("select l_returnflag, round(avg(abs(l_discount - l_tax)), 6) as mae, round(avg((l_discount - l_tax) ** 2), 6) as mse from lineitem group by 1")
 def mae_mse(spark, d):
-    e = F.col("l_discount") - F.col("l_tax")
-    return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(_r(F.avg(F.abs(e))).alias("mae"), _r(F.avg(e * e)).alias("mse"))
+    return evaluation.errors(_t(spark, d, "lineitem"), ["l_returnflag"], F.col("l_discount"), F.col("l_tax")).select("l_returnflag", _r("mae").alias("mae"), _r("mse").alias("mse"))
 
 
 @_query("with a as (select avg(n_chars)::double theta, count(*) n from documents) select round(theta, 6) as theta, n, round(-n * (ln(theta) + 1), 4) as log_lik, round(2 + 2 * n * (ln(theta) + 1), 4) as aic from a")
@@ -465,24 +521,30 @@ def exp_mle(spark, d):
     return evaluation.exponential_fit(_t(spark, d, "documents"), F.col("n_chars")).select(_r("theta").alias("theta"), "n", _r("log_lik", 4).alias("log_lik"), _r("aic", 4).alias("aic"))
 
 
-@_query("select distinct user_id from events")
+@_query("select o_custkey as read_id from orders group by 1 having count(*) >= 1")
 def dedup_unique(spark, d):
-    return _t(spark, d, "events").select("user_id").distinct()
+    return calls.region_reads(_t(spark, d, "orders").select(F.lit("r").alias("region_id"), F.col("o_custkey").alias("read_id"))).select("read_id")
 
 
-@_query("select c_custkey as k from customer except select o_custkey from orders")
+@_query("select l_partkey, s from (select l_partkey, case when s_nationkey < 12 then 1 else 2 end s from lineitem join supplier on s_suppkey = l_suppkey group by 1, 2) where l_partkey not in (select l_partkey from lineitem join supplier on s_suppkey = l_suppkey group by 1 having count(distinct s_nationkey < 12) = 2)")
 def set_complement(spark, d):
-    return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(_t(spark, d, "orders").select("o_custkey"))
+    g = _grouped(spark, d)
+    return g.distinct().join(comparison.common_keys(g, ["l_partkey"]), "l_partkey", "left_anti").select("l_partkey", F.col("grp").alias("s"))
 
 
-@_query("select s_nationkey as k from supplier intersect select c_nationkey from customer")
+@_query("select l_suppkey as k, count(*) as n from lineitem where l_discount > 0.05 and l_suppkey in (select l_suppkey from lineitem where l_tax > 0.07) group by 1")
 def set_intersection(spark, d):
-    return _t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).intersect(_t(spark, d, "customer").select("c_nationkey"))
+    line = _t(spark, d, "lineitem")
+    one = line.where("l_discount > 0.05").groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return evaluation.paired_estimates(one, line.where("l_tax > 0.07").select(F.col("l_suppkey").alias("k"), F.lit(1).alias("n")).distinct(), ["k"], "n").select("k", F.col("x").alias("n"))
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from strandloom.plans import catalog_files, catalog_models  # noqa: F401  they register theirs
+
+    return dict(QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return dict(_ORACLES)
+    queries()
+    return dict(ORACLES)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.config import Config
+from strandloom.functions.scalars import product_moment
 from strandloom.operators import calls as C
 from strandloom.operators import comparison, genome, models
 from strandloom.session import ship
@@ -83,6 +84,8 @@ def summarise(phi: DataFrame, tables: dict[str, DataFrame], config: Config) -> d
 def analyze_nano(spark: SparkSession, calls: DataFrame, sequences: DataFrame, config: Config = Config(), targets: DataFrame | None = None, out: str | None = None) -> dict[str, DataFrame]:
     """Fit every covered region and summarise it; written as five tables if ``out`` is given."""
     ship(spark)
+    if out:
+        writers.refuse_existing(spark, writers.output_paths(out))
     tables = genome_tables(sequences, config, targets)
     on, reads = _observed(calls, tables, config)
     phi = models.fit_regions(on, tables["by_group"], reads, config.max_em_init, config.max_em_iters, config.seed)
@@ -93,9 +96,34 @@ def analyze_nano(spark: SparkSession, calls: DataFrame, sequences: DataFrame, co
     return result
 
 
+#: Readers of call files by the name of the caller that wrote them.
+CALLERS = {"nanopolish": readers.read_calls}
+
+
+def read_calls_of(spark: SparkSession, path: str | list[str], config: Config) -> DataFrame:
+    """Calls of a file by the caller that the settings name; an unknown one raises."""
+    if config.caller not in CALLERS:
+        raise ValueError(f"unknown caller: {config.caller}")
+    return CALLERS[config.caller](spark, path)
+
+
+def stored_moments(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """region_id, ex, exx recomputed from the alpha and beta of model files."""
+    ship(spark)
+    return models.moments(readers.read_models(spark, path).where("alpha is not null and beta is not null")).select("region_id", "ex", "exx")
+
+
+def yy_moments(sites: DataFrame) -> DataFrame:
+    """Sites (region_id, pos, ex, exx) with E[YY'] of each with the next, y = (x + 1) / 2."""
+    nxt = F.lead("ex").over(W.partitionBy("region_id").orderBy("pos"))
+    return sites.withColumn("next_ex", nxt).where("next_ex is not null and exx is not null").withColumn("eyy", product_moment(F.col("ex"), F.col("next_ex"), F.col("exx"))).drop("next_ex")
+
+
 def nano_smp_est(calls: DataFrame, sequences: DataFrame, config: Config = Config(), targets: DataFrame | None = None, out: str | None = None) -> DataFrame:
     """Sample averages on sites: DataFrame operators alone (but for the walk of the partition)."""
     ship(sequences.sparkSession)
+    if out:
+        writers.refuse_existing(sequences.sparkSession, writers.output_paths(out, ("ex", "exx", "theta")))
     tables = genome_tables(sequences, config, targets)
     on, _ = _observed(calls, tables, config)
     sites = C.site_averages(tables["sites"], C.sample_ex(on), C.sample_exx(on)).join(on.select("region_id").distinct(), "region_id", "left_semi")
@@ -135,6 +163,8 @@ def diff_grp_comp(spark: SparkSession, group1: list[str], group2: list[str], seq
     replicate i of either group is a pair.
     """
     ship(spark)
+    if out:
+        writers.refuse_existing(spark, writers.output_paths(out, writers.TESTS))
     parts = [readers.read_models(spark, f).withColumns({"sample": F.lit(i), "grp": F.lit(g), "rep": F.lit(i % len(group1) if g == 1 else i - len(group1))}) for g, files, at in ((1, group1, 0), (2, group2, len(group1))) for i, f in enumerate(files, at)]
     files = parts[0]
     for p in parts[1:]:
@@ -147,7 +177,6 @@ def diff_grp_comp(spark: SparkSession, group1: list[str], group2: list[str], seq
     out_tests = []
     pairs = models.model_pairs(full)
     cmd = models.divergences(pairs).where("cmd is not null and not isnan(cmd)").persist()
-    group_of = files.select("sample", "grp").distinct()
     place = values.select(*keys).distinct()
     if config.matched:
         n1 = len(group1)
@@ -155,7 +184,7 @@ def diff_grp_comp(spark: SparkSession, group1: list[str], group2: list[str], seq
         for test, col in (("tmml", "mml"), ("tnme", "nme")):
             d = rep.groupBy(*keys, "i").agg((F.max(F.when(F.col("grp") == 1, F.col(col))) - F.max(F.when(F.col("grp") == 2, F.col(col)))).alias("x")).where("x is not null")
             out_tests.append(comparison.matched_test(d, keys).select(F.lit(test).alias("test"), *keys, "stat", "p"))
-        mine = cmd.where(F.col("j") - F.col("i") == n1).groupBy("region_id", "k").agg(F.avg("cmd").alias("stat"))
+        mine = comparison.mean_divergence(cmd.where(F.col("j") - F.col("i") == n1), ["region_id", "k"])
         out_tests.append(place.join(mine, ["region_id", "k"]).select(F.lit("tcmd").alias("test"), *keys, "stat", F.lit(None).cast("double").alias("p")))
     else:
         rank = F.row_number().over(W.partitionBy(*keys).orderBy("grp", F.col("sample").cast("int"))) - 1
@@ -163,7 +192,9 @@ def diff_grp_comp(spark: SparkSession, group1: list[str], group2: list[str], seq
         for test, col in (("tmml", "mml"), ("tnme", "nme")):
             t = comparison.unmatched_test(numbered.withColumn("x", F.col(col)), keys)
             out_tests.append(t.select(F.lit(test).alias("test"), *keys, "stat", "p"))
-        out_tests.append(_divergence_test(cmd, group_of, place, keys))
+        members = values.select("region_id", "k", F.col("sample").cast("int").alias("sample"), "grp")
+        t = comparison.divergence_test(cmd, members, ["region_id", "k"])
+        out_tests.append(place.join(t, ["region_id", "k"]).select(F.lit("tcmd").alias("test"), *keys, "stat", "p"))
     diff = out_tests[0]
     for t in out_tests[1:]:
         diff = diff.unionByName(t)
@@ -173,45 +204,38 @@ def diff_grp_comp(spark: SparkSession, group1: list[str], group2: list[str], seq
     return diff
 
 
-def _divergence_test(cmd: DataFrame, group_of: DataFrame, place: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean divergence between the groups, one-sided p over relabellings of the replicates."""
-    spark = cmd.sparkSession
-    members = group_of.orderBy("sample").collect()  # a row per file
-    n, n1 = len(members), sum(r["grp"] == 1 for r in members)
-    order = {r["sample"]: i for i, r in enumerate(sorted(members, key=lambda r: (r["grp"], r["sample"])))}
-    observed = (1 << n1) - 1
-    table, denominator, exact = comparison.masks(spark, n, n1)
-    bits = [] if table is None else [r["mask"] for r in table.collect()]
-    rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    pairs = cmd.withColumns({"a": F.element_at(rank, F.col("i")), "b": F.element_at(rank, F.col("j"))})
-    each = pairs.withColumn("mask", F.explode(F.lit(sorted({*bits, observed}))))
-    split = F.expr("(shiftright(mask, a) & 1) <> (shiftright(mask, b) & 1)")
-    t = each.where(split).groupBy("region_id", "k", "mask").agg(F.avg("cmd").alias("t"))
-    obs = t.where(F.col("mask") == observed).select("region_id", "k", F.col("t").alias("stat"))
-    scored = t.join(obs, ["region_id", "k"]).groupBy("region_id", "k").agg(F.first("stat").alias("stat"), F.sum((F.col("mask").isin(*bits) if bits and not exact else F.lit(True)).cast("long") * (F.col("t") >= F.col("stat") - comparison.TIE).cast("long")).alias("hits"))
-    p = F.lit(None).cast("double") if table is None else (F.col("hits") + (0 if exact else 1)) / denominator
-    return place.join(scored, ["region_id", "k"]).select(F.lit("tcmd").alias("test"), *keys, "stat", p.alias("p"))
-
-
-def diff_two_samp_comp(spark: SparkSession, model1: DataFrame, model2: DataFrame, calls1: DataFrame | None, calls2: DataFrame | None, sequences: DataFrame, config: Config = Config()) -> DataFrame:
+def diff_two_samp_comp(spark: SparkSession, model1: DataFrame, model2: DataFrame, calls1: DataFrame | None, calls2: DataFrame | None, sequences: DataFrame, config: Config = Config(), at_sites: bool = False, out: str | None = None) -> DataFrame:
     """test, chr, start, end, stat, p, q of two samples: absolute differences and divergence.
 
+    ``at_sites``: the calls are of single sites, not of groups. ``out``: the tests are written.
     p by permuting reads between the samples: each (region, permutation) is fitted on its own,
     so both spread over the cluster. Without calls p stays null.
     """
     ship(spark)
+    if out:
+        writers.refuse_existing(spark, writers.output_paths(out, writers.TESTS))
+
+    def finish(tests: DataFrame) -> DataFrame:
+        diff = comparison.bh(tests.select("test", "chr", "start", "end", "stat", "p"), ["test"])
+        if out:
+            writers.write_diff(diff, out)
+        return diff
+
     files = model1.withColumns({"sample": F.lit(0), "grp": F.lit(1)}).unionByName(model2.withColumns({"sample": F.lit(1), "grp": F.lit(2)}))
     common = comparison.common_keys(files, ["region_id"])
     files = files.join(common, "region_id", "left_semi")
     observed = _two_sample_stats(*_site_models(files, sequences, config))
     keys = ["chr", "start", "end"]
     if calls1 is None or calls2 is None or not config.pval_comp:
-        return comparison.bh(observed.withColumn("p", F.lit(None).cast("double")).select("test", *keys, "stat", "p"), ["test"])
+        return finish(observed.withColumn("p", F.lit(None).cast("double")))
     tables = genome_tables(sequences, config)
+    # at the scale of sites a group is a site: the profile is that of sites
+    groups = tables["groups"] if not at_sites else tables["sites"].groupBy("region_id", "pos").agg(F.first("rho").alias("rho")).select("region_id", F.row_number().over(W.partitionBy("region_id").orderBy("pos")).alias("grp"), F.col("pos").alias("first_pos"), F.col("pos").alias("last_pos"), F.lit(1).cast("long").alias("n_cpg"), "rho")
+    by_unit = tables["by_site"] if at_sites else tables["by_group"]
     both = []
     for side, calls in ((0, calls1), (1, calls2)):
         hit = C.calls_in_regions(calls.withColumn("read_id", F.concat(F.lit(f"{side}:"), "read_id")), tables["regions"].join(common, "region_id", "left_semi"))
-        both.append((C.calls_on_groups(hit, tables["groups"], certain=not config.mod_nse), C.region_reads(hit)))
+        both.append((C.calls_on_groups(hit, groups, certain=not config.mod_nse), C.region_reads(hit)))
     on, reads = (both[0][i].unionByName(both[1][i]) for i in (0, 1))
     perms = reads.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(config.lmax_two_samp))))
     # ranks by a hash per permutation: the first n1 reads are the first half
@@ -220,7 +244,7 @@ def diff_two_samp_comp(spark: SparkSession, model1: DataFrame, model2: DataFrame
     halves = perms.withColumn("half", (rank > n1).cast("int")).withColumn("unit", F.concat_ws("#", "region_id", "perm", "half"))
     unit_calls = halves.join(on, ["region_id", "read_id"]).select(F.col("unit").alias("region_id"), "read_id", "grp", "log_m", "log_u")
     units = halves.select("region_id", "unit").distinct()
-    profile = units.join(tables["by_group"], "region_id").select(F.col("unit").alias("region_id"), "n", "rho", "d")
+    profile = units.join(by_unit, "region_id").select(F.col("unit").alias("region_id"), "n", "rho", "d")
     fits = models.fit_regions(unit_calls, profile, halves.select(F.col("unit").alias("region_id"), "read_id"), config.max_em_init, config.max_em_iters, config.seed).where("converged").persist()
     # read by every statistic: without it each would fit all permutations anew
     part = F.split("region_id", "#")
@@ -231,7 +255,7 @@ def diff_two_samp_comp(spark: SparkSession, model1: DataFrame, model2: DataFrame
     o = observed.select("test", *keys, "stat")
     counted = o.join(t.select("test", *keys, F.col("stat").alias("t")), ["test", *keys], "left").groupBy("test", *keys).agg(F.first("stat").alias("stat"), F.count("t").alias("n"), F.sum((F.col("t") >= F.col("stat") - comparison.TIE).cast("long")).alias("hits"))
     p = F.when(F.col("n") > 20, (F.col("hits") + 1) / (F.col("n") + 1))
-    return comparison.bh(counted.select("test", *keys, "stat", p.alias("p")), ["test"])
+    return finish(counted.withColumn("p", p))
 
 
 def _two_sample_stats(full: DataFrame, values: DataFrame, perm: bool = False) -> DataFrame:

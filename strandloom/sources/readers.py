@@ -77,3 +77,38 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 def read_caller_tuples(spark: SparkSession, path: str) -> DataFrame:
     """truth, lr, call; rows without a ratio go. gz files are read as they are."""
     return spark.read.csv(path, sep="\t", schema="truth int, lr double, call int", nullValue="n/a").dropna()
+
+
+def read_levels(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """chr, start, end, value of mml, nme, E[X] and E[XX] files, packed or not."""
+    return _tsv(spark, path, "chr string, start long, end long, value double").withColumn("value", nan_to_null(F.col("value")))
+
+
+def read_diff(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """chr, start, end, stat, p, q of a test's file; files without q, or with NaN, give null."""
+    raw = _tsv(spark, path, "chr string, start long, end long, stat double, p double, q double")
+    return raw.select("chr", "start", "end", "stat", nan_to_null(F.col("p")).alias("p"), nan_to_null(F.col("q")).alias("q"))
+
+
+def read_regions(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """chr, chrst, chrend, n_cpg, n_groups of estimation regions."""
+    return _tsv(spark, path, "chr string, chrst long, chrend long, n_cpg long, n_groups long")
+
+
+def read_region_info(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """pos, rho, d of the sites of a region, in order."""
+    return _tsv(spark, path, "pos long, rho double, d long")
+
+
+def fasta_window(sequences: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
+    """chr, start, end, seq: the bases from ``start`` to ``end`` of one record of ``read_fasta``, cut at its ends."""
+    one = sequences.where(F.col("chr") == chrom)
+    return one.select("chr", F.lit(start).alias("start"), F.least(F.lit(end), F.col("length")).alias("end"), F.substring("seq", start, end - start + 1).alias("seq"))
+
+
+def models_on_partition(models: DataFrame, partition: DataFrame) -> DataFrame:
+    """``partition`` (chr, chrst, chrend) with the model of each region; a region without one raises."""
+    keys = ["chr", "chrst", "chrend"]
+    both = partition.select(*keys).join(models.withColumn("__has", F.lit(1)), keys, "left")
+    missing = F.raise_error(F.concat_ws(" ", F.lit("no model for"), "chr", "chrst", "chrend")).cast("int")
+    return both.where(F.coalesce("__has", missing) == 1).drop("__has")
