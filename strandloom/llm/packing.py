@@ -145,20 +145,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _largest(have: list[int], room: int) -> int:
-    """The greatest remaining length of at most ``room``, or 0; ``have`` is sorted."""
-    i = bisect_right(have, room)
-    return have[i - 1] if i else 0
-
-
-def as_they_come(counts: dict[int, int], capacity: int = CAPACITY) -> Counter:
+def as_they_come(counts: dict[int, int], capacity: int = CAPACITY, order: int = 0) -> Counter:
     """Patterns of bins filled one after the other, lengths in an order that a hash gives.
 
     A bin is closed by the first length that it has no room for; a pattern is applied as often as
     the counts allow at once, so there are at most as many patterns as lengths.
     """
     left = {k: v for k, v in counts.items() if v > 0}
-    ring, bins = sorted(left, key=lambda k: (k * 0x9E3779B1 % 2**32, k)), Counter()
+    ring, bins = sorted(left, key=lambda k: ((k + 977 * order) * 0x9E3779B1 % 2**32 * (2 * order + 1) % 2**32, k)), Counter()
     while ring:
         taken = 1
         while taken < len(ring) and sum(ring[: taken + 1]) <= capacity:
@@ -183,53 +177,49 @@ def _change(p: Pattern, out: list[int], into: list[int]) -> Pattern:
     return tuple(sorted(((k, n) for k, n in c.items() if n), reverse=True))
 
 
-def _exchange(a: Pattern, b: Pattern, capacity: int) -> tuple[list[int], list[int]] | None:
-    """(from a, from b): the exchange that raises the sum of squared fills most, or None.
+class Held:
+    """Which patterns hold a size (a length, or the sum of two pieces), with the sizes in order."""
 
-    ``a`` is the fuller bin with ``room`` left: what it gains (1 to room) must be the most. A
-    move takes one of b's; one-for-one and two-for-one give shorter ones of a in return.
-    """
-    room = capacity - _fill(a)
-    best, how = 0, None
-    mine, theirs = [k for k, _ in a], sorted(k for k, _ in b)
-    many_a, many_b = dict(a), dict(b)
-
-    def offer(gain: int, out: list[int], into: list[int]) -> None:
-        nonlocal best, how
-        if best < gain <= room:
-            best, how = gain, (out, into)
-
-    if k := _largest(theirs, room):
-        offer(k, [], [k])
-    for x in mine:
-        if best == room:
-            return how
-        if (y := _largest(theirs, x + room)) > x:
-            offer(y - x, [x], [y])
-        for i, y in enumerate(theirs):  # two of b for one of a
-            if (z := _largest(theirs[i:], x + room - y)) and (z != y or many_b[y] > 1):
-                offer(y + z - x, [x], [y, z])
-    for i, x in enumerate(mine):  # two of a for one of b
-        for z in mine[i:]:
-            if best == room:
-                return how
-            if z == x and many_a[x] < 2:
-                continue
-            if (y := _largest(theirs, x + z + room)) > x + z:
-                offer(y - x - z, [x, z], [y])
-    return how
+    def __init__(self, sizes_of) -> None:
+        self.sizes_of, self.by, self.sizes = sizes_of, {}, []
+
+    def add(self, p: Pattern) -> None:
+        for k in self.sizes_of(p):
+            if k not in self.by:
+                self.by[k] = set()
+                insort(self.sizes, k)
+            self.by[k].add(p)
+
+    def drop(self, p: Pattern) -> None:
+        for k in self.sizes_of(p):
+            self.by[k].discard(p)
+            if not self.by[k]:
+                del self.by[k]
+                self.sizes.pop(bisect_right(self.sizes, k) - 1)
+
+
+def _lengths(p: Pattern) -> list[int]:
+    return [k for k, _ in p]
+
+
+def _two(p: Pattern) -> list[tuple[int, int]]:
+    """The pairs of pieces that a pattern has."""
+    return [(x, z) for i, (x, n) in enumerate(p) for z, _ in p[i:] if z != x or n > 1]
+
+
+def _sums(p: Pattern) -> set[int]:
+    return {x + z for x, z in _two(p)}
 
 
 class Underfull:
-    """The underfull bins by pattern, with the patterns that hold each length."""
+    """The underfull bins by pattern, and what they hold."""
 
     def __init__(self, bins: Counter, capacity: int) -> None:
         self.capacity, self.bins = capacity, 0
         self.full: Counter[Pattern] = Counter()
         self.times: dict[Pattern, int] = {}
         self.fill: dict[Pattern, int] = {}
-        self.holders: dict[int, set[Pattern]] = {}
-        self.lengths: list[int] = []  # sorted
+        self.one, self.two = Held(_lengths), None  # the second is made when it is needed
         self.heap: list[tuple[int, Pattern]] = []  # patterns to look at, fullest first
         for p, n in bins.items():
             self.put(p, n)
@@ -245,11 +235,9 @@ class Underfull:
             self.times[p] += n
         else:
             self.times[p], self.fill[p] = n, fill
-            for k, _ in p:
-                if k not in self.holders:
-                    self.holders[k] = set()
-                    insort(self.lengths, k)
-                self.holders[k].add(p)
+            for held in (self.one, self.two):
+                if held:
+                    held.add(p)
             heappush(self.heap, (-fill, p))
 
     def take(self, p: Pattern, n: int) -> None:
@@ -257,41 +245,47 @@ class Underfull:
         self.times[p] -= n
         if not self.times[p]:
             del self.times[p], self.fill[p]
-            for k, _ in p:
-                self.holders[k].discard(p)
-                if not self.holders[k]:
-                    del self.holders[k]
-                    self.lengths.pop(bisect_right(self.lengths, k) - 1)
+            for held in (self.one, self.two):
+                if held:
+                    held.drop(p)
 
     def may_give(self, b: Pattern, a: Pattern) -> bool:
         """Squared fill grows if a bin draws from one that isn't fuller, itself or another."""
         return self.fill[b] <= self.fill[a] and (a != b or self.times[a] > 1)
 
-    def giver(self, k: int, a: Pattern) -> Pattern | None:
-        """The emptiest bin that holds a ``k`` for ``a``."""
-        return min((b for b in self.holders.get(k, ()) if self.may_give(b, a)), key=lambda b: (self.fill[b], b), default=None)
+    def _draw(self, a: Pattern, give: list[tuple[list[int], int]], held: Held) -> tuple[list[int], int, Pattern] | None:
+        """(from a, size from b, b) of the exchange that fills ``a`` most.
 
-    def one_of_theirs(self, a: Pattern) -> tuple[list[int], list[int], Pattern] | None:
-        """(from a, from b, b): the move, one-for-one or two-for-one exchange that fills ``a`` most.
-
-        What a gives up (nothing, one or two of its pieces) asks for one piece that is longer by
-        the room at most; the longest of these, and of its holders the emptiest, is found by the
-        lengths that there are, so the partners needn't be tried one by one.
+        What a gives up asks for a size that is larger by the room at most; the largest of these,
+        and of its holders the emptiest, is found by the sizes that there are, so the partners
+        needn't be tried one by one.
         """
-        room, many = self.capacity - self.fill[a], dict(a)
-        mine = list(many)
-        give = [([], 0), *(([x], x) for x in mine), *(([x, z], x + z) for i, x in enumerate(mine) for z in mine[i:] if z != x or many[x] > 1)]
-        best, how = 0, None
+        room, best, how = self.capacity - self.fill[a], 0, None
         for out, size in give:
-            i = bisect_right(self.lengths, size + room)
-            while i and (y := self.lengths[i - 1]) - size > best:
-                if b := self.giver(y, a):
-                    best, how = y - size, (out, [y], b)
+            i = bisect_right(held.sizes, size + room)
+            while i and (y := held.sizes[i - 1]) - size > best:
+                givers = [b for b in held.by[y] if self.may_give(b, a)]
+                if givers:
+                    best, how = y - size, (out, y, min(givers, key=lambda b: (self.fill[b], b)))
                     if best == room:
                         return how
                 i -= 1
         return how
 
+    def one_of_theirs(self, a: Pattern) -> tuple[list[int], list[int], Pattern] | None:
+        """A move, one-for-one or two-for-one exchange for one piece of b: (from a, from b, b)."""
+        how = self._draw(a, [([], 0), *(([x], x) for x, _ in a), *(([x, z], x + z) for x, z in _two(a))], self.one)
+        return how and (how[0], [how[1]], how[2])
+
+    def two_of_theirs(self, a: Pattern) -> tuple[list[int], list[int], Pattern] | None:
+        """Two pieces of b for two of a, for one or for none."""
+        if self.two is None:
+            self.two = Held(_sums)
+            for p in self.times:
+                self.two.add(p)
+        how = self._draw(a, [([], 0), *(([x], x) for x, _ in a), *(([x, z], x + z) for x, z in _two(a))], self.two)
+        return how and (how[0], list(next(t for t in _two(how[2]) if sum(t) == how[1])), how[2])
+
     def apply(self, a: Pattern, out: list[int], into: list[int], b: Pattern) -> None:
         """Exchange in as many pairs of bins as both patterns have."""
         fill, n = self.fill[a], self.times[a] // 2 if a == b else min(self.times[a], self.times[b])
@@ -307,28 +301,47 @@ def local_search(bins: Counter, capacity: int = CAPACITY) -> Counter:
     """Exchange pieces between underfull bins, raising squared fill, until bins empty.
 
     The fullest underfull bin draws from emptier ones: a move, a one-for-one or a two-for-one
-    exchange. First those in which it gets one piece, found by length; where no bin has one left,
-    all pairs of bins are tried, also for two pieces in return for one. Every exchange raises the
-    sum of squared fills, so the search ends: when no packing has fewer bins, or when no pair of
-    bins has an exchange. A bin that has lost all its pieces is gone. Nothing is capped; the work
-    depends on the number of lengths, not on that of pieces.
+    exchange. First those in which it gets one piece; where no bin has one left, those in which
+    it gets two, at last also for two. Every exchange raises the sum of squared fills, so the search ends: when no
+    packing has fewer bins, or when no pair of bins has an exchange. A bin that has lost all its
+    pieces is gone. Nothing is capped; the work depends on the number of lengths, not on that of
+    pieces.
     """
     under = Underfull(bins, capacity)
     lower = -(-sum(_fill(p) * n for p, n in bins.items()) // capacity)
-    while under.bins > lower:
+    moved = True
+    while moved and under.bins > lower:
         while under.heap and under.bins > lower:
             fill, a = heappop(under.heap)
             if under.fill.get(a) == -fill and (how := under.one_of_theirs(a)):
                 under.apply(a, *how)
-        order = sorted(under.fill, key=lambda p: (-under.fill[p], p))
-        found = next(((a, *how, b) for a in order for b in reversed(order) if under.may_give(b, a) and (how := _exchange(a, b, capacity))), None) if under.bins > lower else None
-        if not found:
-            break
-        under.apply(*found)
+        moved = False
+        for a in sorted(under.fill, key=lambda p: (-under.fill[p], p)):
+            if under.bins <= lower:
+                break
+            if a in under.fill and (how := under.two_of_theirs(a)):
+                under.apply(a, *how)
+                moved = True
         under.heap = sorted((-f, p) for p, f in under.fill.items())
     return under.full + Counter(under.times)
 
 
+#: Orders of lengths that the search starts from, until one reaches the least that there can be.
+ORDERS = 8
+
+
+def packed(counts: dict[int, int], capacity: int = CAPACITY, orders: int = ORDERS) -> Counter:
+    """The best of local searches from bins filled in several orders."""
+    lower, best = -(-sum(k * n for k, n in counts.items()) // capacity), None
+    for order in range(orders):
+        bins = local_search(as_they_come(counts, capacity, order), capacity)
+        if best is None or sum(bins.values()) < sum(best.values()):
+            best = bins
+        if sum(best.values()) <= lower:
+            break
+    return best
+
+
 def places(bins: Counter) -> dict[int, list[tuple[int, int, int, int, int]]]:
     """By length, its ranges of ranks: (first rank, first sequence, bins, offset of the first copy, copies)."""
     out: dict[int, list[tuple[int, int, int, int, int]]] = {}
@@ -351,7 +364,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     kept = scratch(pieces, "pieces")
     counts = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    table = places(local_search(as_they_come(counts, capacity), capacity))
+    table = places(packed(counts, capacity))
     shared = pieces.sparkSession.sparkContext.broadcast({k: np.asarray(v, np.int64) for k, v in table.items()})
     ranked = salted_rank(kept, ["length"], ["doc_id", "piece"], "rank")
     names = kept.columns
