@@ -186,7 +186,8 @@ def fit_em(log_u: np.ndarray, log_m: np.ndarray, n: np.ndarray, rho: np.ndarray,
     The M-step matches the sufficient statistics by damped Newton, whose Jacobian is their
     covariance by differences of the exact expectations. The best of several random starts
     counts, by the likelihood of at most ``most_reads`` reads; a start must converge within
-    ``iters``. All starts are stepped at once.
+    ``iters``, to moments that match but for 1 % of their range (a start where all is saturated
+    doesn't move either). All starts are stepped at once.
     """
     rng = np.random.default_rng(seed)
     seen = ~np.isnan(log_u)
@@ -206,17 +207,21 @@ def fit_em(log_u: np.ndarray, log_m: np.ndarray, n: np.ndarray, rho: np.ndarray,
         _, p, exx, _, _ = expectations(fields(a), b)
         return stats(p, exx)
 
+    reach = np.asarray([n.sum(), np.abs(n * rho).sum(), inv_d.sum()])
     phi = np.asarray([[rng.integers(-500, 501) / 100, rng.uniform(-50, 50), rng.uniform(0, 10)] for _ in range(starts)]).reshape(-1, 3)
     done, going = np.zeros(starts, bool), np.arange(starts)
     for it in range(iters):
         a, b = parameters(phi[going])
         _, p, exx, _, _ = expectations(fields(a)[:, None] + evidence, b[:, None])
-        new = _match(phi[going], stats(p, exx).mean(axis=1), moments, limit)
+        target = stats(p, exx).mean(axis=1)
+        new = _match(phi[going], target, moments, limit)
         moved = np.linalg.norm(new - phi[going], axis=1)
         phi[going] = new
         if it:
-            done[going] = moved <= tol
-            going = going[moved > tol]
+            still = moved <= tol
+            off = np.abs(_free(new, moments(new) - target, limit)) > 0.01 * reach
+            done[going] = still & ~off.any(axis=1)
+            going = going[~still]
         if not len(going):
             break
     if not done.any():
@@ -226,10 +231,16 @@ def fit_em(log_u: np.ndarray, log_m: np.ndarray, n: np.ndarray, rho: np.ndarray,
     return Fit(phi[done][q.argmax()], float(q.max()), True)
 
 
+def _free(x: np.ndarray, gap: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """``gap`` without what the box holds back: parameters at a bound that are drawn beyond it."""
+    return np.where(((x >= limit) & (gap < 0)) | ((x <= -limit) & (gap > 0)), 0.0, gap)
+
+
 def _match(phi: np.ndarray, target: np.ndarray, moments, limit: np.ndarray, steps: int = 20, tol: float = 1e-3) -> np.ndarray:
-    """Rows of phi whose moments are ``target``'s, each by its own damped Newton steps."""
+    """Rows of phi whose moments are ``target``'s as far as the box lets them, each by its own damped
+    Newton steps of the parameters that aren't held at a bound. No step is longer than the box."""
     x = phi.copy()
-    gap = moments(x) - target
+    gap = _free(x, moments(x) - target, limit)
     on = np.flatnonzero(np.abs(gap).max(axis=1) >= tol)
     for _ in range(steps):
         if not len(on):
@@ -238,11 +249,14 @@ def _match(phi: np.ndarray, target: np.ndarray, moments, limit: np.ndarray, step
         shift = h[:, :, None] * np.eye(3)
         sides = moments(np.concatenate([x[on][:, None] + shift, x[on][:, None] - shift], axis=1).reshape(-1, 3)).reshape(len(on), 6, 3)  # all six of all rows in one batch
         jac = ((sides[:, :3] - sides[:, 3:]) / (2 * h[:, :, None])).transpose(0, 2, 1)
+        held = (gap[on] == 0) & (np.abs(x[on]) >= limit)
+        jac = np.where(held[:, :, None] | held[:, None, :], held[:, :, None] * np.eye(3), jac)
         step = (np.linalg.pinv(jac + 1e-9 * np.eye(3)) @ gap[on][:, :, None])[:, :, 0]
+        step /= np.maximum(1, np.abs(step / limit).max(axis=1))[:, None]
         left, better, scale = np.arange(len(on)), np.zeros(len(on), bool), 1.0
-        while len(left) and scale > 1e-3:
+        while len(left) and scale > 1e-4:
             y = np.clip(x[on[left]] - scale * step[left], -limit, limit)
-            then = moments(y) - target[on[left]]
+            then = _free(y, moments(y) - target[on[left]], limit)
             good = np.linalg.norm(then, axis=1) < np.linalg.norm(gap[on[left]], axis=1)
             rows = on[left[good]]
             x[rows], gap[rows], better[left[good]] = y[good], then[good], True

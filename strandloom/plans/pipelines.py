@@ -10,7 +10,7 @@ from strandloom.config import Config
 from strandloom.functions.scalars import product_moment
 from strandloom.operators import calls as C
 from strandloom.operators import comparison, genome, models
-from strandloom.session import ship
+from strandloom.session import settled, ship
 from strandloom.sources import readers, writers
 
 
@@ -89,8 +89,8 @@ def analyze_nano(spark: SparkSession, calls: DataFrame, sequences: DataFrame, co
     tables = genome_tables(sequences, config, targets)
     on, reads = _observed(calls, tables, config)
     phi = models.fit_regions(on, tables["by_group"], reads, config.max_em_init, config.max_em_iters, config.seed)
-    # every result reads the fits, by far the dearest step; what is lost is fitted anew from the same seeds
-    result = summarise(phi.persist().where("converged"), tables, config)
+    # every result reads the fits, by far the dearest step
+    result = summarise(settled(phi.where("converged")), tables, config)
     if out:
         writers.write_outputs(result["models"], result["sites"], result["analysis"], out)
     return result
@@ -150,10 +150,10 @@ def _site_models(files: DataFrame, sequences: DataFrame, config: Config) -> tupl
     sites = genome.site_distances(inside, "region_id")
     v = F.sort_array(F.collect_list(F.struct("pos", F.lit(1.0).alias("n"), "rho", F.coalesce(F.col("d_next").cast("double"), F.lit(0.0)).alias("d"))))
     by_site = sites.groupBy("region_id").agg(v.alias("v")).where(F.size("v") > 1).select("region_id", *[_pluck(c).alias(c) for c in ("n", "rho", "d")])
-    full = models.alphas(files.drop("alpha", "beta").join(by_site, "region_id")).join(analysis_pieces(sites, config.max_size_subreg + 1), "region_id")
+    full = settled(models.alphas(files.drop("alpha", "beta").join(by_site, "region_id")).join(analysis_pieces(sites, config.max_size_subreg + 1), "region_id"))
     s = models.summaries(full, ("sample", "grp", "region_id")).join(full.select("region_id", "chr", "starts", "ends").distinct(), "region_id")
     values = s.select("sample", "grp", "region_id", "chr", F.posexplode(F.arrays_zip("starts", "ends", "mml", "nme")).alias("k", "v")).select("sample", F.col("grp").cast("int").alias("grp"), "region_id", "chr", "k", F.col("v.starts").alias("start"), F.col("v.ends").alias("end"), "v.mml", "v.nme")
-    return full, values.where("mml is not null")
+    return full, settled(values.where("mml is not null"))
 
 
 def diff_grp_comp(spark: SparkSession, group1: list[str], group2: list[str], sequences: DataFrame, config: Config = Config(), out: str | None = None) -> DataFrame:
@@ -172,11 +172,10 @@ def diff_grp_comp(spark: SparkSession, group1: list[str], group2: list[str], seq
     full, values = _site_models(files, sequences, config)
     keys = ["region_id", "chr", "k", "start", "end"]
     both = comparison.common_keys(values, keys)
-    # each is read by several tests; a lost executor's share is computed anew
-    values = values.join(both, keys, "left_semi").persist()
+    values = settled(values.join(both, keys, "left_semi"))
     out_tests = []
     pairs = models.model_pairs(full)
-    cmd = models.divergences(pairs).where("cmd is not null and not isnan(cmd)").persist()
+    cmd = settled(models.divergences(pairs).where("cmd is not null and not isnan(cmd)"))
     place = values.select(*keys).distinct()
     if config.matched:
         n1 = len(group1)
@@ -198,7 +197,7 @@ def diff_grp_comp(spark: SparkSession, group1: list[str], group2: list[str], seq
     diff = out_tests[0]
     for t in out_tests[1:]:
         diff = diff.unionByName(t)
-    diff = comparison.bh(diff.drop("region_id", "k"), ["test"])
+    diff = comparison.bh(settled(diff.drop("region_id", "k")), ["test"])
     if out:
         writers.write_diff(diff, out)
     return diff
@@ -216,7 +215,7 @@ def diff_two_samp_comp(spark: SparkSession, model1: DataFrame, model2: DataFrame
         writers.refuse_existing(spark, writers.output_paths(out, writers.TESTS))
 
     def finish(tests: DataFrame) -> DataFrame:
-        diff = comparison.bh(tests.select("test", "chr", "start", "end", "stat", "p"), ["test"])
+        diff = comparison.bh(settled(tests.select("test", "chr", "start", "end", "stat", "p")), ["test"])
         if out:
             writers.write_diff(diff, out)
         return diff
@@ -224,7 +223,7 @@ def diff_two_samp_comp(spark: SparkSession, model1: DataFrame, model2: DataFrame
     files = model1.withColumns({"sample": F.lit(0), "grp": F.lit(1)}).unionByName(model2.withColumns({"sample": F.lit(1), "grp": F.lit(2)}))
     common = comparison.common_keys(files, ["region_id"])
     files = files.join(common, "region_id", "left_semi")
-    observed = _two_sample_stats(*_site_models(files, sequences, config))
+    observed = settled(_two_sample_stats(*_site_models(files, sequences, config)))
     keys = ["chr", "start", "end"]
     if calls1 is None or calls2 is None or not config.pval_comp:
         return finish(observed.withColumn("p", F.lit(None).cast("double")))
@@ -245,8 +244,8 @@ def diff_two_samp_comp(spark: SparkSession, model1: DataFrame, model2: DataFrame
     unit_calls = halves.join(on, ["region_id", "read_id"]).select(F.col("unit").alias("region_id"), "read_id", "grp", "log_m", "log_u")
     units = halves.select("region_id", "unit").distinct()
     profile = units.join(by_unit, "region_id").select(F.col("unit").alias("region_id"), "n", "rho", "d")
-    fits = models.fit_regions(unit_calls, profile, halves.select(F.col("unit").alias("region_id"), "read_id"), config.max_em_init, config.max_em_iters, config.seed).where("converged").persist()
-    # read by every statistic: without it each would fit all permutations anew
+    # read by every statistic: each would fit all permutations anew
+    fits = settled(models.fit_regions(unit_calls, profile, halves.select(F.col("unit").alias("region_id"), "read_id"), config.max_em_init, config.max_em_iters, config.seed).where("converged"))
     part = F.split("region_id", "#")
     info = tables["regions"].select("region_id", "chr", "chrst", "chrend")
     null = fits.select(part[0].alias("region_id"), part[1].alias("perm"), part[2].cast("int").alias("sample"), "phi").join(info, "region_id").withColumn("grp", F.col("sample") + 1)

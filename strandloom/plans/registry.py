@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.session import shared_folder
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -37,10 +38,7 @@ def rounded(c: Column | str, n: int = 6) -> Column:
 
 def written(spark: SparkSession, name: str) -> str:
     """A new folder for files that a query writes and reads back, in the shared checkpoint folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = f"{(named or '/tmp/strandloom-checkpoints').rstrip('/')}/strandloom-files/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/strandloom-files/{name}-{uuid.uuid4().hex}"
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return path
