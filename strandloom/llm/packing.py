@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -178,21 +178,21 @@ def _change(p: Pattern, out: list[int], into: list[int]) -> Pattern:
 
 
 class Held:
-    """Which patterns hold a size (a length, or the sum of two pieces), with the sizes in order."""
+    """Which patterns hold a size (a length, or the sum of two pieces), emptiest first, with the sizes in order."""
 
     def __init__(self, sizes_of) -> None:
         self.sizes_of, self.by, self.sizes = sizes_of, {}, []
 
-    def add(self, p: Pattern) -> None:
+    def add(self, p: Pattern, fill: int) -> None:
         for k in self.sizes_of(p):
             if k not in self.by:
-                self.by[k] = set()
+                self.by[k] = []
                 insort(self.sizes, k)
-            self.by[k].add(p)
+            insort(self.by[k], (fill, p))
 
-    def drop(self, p: Pattern) -> None:
+    def drop(self, p: Pattern, fill: int) -> None:
         for k in self.sizes_of(p):
-            self.by[k].discard(p)
+            self.by[k].pop(bisect_left(self.by[k], (fill, p)))
             if not self.by[k]:
                 del self.by[k]
                 self.sizes.pop(bisect_right(self.sizes, k) - 1)
@@ -237,21 +237,26 @@ class Underfull:
             self.times[p], self.fill[p] = n, fill
             for held in (self.one, self.two):
                 if held:
-                    held.add(p)
+                    held.add(p, fill)
             heappush(self.heap, (-fill, p))
 
     def take(self, p: Pattern, n: int) -> None:
         self.bins -= n
         self.times[p] -= n
         if not self.times[p]:
-            del self.times[p], self.fill[p]
             for held in (self.one, self.two):
                 if held:
-                    held.drop(p)
+                    held.drop(p, self.fill[p])
+            del self.times[p], self.fill[p]
 
-    def may_give(self, b: Pattern, a: Pattern) -> bool:
-        """Squared fill grows if a bin draws from one that isn't fuller, itself or another."""
-        return self.fill[b] <= self.fill[a] and (a != b or self.times[a] > 1)
+    def giver(self, holders: list[tuple[int, Pattern]], a: Pattern) -> Pattern | None:
+        """The emptiest holder that may give: squared fill grows if a bin draws from another that isn't fuller."""
+        for fill, b in holders[:2]:  # the second, if the first is the bin itself
+            if fill > self.fill[a]:
+                return None
+            if a != b or self.times[a] > 1:
+                return b
+        return None
 
     def _draw(self, a: Pattern, give: list[tuple[list[int], int]], held: Held) -> tuple[list[int], int, Pattern] | None:
         """(from a, size from b, b) of the exchange that fills ``a`` most.
@@ -264,9 +269,8 @@ class Underfull:
         for out, size in give:
             i = bisect_right(held.sizes, size + room)
             while i and (y := held.sizes[i - 1]) - size > best:
-                givers = [b for b in held.by[y] if self.may_give(b, a)]
-                if givers:
-                    best, how = y - size, (out, y, min(givers, key=lambda b: (self.fill[b], b)))
+                if giver := self.giver(held.by[y], a):
+                    best, how = y - size, (out, y, giver)
                     if best == room:
                         return how
                 i -= 1
@@ -282,7 +286,7 @@ class Underfull:
         if self.two is None:
             self.two = Held(_sums)
             for p in self.times:
-                self.two.add(p)
+                self.two.add(p, self.fill[p])
         how = self._draw(a, [([], 0), *(([x], x) for x, _ in a), *(([x, z], x + z) for x, z in _two(a))], self.two)
         return how and (how[0], list(next(t for t in _two(how[2]) if sum(t) == how[1])), how[2])
 
