@@ -330,19 +330,36 @@ def local_search(bins: Counter, capacity: int = CAPACITY) -> Counter:
     return under.full + Counter(under.times)
 
 
-#: Orders of lengths that the search starts from, until one reaches the least that there can be.
-ORDERS = 8
+#: A stuck search opens its underfull bins and one of so many patterns of full ones, so many times.
+OPENED = 64
+ROUNDS = 32
 
 
-def packed(counts: dict[int, int], capacity: int = CAPACITY, orders: int = ORDERS) -> Counter:
-    """The best of local searches from bins filled in several orders."""
-    lower, best = -(-sum(k * n for k, n in counts.items()) // capacity), None
-    for order in range(orders):
-        bins = local_search(as_they_come(counts, capacity, order), capacity)
-        if best is None or sum(bins.values()) < sum(best.values()):
-            best = bins
+def _pieces(bins: Counter) -> Counter:
+    counts: Counter[int] = Counter()
+    for p, n in bins.items():
+        for k, copies in p:
+            counts[k] += copies * n
+    return counts
+
+
+def packed(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, opened: int = OPENED) -> Counter:
+    """A local search, and more of them on a part of the bins as long as there are more than must be.
+
+    Where no exchange is left, the underfull bins and those of one in ``opened`` patterns of full
+    ones (by a hash, others each round) are filled anew, their lengths in another order, and
+    searched. The outcome replaces them unless it has more bins. The rest are full, so once the
+    part needs no more bins than it must, no packing of all has fewer. Ends there or after ``rounds``.
+    """
+    best = local_search(as_they_come(counts, capacity), capacity)
+    lower = -(-sum(k * n for k, n in counts.items()) // capacity)
+    for order in range(1, rounds):
         if sum(best.values()) <= lower:
             break
+        part = Counter({p: n for p, n in best.items() if _fill(p) < capacity or zlib.crc32(repr((order, p)).encode()) % opened == 0})
+        anew = local_search(as_they_come(_pieces(part), capacity, order), capacity)
+        if sum(anew.values()) <= sum(part.values()):
+            best = best - part + anew
     return best
 
 

@@ -637,6 +637,19 @@ def test_the_exchanges_pack(sf_dir):
     assert used_up(got, 4096) == counts and sum(got.values()) == -(-sum(k * n for k, n in counts.items()) // 4096) < 0.9 * sum(start.values())
 
 
+def test_stuck_searches_open_full_bins():
+    """Never more bins than the first search leaves, fewer over all, each piece packed once."""
+    r, first, last = random.Random(5), 0, 0
+    for _ in range(12):
+        counts = Counter(r.randint(15, 60) for _ in range(r.randint(60, 120)))
+        once, got = packing.packed(counts, 100, rounds=1), packing.packed(counts, 100, opened=3)
+        assert used_up(got, 100) == counts
+        assert -(-sum(counts.elements()) // 100) <= sum(got.values()) <= sum(once.values())
+        first, last = first + sum(once.values()), last + sum(got.values())
+    assert last < first
+    assert packing.packed({}, 100) == Counter() and packing.packed({7: 3}, 7) == Counter({((7, 1),): 3})
+
+
 def test_packing(docs, empty):
     path = queries.tokenizer_path(queries.PACK_TOKENIZER)
     got = packing.pack_documents(docs, path, with_ids=True).collect()
