@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each over its whole table, with production parameters."""
+"""The registered queries of the thirteen operators: each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import chat, decontaminate, jaccard, packing, passages, quality, secrets, sharding, tokens, toxicity
+from strandloom.llm import bytepairs, chat, decontaminate, jaccard, packing, passages, phrases, quality, runs, secrets, sharding, tokens, toxicity
 from strandloom.session import ship
 
 #: Files of public tokenizers; the names can be any that ``public_tokenizers.path`` knows.
-COUNT_VOCABULARY, PACK_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
+COUNT_VOCABULARY, PACK_TOKENIZER, BYTE_RANKS = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_path(name: str) -> str:
@@ -72,6 +72,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), tails=True)
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bytepairs.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_RANKS), public_tokenizers.PATTERN)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_substring_dedup, op3_quality_rules, op4_jaccard_join, op5_decontamination, op6_toxicity, op7_best_fit_packing, op8_chat_formatting, op9_secret_scans, op10_sharding, pipeline)
+    own = (op1_token_counts, op2_substring_dedup, op3_quality_rules, op4_jaccard_join, op5_decontamination, op6_toxicity, op7_best_fit_packing, op8_chat_formatting, op9_secret_scans, op10_sharding, op11_periodic_runs, op12_phrase_collocations, op13_byte_pairs, pipeline)
     return {f.__name__: f for f in own}
 
 
