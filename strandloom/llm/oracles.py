@@ -1,7 +1,7 @@
-"""DuckDB SQL of the operators that SQL can express: quality rules and chat formatting.
+"""DuckDB SQL of the operators that SQL can express: quality rules, chat formatting and phrases.
 
 The others have none: greedy pieces, chains, MinHash posteriors, alignments, boosted trees, token
-ids, local searches, linked spans and propagation are tested against brute force instead.
+ids, local searches, linked spans, propagation, runs and byte pairs are tested against brute force instead.
 """
 
 from __future__ import annotations
@@ -71,3 +71,19 @@ from digest d join chars c on d.conv_id is not distinct from c.conv_id
 """
 
 ORACLES: dict[str, str] = {"op3_quality_rules": QUALITY, "op8_chat_formatting": CHAT}
+
+#: Phrases of pieces, counted by language; cuts scored in 128-bit numbers.
+_PIECES = """with t as (select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) p from documents where text is not null),
+w as (select lang, regexp_extract_all(p, '[^\\x20\\x09]+') w from t),
+g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from w, (select unnest([1, 2, 3]) k))),
+f as (select lang, k, phrase, count(*) f from g group by 1, 2, 3),
+n as (select lang, cast(sum(f) as bigint) n from f where k = 1 group by 1),
+c as (select lang, k, phrase, f a, string_split(phrase, ' ') w from f where k > 1 and f >= 10),
+cuts as (select lang, k, phrase, a, j, array_to_string(w[1:j], ' ') l, array_to_string(w[j + 1:], ' ') r from (select *, unnest(range(1, k)) j from c)),
+s as (select c.lang, c.k, c.phrase, c.a, c.j, x.f l, y.f r, cast((1000000::hugeint * c.a * c.a) // (x.f::hugeint * y.f) as bigint) score from cuts c
+ join f x on x.lang = c.lang and x.phrase = c.l and x.k = c.j join f y on y.lang = c.lang and y.phrase = c.r and y.k = c.k - c.j),
+best as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+inside as (select lang, phrase, max(a) longer from (select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) phrase from c where k = 3) group by 1, 2),
+kept as (select b.*, row_number() over (partition by b.lang order by b.score desc, b.a desc, b.phrase) as rank from best b left join inside i on i.lang = b.lang and i.phrase = b.phrase where longer is null or 100 * longer < 50 * b.a)"""
+
+ORACLES["op12_phrase_collocations"] = _PIECES + " select lang, rank, phrase, a, l, r, n, score from kept join n using (lang) where rank <= 2000"
