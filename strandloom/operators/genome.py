@@ -2,51 +2,90 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandloom.operators import scans
+from strandloom.session import settled, ship
 
-def motif_positions(df: DataFrame, key: str, seq: str, pattern: str = "[Cc][Gg]", width: int = 2) -> DataFrame:
-    """key, n (from 0), pos of every leftmost non-overlapping match: split, then running lengths."""
-    pieces = F.split(F.col(seq), pattern, -1)
-    ends = df.select(key, F.posexplode(F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda x: F.length(x) + width)).alias("n", "len"))
-    upto = W.partitionBy(key).orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return ends.select(key, "n", (F.sum("len").over(upto) - width + 1).cast("long").alias("pos"))
 
+def motif_positions(df: DataFrame, key: str, seq: str, pattern: str = "[Cc][Gg]", width: int = 2, tile: int = scans.BLOCK) -> DataFrame:
+    """key, n (from 0), pos of every leftmost non-overlapping match of a pattern of ``width`` characters.
 
-def gap_groups(sites: DataFrame, key: str, min_dist: int = 10, pad: int = 5) -> DataFrame:
+    Sequences are searched in tiles that reach ``width`` - 1 characters into the next, whose search begins
+    behind a match that does. Numbers are those in the tile and the matches of all tiles before.
+    """
+    found = tile_matches(scans.tiles(df, key, seq, width - 1, tile), key, pattern, width, tile)
+    counts = found.groupBy(key, "tile").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = W.partitionBy(key).orderBy("tile").rowsBetween(W.unboundedPreceding, -1)
+    carry = counts.select(key, "tile", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__carry"))
+    return found.join(carry, [key, "tile"]).select(key, (F.col("i") + F.col("__carry")).cast("int").alias("n"), "pos")
+
+
+def tile_matches(cut: DataFrame, key: str, pattern: str, width: int = 2, tile: int = scans.BLOCK) -> DataFrame:
+    """key, tile, i (from 0 in its tile), pos of the matches in the tiles (key, tile, text) of sequences."""
+    # a tile is searched from each place where the one before may have ended
+    places = lambda o: F.transform(F.split(F.substring("text", o + 1, 1 << 30), pattern, -1), F.length)
+    held = cut.where("text is not null").select(key, "tile", F.array(*[places(o) for o in range(width)]).alias("p"), F.length("text").alias("__size"))
+    ends = F.array(*[F.greatest(F.lit(0), F.col("__size") - F.element_at(F.get("p", F.lit(o)), -1) - tile) for o in range(width)])
+    held = held.withColumn("f", ends)
+    # only where a match of a later tile could overlap one before does the entry matter
+    step = lambda s, x: F.struct(F.get(x.f, s.at).alias("at"), F.concat(s.all, F.array(F.struct(x.tile.alias("tile"), s.at.alias("entry")))).alias("all"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<tile:bigint,entry:int>>").alias("all"))
+    moved = held.where(F.array_max("f") > 0).select(key).distinct()
+    walk = held.join(moved, key, "left_semi").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("tile", "f"))).alias("v"))
+    entry = walk.select(key, F.explode(F.aggregate("v", start, step, lambda s: s.all)).alias("e")).select(key, "e.tile", "e.entry").where("entry > 0")
+    chosen = held.join(entry, [key, "tile"], "left").withColumn("entry", F.coalesce("entry", F.lit(0))).select(key, "tile", "entry", F.get("p", F.col("entry")).alias("p"))
+    rows = chosen.select(key, "tile", "entry", F.posexplode(F.slice("p", 1, F.size("p") - 1)).alias("i", "len"))
+    upto = W.partitionBy(key, "tile").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.select(key, "tile", "i", (F.col("tile") * tile + F.col("entry") + F.sum(F.col("len") + width).over(upto) - width + 1).cast("long").alias("pos"))
+
+
+def gap_groups(sites: DataFrame, key: str, min_dist: int = 10, pad: int = 5, block: int = scans.BLOCK) -> DataFrame:
     """key, grp (from 1), grp_start, grp_end, n_cpg, first_pos, last_pos: a gap over ``min_dist`` starts a group.
 
-    Intervals are padded by ``pad``; a key with a single site keeps it unpadded.
+    Intervals are padded by ``pad``; a key with a single site keeps it unpadded. Groups are numbered by
+    a scan over blocks, so one that crosses blocks is one group.
     """
-    by = W.partitionBy(key).orderBy("pos")
-    new = F.when(F.col("pos") - F.lag("pos").over(by) <= min_dist, 0).otherwise(1)
-    marked = sites.select(key, "pos", new.alias("new")).select(key, "pos", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)).cast("int").alias("grp"))
-    g = marked.groupBy(key, "grp").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("n_cpg"))
-    lone = F.sum("n_cpg").over(W.partitionBy(key)) == 1
-    edge = F.when(lone, 0).otherwise(pad)
+    marked = _marked(sites.select(key, "pos"), key, min_dist, block)
+    g = marked.groupBy(key, "grp").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("n_cpg"), F.max("alone").alias("alone"))
+    edge = F.when(F.col("alone"), 0).otherwise(pad)
     return g.select(key, "grp", (F.col("first_pos") - edge).alias("grp_start"), (F.col("last_pos") + edge).alias("grp_end"), "n_cpg", "first_pos", "last_pos")
 
 
-def site_distances(sites: DataFrame, key: str) -> DataFrame:
+def _marked(sites: DataFrame, key: str, min_dist: int, block: int) -> DataFrame:
+    """Adds before, after (neighbouring sites), grp, and alone: the key's only site."""
+    near = scans.scanned(sites, key, "pos", width=block).drop("upto")
+    new = F.when(F.col("pos") - F.col("before") <= min_dist, 0).otherwise(1)
+    kept = near.withColumns({"__before": F.col("before"), "__after": F.col("after"), "__new": new})
+    out = scans.scanned(kept, key, "pos", F.col("__new"), block)
+    return out.select(*sites.columns, F.col("__before").alias("before"), F.col("__after").alias("after"), F.col("upto").cast("int").alias("grp"), (F.col("__before").isNull() & F.col("__after").isNull()).alias("alone"))
+
+
+def site_distances(sites: DataFrame, key: str, block: int = scans.BLOCK) -> DataFrame:
     """Adds d_next: distance to the next site, null at the end."""
-    return sites.withColumn("d_next", F.lead("pos").over(W.partitionBy(key).orderBy("pos")) - F.col("pos"))
+    return scans.scanned(sites, key, "pos", width=block).withColumn("d_next", F.col("after") - F.col("pos")).drop("before", "after", "upto")
 
 
-def group_distances(groups: DataFrame, key: str) -> DataFrame:
+def group_distances(groups: DataFrame, key: str, block: int = scans.BLOCK) -> DataFrame:
     """Adds d_next: from a group's last site to the next group's first."""
-    return groups.withColumn("d_next", F.lead("first_pos").over(W.partitionBy(key).orderBy("grp")) - F.col("last_pos"))
+    return scans.scanned(groups, key, "first_pos", width=block).withColumn("d_next", F.col("after") - F.col("last_pos")).drop("before", "after", "upto")
 
 
-def site_density(sites: DataFrame, key: str, half: int = 500) -> DataFrame:
+def site_density(sites: DataFrame, key: str, half: int = 500, block: int = scans.BLOCK) -> DataFrame:
     """Adds rho: sites wholly inside pos - half - 1 .. pos + half - 1, per 2 * half bases.
 
     The window lies one base to the left (the offset of a site in its context is counted from 0).
+    Blocks get the sites within reach of their ends too, and count on their own.
     """
-    near = W.partitionBy(key).orderBy("pos").rangeBetween(-half - 1, half - 2)
-    return sites.withColumn("rho", F.count(F.lit(1)).over(near) / (2.0 * half))
+    b = lambda x: F.floor(x / block)
+    dealt = sites.withColumn("__b", F.explode(F.sequence(b(F.col("pos") - half - 1), b(F.col("pos") + half + 1))))
+    near = W.partitionBy(key, "__b").orderBy("pos").rangeBetween(-half - 1, half - 2)
+    return dealt.withColumn("rho", F.count(F.lit(1)).over(near) / (2.0 * half)).where(F.col("__b") == b(F.col("pos"))).drop("__b")
 
 
 def region_density(sites: DataFrame, regions: DataFrame, chr_size: Column, half: int = 500) -> DataFrame:
@@ -93,39 +132,86 @@ def assign_pieces(sites: DataFrame, start: Column, end: Column, max_size: int =
     return sites.withColumn("k", (F.least(k, n - 1) + 1).cast("int"))
 
 
-def chromosome_partition(sites: DataFrame, sizes: DataFrame, size: int = 3000, min_dist: int = 10) -> DataFrame:
+def _edges(e: np.ndarray, pos: np.ndarray, last: int, min_dist: int) -> np.ndarray:
+    """Where a region that would end at ``e`` ends, so that it cuts no group of the sites within 1000 bases."""
+    n = len(pos)
+    if not n:
+        return e
+    new = np.ones(n, bool)
+    new[1:] = np.diff(pos) > min_dist
+    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    ends = np.append(np.flatnonzero(new)[1:], n) - 1
+    behind = ends[np.cumsum(new) - 1]
+    lo, hi = np.searchsorted(pos, e - 1000, "left"), np.searchsorted(pos, np.minimum(last, e + 1000), "right") - 1
+    pad = np.where(hi > lo, 5, 0)
+    # the first site whose padded end is not before e: of the groups that hold e the first is its
+    j = np.maximum(np.searchsorted(pos, e - pad, "left"), lo)
+    has = j <= hi
+    j = np.minimum(j, n - 1)
+    a = pos[np.minimum(np.maximum(first[j], lo), n - 1)] - pad
+    b = pos[np.minimum(behind[j], np.maximum(hi, 0))] + pad
+    return np.where(has & (a <= e), np.where(2 * e - a > b, b + 2, a - 1), e)
+
+
+def chromosome_partition(sites: DataFrame, sizes: DataFrame, size: int = 3000, min_dist: int = 10, block: int = scans.BLOCK) -> DataFrame:
     """chr, chrst, chrend: ~``size`` regions whose bounds don't cut a group.
 
-    Each bound depends on the one before, so a chromosome is walked in order (one group a
-    chromosome or target; its sites are numbers only).
+    ``sites``: chr, pos; ``sizes``: chr, first, last. Each bound depends on the one before, but only by
+    where it lies. So each block of a chromosome tabulates in which place of the next one the walk goes on,
+    for every place where it may come in; tables are composed (``scans.entries``), then all blocks walk
+    their own bounds at once. A chromosome of one block is walked right away. Sites are needed within 1000 bases.
     """
-
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pos = np.sort(pdf["pos"].dropna().to_numpy("int64"))
-        first, last = int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0])
-        out, i = [], first
-        while i < last:
-            edge = i + size - 1
-            if edge >= last:
-                out.append((i, last))
-                break
-            near = pos[(pos >= edge - 1000) & (pos <= min(last, edge + 1000))]
-            if len(near):
-                cut = np.flatnonzero(np.diff(near) > min_dist) + 1
-                pad = 5 if len(near) > 1 else 0
-                for g in np.split(near, cut):
-                    lo, hi = int(g[0]) - pad, int(g[-1]) + pad
-                    if lo <= edge <= hi:
-                        edge = hi + 2 if 2 * edge - lo > hi else lo - 1
-                        break
-            out.append((i, edge))
-            i = edge + 1
-        return pd.DataFrame({"chr": key[0], "chrst": [a for a, _ in out], "chrend": [b for _, b in out]})
-
-    joined = sizes.select("chr", "first", "last").join(sites.select("chr", "pos"), "chr", "left")
-    return joined.groupBy("chr").applyInPandas(walk, "chr string, chrst long, chrend long")
+    if size <= 1010:
+        raise ValueError("regions must be longer than 1010 bases, so that bounds move on")
+    reach = size + 1010  # a bound moves by less
+    ship(sites.sparkSession)
+    b = lambda x: F.floor(x / block)
+    ends = sizes.select("chr", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")).where("first < last")
+    all_blocks = ends.withColumn("block", F.explode(F.sequence(b(F.col("first") + size - 1), F.greatest(b(F.col("first") + size - 1), b(F.col("last"))))))
+    near = sites.where("pos is not null").select("chr", "pos", F.explode(F.array_distinct(F.array(b(F.col("pos") - 1011), b(F.col("pos") + 1011), b(F.col("pos"))))).alias("block"))
+    packed = near.groupBy("chr", "block").agg(F.collect_list("pos").alias("at"))
+    blocks = settled(all_blocks.join(packed, ["chr", "block"], "left"))
+
+    def steps(row: dict, e: np.ndarray) -> np.ndarray:
+        pos = np.sort(np.asarray(row["at"] or [], np.int64))
+        return _edges(e, pos, row["last"], min_dist)
+
+    def table(row: dict) -> Iterator[dict]:
+        begin = row["block"] * block
+        to = steps(row, np.arange(begin, begin + block)) + size  # the next place to end at
+        opens = row["first"] + size - 1
+        e = np.full(reach, opens) if opens >= begin else np.arange(begin, begin + reach)  # a chromosome's first block has one way in
+        while (inside := (e < begin + block) & (e < row["last"])).any():
+            e[inside] = to[e[inside] - begin]
+        yield {"chr": row["chr"], "block": row["block"], "f": np.where(e >= row["last"], -1, e - begin - block).tolist()}
+
+    def walk(row: dict) -> Iterator[dict]:
+        begin, e, last = row["block"] * block, row["entry"], row["last"]
+        to = steps(row, np.arange(begin, begin + block))
+        e = max(row["first"] + size - 1, begin + e)
+        while e < begin + block:
+            if e >= last:
+                if e - size + 1 < last:
+                    yield {"chr": row["chr"], "chrst": e - size + 1, "chrend": last}
+                return
+            bound = int(to[e - begin])
+            yield {"chr": row["chr"], "chrst": e - size + 1, "chrend": bound}
+            e = bound + size
+        if e >= last and e - size + 1 < last:  # what is left has no block of its own
+            yield {"chr": row["chr"], "chrst": e - size + 1, "chrend": last}
+
+    one = F.col("block") == b(F.col("first") + size - 1)
+    out = "chr string, chrst long, chrend long"
+    cut = F.col("first") + size - 1 < b(F.col("last")) * block  # more blocks than the first
+    lone = scans.walked(blocks.where(one & ~cut).withColumn("entry", F.lit(0).cast("long")), out, walk)
+    many = blocks.where(cut)
+    most = ends.agg(F.max(b(F.col("last")) - b(F.col("first")))).first()[0] or 0
+    if most < 1:
+        return lone
+    tables = settled(scans.walked(many, "chr string, block long, f array<int>", table))
+    starts = many.where(one).select("chr", "block", F.lit(0).cast("long").alias("entry"))
+    entered = scans.entries(tables, starts, "chr", int(most) + 2).where("entry >= 0")
+    return lone.unionByName(scans.walked(many.join(entered, ["chr", "block"]), out, walk))
 
 
 def subregion_table(regions: DataFrame, sites: DataFrame, max_size: int = 350, min_sites: int = 10) -> DataFrame:
