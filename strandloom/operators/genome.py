@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,65 +14,80 @@ from strandloom.operators import scans
 from strandloom.session import settled, ship
 
 
+def _never_overlap(pattern: str, width: int) -> bool:
+    """Whether matches of a pattern of one or two characters can't share one; False if that isn't plain."""
+    if width == 1:
+        return True
+    if width > 2 or not pattern.isascii():
+        return False
+    chars = [chr(c) for c in range(128)]
+    pairs = [(a, b) for a in chars for b in chars if re.fullmatch(pattern, a + b)]
+    return bool(pairs) and not {a for a, _ in pairs} & {b for _, b in pairs}
+
+
+def _found(cut: DataFrame, key: str, pattern: str, width: int, entries: int) -> DataFrame:
+    """key, tile, size, p: lengths between the matches of a tile's text, from each of the first places on."""
+    lengths = lambda o: F.transform(F.split(F.substring("text", o + 1, 1 << 30) if o else F.col("text"), pattern, -1), F.length)
+    return cut.where("text is not null").select(key, "tile", F.length("text").alias("size"), F.array(*[lengths(o) for o in range(entries)]).alias("p"))
+
+
 def motif_positions(df: DataFrame, key: str, seq: str, pattern: str = "[Cc][Gg]", width: int = 2, tile: int = scans.BLOCK) -> DataFrame:
     """key, n (from 0), pos of every leftmost non-overlapping match of a pattern of ``width`` characters.
 
-    Sequences are searched in tiles that reach ``width`` - 1 characters into the next, whose search begins
-    behind a match that does. Numbers are those in the tile and the matches of all tiles before.
+    Sequences longer than ``tile`` are searched in tiles that reach ``width`` - 1 characters into the next,
+    whose search begins behind a match that does. Numbers are those in the tile and the matches of
+    all tiles before. Shorter sequences are searched where they are.
     """
-    found = tile_matches(scans.tiles(df, key, seq, width - 1, tile), key, pattern, width, tile)
-    counts = found.groupBy(key, "tile").agg(F.count(F.lit(1)).alias("__n"))
-    ahead = W.partitionBy(key).orderBy("tile").rowsBetween(W.unboundedPreceding, -1)
-    carry = counts.select(key, "tile", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__carry"))
-    return found.join(carry, [key, "tile"]).select(key, (F.col("i") + F.col("__carry")).cast("int").alias("n"), "pos")
-
-
-def tile_matches(cut: DataFrame, key: str, pattern: str, width: int = 2, tile: int = scans.BLOCK) -> DataFrame:
-    """key, tile, i (from 0 in its tile), pos of the matches in the tiles (key, tile, text) of sequences."""
-    # a tile is searched from each place where the one before may have ended
-    places = lambda o: F.transform(F.split(F.substring("text", o + 1, 1 << 30), pattern, -1), F.length)
-    held = cut.where("text is not null").select(key, "tile", F.array(*[places(o) for o in range(width)]).alias("p"), F.length("text").alias("__size"))
-    ends = F.array(*[F.greatest(F.lit(0), F.col("__size") - F.element_at(F.get("p", F.lit(o)), -1) - tile) for o in range(width)])
-    held = held.withColumn("f", ends)
-    # only where a match of a later tile could overlap one before does the entry matter
-    step = lambda s, x: F.struct(F.get(x.f, s.at).alias("at"), F.concat(s.all, F.array(F.struct(x.tile.alias("tile"), s.at.alias("entry")))).alias("all"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<tile:bigint,entry:int>>").alias("all"))
-    moved = held.where(F.array_max("f") > 0).select(key).distinct()
-    walk = held.join(moved, key, "left_semi").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("tile", "f"))).alias("v"))
-    entry = walk.select(key, F.explode(F.aggregate("v", start, step, lambda s: s.all)).alias("e")).select(key, "e.tile", "e.entry").where("entry > 0")
-    chosen = held.join(entry, [key, "tile"], "left").withColumn("entry", F.coalesce("entry", F.lit(0))).select(key, "tile", "entry", F.get("p", F.col("entry")).alias("p"))
-    rows = chosen.select(key, "tile", "entry", F.posexplode(F.slice("p", 1, F.size("p") - 1)).alias("i", "len"))
+    text = F.col(seq)
+    short = df.where(F.length(text) <= tile).select(key, F.lit(0).cast("long").alias("tile"), text.alias("text"))
+    near = _found(short, key, pattern, width, 1).select(key, "tile", F.lit(0).alias("entry"), F.lit(0).cast("long").alias("carry"), F.get("p", F.lit(0)).alias("p"))
+    # the lengths between matches are read three times: by tiles, by keys, and at last
+    long = settled(_found(scans.tiles(df.where(F.length(text) > tile), key, seq, width - 1, tile), key, pattern, width, 1 if _never_overlap(pattern, width) else width))
+    far = long.join(_carries(long, key, tile), [key, "tile"]).withColumn("entry", F.least(F.col("entry"), F.size("p") - 1)).select(key, "tile", "entry", "carry", F.get("p", F.col("entry")).alias("p"))
+    rows = near.unionByName(far).select(key, "tile", "entry", "carry", F.posexplode(F.slice("p", 1, F.size("p") - 1)).alias("i", "len"))
     upto = W.partitionBy(key, "tile").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.select(key, "tile", "i", (F.col("tile") * tile + F.col("entry") + F.sum(F.col("len") + width).over(upto) - width + 1).cast("long").alias("pos"))
+    pos = F.col("tile") * tile + F.col("entry") + F.sum(F.col("len") + width).over(upto) - width + 1
+    return rows.select(key, (F.col("i") + F.col("carry")).cast("int").alias("n"), pos.cast("long").alias("pos"))
+
+
+def _carries(found: DataFrame, key: str, tile: int) -> DataFrame:
+    """key, tile, entry (characters of a tile that a match before it takes), carry (matches of all tiles before).
 
+    A tile is a few numbers here: for each entry the next one and the matches. A string has at most
+    2**31 characters, so a key has at most 32,768 tiles of 65,536.
+    """
+    per = F.transform("p", lambda p: F.struct(F.greatest(F.lit(0), F.col("size") - F.element_at(p, -1) - tile).alias("next"), (F.size(p) - 1).cast("long").alias("n")))
+    v = F.sort_array(F.collect_list(F.struct("tile", "f")))
+    lists = found.select(key, "tile", per.alias("f")).groupBy(key).agg(v.alias("v"))
+    kind = "array<struct<tile:bigint,entry:int,carry:bigint>>"
+    start = F.struct(F.lit(0).alias("entry"), F.lit(0).cast("long").alias("carry"), F.array().cast(kind).alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        own = F.get(x.f, F.least(s.entry, F.size(x.f) - 1))
+        return F.struct(own.next.alias("entry"), (s.carry + own.n).alias("carry"), F.concat(s.out, F.array(F.struct(x.tile.alias("tile"), s.entry.alias("entry"), s.carry.alias("carry")))).alias("out"))
+
+    return lists.select(key, F.explode(F.aggregate("v", start, step, lambda s: s.out)).alias("e")).select(key, "e.tile", "e.entry", "e.carry")
 
-def gap_groups(sites: DataFrame, key: str, min_dist: int = 10, pad: int = 5, block: int = scans.BLOCK) -> DataFrame:
+
+def gap_groups(sites: DataFrame, key: str, min_dist: int = 10, pad: int = 5, block: int | None = scans.BLOCK) -> DataFrame:
     """key, grp (from 1), grp_start, grp_end, n_cpg, first_pos, last_pos: a gap over ``min_dist`` starts a group.
 
     Intervals are padded by ``pad``; a key with a single site keeps it unpadded. Groups are numbered by
-    a scan over blocks, so one that crosses blocks is one group.
+    a scan over blocks, so one that crosses blocks is one group; ``block`` None: keys are short.
     """
-    marked = _marked(sites.select(key, "pos"), key, min_dist, block)
-    g = marked.groupBy(key, "grp").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("n_cpg"), F.max("alone").alias("alone"))
+    near = scans.scanned(sites.select(key, "pos"), key, "pos", min_dist, block)
+    alone = F.max((F.col("before").isNull() & F.col("after").isNull()))
+    g = near.groupBy(key, F.col("upto").cast("int").alias("grp")).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("n_cpg"), alone.alias("alone"))
     edge = F.when(F.col("alone"), 0).otherwise(pad)
     return g.select(key, "grp", (F.col("first_pos") - edge).alias("grp_start"), (F.col("last_pos") + edge).alias("grp_end"), "n_cpg", "first_pos", "last_pos")
 
 
-def _marked(sites: DataFrame, key: str, min_dist: int, block: int) -> DataFrame:
-    """Adds before, after (neighbouring sites), grp, and alone: the key's only site."""
-    near = scans.scanned(sites, key, "pos", width=block).drop("upto")
-    new = F.when(F.col("pos") - F.col("before") <= min_dist, 0).otherwise(1)
-    kept = near.withColumns({"__before": F.col("before"), "__after": F.col("after"), "__new": new})
-    out = scans.scanned(kept, key, "pos", F.col("__new"), block)
-    return out.select(*sites.columns, F.col("__before").alias("before"), F.col("__after").alias("after"), F.col("upto").cast("int").alias("grp"), (F.col("__before").isNull() & F.col("__after").isNull()).alias("alone"))
-
-
-def site_distances(sites: DataFrame, key: str, block: int = scans.BLOCK) -> DataFrame:
+def site_distances(sites: DataFrame, key: str, block: int | None = scans.BLOCK) -> DataFrame:
     """Adds d_next: distance to the next site, null at the end."""
     return scans.scanned(sites, key, "pos", width=block).withColumn("d_next", F.col("after") - F.col("pos")).drop("before", "after", "upto")
 
 
-def group_distances(groups: DataFrame, key: str, block: int = scans.BLOCK) -> DataFrame:
+def group_distances(groups: DataFrame, key: str, block: int | None = scans.BLOCK) -> DataFrame:
     """Adds d_next: from a group's last site to the next group's first."""
     return scans.scanned(groups, key, "first_pos", width=block).withColumn("d_next", F.col("after") - F.col("last_pos")).drop("before", "after", "upto")
 
@@ -229,7 +245,7 @@ def subregion_table(regions: DataFrame, sites: DataFrame, max_size: int = 350, m
 
 def region_info(sites: DataFrame) -> DataFrame:
     """region_id, pos, rho, d of every site, d 0 at a region's last: ``sites`` has region_id, pos, rho."""
-    return site_distances(sites, "region_id").select("region_id", "pos", "rho", F.coalesce("d_next", F.lit(0)).cast("long").alias("d"))
+    return site_distances(sites, "region_id", None).select("region_id", "pos", "rho", F.coalesce("d_next", F.lit(0)).cast("long").alias("d"))
 
 
 def interval_of(points: DataFrame, intervals: DataFrame, key: str, pos: str, i0: str, i1: str, place: str, width: int = 4096) -> DataFrame:

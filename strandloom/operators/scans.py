@@ -12,40 +12,52 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.session import settled
+
 #: Positions of a block; blocks that are composed at a time.
 BLOCK, FAN = 1 << 16, 64
 
 
-def scanned(df: DataFrame, key: str, at: str, weight: Column | None = None, width: int = BLOCK) -> DataFrame:
-    """Adds ``before`` and ``after``, the neighbours' ``at`` by key (null at the ends), and ``upto``, the
-    sum of ``weight`` (1 a row by default) up to the row. ``at`` is a long, unique in its key."""
-    blocked = df.withColumns({"__b": F.floor(F.col(at) / width), "__w": F.lit(1) if weight is None else weight})
+def scanned(df: DataFrame, key: str, at: str, gap: int | None = None, width: int | None = BLOCK) -> DataFrame:
+    """Adds ``before`` and ``after``, the neighbours' ``at`` by key (null at the ends), and ``upto``: the
+    row's number by key, or with ``gap`` that of its group, as a step over ``gap`` starts one.
+
+    ``at`` is a long, unique in its key. ``width`` None: keys are known to be short, so each is one block.
+    """
+    new = lambda before: F.when(before.isNull(), 0).when(F.lit(False) if gap is None else F.col(at) - before <= gap, 0).otherwise(1)
+    if width is None:
+        by = W.partitionBy(key).orderBy(at)
+        near = df.withColumns({"before": F.lag(at).over(by), "after": F.lead(at).over(by)})
+        return near.withColumn("upto", F.sum(new(F.col("before"))).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)) + 1)
+    # read twice, by rows and by blocks: made once
+    blocked = settled(df.drop("before", "after", "upto").withColumn("__b", F.floor(F.col(at) / width)))
     by = W.partitionBy(key, "__b").orderBy(at)
-    inner = blocked.withColumns({"__prev": F.lag(at).over(by), "__next": F.lead(at).over(by), "__sum": F.sum("__w").over(by.rowsBetween(W.unboundedPreceding, W.currentRow))})
-    blocks = blocked.groupBy(key, "__b").agg(F.sum("__w").alias("__all"), F.min(at).alias("__first"), F.max(at).alias("__last"))
+    inner = blocked.withColumns({"__prev": F.lag(at).over(by), "__next": F.lead(at).over(by)})
+    inner = inner.withColumn("__new", new(F.col("__prev")))
+    blocks = inner.groupBy(key, "__b").agg(F.sum("__new").alias("__all"), F.min(at).alias("__first"), F.max(at).alias("__last"))
     order = W.partitionBy(key).orderBy("__b")
-    carry = blocks.select(key, "__b", F.coalesce(F.sum("__all").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__carry"), F.lag("__last").over(order).alias("__p"), F.lead("__first").over(order).alias("__n"))
-    both = inner.join(carry, [key, "__b"])
-    out = {"before": F.coalesce("__prev", "__p"), "after": F.coalesce("__next", "__n"), "upto": F.col("__sum") + F.col("__carry")}
-    return both.select(*[c for c in df.columns if c not in out], *[v.alias(k) for k, v in out.items()])
+    blocks = blocks.withColumns({"__p": F.lag("__last").over(order), "__n": F.lead("__first").over(order)})
+    # a block's first row starts a group, or goes on with that of the block before
+    opens = F.when(F.col("__p").isNull(), 1).when(F.lit(False) if gap is None else F.col("__first") - F.col("__p") <= gap, 0).otherwise(1)
+    ahead = F.coalesce(F.sum(F.col("__all") + F.col("__opens")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    carry = blocks.withColumn("__opens", opens).select(key, "__b", "__p", "__n", (ahead + F.col("__opens")).alias("__carry"))
+    upto = F.sum("__new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow))
+    both = inner.withColumn("__sum", upto).join(carry, [key, "__b"])
+    return both.select(*[c for c in blocked.columns if c != "__b"], F.coalesce("__prev", "__p").alias("before"), F.coalesce("__next", "__n").alias("after"), (F.col("__sum") + F.col("__carry")).alias("upto"))
 
 
 def tiles(df: DataFrame, key: str, seq: str, overlap: int, size: int = BLOCK) -> DataFrame:
-    """key, tile (from 0), text: stretches of ``size`` characters with ``overlap`` more of the next, dealt to tasks.
-
-    A sequence is cut in one pass; those of one tile stay where they are.
-    """
-    long = F.length(seq) > size
-    whole = df.where(~long).select(key, F.lit(0).cast("long").alias("tile"), F.col(seq).alias("text"))
-    cut = df.where(long).select(key, F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("cut"))
+    """key, tile (from 0), text: stretches of ``size`` characters with ``overlap`` more of the next, dealt to
+    tasks. Each sequence is cut in one pass."""
+    cut = df.select(key, F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("cut"))
     tail = F.transform("cut", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("cut", i + 1), 1, overlap), F.lit(""))))
     parts = cut.select(key, F.posexplode(tail).alias("tile", "text")).select(key, F.col("tile").cast("long").alias("tile"), "text")
-    return whole.unionByName(parts.repartition(key, "tile"))
+    return parts.repartition(key, "tile")
 
 
 _TABLE = "array<int>"

@@ -37,13 +37,13 @@ def genome_tables(sequences: DataFrame, config: Config, targets: DataFrame | Non
     regions = regions.withColumn("region_id", F.concat_ws("_", "chr", "chrst", "chrend"))
     sized = regions.join(sequences.select("chr", "length"), "chr")
     inside = genome.region_density(sites, sized, F.col("length"))
-    groups = genome.gap_groups(inside.select("region_id", "pos"), "region_id", config.min_grp_dist)
+    groups = genome.gap_groups(inside.select("region_id", "pos"), "region_id", config.min_grp_dist, block=None)
     by = W.partitionBy("region_id").orderBy("pos")
     gap = F.when(F.col("pos") - F.lag("pos").over(by) <= config.min_grp_dist, 0).otherwise(1)
     sites = inside.withColumn("new", gap).withColumn("grp", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)).cast("int")).drop("new")
-    sites = genome.site_distances(sites, "region_id")
+    sites = genome.site_distances(sites, "region_id", None)
     rho = sites.groupBy("region_id", "grp").agg(F.avg("rho").alias("rho"))
-    grouped = genome.group_distances(groups, "region_id").join(rho, ["region_id", "grp"])
+    grouped = genome.group_distances(groups, "region_id", None).join(rho, ["region_id", "grp"])
     arrays = lambda df, order, n: df.groupBy("region_id").agg(F.sort_array(F.collect_list(F.struct(order, n.cast("double").alias("n"), F.col("rho"), F.coalesce(F.col("d_next").cast("double"), F.lit(0.0)).alias("d")))).alias("v")).select("region_id", *[_pluck(c).alias(c) for c in ("n", "rho", "d")])
     return {"regions": regions, "sites": sites, "groups": grouped, "by_group": arrays(grouped, "grp", F.col("n_cpg")), "by_site": arrays(sites, "pos", F.lit(1))}
 
@@ -147,7 +147,7 @@ def _site_models(files: DataFrame, sequences: DataFrame, config: Config) -> tupl
     regions = files.select("chr", "chrst", "chrend", "region_id").distinct()
     sites = genome.motif_positions(sequences, "chr", "seq").select("chr", "pos")
     inside = genome.region_density(sites, regions.join(sequences.select("chr", "length"), "chr"), F.col("length"))
-    sites = genome.site_distances(inside, "region_id")
+    sites = genome.site_distances(inside, "region_id", None)
     v = F.sort_array(F.collect_list(F.struct("pos", F.lit(1.0).alias("n"), "rho", F.coalesce(F.col("d_next").cast("double"), F.lit(0.0)).alias("d"))))
     by_site = sites.groupBy("region_id").agg(v.alias("v")).where(F.size("v") > 1).select("region_id", *[_pluck(c).alias(c) for c in ("n", "rho", "d")])
     full = settled(models.alphas(files.drop("alpha", "beta").join(by_site, "region_id")).join(analysis_pieces(sites, config.max_size_subreg + 1), "region_id"))
