@@ -180,54 +180,85 @@ class Fit:
     converged: bool
 
 
-def fit_em(log_u: np.ndarray, log_m: np.ndarray, n: np.ndarray, rho: np.ndarray, d: np.ndarray, starts: int = 10, iters: int = 20, seed: int = 0, tol: float = 0.03, box=(20.0, 150.0, 50.0), most_reads: int = 100) -> Fit:
-    """EM for (a, b, c) from reads x groups log-likelihoods (NaN where not observed).
+class Terms:
+    """What the sufficient statistics of a region are: its sites or groups n, rho, d."""
 
-    The M-step matches the sufficient statistics by damped Newton, whose Jacobian is their
-    covariance by differences of the exact expectations. The best of several random starts
-    counts, by the likelihood of at most ``most_reads`` reads; a start must converge within
-    ``iters``, to moments that match but for 1 % of their range (a start where all is saturated
-    doesn't move either). All starts are stepped at once.
-    """
-    rng = np.random.default_rng(seed)
-    seen = ~np.isnan(log_u)
-    evidence = np.where(seen[..., None], np.stack([log_u, log_m], axis=-1), 0.0)
-    limit = np.asarray(box)
-    inv_d = 1 / np.asarray(d, float)[: len(rho) - 1]
+    def __init__(self, n, rho, d) -> None:
+        self.n, self.rho = np.asarray(n, float), np.asarray(rho, float)
+        self.inv_d = 1 / np.asarray(d, float)[: len(self.rho) - 1]
+        self.reach = np.asarray([self.n.sum(), np.abs(self.n * self.rho).sum(), self.inv_d.sum()])
 
-    def parameters(phis):
-        return n * (phis[:, :1] + phis[:, 1:2] * rho), phis[:, 2:] * inv_d
+    def parameters(self, phis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.n * (phis[:, :1] + phis[:, 1:2] * self.rho), phis[:, 2:] * self.inv_d
 
-    def stats(p, exx):
+    def stats(self, p: np.ndarray, exx: np.ndarray) -> np.ndarray:
         ex = (p * S).sum(-1)
-        return np.stack([(n * ex).sum(-1), (n * rho * ex).sum(-1), (exx * inv_d).sum(-1)], axis=-1)
+        return np.stack([(self.n * ex).sum(-1), (self.n * self.rho * ex).sum(-1), (exx * self.inv_d).sum(-1)], axis=-1)
 
-    def moments(phis):
-        a, b = parameters(phis)
+    def moments(self, phis: np.ndarray) -> np.ndarray:
+        a, b = self.parameters(phis)
         _, p, exx, _, _ = expectations(fields(a), b)
-        return stats(p, exx)
+        return self.stats(p, exx)
+
+    def expected(self, phis: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+        """Statistics of each read under its posterior: (phis, reads, 3)."""
+        a, b = self.parameters(phis)
+        _, p, exx, _, _ = expectations(fields(a)[:, None] + evidence, b[:, None])
+        return self.stats(p, exx)
+
+    def log_likelihoods(self, phis: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+        """log p(y) of each read: (phis, reads)."""
+        a, b = self.parameters(phis)
+        return expectations(fields(a)[:, None] + evidence, b[:, None])[0] - expectations(fields(a), b)[0][:, None]
+
+
+def evidence_of(log_u: np.ndarray, log_m: np.ndarray) -> np.ndarray:
+    """Reads x groups x 2 log-likelihoods, 0 where a group isn't observed."""
+    return np.where(~np.isnan(log_u)[..., None], np.stack([log_u, log_m], axis=-1), 0.0)
+
+
+def random_starts(starts: int, seed: int) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    return np.asarray([[rng.integers(-500, 501) / 100, rng.uniform(-50, 50), rng.uniform(0, 10)] for _ in range(starts)]).reshape(-1, 3)
+
+
+BOX = (20.0, 150.0, 50.0)
+
 
-    reach = np.asarray([n.sum(), np.abs(n * rho).sum(), inv_d.sum()])
-    phi = np.asarray([[rng.integers(-500, 501) / 100, rng.uniform(-50, 50), rng.uniform(0, 10)] for _ in range(starts)]).reshape(-1, 3)
+def m_step(terms: Terms, phi: np.ndarray, target: np.ndarray, first: bool, tol: float = 0.03, box=BOX) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(new phi, which are done, which go on) of starts whose reads have the mean statistics ``target``.
+
+    The statistics are matched by damped Newton, whose Jacobian is their covariance by differences of
+    the exact expectations. A start that no longer moves is done only if its moments match but for
+    1 % of their range (a start where all is saturated doesn't move either).
+    """
+    limit = np.asarray(box)
+    new = _match(phi, target, terms.moments, limit)
+    if first:
+        return new, np.zeros(len(new), bool), np.ones(len(new), bool)
+    still = np.linalg.norm(new - phi, axis=1) <= tol
+    off = np.abs(_free(new, terms.moments(new) - target, limit)) > 0.01 * terms.reach
+    return new, still & ~off.any(axis=1), ~still
+
+
+def fit_em(log_u: np.ndarray, log_m: np.ndarray, n: np.ndarray, rho: np.ndarray, d: np.ndarray, starts: int = 10, iters: int = 20, seed: int = 0, tol: float = 0.03, box=BOX, most_reads: int = 100) -> Fit:
+    """EM for (a, b, c) from reads x groups log-likelihoods (NaN where not observed).
+
+    The best of several random starts counts, by the likelihood of at most ``most_reads`` reads; a
+    start must be done within ``iters``. All starts are stepped at once.
+    """
+    terms, evidence = Terms(n, rho, d), evidence_of(log_u, log_m)
+    phi = random_starts(starts, seed)
     done, going = np.zeros(starts, bool), np.arange(starts)
     for it in range(iters):
-        a, b = parameters(phi[going])
-        _, p, exx, _, _ = expectations(fields(a)[:, None] + evidence, b[:, None])
-        target = stats(p, exx).mean(axis=1)
-        new = _match(phi[going], target, moments, limit)
-        moved = np.linalg.norm(new - phi[going], axis=1)
-        phi[going] = new
-        if it:
-            still = moved <= tol
-            off = np.abs(_free(new, moments(new) - target, limit)) > 0.01 * reach
-            done[going] = still & ~off.any(axis=1)
-            going = going[~still]
+        target = terms.expected(phi[going], evidence).mean(axis=1)
+        phi[going], done[going], on = m_step(terms, phi[going], target, not it, tol, box)
+        going = going[on]
         if not len(going):
             break
     if not done.any():
         return Fit(np.full(3, np.nan), -np.inf, False)
-    a, b = parameters(phi[done])
-    q = (expectations(fields(a)[:, None] + evidence[:most_reads], b[:, None])[0] - expectations(fields(a), b)[0][:, None]).mean(axis=1)
+    q = terms.log_likelihoods(phi[done], evidence[:most_reads]).mean(axis=1)
     return Fit(phi[done][q.argmax()], float(q.max()), True)
 
 

@@ -138,3 +138,8 @@ def bh(df: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
 def common_keys(values: DataFrame, keys: list[str]) -> DataFrame:
     """Keys with a replicate in each group."""
     return values.groupBy(*keys).agg(F.max((F.col("grp") == 1).cast("int")).alias("a"), F.max((F.col("grp") == 2).cast("int")).alias("b")).where("a = 1 and b = 1").select(*keys)
+
+
+def exclusive_keys(values: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, grp of the keys whose replicates are all of one group."""
+    return values.groupBy(*keys).agg(F.min("grp").alias("grp"), F.max("grp").alias("other")).where(F.col("grp") == F.col("other")).drop("other")

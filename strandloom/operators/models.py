@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import ising
+from strandloom.session import settled
 
 SUMMARY = "region_id string, log_z double, ex array<double>, exx array<double>, mml array<double>, nme array<double>"
 
@@ -143,6 +144,95 @@ def fit_regions(calls: DataFrame, profile: DataFrame, reads: DataFrame, starts:
     return full.groupBy(*group).applyInPandas(run, ", ".join(f"{g} string" for g in group) + ", phi array<double>, log_lik double, converged boolean")
 
 
+def _read_rows(calls: DataFrame, reads: DataFrame) -> DataFrame:
+    """region_id, grp, log_m, log_u (arrays over what was observed): a row a read."""
+    per = reads.select("region_id", "read_id").distinct().join(calls, ["region_id", "read_id"], "left").groupBy("region_id", "read_id")
+    kept = F.when(F.col("grp").isNotNull(), F.struct("grp", "log_m", "log_u"))
+    return per.agg(F.collect_list(kept).alias("v")).select("region_id", *[F.col(f"v.{c}").alias(c) for c in ("grp", "log_m", "log_u")])
+
+
+def _read_sums(what: str):
+    """Sums over the reads of each region in a batch, for all starts that count."""
+
+    def run(batches):
+        for pdf in batches:
+            for region, part in pdf.groupby("region_id", sort=False):
+                r = part.iloc[0]
+                on = np.asarray(r["going"] if what == "stats" else r["done"], bool)
+                terms, phi = ising.Terms(r["n"], r["rho"], r["d"]), np.asarray(r["phi"]).reshape(-1, 3)[on]
+                u = np.full((len(part), len(terms.n)), np.nan)
+                m = u.copy()
+                for k, (g, lm, lu) in enumerate(zip(part["grp"], part["log_m"], part["log_u"], strict=True)):
+                    at = np.asarray(g, int) - 1
+                    u[k, at], m[k, at] = lu, lm
+                e = ising.evidence_of(u, m)
+                total = terms.expected(phi, e).sum(axis=1) if what == "stats" else terms.log_likelihoods(phi, e).sum(axis=1)
+                yield pd.DataFrame({"region_id": [region], "k": [list(range(total.size))], "x": [total.ravel()], "reads": [len(part)]})
+
+    return run
+
+
+def _summed(rows: DataFrame, now: DataFrame, what: str) -> DataFrame:
+    """region_id, x (array of sums over reads), reads: partial sums of batches, then of regions."""
+    parts = rows.join(now, "region_id").mapInPandas(_read_sums(what), "region_id string, k array<int>, x array<double>, reads long")
+    n = parts.groupBy("region_id").agg(F.sum("reads").alias("reads"))
+    each = parts.select("region_id", F.explode(F.arrays_zip("k", "x")).alias("e")).groupBy("region_id", "e.k").agg(F.sum("e.x").alias("x"))
+    return each.groupBy("region_id").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v")).select("region_id", F.transform("v", lambda e: e.x).alias("x")).join(n, "region_id")
+
+
+def expected_statistics(calls: DataFrame, profile: DataFrame, reads: DataFrame, phi: DataFrame) -> DataFrame:
+    """region_id, reads, ta, tb, tc: means over reads of the statistics that each read's posterior at ``phi``
+    (region_id, phi) expects. Less those of the model (``gradients``) they are the gradient of the likelihood."""
+    now = profile.select("region_id", "n", "rho", "d").join(phi.where("phi is not null").select("region_id", "phi"), "region_id")
+    now = now.withColumns({"going": F.array(F.lit(True)), "done": F.array(F.lit(False))})
+    return _summed(_read_rows(calls, reads), now, "stats").select("region_id", "reads", *[(F.get("x", F.lit(i)) / F.col("reads")).alias(c) for i, c in enumerate(("ta", "tb", "tc"))])
+
+
+def fit_regions_by_reads(calls: DataFrame, profile: DataFrame, reads: DataFrame, starts: int = 10, iters: int = 20, seed: int = 17) -> DataFrame:
+    """region_id, phi, log_lik, converged, as ``fit_regions``, for regions with any number of reads.
+
+    A region is no group: each step joins the parameters of all starts, one row a region, to the reads,
+    sums their expected statistics up where the reads are (a batch at a time) and then by region, and
+    solves the M-step on that row. Starts are compared by all reads. Seeds are those of ``fit_regions``.
+    """
+    rows = settled(_read_rows(calls, reads))
+    state = "region_id string, n array<double>, rho array<double>, d array<double>, phi array<double>, done array<boolean>, going array<boolean>"
+
+    def first(batches):
+        for pdf in batches:
+            pdf["phi"] = [ising.random_starts(starts, zlib.crc32(f"{(r,)}{seed}".encode())).ravel() for r in pdf["region_id"]]
+            pdf["done"], pdf["going"] = [[False] * starts] * len(pdf), [[True] * starts] * len(pdf)
+            yield pdf
+
+    def stepped(opening: bool):
+        def run(batches):
+            for pdf in batches:
+                for i, r in enumerate(pdf.itertuples(index=False)):
+                    phi, done, going = np.array(r.phi).reshape(-1, 3), np.array(r.done, bool), np.array(r.going, bool)
+                    phi[going], done[going], on = ising.m_step(ising.Terms(r.n, r.rho, r.d), phi[going], np.asarray(r.x).reshape(-1, 3) / r.reads, opening)
+                    going[going] = on
+                    pdf.at[i, "phi"], pdf.at[i, "done"], pdf.at[i, "going"] = phi.ravel(), done, going
+                yield pdf[["region_id", "n", "rho", "d", "phi", "done", "going"]]
+
+        return run
+
+    moving = F.exists("going", lambda x: x)
+    now = settled(profile.select("region_id", "n", "rho", "d").join(rows.select("region_id").distinct(), "region_id").select("region_id", "n", "rho", "d").mapInPandas(first, state))
+    for it in range(iters):
+        going = now.where(moving)
+        if not going.limit(1).count():
+            break
+        new = going.join(_summed(rows, going, "stats"), "region_id").mapInPandas(stepped(not it), state)
+        now = settled(now.where(~moving).unionByName(new))
+    some = now.where(F.exists("done", lambda x: x))
+    likely = some.join(_summed(rows, some, "log_lik"), "region_id")
+    mean = F.transform("x", lambda v: v / F.col("reads"))
+    ends = F.filter(F.transform("done", lambda d, i: F.when(d, F.slice("phi", i * 3 + 1, 3))), lambda p: p.isNotNull())
+    best = likely.select("region_id", mean.alias("q"), ends.alias("phis")).withColumn("log_lik", F.array_max("q"))
+    fits = best.select("region_id", F.get("phis", (F.array_position("q", F.col("log_lik")) - 1).cast("int")).alias("phi"), "log_lik", F.lit(True).alias("converged"))
+    return now.select("region_id").join(fits, "region_id", "left").withColumn("converged", F.coalesce("converged", F.lit(False)))
+
+
 def simulate_calls(models: DataFrame, reads: int, sd: float = 2.0, observed: float = 1.0, seed: int = 17, mean: float = 2.0) -> DataFrame:
     """region_id, read_id, grp, log_m, log_u: exact draws of ``reads`` reads with Gaussian emissions around -mean and mean."""
 

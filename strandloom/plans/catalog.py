@@ -526,10 +526,14 @@ def dedup_unique(spark, d):
     return calls.region_reads(_t(spark, d, "orders").select(F.lit("r").alias("region_id"), F.col("o_custkey").alias("read_id"))).select("read_id")
 
 
-@_query("select l_partkey, s from (select l_partkey, case when s_nationkey < 12 then 1 else 2 end s from lineitem join supplier on s_suppkey = l_suppkey group by 1, 2) where l_partkey not in (select l_partkey from lineitem join supplier on s_suppkey = l_suppkey group by 1 having count(distinct s_nationkey < 12) = 2)")
+#: Parts that are sold in large lots: some by suppliers of one group of nations alone.
+_LARGE = "(select l_partkey, case when s_nationkey < 12 then 1 else 2 end s from lineitem join supplier on s_suppkey = l_suppkey where l_quantity > 47)"
+
+
+@_query(f"select distinct l_partkey, s from {_LARGE} x where not exists (select 1 from {_LARGE} y where y.l_partkey = x.l_partkey and y.s <> x.s)")
 def set_complement(spark, d):
-    g = _grouped(spark, d)
-    return g.distinct().join(comparison.common_keys(g, ["l_partkey"]), "l_partkey", "left_anti").select("l_partkey", F.col("grp").alias("s"))
+    grouped = _t(spark, d, "lineitem").where("l_quantity > 47").join(_t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_partkey", F.when(F.col("s_nationkey") < 12, 1).otherwise(2).alias("grp"))
+    return comparison.exclusive_keys(grouped, ["l_partkey"]).select("l_partkey", F.col("grp").alias("s"))
 
 
 @_query("select l_suppkey as k, count(*) as n from lineitem where l_discount > 0.05 and l_suppkey in (select l_suppkey from lineitem where l_tax > 0.07) group by 1")
