@@ -46,11 +46,13 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 512, token
     starts, and one that would overrun that multiple gets a window of its own. Before its new
     turns a window repeats the last ones before them, at most ``history`` tokens, as far as the
     budget has room. Repeated turns are masked: each assistant text is a target once. A turn
-    longer than the budget isn't cut; its window holds it alone and runs over.
+    isn't cut: one that doesn't fit beside the system turn has a window with that alone, which is the
+    only kind that runs over the budget. ``n_tokens`` counts texts and marks, the repeated ones too.
 
     Prefix sums go over chunks of 256 turns first, so that a conversation with any share of all
     rows is spread over tasks; a window's turns are bounded by the budget. Null texts and roles
-    count as empty; rows of one turn number are ordered by role and text and all kept.
+    count as empty; rows of one turn number are ordered by role and text and all kept; other columns
+    are ignored; an empty table gives none.
     """
     base = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body")
@@ -73,7 +75,9 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 512, token
         F.when(is_system, F.col("lead.cost")).otherwise(0).alias("system_cost"),
         (F.col("upto") - F.col("cost") + F.col("sum_before")).alias("start"),
     )
-    room = F.greatest(F.lit(budget) - F.col("system_cost") - history, F.lit(max(1, budget // 4)))
+    # where the system turn leaves little, history gives way; where it leaves nothing, each turn is alone
+    left = F.lit(budget) - F.col("system_cost")
+    room = F.greatest(F.when(left - history >= budget // 4, left - history).otherwise(F.least(left, F.lit(budget // 4))), F.lit(1))
     start = F.greatest(F.col("start") - F.col("system_cost"), F.lit(0))
     is_lead = (F.col("place") == 0) & F.col("system").isNotNull()
     grid = F.floor(start / room)
@@ -89,9 +93,9 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 512, token
     # equi-join on blocks of ``history`` tokens: what lies at most that far before is in this or the block before
     width = max(1, history)
     want = made.where("history > 0").select(F.col("conv_id").alias("w_conv"), F.col("grid").alias("w_grid"), F.col("own").alias("w_own"), "first_place", "first_from", F.col("history").alias("w_history"), F.explode(F.array(F.floor(F.col("first_from") / width), F.floor(F.col("first_from") / width) - 1)).alias("block"))
-    give = placed.where(~F.col("is_lead")).select("conv_id", "place", "role", "body", "from", F.floor(F.col("from") / width).alias("g_block"))
+    give = placed.where(~F.col("is_lead")).select("conv_id", "place", "role", "body", "cost", "from", F.floor(F.col("from") / width).alias("g_block"))
     near = (give.conv_id.eqNullSafe(want.w_conv)) & (give.g_block == want.block) & (F.col("place") < F.col("first_place")) & (F.col("from") >= F.col("first_from") - F.col("w_history"))
-    past = give.join(want, near).groupBy("w_conv", "w_grid", "w_own").agg(F.sort_array(F.collect_list(F.struct("place", "role", "body"))).alias("past"))
+    past = give.join(want, near).groupBy("w_conv", "w_grid", "w_own").agg(F.sum("cost").alias("past_cost"), F.sort_array(F.collect_list(F.struct("place", "role", "body"))).alias("past"))
     both = made.join(past, made.conv_id.eqNullSafe(past.w_conv) & (made.grid == past.w_grid) & (made.own == past.w_own), "left")
     return _render(both, budget)
 
@@ -122,7 +126,7 @@ def _render(windows: DataFrame, budget: int) -> DataFrame:
     order = W.partitionBy("conv_id").orderBy("first_place")
     return out.select(
         "conv_id", (F.row_number().over(order) - 1).cast("long").alias("window"), F.size(F.filter("turns", lambda x: x.repeated)).cast("long").alias("n_repeated"),
-        F.size("new").cast("long").alias("n_new"), text.alias("text"), loss.alias("loss"),
+        F.size("new").cast("long").alias("n_new"), (F.col("system_cost") + F.col("new_cost") + F.coalesce("past_cost", F.lit(0))).cast("long").alias("n_tokens"), text.alias("text"), loss.alias("loss"),
     )
 
 

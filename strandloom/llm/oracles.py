@@ -57,7 +57,7 @@ sized as (select *, len(regexp_extract_all(body, '{_TOKEN}')) + 2 cost,
 placed as (select *, row_number() over o - 1 place, sum(cost) over (o rows between unbounded preceding and current row) - cost as begun, first(role) over o = 'system' has_system, first(cost) over o lead_cost, first(shown) over o lead_shown
  from sized window o as (partition by conv_id order by turn, role, body)),
 a as (select *, case when has_system then lead_cost else 0 end system_cost, has_system and place = 0 is_lead from placed),
-b as (select *, greatest(2048 - system_cost - 512, 512) room, greatest(begun - system_cost, 0) gone from a),
+b as (select *, greatest(case when 2048 - system_cost - 512 >= 512 then 2048 - system_cost - 512 else least(2048 - system_cost, 512) end, 1) room, greatest(begun - system_cost, 0) gone from a),
 c as (select *, case when is_lead then 0 else gone // room end grid, case when is_lead then false else gone + cost > (gone // room + 1) * room end own from b),
 windows as (select conv_id, grid, own, min(place) first_place, min(gone) first_gone, sum(case when is_lead then 0 else cost end) new_cost, any_value(system_cost) system_cost, any_value(has_system) has_system, any_value(lead_shown) lead_shown, sum(shown) shown from c group by 1, 2, 3),
 h as (select *, case when first_place = 0 then 0 else least(512, greatest(2048 - system_cost - new_cost, 0)) end history from windows),
