@@ -19,35 +19,38 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 # Parts that mean nothing alone: an endpoint, a bare key body, an account identifier.
 _URL = re.compile(r"""(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s"'<>]+""", re.A)
-_DOTTED = re.compile(r"(?<![a-z0-9-])[a-z0-9-]+(?:\.[a-z0-9-]+)+")  # takes a whole run of labels, so a scan is linear
-_PORT = re.compile(r":\d+\b", re.A)
-_DOMAINS = frozenset(("com", "net", "org", "io", "cloud", "internal"))
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_.@-])(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?![A-Za-z0-9_-])", re.A)
+_PORT = re.compile(r":[0-9]{1,5}(?![0-9A-Za-z_])")
+_ADDRESS = re.compile(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}")
+#: A name before what it names a host: then labels without a port are one too.
+_NAMED = re.compile(r"(?<![A-Za-z])(?:host(?:name)?|server|endpoint|url|address|addr|domain|broker|proxy|database|db|at|on|via)[\"']?\x20*[:=]?\x20*[\"']?$", re.A | re.I)
 _BODY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
-_ACCOUNT = re.compile(r"(?<![0-9A-Za-z])(?:\d{12}|(?:user(?:name)?|login|client_?id|account)\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,})", re.A | re.I)
+_ACCOUNT = re.compile(r"(?<![0-9A-Za-z])(?:\d{12}(?![0-9A-Za-z])|(?:user(?:name)?|login|client_?id|account)\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,})", re.A | re.I)
 
 
 def endpoint_spans(text: str) -> list[tuple[int, int]]:
-    """URLs, and host names: labels up to the last one of a known domain, with a port behind it."""
+    """URLs, IPv4 addresses, and host names, with a port behind them.
+
+    A host name has two labels or more between dots, of which the last begins with a letter. It
+    counts if it begins with ``www.``, a port follows, or a word before it says that it is a host;
+    other dotted words are versions, files or prose. No list of domains decides.
+    """
     urls = [m.span() for m in _URL.finditer(text)]
     starts, out = [s for s, _ in urls], list(urls)
     for m in _DOTTED.finditer(text):
         s, e = m.span()
         if (i := bisect_left(starts, e)) and urls[i - 1][1] > s:
             continue  # inside a URL
-        labels = m.group().split(".")
-        ends = [k for k in range(1, len(labels)) if labels[k] in _DOMAINS]
-        if not ends:
-            continue
-        end = s + sum(len(x) + 1 for x in labels[: ends[-1] + 1]) - 1
-        if end == e and (e < len(text) and text[e].isascii() and (text[e].isalnum() or text[e] == "_")):
-            continue  # the last label goes on with capitals
-        if s and text[s - 1].isascii() and (text[s - 1].isalnum() or text[s - 1] == "_"):
-            s += len(labels[0]) + 1  # the first label began with something else
-            if ends[-1] < 2:
+        port = _PORT.match(text, e)
+        if _ADDRESS.fullmatch(text, s, e):
+            if any(int(x) > 255 for x in m.group().split(".")):
+                continue
+        else:
+            top = m.group().rsplit(".", 1)[1]
+            named = len(top) > 1 and (text.startswith("www.", s) or _NAMED.search(text, max(0, s - 24), s))
+            if not top[0].isalpha() or not (port or named):
                 continue
-        if end == e and (port := _PORT.match(text, e)):
-            end = port.end()
-        out.append((s, end))
+        out.append((s, port.end() if port else e))
     return sorted(out)
 
 
@@ -171,7 +174,10 @@ def redact_text(text: str, reach: int = 400, mark: str = "<SECRET>") -> str:
 
 
 def redact_secrets(docs: DataFrame, reach: int = 400, mark: str = "<SECRET>") -> DataFrame:
-    """All documents with secrets replaced by ``mark``; n_chars follows. Null texts stay null."""
+    """All documents with secrets replaced by ``mark``; n_chars follows. Null texts stay null.
+
+    Repeated rows are rows of their own; other columns are kept; an empty table gives none. ``text`` is a string.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -699,6 +699,28 @@ def test_chat_round_trip(spark, budget, history):
     assert budget < 2048 or over.count() == 0
 
 
+@pytest.mark.parametrize("budget,history", [(2048, 512), (100, 30)])
+def test_windows_keep_the_budget(spark, budget, history):
+    """To the token, for system turns of any size: only a turn that doesn't fit beside it runs over."""
+    r = random.Random(9)
+    rows = []
+    for c, lead in enumerate((0, 1, budget // 4, budget // 2, budget - history - 5, int(budget * 0.83), budget - 10, budget - 3, budget, 2 * budget)):
+        rows += [(c, 0, "system", "w " * lead)] if lead else []
+        rows += [(c, k, ("user", "assistant")[k % 2], "w " * r.choice([0, 1, 5, 40, 97, 98, 99, 100, 100, budget - 2 - lead if budget > lead + 2 else 3])) for k in range(1, 60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.chat_windows(df, budget, history).collect()
+    leads = {c: sum(len(t.split()) + 2 for i, k, role, t in rows if i == c and role == "system") for c, *_ in rows}
+    for w in got:
+        turns = [x for x in w.text[len(chat.BEGIN) :].split(chat.END) if x]
+        assert w.n_tokens == sum(len(re.sub(r"\[/?\w+\]", "", x).split()) + 2 for x in turns) and len(turns) == w.n_repeated + w.n_new
+        alone = w.n_new - (w.window == 0 and leads[w.conv_id] > 0) <= 1
+        assert w.n_tokens <= budget or alone
+        if w.n_tokens > budget:  # nothing but the system turn beside it
+            assert w.n_repeated <= 1 and (w.n_repeated == 0 or turns[0].startswith("[SYS]"))
+    for c in leads:
+        assert sum(w.n_new for w in got if w.conv_id == c) == sum(x[0] == c for x in rows)
+
+
 # --- 9
 
 
@@ -785,12 +807,23 @@ def test_links_by_all_pairs():
 
 def test_endpoints():
     for text, want in {
-        "see db.example.com:80 x": "db.example.com:80", "a.b.com.zz": "a.b.com", "Xa.b.com": "b.com", "Xa.com": None, "a.comZ": None, "..a.io..": "a.io", "com": None, "a.b": None,
-        "http://h.com/a.b.org q": "http://h.com/a.b.org", "a-b.cloud:x": "a-b.cloud", "é.a.net": "a.net",
+        "see db.example.com:80 x": "db.example.com:80", "db.example.ru:5432": "db.example.ru:5432", "www.example.de": "www.example.de", "go to www.example.museum.": "www.example.museum", "host: db.intra.lan,": "db.intra.lan",
+        'server = "kv.corp"': "kv.corp", "10.0.0.12:6379": "10.0.0.12:6379", "at 192.168.1.1.": "192.168.1.1", "999.1.1.1": None, "version 1.2.3": None, "file main.py": None, "e.g. a": None, "at e.g. home": None, "that x.yz": None, "com": None,
+        "http://h.com/a.b.org q": "http://h.com/a.b.org", "me@mail.example.com:25": None, "a..b:80": None, "x.example.com:123456": None, "é.a.net:1": None, "10.0.0.12.7": None,
     }.items():
         assert [text[s:e] for s, e in secrets.endpoint_spans(text)] == ([want] if want else []), text
 
 
+def test_accounts_end_where_the_number_does():
+    for text, want in {"order 1234567890123456": [], "id 123456789012 x": ["123456789012"], "a123456789012": [], "123456789012b": [], "user=abc": ["user=abc"], "12345678901": []}.items():
+        assert [m.group() for m in secrets._ACCOUNT.finditer(text)] == want, text
+    key = "Abcdefgh1234567890ABCDEFGHijkl"
+    assert secrets.redact_text(f"order 1234567890123456 {key}") == f"order 1234567890123456 {key}"  # a key body alone says nothing
+    for host in ("www.example.de", "db.example.ru:5432", "10.1.2.3", "host=files.example.cz"):
+        found = secrets.scan_text(f"login=ann12 {key} {host}")
+        assert [k for k, *_ in found] == ["weak_id", "weak_secret", "endpoint"], host
+
+
 @pytest.mark.parametrize("unit", ["a.", "a.b-", "user=", "token: ", "AKIA", "jdbc:", "http:/", "f0", "Ab1+", "com.", "\n "])
 def test_long_texts_take_linear_time(unit):
     import time
