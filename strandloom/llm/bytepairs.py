@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from strandloom.llm.words import slices
 
 #: States, and pieces of text with their ids, that a worker keeps before it forgets them.
-MAX_STATES, MAX_PIECES = 1 << 17, 1 << 19
+MAX_STATES, MAX_PIECES = 1 << 18, 1 << 20
 #: Bytes of a piece whose ids are kept.
 KEPT_BYTES = 48
 
@@ -48,6 +48,8 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES) -> None:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a byte-level vocabulary must hold all 256 bytes")
+        if max(map(len, ranks)) > 255:
+            raise ValueError("tokens of at most 255 bytes")
         self.ranks, self.max_states = ranks, max_states
         self.ahead = 4 * max(map(len, ranks)) + 64  # bytes that are held at most
         self.begins = {t[:k] for t in ranks for k in range(1, len(t) + 1)}
@@ -60,7 +62,8 @@ class Transducer:
         self.start = (b"", ((0, None),))
         self.number: dict[tuple, int] = {self.start: 0}
         self.states: list[tuple] = [self.start]
-        self.steps: list[dict[int, tuple[int, int]]] = [{}]
+        #: by state << 8 | byte: next state << 8 | bytes of the last token
+        self.steps: dict[int, int] = {}
         self.fits.clear()
 
     def merged(self, piece: bytes, least: int = 1) -> list[bytes]:
@@ -121,8 +124,8 @@ class Transducer:
             else:
                 j += 1
 
-    def _step(self, state: int, byte: int) -> tuple[int, int]:
-        """(next state, bytes of the last token) after one more byte; made once a state and byte."""
+    def _step(self, state: int, byte: int) -> int:
+        """Next state << 8 | bytes of the last token, after one more byte; made once a state and byte."""
         suffix, behind = self.states[state]
         suffix += bytes([byte])
         while suffix not in self.begins:
@@ -138,9 +141,8 @@ class Transducer:
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
-            self.steps.append({})
-        self.steps[state][byte] = (self.number[key], n)
-        return self.steps[state][byte]
+        self.steps[state << 8 | byte] = step = self.number[key] << 8 | n
+        return step
 
     def _kept(self, state: int) -> int:
         """The number of ``state`` after too many states were forgotten, but for this one."""
@@ -149,7 +151,6 @@ class Transducer:
         if key != self.start:
             self.number[key] = 1
             self.states.append(key)
-            self.steps.append({})
         return self.number[key]
 
     def stream(self, piece: Iterable[int]) -> Iterator[int]:
@@ -158,10 +159,10 @@ class Transducer:
         for byte in piece:
             if len(self.states) > self.max_states:
                 state = self._kept(state)
-            step = self.steps[state].get(byte)
-            state, n = step if step else self._step(state, byte)
+            step = self.steps.get(state << 8 | byte) or self._step(state, byte)
+            state = step >> 8
             held.append(byte)
-            sizes.append(n)
+            sizes.append(step & 255)
             if len(held) >= self.ahead:
                 done = self._settled(sizes, self.states[state][1])
                 yield from self._ids(held, sizes, done)
@@ -177,7 +178,7 @@ class Transducer:
             at[k] -= sizes[at[k]]
         return at[0]
 
-    def _ids(self, held: bytearray, sizes: list[int], end: int) -> list[int]:
+    def _ids(self, held: bytes | bytearray, sizes: list[int], end: int) -> list[int]:
         out = []
         while end:
             out.append(self.ranks[bytes(held[end - sizes[end] : end])])
@@ -187,7 +188,18 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         """Ids of a piece; one that is a token is that token, even if no merges lead there."""
         whole = self.ranks.get(piece)
-        return list(self.stream(piece)) if whole is None else [whole]
+        if whole is not None:
+            return [whole]
+        if len(piece) > self.ahead:
+            return list(self.stream(piece))
+        if len(self.states) > self.max_states:
+            self._forget()
+        step, sizes, known = 0, [0], self.steps.get
+        for byte in piece:
+            at = (step >> 8) << 8 | byte
+            step = known(at) or self._step(at >> 8, byte)
+            sizes.append(step & 255)
+        return self._ids(piece, sizes, len(piece))
 
 
 #: Bytes that may follow, by the state of a character that has begun: 0 between characters, 1 to 3 bytes
