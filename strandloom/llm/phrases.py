@@ -169,7 +169,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, max_cells: int = MAX_CELL
     spark = docs.sparkSession
     width = sketch_width(docs, max_cells)
     held = np.zeros(ROWS * width // 8, np.uint8)
-    for r in frequent_cells(sketches(docs, width), least).toLocalIterator():  # a bit a cell, ROWS * MAX_CELLS at most
+    # a bit a cell, ROWS * MAX_CELLS at most; written first, as the driver reads one partition after the other
+    for r in scratch(frequent_cells(sketches(docs, width), least), "cells").toLocalIterator():
         held[r["block"] * (BLOCK // 8) : (r["block"] + 1) * (BLOCK // 8)] = np.frombuffer(r["bits"], np.uint8)
     bits = spark.sparkContext.broadcast(held)
     found = survivors(docs, bits, width).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
