@@ -6,7 +6,7 @@ punctuation, obfuscation). Nothing but the text goes into them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,14 +34,92 @@ SECOND_PERSON = ("you", "your", "yours", "yourself", "du", "dich", "dir", "dein"
 FEATURES = (
     "seed_count", "seed_density", "learnt_count", "learnt_density", "learnt_sum", "learnt_max", "learnt_distinct", "near_person", "person_density",
     "upper_rate", "upper_words", "punct_rate", "exclaim_rate", "symbol_rate", "digit_in_word", "repeat_letters", "log_words", "mean_word",
+    "seed_distinct", "sign_in_word",
 )
-_LEET = str.maketrans("013457@$!", "oleastasi")
-
-
-def _plain(word: str) -> str:
-    """A word without obfuscation: digits and signs for letters, and stretched letters, undone."""
-    w = word.translate(_LEET)
-    return "".join(c for i, c in enumerate(w) if i < 2 or not (c == w[i - 1] == w[i - 2]))
+#: Digits and signs for letters; 1, ! and @ stand for either of two.
+_LEET = tuple(str.maketrans("013457@$!", "o" + one + "east" + at + "s" + bang) for one in "li" for bang in "il" for at in "ao")
+#: Signs inside of words that can stand for a letter: * for any, others as above.
+_SIGNS = "@$!*"
+
+
+def _plain(word: str, known: Collection[str] = ()) -> str:
+    """A word without obfuscation: digits and signs for letters, and stretched letters, undone; the
+    first reading that is ``known``, else the first."""
+    first = None
+    for table in _LEET:
+        w = word.translate(table)
+        w = "".join(c for i, c in enumerate(w) if i < 2 or not (c == w[i - 1] == w[i - 2]))
+        if w in known:
+            return w
+        first = w if first is None else first
+        if not any(c in "1!@" for c in word):
+            break
+    return first
+
+
+def _unmasked(word: str, known: Collection[str], by_length: dict[int, list[str]]) -> str | None:
+    """The known word that ``word``, with signs, hides; None if it hides none. Signs around a word are
+    punctuation unless they make it a known one; of masked letters two thirds must be left."""
+    for w in dict.fromkeys((word, word.rstrip(_SIGNS), word.strip(_SIGNS))):
+        if not any(c in _SIGNS for c in w):
+            return None
+        if "*" not in w:
+            found = _plain(w, known)
+            if found in known:
+                return found
+        elif 3 * w.count("*") <= len(w):
+            for table in _LEET:
+                v = w.translate(table)
+                for k in by_length.get(len(v), ()):
+                    if all(a in ("*", b) for a, b in zip(v, k, strict=True)):
+                        return k
+    return None
+
+
+def masked_words(texts: pa.Array, known: Collection[str]) -> tuple[list[str], list[str | None], np.ndarray, np.ndarray]:
+    """(words, the known word that each hides behind signs or None, codes, offsets) of a batch.
+
+    Words are those of ``flat_words``, but a stretch with signs in it that hides a known word is one.
+    """
+    wide, codes, offsets = flat_words(texts, signs=_SIGNS)
+    words = wide.to_pylist()
+    odd = np.flatnonzero(np.asarray(pc.match_substring_regex(wide, f"[{_SIGNS}]"), bool)) if len(wide) else np.zeros(0, np.int64)
+    hidden: list[str | None] = [None] * len(words)
+    if not len(odd):
+        return words, hidden, codes, offsets
+    by_length: dict[int, list[str]] = {}
+    for k in sorted(known):
+        by_length.setdefault(len(k), []).append(k)
+    # every word becomes the codes of its parts: itself, or what lies between its signs
+    at = {w: i for i, w in enumerate(words)}
+    parts, size = {}, np.ones(len(words), np.int64)
+    for i in odd:
+        found = _unmasked(words[i], known, by_length)
+        if found is not None:
+            hidden[i] = found
+            continue
+        own = []
+        for x in words[i].translate(_APART).split():
+            if x not in at:
+                at[x] = len(words)
+                words.append(x)
+                hidden.append(None)
+            own.append(at[x])
+        parts[i], size[i] = own, len(own)
+    first = np.concatenate([[0], np.cumsum(size)])
+    table = np.empty(first[-1], np.int64)
+    single = np.ones(len(size), bool)
+    single[list(parts)] = False
+    table[first[:-1][single]] = np.flatnonzero(single)
+    for i, own in parts.items():
+        table[first[i] : first[i + 1]] = own
+    n = size[codes]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    inner = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
+    return words, hidden, table[np.repeat(first[codes], n) + inner], ends[offsets]
+
+
+_APART = str.maketrans(dict.fromkeys(_SIGNS, " "))
 
 
 def features(texts: pa.Array, learnt: dict[str, float], near: int = 5) -> np.ndarray:
@@ -50,15 +128,16 @@ def features(texts: pa.Array, learnt: dict[str, float], near: int = 5) -> np.nda
     n = len(texts)
     out = np.zeros((n, len(FEATURES)))
     col = {f: i for i, f in enumerate(FEATURES)}
-    words, codes, offsets = flat_words(texts)
-    vocabulary = words.to_pylist()
     seeds, persons = set(INSULTS), set(SECOND_PERSON)
-    plain = [w if w.isalpha() and w in learnt else _plain(w) for w in vocabulary]
+    known = seeds | learnt.keys()
+    vocabulary, hidden, codes, offsets = masked_words(texts, known)
+    plain = [h or (w if w.isalpha() and w in learnt else _plain(w, known)) for w, h in zip(vocabulary, hidden, strict=True)]
+    signed = np.fromiter((h is not None for h in hidden), bool, len(plain))
     is_seed = np.fromiter((p in seeds for p in plain), bool, len(plain))
     weight = np.fromiter((learnt.get(w, learnt.get(p, 0.0)) for w, p in zip(vocabulary, plain, strict=True)), float, len(plain))
     is_person = np.fromiter((w in persons for w in vocabulary), bool, len(plain))
     odd = np.fromiter((any(c.isdigit() for c in w) and not w.isdigit() for w in vocabulary), bool, len(plain))
-    stretched = np.fromiter((p != w and not o for w, p, o in zip(vocabulary, plain, odd, strict=True)), bool, len(plain))
+    stretched = np.fromiter((p != w and not o and h is None for w, p, o, h in zip(vocabulary, plain, odd, hidden, strict=True)), bool, len(plain))
     length = np.fromiter(map(len, vocabulary), float, len(plain))
     doc = np.repeat(np.arange(n), np.diff(offsets))
     count = np.maximum(np.diff(offsets), 1)
@@ -73,6 +152,11 @@ def features(texts: pa.Array, learnt: dict[str, float], near: int = 5) -> np.nda
     np.maximum.at(out[:, col["learnt_max"]], doc[hits], w[hits])
     pairs = np.unique(doc[hits] * (len(plain) + 1) + codes[hits])
     out[:, col["learnt_distinct"]] = np.bincount(pairs // (len(plain) + 1), minlength=n)
+    spoken = {p: i for i, p in enumerate(seeds)}
+    kind = np.fromiter((spoken.get(p, -1) for p in plain), np.int64, len(plain))[codes]
+    pairs = np.unique(doc[seed] * len(seeds) + kind[seed])
+    out[:, col["seed_distinct"]] = np.bincount(pairs // len(seeds), minlength=n)
+    out[:, col["sign_in_word"]] = total(signed[codes]) / count
     ran = np.concatenate([[0], np.cumsum(person)])  # second-person words around each hit, inside its text
     lexical = np.flatnonzero((w > 0) | seed)
     lo, hi = np.maximum(lexical - near, offsets[doc[lexical]]), np.minimum(lexical + near + 1, offsets[doc[lexical] + 1])

@@ -43,11 +43,14 @@ def slices(texts: pa.Array, max_bytes: int = 8 << 20) -> Iterator[tuple[int, int
         start = end
 
 
-def flat_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct words, code of each word of all texts in order, first word of each text + end)."""
+def flat_words(texts: pa.Array, lower: bool = True, signs: str = "") -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, code of each word of all texts in order, first word of each text + end).
+
+    ``signs``: characters that count as letters.
+    """
     texts = pc.fill_null(texts, "")
     texts = pc.utf8_lower(texts) if lower else texts
-    spaced = pc.utf8_trim(pc.replace_substring_regex(texts, r"[^\pL\pN_]+", " "), " ")
+    spaced = pc.utf8_trim(pc.replace_substring_regex(texts, rf"[^\pL\pN_{signs}]+", " "), " ")
     parts = pc.split_pattern(spaced, " ")
     n = np.asarray(pc.list_value_length(parts), dtype=np.int64)
     flat = parts.flatten()

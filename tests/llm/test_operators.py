@@ -580,6 +580,60 @@ def test_a_split_by_brute_force():
                 assert margin[side] == pytest.approx(g[side].sum() / (h[side].sum() + 1))
 
 
+def test_signs_inside_words():
+    """Signs that hide a known word are undone, others part words as before."""
+    count = lambda text, f: toxicity.features(pa.array([text], pa.string()), {"zzword": 2.0})[0][toxicity.FEATURES.index(f)]
+    for text, seeds, signed in (
+        ("you m@ron !diot l0$er", 3, 2 + 1), ("st*pid m@ron fa$t", 2, 2), ("id!ot 1d1ot", 2, 1), ("idiot! moron*** $$loser$$ it%%%", 3, 0),
+        ("hey!you cost $5 a@b.com", 0, 0), ("m**** i**** *** $ @ !", 0, 0), ("z*word zzw0rd", 0, 1), ("", 0, 0), (None, 0, 0), ("iiiidiot st*pid", 1, 1),
+    ):
+        n = max(len(re.findall(r"\w+", text or "")), 1)
+        assert count(text, "seed_count") == seeds, text
+        assert (count(text, "sign_in_word") > 0) == (signed > 0), text
+        assert count(text, "sign_in_word") <= signed / min(n, max(len((text or "").split()), 1)) + 1e-9
+    assert count("z*word zzw0rd", "learnt_count") == 2
+
+
+def plain_features(text: str, learnt: dict) -> dict:
+    """Some features by a walk over the words of a text without signs."""
+    found = re.findall(r"[^\W]+", text.lower())
+    n = max(len(found), 1)
+    is_seed = [w in toxicity.INSULTS for w in found]
+    persons = [w in toxicity.SECOND_PERSON for w in found]
+    hit = [s or w in learnt for w, s in zip(found, is_seed, strict=True)]
+    size = max(len(text.encode()), 1)
+    return {
+        "seed_count": sum(is_seed), "seed_distinct": len({w for w, s in zip(found, is_seed, strict=True) if s}), "seed_density": sum(is_seed) / n,
+        "learnt_count": sum(w in learnt for w in found), "learnt_sum": sum(learnt.get(w, 0) for w in found) / n, "learnt_max": max((learnt.get(w, 0) for w in found), default=0),
+        "learnt_distinct": len({w for w in found if w in learnt}), "near_person": sum(h and any(persons[max(i - 5, 0) : i + 6]) for i, h in enumerate(hit)), "person_density": sum(persons) / n,
+        "upper_rate": sum("A" <= c <= "Z" for c in text) / size, "log_words": np.log1p(len(found)), "mean_word": sum(map(len, found)) / n, "sign_in_word": 0,
+    }
+
+
+def test_features_by_a_walk():
+    r, learnt = random.Random(4), {"zzword": 2.0, "qqword": 1.5}
+    batch = [" ".join(r.choice(["idiot", "Moron", "you", "zzword", "qqword", "plain", "Text", "été"]) + r.choice(["", "", ",", "."]) for _ in range(r.randrange(40))) for _ in range(60)]
+    got = toxicity.features(pa.array(batch), learnt)
+    for text, row in zip(batch, got, strict=True):
+        for f, v in plain_features(text, learnt).items():
+            assert row[toxicity.FEATURES.index(f)] == pytest.approx(v), (f, text)
+
+
+def test_margin_is_the_sum_of_leaves():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 4))
+    model = toxicity.grow_trees(x, (x[:, 0] + x[:, 1] > 0).astype(float), np.ones(300), trees=12)
+    bins = model.bins(x)
+    for i in range(0, 300, 17):
+        total = model.start
+        for tree in model.trees:
+            at = 0
+            while tree[at][0] >= 0:
+                at = int(tree[at][2] if bins[i, int(tree[at][0])] <= tree[at][1] else tree[at][3])
+            total += tree[at][4]
+        assert model.margin(x)[i] == pytest.approx(total)
+
+
 def test_folds_do_not_see_their_labels(spark):
     """A word that one fold alone has isn't in the lexicon that calibrates it."""
     rows = [(i, f"{'aword' if i % 2 else 'plain'} {'fold' + str(i % 4) if i % 2 else 'other'} text", i % 2, i % 4) for i in range(400)]
