@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.config import LMAX
+from strandloom.session import settled
 
 #: Statistics that differ by less, relative to theirs over 1, are tied.
 TIE = 1e-12
@@ -92,18 +93,22 @@ def divergence_test(cmd: DataFrame, members: DataFrame, keys: list[str], lmax: i
 
 
 def matched_test(pairs: DataFrame, keys: list[str], lmax: int = LMAX, seed: int = 17) -> DataFrame:
-    """keys, stat, p: mean of the paired differences ``x`` (pair numbers ``i`` from 0), p by sign flips."""
+    """keys, stat, p: mean of the paired differences ``x`` (pair numbers ``i`` from 0), p by sign flips.
+
+    Flips are folded inside the row of a key: none is a row of its own. Of all flips half are tried,
+    as a flip and its mirror image reach the same size.
+    """
     shape = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"), F.avg("x").alias("stat")).withColumn("n", F.size("v"))
     exact = (F.pow(F.lit(2.0), F.col("n")) < lmax) & (F.col("n") < 31)
-    flips = F.when(F.pow(F.lit(0.5), F.col("n")) >= 0.05, F.array().cast("array<long>")).when(exact, F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, least(n, 30))") - 1)).otherwise(
-        F.transform(F.sequence(F.lit(1), F.lit(lmax)), lambda k: F.pmod(F.xxhash64(k, F.lit(seed)), F.expr("shiftleft(1L, least(n, 62))")))
-    )
-    each = shape.withColumn("flips", flips).withColumn("j", F.explode_outer("flips"))
-    s = F.expr("aggregate(transform(v, (r, i) -> if(shiftright(j, i) & 1 = 1, r.x, -r.x)), 0D, (s, t) -> s + t)")
-    hit = F.sum((F.abs(s / F.col("n")) >= F.abs(F.col("stat")) - TIE * F.greatest(F.lit(1.0), F.abs(F.col("stat")))).cast("long"))
-    done = each.groupBy(*keys).agg(F.first("stat").alias("stat"), hit.alias("hits"), F.count("j").alias("l"), F.first(exact).alias("exact"))
-    p = F.when(F.col("exact"), F.col("hits") / F.col("l")).otherwise((F.col("hits") + 1) / (F.col("l") + 1))
-    return done.select(*keys, "stat", F.when(F.col("l") > 0, p).alias("p"))
+    half = F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, greatest(least(n, 30) - 1, 0))") - 1)
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(lmax)), lambda k: F.pmod(F.xxhash64(k, F.lit(seed)), F.expr("shiftleft(1L, least(n, 62))")))
+    flips = F.when(F.pow(F.lit(0.5), F.col("n")) >= 0.05, F.array().cast("array<long>")).when(exact, half).otherwise(drawn)
+    size = F.abs(F.col("stat"))
+    done = shape.withColumns({"flips": flips, "least": size - TIE * F.greatest(F.lit(1.0), size), "exact": exact})
+    flipped = "aggregate(transform(v, (r, i) -> if(shiftright(j, i) & 1 = 1, r.x, -r.x)), 0D, (s, t) -> s + t)"
+    hits, tried = F.expr(f"size(filter(flips, j -> abs({flipped} / n) >= least))"), F.size("flips")
+    p = F.when(F.col("exact"), hits / tried).otherwise((hits + 1) / (tried + 1))
+    return done.select(*keys, "stat", F.when(tried > 0, p).alias("p"))
 
 
 def mean_divergence(cmd: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,19 +125,37 @@ def group_pairs(models: DataFrame, keys: list[str]) -> DataFrame:
 def bh(df: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
     """Adds q: Benjamini-Hochberg within ``keys`` (a test); null p have null q.
 
-    q(p) depends on distinct p alone, of which a permutation test has few: ranks are sums over
-    the table of distinct values, so no window holds the tests themselves.
+    q(p) depends on distinct p alone. They are cut into ranges in order of (keys, p), a range a task,
+    and written once, as they are read thrice. Ranks are carried from range to range, and least
+    ratios back, over a row a range, so no window holds a test; results don't depend on the cuts.
     """
-    counts = df.where(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
-    by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    m = F.sum("__n").over(by)
-    rank = F.sum("__n").over(by.orderBy("__p").rowsBetween(W.unboundedPreceding, W.currentRow))
-    ratio = counts.withColumn("__r", F.col("__p") * m / rank)
-    q = ratio.withColumn("q", F.least(F.lit(1.0), F.min("__r").over(by.orderBy("__p").rowsBetween(W.currentRow, W.unboundedFollowing)))).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__p", "q")
+    # names of their own: a key may be called like a column made here
+    named = [f"__k{i}" for i in range(len(keys))]
+    counts = df.where(F.col(p).isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    ranges = settled(counts.repartitionByRange(*named, "__p").withColumn("__b", F.spark_partition_id()))
+    inside, over = W.partitionBy(*named, "__b").orderBy("__p"), W.partitionBy(*named) if named else W.partitionBy(F.lit(1))
+    order, until, since = over.orderBy("__b"), (W.unboundedPreceding, W.currentRow), (W.currentRow, W.unboundedFollowing)
+
+    def joined(rows: DataFrame, by_range: DataFrame) -> DataFrame:
+        """``rows`` with the columns of their range; keys may be null."""
+        there = by_range.select(*[F.col(n).alias(f"{n}_") for n in named], F.col("__b").alias("__b_"), *[c for c in by_range.columns if c not in (*named, "__b")])
+        on = F.col("__b") == F.col("__b_")
+        for n in named:
+            on = on & F.col(n).eqNullSafe(F.col(f"{n}_"))
+        return rows.join(there, on).drop("__b_", *[f"{n}_" for n in named])
+
+    sums = ranges.groupBy(*named, "__b").agg(F.sum("__n").alias("__in"))
+    carry = sums.select(*named, "__b", (F.sum("__in").over(order.rowsBetween(*until)) - F.col("__in")).alias("__ahead"), F.sum("__in").over(over).alias("__m"))
+    rank = F.col("__ahead") + F.sum("__n").over(inside.rowsBetween(*until))
+    ratio = joined(ranges, carry).withColumn("__r", F.col("__p") * F.col("__m") / rank).select(*named, "__b", "__p", "__r")
+    least = ratio.groupBy(*named, "__b").agg(F.min("__r").alias("__least"))
+    later = least.select(*named, "__b", F.min("__least").over(order.rowsBetween(1, W.unboundedFollowing)).alias("__later"))
+    q = F.least(F.lit(1.0), F.min("__r").over(inside.rowsBetween(*since)), F.col("__later"))
+    of_p = joined(ratio, later).select(*named, "__p", q.alias("q"))
     on = F.col(p) == F.col("__p")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return df.join(q, on, "left").drop("__p", *[f"__k{i}" for i in range(len(keys))])
+    for k, n in zip(keys, named, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    return df.join(of_p, on, "left").drop("__p", *named)
 
 
 def common_keys(values: DataFrame, keys: list[str]) -> DataFrame:

@@ -127,6 +127,55 @@ def test_divergence_of_uneven_replicates(spark):
         assert got.stat == pytest.approx(stat) and (got.p is None if p is None else got.p == pytest.approx(p))
 
 
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_q_by_ranges(spark, ranges):
+    """q against a walk down from the greatest p, in few and in many ranges; null keys, null p, ties."""
+    r = random.Random(8)
+    rows = [(r.choice(["a", "b", None]), i, r.choice([None, 1.0, 0.0, r.random() ** 4, round(r.random(), 1)])) for i in range(900)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # ranges aren't merged
+    try:
+        df = spark.createDataFrame(rows, "g string, i int, p double")
+        got = {x.i: x.q for x in comparison.bh(df, ["g"]).collect()}
+        whole = {x.i: x.q for x in comparison.bh(df, []).collect()}
+        assert comparison.bh(df.where("p is null"), ["g"]).where("q is null").count() == sum(p is None for *_, p in rows)
+        assert comparison.bh(df.limit(0), ["g"]).count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+    def plain(tests):
+        tests, q, out = sorted((p, i) for p, i in tests if p is not None), 1.0, {}
+        for n in range(len(tests), 0, -1):
+            p, i = tests[n - 1]
+            q = min(q, p * len(tests) / n)
+            out[i] = q
+        return out
+
+    want = {i: v for g in ("a", "b", None) for i, v in plain((p, i) for k, i, p in rows if k == g).items()}
+    assert len(got) == len(whole) == len(rows)
+    for mine, theirs in ((got, want), (whole, plain((p, i) for _, i, p in rows))):
+        assert all((v is None and i not in theirs) or v == pytest.approx(theirs[i]) for i, v in mine.items())
+
+
+def test_signs_of_pairs(spark):
+    """p over all flips, by plain loops, ties too; drawn flips where they are too many; none where p can't be small."""
+    r = random.Random(6)
+    cases = {k: [float(r.choice([-2, -1, 1, 2, 3])) for _ in range(n)] for k, n in enumerate((1, 4, 5, 6, 9, 9, 12))}
+    df = spark.createDataFrame([(k, i, v) for k, x in cases.items() for i, v in enumerate(x)], "k int, i int, x double")
+    for row in comparison.matched_test(df, ["k"]).collect():
+        x = np.asarray(cases[row.k])
+        assert row.stat == pytest.approx(x.mean())
+        if len(x) < 5:
+            assert row.p is None
+            continue
+        p = np.mean([abs(np.mean(x * np.asarray(f))) >= abs(x.mean()) - 1e-12 for f in product((-1, 1), repeat=len(x))])
+        assert row.p == pytest.approx(p) if len(x) < 10 else abs(row.p - p) < 0.06
+    plan = comparison.matched_test(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
 @pytest.fixture(scope="module")
 def two_samples(spark):
     """Reads of two samples over one region, drawn from unlike models; and their true models."""
