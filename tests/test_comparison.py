@@ -45,12 +45,12 @@ def files(spark, tmp_path_factory):
     return paths, phi, seq, spark.createDataFrame([("c1", seq, len(seq))], "chr string, seq string, length long")
 
 
-def plain_values(phi: dict, seq: str) -> dict:
+def plain_values(phi: dict, seq: str, regions: tuple = REGIONS) -> dict:
     """(region, piece) -> sample -> (mml, nme, summary, first, last site) by loops."""
     cg = [i + 1 for i in range(len(seq)) if seq[i : i + 2] == "CG"]
     out: dict = {}
     for (s, k), v in phi.items():
-        a, b = REGIONS[k]
+        a, b = regions[k]
         pos = [p for p in cg if a <= p <= b]
         c0, c1 = max(1, a - 500), min(len(seq), b + 500)
         rho = np.asarray([sum(p - 501 <= x <= p + 498 for x in cg if c0 <= x and x + 1 <= c1) / 1000 for p in pos])
