@@ -64,6 +64,30 @@ def summarise(alpha, beta) -> Summary:
     return Summary(float(log_z), (p * S).sum(-1), exx, p, f, b, alpha, beta)
 
 
+def summarise_all(alphas, betas, cells: int = 1 << 17) -> list[Summary]:
+    """``summarise`` of chains of any lengths, in their order; messages run once for many chains.
+
+    Chains of like lengths are padded to one array of at most ``cells`` sites (a longer chain is alone).
+    A padded site is uncoupled and its two states weigh one half each, so it changes nothing before it.
+    """
+    alphas, betas = ([np.asarray(x, float) for x in xs] for xs in (alphas, betas))
+    sizes = np.asarray([len(a) for a in alphas], int)
+    out: list = [None] * len(alphas)
+    order, at = np.argsort(-sizes, kind="stable"), 0
+    while at < len(order):
+        own = order[at : at + max(1, cells // max(int(sizes[order[at]]), 1))]
+        at += len(own)
+        n = max(int(sizes[own].max()), 1)
+        field, beta = np.full((len(own), n, 2), -np.log(2.0)), np.zeros((len(own), n - 1))
+        for row, i in enumerate(own):
+            field[row, : sizes[i]], beta[row, : len(betas[i])] = fields(alphas[i]), betas[i]
+        log_z, p, exx, f, b = expectations(field, beta)
+        for row, i in enumerate(own):
+            k = sizes[i]
+            out[i] = Summary(float(log_z[row]), (p[row, :k] * S).sum(-1), exx[row, : max(k - 1, 0)], p[row, :k], f[row, :k], b[row, :k], alphas[i], betas[i])
+    return out
+
+
 def _energy(s: Summary, model: Summary, p: int, q: int) -> float:
     """-E_s[log of ``model``'s marginal of sites p..q] (0-based, inclusive)."""
     ends = (s.p[p] * model.f[p]).sum() + (s.p[q] * model.b[q]).sum()

@@ -29,8 +29,7 @@ def summaries(models: DataFrame, keys: tuple[str, ...] = ("sample", "region_id")
     def run(batches):
         for pdf in batches:
             rows = []
-            for r in pdf.itertuples(index=False):
-                s = ising.summarise(r.alpha, r.beta)
+            for r, s in zip(pdf.itertuples(index=False), ising.summarise_all(pdf["alpha"], pdf["beta"]), strict=True):
                 cut = _pieces(r.p, r.q)
                 rows.append((*[getattr(r, k) for k in keys], s.log_z, s.ex, s.exx, [ising.mml(s, *c) if c else None for c in cut], [ising.nme(s, *c) if c else None for c in cut]))
             yield pd.DataFrame(rows, columns=[*keys, "log_z", "ex", "exx", "mml", "nme"])
@@ -38,15 +37,20 @@ def summaries(models: DataFrame, keys: tuple[str, ...] = ("sample", "region_id")
     return models.select(*[F.col(k).cast("string").alias(k) for k in keys], "alpha", "beta", "p", "q").mapInPandas(run, schema)
 
 
+def _sides(pdf: pd.DataFrame):
+    """(row, summary of i, of j, of their mixture) of a batch of pairs."""
+    one, two = (ising.summarise_all(pdf[f"alpha_{x}"], pdf[f"beta_{x}"]) for x in "ij")
+    mixed = ising.summarise_all([(a.alpha + b.alpha) / 2 for a, b in zip(one, two, strict=True)], [(a.beta + b.beta) / 2 for a, b in zip(one, two, strict=True)])
+    return zip(pdf.itertuples(index=False), one, two, mixed, strict=True)
+
+
 def divergences(pairs: DataFrame) -> DataFrame:
     """i, j, region_id, k, cmd of rows with alpha_i, beta_i, alpha_j, beta_j, p, q."""
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for r in pdf.itertuples(index=False):
-                a, b = ising.summarise(r.alpha_i, r.beta_i), ising.summarise(r.alpha_j, r.beta_j)
-                mix = ising.mixture(a, b)
+            for r, a, b, mix in _sides(pdf):
                 rows += [(r.i, r.j, r.region_id, k, ising.cmd(a, b, mix, *c)) for k, c in enumerate(_pieces(r.p, r.q)) if c]
             yield pd.DataFrame(rows, columns=["i", "j", "region_id", "k", "cmd"])
 
@@ -59,27 +63,28 @@ def whole_divergences(pairs: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             rows = []
-            for r in pdf.itertuples(index=False):
-                a, b = ising.summarise(r.alpha_i, r.beta_i), ising.summarise(r.alpha_j, r.beta_j)
-                c = ising.cmd(a, b, ising.mixture(a, b), 0, len(a.alpha) - 1)
+            for r, a, b, mix in _sides(pdf):
+                c = ising.cmd(a, b, mix, 0, len(a.alpha) - 1)
                 rows.append((r.i, r.j, r.region_id, min(1.0, max(0.0, c)), ising.kl(a, b)))
             yield pd.DataFrame(rows, columns=["i", "j", "region_id", "cmd", "kl"])
 
     return pairs.select("i", "j", "region_id", "alpha_i", "beta_i", "alpha_j", "beta_j").mapInPandas(run, "i int, j int, region_id string, cmd double, kl double")
 
 
-def moments(models: DataFrame) -> DataFrame:
-    """region_id, ex, exx, px (P(X = 1) of each site), corr, second (E[X_i X_j] as rows): of alpha, beta."""
+def moments(models: DataFrame, second: bool = False) -> DataFrame:
+    """region_id, ex, exx, px (P(X = 1) of each site), corr: of alpha, beta. ``second`` adds E[X_i X_j] as
+    rows, whose size is the square of a chain's."""
+    names = ["region_id", "ex", "exx", "px", "corr", *(["second"] if second else [])]
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for r in pdf.itertuples(index=False):
-                s = ising.summarise(r.alpha, r.beta)
-                rows.append((r.region_id, s.ex, s.exx, s.p[:, 1], ising.correlations(s), ising.second_moments(s).tolist()))
-            yield pd.DataFrame(rows, columns=["region_id", "ex", "exx", "px", "corr", "second"])
+            for region, s in zip(pdf["region_id"], ising.summarise_all(pdf["alpha"], pdf["beta"]), strict=True):
+                rows.append((region, s.ex, s.exx, s.p[:, 1], ising.correlations(s), *([ising.second_moments(s).tolist()] if second else [])))
+            yield pd.DataFrame(rows, columns=names)
 
-    return models.select("region_id", "alpha", "beta").mapInPandas(run, "region_id string, ex array<double>, exx array<double>, px array<double>, corr array<double>, second array<array<double>>")
+    schema = "region_id string, ex array<double>, exx array<double>, px array<double>, corr array<double>" + (", second array<array<double>>" if second else "")
+    return models.select("region_id", "alpha", "beta").mapInPandas(run, schema)
 
 
 def read_likelihoods(calls: DataFrame, models: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ two as (select a.id, a.i i, b.i k, sum(p * a.s * b.s) m from v a join v b on a.i
 select cast(id as varchar) as region_id, cast(i - 1 as int) as i, cast(k - 1 as int) as j, round(m, 6) as m from two union all select cast(id as varchar), cast(i - 1 as int), cast(i - 1 as int), round(1 - ex * ex, 6) from m""")
 def second_moments(spark, d):
     few = _by_region(spark, d).where(F.size("alpha") <= 10)  # as many as the SQL can enumerate
-    rows = models.moments(few).select("region_id", F.posexplode("second").alias("i", "row")).select("region_id", "i", F.posexplode("row").alias("j", "m"))
+    rows = models.moments(few, second=True).select("region_id", F.posexplode("second").alias("i", "row")).select("region_id", "i", F.posexplode("row").alias("j", "m"))
     return rows.where("j >= i").select("region_id", "i", "j", rounded("m").alias("m"))
 
 

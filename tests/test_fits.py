@@ -52,3 +52,19 @@ def test_the_fit_is_a_stationary_point(spark, regions):
         slope = [(like(phi[0] + h) - like(phi[0] - h)) / 2e-4 for h in 1e-4 * np.eye(3)]
         assert gap[0] == pytest.approx(slope, abs=1e-4)  # the gradient is that gap
         assert (np.abs(ising._free(phi, -gap, np.asarray(ising.BOX))) <= 0.02 * t.reach).all()
+
+
+def test_chains_of_a_batch_are_those_alone():
+    """Padded together, chains of any lengths give what each gives alone; a chain over the room is alone."""
+    r = np.random.default_rng(8)
+    sizes = [1, 2, 2, 7, 40, 3, 40, 300, 1, 12]
+    alphas, betas = [r.normal(0, 2, n) for n in sizes], [r.normal(0, 2, n - 1) for n in sizes]
+    alphas[3][2], betas[4][5] = np.nan, 400.0  # a gap spoils its own chain only
+    for cells in (1, 50, 1 << 17):
+        for a, b, got in zip(alphas, betas, ising.summarise_all(alphas, betas, cells), strict=True):
+            want = ising.summarise(a, b)
+            for k in ("ex", "exx", "p", "f", "b"):
+                assert getattr(got, k).shape == getattr(want, k).shape
+                np.testing.assert_allclose(getattr(got, k), getattr(want, k), atol=1e-9)
+            np.testing.assert_allclose(got.log_z, want.log_z)
+    assert ising.summarise_all([], []) == []
