@@ -34,5 +34,6 @@ class Config:
     trim: tuple[int, int, int, int] = (0, 0, 0, 0)
     pe: bool = False
     lmax_two_samp: int = 100
+    perm_blocks: int = 8
     pval_comp: bool = True
     seed: int = 17

@@ -149,6 +149,96 @@ def fit_regions(calls: DataFrame, profile: DataFrame, reads: DataFrame, starts:
     return full.groupBy(*group).applyInPandas(run, ", ".join(f"{g} string" for g in group) + ", phi array<double>, log_lik double, converged boolean")
 
 
+def packed_calls(calls: DataFrame, reads: DataFrame) -> DataFrame:
+    """region_id and arrays read_id, grp, log_m, log_u: a row a region. Every read of ``reads`` stands there, with a
+    null group too, so reads without a call count. A region's calls make one row, as they make one group of a fit."""
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("grp", "int"), ("log_m", "double"), ("log_u", "double"))]
+    rows = calls.select("region_id", "read_id", F.col("grp").cast("int").alias("grp"), F.col("log_m").cast("double").alias("log_m"), F.col("log_u").cast("double").alias("log_u"))
+    both = rows.unionByName(reads.select("region_id", "read_id", *nothing))
+    v = F.collect_list(F.struct("read_id", "grp", "log_m", "log_u"))
+    return both.groupBy("region_id").agg(v.alias("v")).select("region_id", *[F.col(f"v.{c}").alias(c) for c in ("read_id", "grp", "log_m", "log_u")])
+
+
+def halves(region: str, perm: int, first: int, reads: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the reads (in order of their ids) dealt to the two samples by permutation ``perm`` of a region."""
+    order = np.random.default_rng(zlib.crc32(f"{region}#{perm}#{seed}".encode())).permutation(reads)
+    return order[:first], order[first:]
+
+
+def _differences(one, two, mix, pieces) -> dict[tuple[str, int], float]:
+    """Statistics of two summaries by (test, piece); NaN where one has no value."""
+    out = {}
+    for k, c in enumerate(pieces):
+        if c:
+            out["tmml", k] = abs(ising.mml(one, *c) - ising.mml(two, *c))
+            out["tnme", k] = abs(ising.nme(one, *c) - ising.nme(two, *c))
+            out["tcmd", k] = ising.cmd(one, two, mix, *c)
+    return out
+
+
+def permuted_hits(packed: DataFrame, units: DataFrame, sites: DataFrame, observed: DataFrame, permutations: int, starts: int = 10, iters: int = 20, seed: int = 17, blocks: int = 8, tie: float = 0.0) -> DataFrame:
+    """region_id, test, k, n, hits: permutations of a region's reads that have a value, and those that reach ``observed``.
+
+    ``packed``: ``packed_calls`` whose reads begin with their sample's number and ``:``; ``units``: region_id,
+    n, rho, d of what calls are on; ``sites``: region_id, n, rho, d of sites, p, q of pieces; ``observed``:
+    region_id, test, k, stat. A region's calls are sent once for each of ``blocks`` blocks of permutations, which
+    are index arrays in the task: what is shuffled doesn't grow with their number. Draws come from the region's
+    id and the permutation's number, so results don't depend on blocks or retries.
+    """
+    stat = F.collect_list(F.struct("test", "k", "stat"))
+    seen = observed.where("stat is not null").groupBy("region_id").agg(stat.alias("o")).select("region_id", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("test", "k", "stat")])
+    of_sites = sites.select("region_id", *[F.col(c).alias(f"s_{c}") for c in ("n", "rho", "d")], "p", "q")
+    rows = packed.join(units.select("region_id", "n", "rho", "d"), "region_id").join(of_sites, "region_id").join(seen, "region_id")
+    blocks = max(1, min(blocks, permutations))
+    dealt = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # fits are dear and rows few: a set number of partitions keeps them from being merged by bytes
+    dealt = dealt.repartition(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), "region_id", "block")
+
+    def one(r) -> list[tuple]:
+        ids, row = np.unique(np.asarray(r.read_id, object).astype(str), return_inverse=True)
+        u = np.full((len(ids), len(r.n)), np.nan)
+        m = u.copy()
+        grp = pd.array(r.grp, dtype="Float64").to_numpy(float, na_value=np.nan)
+        has = ~np.isnan(grp)
+        at = (row[has], grp[has].astype(int) - 1)
+        u[at], m[at] = np.asarray(r.log_u, float)[has], np.asarray(r.log_m, float)[has]
+        first = int(sum(i.startswith("0:") for i in ids))
+        if not 0 < first < len(ids):
+            return []
+        n, rho, d = (np.asarray(x, float) for x in (r.n, r.rho, r.d))
+        pairs = []
+        for perm in range(1 + r.block, permutations + 1, blocks):
+            fits = []
+            for half, pick in enumerate(halves(r.region_id, perm, first, len(ids), seed)):
+                fits.append(ising.fit_em(u[pick], m[pick], n, rho, d, starts, iters, zlib.crc32(f"{(f'{r.region_id}#{perm}#{half}',)}{seed}".encode())))
+                if not fits[-1].converged:
+                    break
+            else:
+                pairs.append([ising.link(f.phi, np.asarray(r.s_n, float), np.asarray(r.s_rho, float), r.s_d) for f in fits])
+        mixed = [((a[0] + b[0]) / 2, (a[1] + b[1]) / 2) for a, b in pairs]
+        flat = [x for a, b in pairs for x in (a, b)] + mixed
+        sums = ising.summarise_all([a for a, _ in flat], [b for _, b in flat])
+        count: dict[tuple[str, int], list[int]] = {}
+        seen = dict(zip(zip(r.o_test, r.o_k, strict=True), r.o_stat, strict=True))
+        pieces = _pieces(r.p, r.q)
+        for i in range(len(pairs)):
+            for key, t in _differences(sums[2 * i], sums[2 * i + 1], sums[2 * len(pairs) + i], pieces).items():
+                # observed pieces are numbered from 0 as well
+                if key in seen and not np.isnan(t):
+                    c = count.setdefault(key, [0, 0])
+                    c[0] += 1
+                    c[1] += bool(t >= seen[key] - tie)
+        return [(r.region_id, test, k, n_, hits) for (test, k), (n_, hits) in count.items()]
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                yield pd.DataFrame(one(r), columns=["region_id", "test", "k", "n", "hits"])
+
+    parts = dealt.mapInPandas(run, "region_id string, test string, k int, n long, hits long")
+    return parts.groupBy("region_id", "test", "k").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+
+
 def _read_rows(calls: DataFrame, reads: DataFrame) -> DataFrame:
     """region_id, grp, log_m, log_u (arrays over what was observed): a row a read."""
     per = reads.select("region_id", "read_id").distinct().join(calls, ["region_id", "read_id"], "left").groupBy("region_id", "read_id")

@@ -207,8 +207,8 @@ def diff_two_samp_comp(spark: SparkSession, model1: DataFrame, model2: DataFrame
     """test, chr, start, end, stat, p, q of two samples: absolute differences and divergence.
 
     ``at_sites``: the calls are of single sites, not of groups. ``out``: the tests are written.
-    p by permuting reads between the samples: each (region, permutation) is fitted on its own,
-    so both spread over the cluster. Without calls p stays null.
+    p by permuting reads between the samples: a task takes a region and a block of its
+    permutations. Without calls p stays null.
     """
     ship(spark)
     if out:
@@ -223,8 +223,8 @@ def diff_two_samp_comp(spark: SparkSession, model1: DataFrame, model2: DataFrame
     files = model1.withColumns({"sample": F.lit(0), "grp": F.lit(1)}).unionByName(model2.withColumns({"sample": F.lit(1), "grp": F.lit(2)}))
     common = comparison.common_keys(files, ["region_id"])
     files = files.join(common, "region_id", "left_semi")
-    observed = settled(_two_sample_stats(*_site_models(files, sequences, config)))
-    keys = ["chr", "start", "end"]
+    full, values = _site_models(files, sequences, config)
+    observed = settled(_two_sample_stats(full, values))
     if calls1 is None or calls2 is None or not config.pval_comp:
         return finish(observed.withColumn("p", F.lit(None).cast("double")))
     tables = genome_tables(sequences, config)
@@ -236,33 +236,19 @@ def diff_two_samp_comp(spark: SparkSession, model1: DataFrame, model2: DataFrame
         hit = C.calls_in_regions(calls.withColumn("read_id", F.concat(F.lit(f"{side}:"), "read_id")), tables["regions"].join(common, "region_id", "left_semi"))
         both.append((C.calls_on_groups(hit, groups, certain=not config.mod_nse), C.region_reads(hit)))
     on, reads = (both[0][i].unionByName(both[1][i]) for i in (0, 1))
-    perms = reads.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(config.lmax_two_samp))))
-    # ranks by a hash per permutation: the first n1 reads are the first half
-    n1 = F.sum(F.col("read_id").startswith("0:").cast("int")).over(W.partitionBy("region_id", "perm"))
-    rank = F.row_number().over(W.partitionBy("region_id", "perm").orderBy(F.xxhash64("read_id", "perm"), "read_id"))
-    halves = perms.withColumn("half", (rank > n1).cast("int")).withColumn("unit", F.concat_ws("#", "region_id", "perm", "half"))
-    unit_calls = halves.join(on, ["region_id", "read_id"]).select(F.col("unit").alias("region_id"), "read_id", "grp", "log_m", "log_u")
-    units = halves.select("region_id", "unit").distinct()
-    profile = units.join(by_unit, "region_id").select(F.col("unit").alias("region_id"), "n", "rho", "d")
-    # read by every statistic: each would fit all permutations anew
-    fits = settled(models.fit_regions(unit_calls, profile, halves.select(F.col("unit").alias("region_id"), "read_id"), config.max_em_init, config.max_em_iters, config.seed).where("converged"))
-    part = F.split("region_id", "#")
-    info = tables["regions"].select("region_id", "chr", "chrst", "chrend")
-    null = fits.select(part[0].alias("region_id"), part[1].alias("perm"), part[2].cast("int").alias("sample"), "phi").join(info, "region_id").withColumn("grp", F.col("sample") + 1)
-    null = null.withColumn("sample", F.col("perm").cast("int") * 2 + F.col("sample"))
-    t = _two_sample_stats(*_site_models(null, sequences, config), perm=True)
-    o = observed.select("test", *keys, "stat")
-    counted = o.join(t.select("test", *keys, F.col("stat").alias("t")), ["test", *keys], "left").groupBy("test", *keys).agg(F.first("stat").alias("stat"), F.count("t").alias("n"), F.sum((F.col("t") >= F.col("stat") - comparison.TIE).cast("long")).alias("hits"))
+    packed = models.packed_calls(on, reads)
+    hits = models.permuted_hits(packed, by_unit, full.where("sample = 0"), observed, config.lmax_two_samp, config.max_em_init, config.max_em_iters, config.seed, config.perm_blocks, comparison.TIE)
+    counted = observed.join(hits, ["region_id", "test", "k"], "left")
     p = F.when(F.col("n") > 20, (F.col("hits") + 1) / (F.col("n") + 1))
     return finish(counted.withColumn("p", p))
 
 
-def _two_sample_stats(full: DataFrame, values: DataFrame, perm: bool = False) -> DataFrame:
+def _two_sample_stats(full: DataFrame, values: DataFrame) -> DataFrame:
+    """test, region_id, chr, k, start, end, stat of two samples, one of either group."""
     keys = ["region_id", "chr", "k", "start", "end"]
-    pair = F.floor(F.col("sample").cast("int") / 2) if perm else F.lit(0)
-    v = values.withColumn("pair", pair).groupBy(*keys, "pair").agg(*[F.abs(F.max(F.when(F.col("grp") == 1, F.col(c))) - F.max(F.when(F.col("grp") == 2, F.col(c)))).alias(c) for c in ("mml", "nme")])
-    long = v.select(*keys, "pair", F.explode(F.array(F.struct(F.lit("tmml").alias("test"), F.col("mml").alias("stat")), F.struct(F.lit("tnme").alias("test"), F.col("nme").alias("stat")))).alias("s")).select("s.test", *keys, "pair", "s.stat")
-    side = lambda g, x: full.where(F.col("grp") == g).withColumn("pair", pair).select("region_id", "pair", F.col("sample").alias(x), F.col("alpha").alias(f"alpha_{x}"), F.col("beta").alias(f"beta_{x}"), *(["p", "q"] if g == 1 else []))
-    cmd = models.divergences(side(1, "i").join(side(2, "j"), ["region_id", "pair"])).withColumn("pair", F.floor(F.col("i") / 2) if perm else F.lit(0))
-    c = v.select(*keys, "pair").join(cmd.select("region_id", "k", "pair", F.col("cmd").alias("stat")), ["region_id", "k", "pair"])
-    return long.unionByName(c.select(F.lit("tcmd").alias("test"), *keys, "pair", "stat")).where("stat is not null and not isnan(stat)")
+    v = values.groupBy(*keys).agg(*[F.abs(F.max(F.when(F.col("grp") == 1, F.col(c))) - F.max(F.when(F.col("grp") == 2, F.col(c)))).alias(c) for c in ("mml", "nme")])
+    long = v.select(*keys, F.explode(F.array(F.struct(F.lit("tmml").alias("test"), F.col("mml").alias("stat")), F.struct(F.lit("tnme").alias("test"), F.col("nme").alias("stat")))).alias("s")).select("s.test", *keys, "s.stat")
+    side = lambda g, x: full.where(F.col("grp") == g).select("region_id", F.col("sample").alias(x), F.col("alpha").alias(f"alpha_{x}"), F.col("beta").alias(f"beta_{x}"), *(["p", "q"] if g == 1 else []))
+    cmd = models.divergences(side(1, "i").join(side(2, "j"), "region_id"))
+    c = v.select(*keys).join(cmd.select("region_id", "k", F.col("cmd").alias("stat")), ["region_id", "k"])
+    return long.unionByName(c.select(F.lit("tcmd").alias("test"), *keys, "stat")).where("stat is not null and not isnan(stat)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import zlib
 from itertools import combinations, product
 from math import comb
 from pathlib import Path
@@ -206,6 +207,47 @@ def test_two_samples_by_permutation(spark, two_samples, tmp_path):
     assert all(r.stat < 1e-9 and (r.p is None or r.p == 1) for r in same)
 
 
+def test_permuted_hits(spark):
+    """Hits are those of a loop that fits both halves of each permutation; blocks of permutations don't change them."""
+    r, n, starts, iters, seed = np.random.default_rng(5), 6, 2, 60, 17
+    rho, d = [0.02, 0.05, 0.03, 0.06, 0.04, 0.05], [20.0, 35.0, 15.0, 40.0, 25.0, 0.0]
+    up = {f"{s}:r{i}": r.random(n) < (0.75 if s else 0.35) for s in (0, 1) for i in range(5)}
+    calls = [("a", read, g + 1, *((-0.1, -3.0) if x else (-3.0, -0.1))) for read, own in up.items() if read != "1:r3" for g, x in enumerate(own) if (g + len(read)) % 5]
+    # b: all reads of one sample, so there is nothing to permute
+    calls += [("b", "0:x", 1, -0.1, -3.0), ("b", "0:y", 2, -3.0, -0.1)]
+    calls_df = spark.createDataFrame(calls, "region_id string, read_id string, grp int, log_m double, log_u double")
+    reads = spark.createDataFrame([("a", x) for x in up] + [("b", "0:x"), ("b", "0:y")], "region_id string, read_id string")
+    packed = models.packed_calls(calls_df, reads)
+    assert packed.count() == 2
+    units = spark.createDataFrame([(g, [1.0] * n, rho, d) for g in "ab"], "region_id string, n array<double>, rho array<double>, d array<double>")
+    pieces = [(0, 2), None, (3, 5)]
+    sites = units.withColumns({"p": F.array(F.lit(0), F.lit(None).cast("int"), F.lit(3)), "q": F.array(F.lit(2), F.lit(None).cast("int"), F.lit(5))})
+    seen = {("tmml", 0): 0.1, ("tmml", 2): 0.0, ("tnme", 0): 0.2, ("tnme", 2): 2.0, ("tcmd", 0): 0.05}
+    observed = spark.createDataFrame([(g, t, k, x) for g in "ab" for (t, k), x in seen.items()], "region_id string, test string, k int, stat double")
+    got = [sorted(tuple(x) for x in models.permuted_hits(packed, units, sites, observed, 14, starts, iters, seed, blocks).collect()) for blocks in (1, 5)]
+    assert got[0] == got[1]
+
+    ids = sorted(up)
+    u, m = np.full((2, len(ids), n), np.nan)
+    for _, read, g, lm, lu in calls[:-2]:
+        u[ids.index(read), g - 1], m[ids.index(read), g - 1] = lu, lm
+    count = {k: [0, 0] for k in seen}
+    for perm in range(1, 15):
+        fits = [ising.fit_em(u[at], m[at], np.ones(n), np.asarray(rho), np.asarray(d), starts, iters, zlib.crc32(f"{(f'a#{perm}#{h}',)}{seed}".encode())) for h, at in enumerate(models.halves("a", perm, 5, 10, seed))]
+        if not all(f.converged for f in fits):
+            continue
+        s0, s1 = (ising.summarise(*ising.link(f.phi, np.ones(n), np.asarray(rho), d)) for f in fits)
+        for test, k in seen:
+            t = {"tmml": abs(ising.mml(s0, *pieces[k]) - ising.mml(s1, *pieces[k])), "tnme": abs(ising.nme(s0, *pieces[k]) - ising.nme(s1, *pieces[k])), "tcmd": ising.cmd(s0, s1, ising.mixture(s0, s1), *pieces[k])}[test]
+            count[test, k][0] += 1
+            count[test, k][1] += t >= seen[test, k]
+    assert got[0] == sorted(("a", test, k, a, b) for (test, k), (a, b) in count.items())
+    assert count["tmml", 2][0] == count["tmml", 2][1] > 5 and count["tnme", 2][1] == 0
+    for perm in (1, 2):
+        one, two = models.halves("a", perm, 5, 10, seed)
+        assert len(one) == 5 and sorted([*one, *two]) == list(range(10))
+
+
 @pytest.mark.skipif("STRANDLOOM_EXAMPLES" not in os.environ, reason="STRANDLOOM_EXAMPLES names no folder of published examples")
 @pytest.mark.parametrize("matched", [False, True])
 def test_published_comparison(spark, matched):
