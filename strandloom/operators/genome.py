@@ -271,13 +271,36 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     return full.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: Bins of a level are this many times wider than those of the level below.
+NEST, LEVELS = 8, 8
+
+
+def _level(length: Column, width: int) -> Column:
+    """The least level (from 0) whose bins are no shorter than ``length``; the top one for what is longer than all."""
+    out = F.lit(LEVELS - 1)
+    for i in range(LEVELS - 2, -1, -1):
+        out = F.when(length <= width * NEST**i, F.lit(i)).otherwise(out)
+    return out
+
+
 def overlap_join(points: DataFrame, intervals: DataFrame, key: str, p0: str, p1: str, i0: str, i1: str, width: int) -> DataFrame:
-    """Interval overlap [p0, p1] x [i0, i1] per key by an equi-join on blocks of ``width``.
+    """Interval overlap [p0, p1] x [i0, i1] per key by an equi-join on nested bins, ``width`` at the finest level.
 
-    Both sides are dealt to the blocks that they touch; a pair is kept in the first block that
-    both have, so none comes twice and nothing has to be made distinct.
+    A row's level is the first whose bins are no shorter than it, so it touches at most two bins there (but
+    for rows longer than a bin of the top level). A pair meets at the level of its longer row, in the first bin
+    that both touch, so none comes twice. Intervals, the fewer side, are dealt to their level and to all above it;
+    points to those levels that intervals have, a row of at most ``LEVELS`` numbers: rows don't grow with lengths.
+    Null ends match nothing.
     """
-    deal = lambda df, a, b, c: df.withColumn(c, F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))))
-    left, right = deal(points, p0, p1, "__blk"), deal(intervals, i0, i1, "__blk")
-    hit = left.join(right, [key, "__blk"]).where((F.col(p0) <= F.col(i1)) & (F.col(p1) >= F.col(i0)))
-    return hit.where(F.col("__blk") == F.floor(F.greatest(F.col(p0), F.col(i0)) / width)).drop("__blk")
+    widths = F.array(*[F.lit(width * NEST**i).cast("long") for i in range(LEVELS)])
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.get(widths, F.col("__lvl"))), F.floor(F.col(b) / F.get(widths, F.col("__lvl")))))
+    length = lambda a, b: F.col(b) - F.col(a) + 1
+    own = intervals.where(F.col(i0).isNotNull() & F.col(i1).isNotNull()).withColumn("__li", _level(length(i0, i1), width))
+    there = own.select(F.collect_set("__li").alias("l")).scalar()
+    left = points.where(F.col(p0).isNotNull() & F.col(p1).isNotNull()).withColumns({"__lp": _level(length(p0, p1), width), "__there": there})
+    above = F.filter("__there", lambda i: i >= F.col("__lp"))
+    at = F.when(F.exists("__there", lambda i: i < F.col("__lp")), F.array_union(F.array("__lp"), above)).otherwise(above)
+    left = left.withColumn("__lvl", F.explode(at)).drop("__there").withColumn("__blk", bins(p0, p1))
+    right = own.withColumn("__lvl", F.explode(F.sequence(F.col("__li"), F.lit(LEVELS - 1)))).withColumn("__blk", bins(i0, i1))
+    hit = left.join(right, [key, "__lvl", "__blk"]).where((F.col(p0) <= F.col(i1)) & (F.col(p1) >= F.col(i0)) & (F.col("__lvl") == F.greatest("__lp", "__li")))
+    return hit.where(F.col("__blk") == F.floor(F.greatest(F.col(p0), F.col(i0)) / F.get(widths, F.col("__lvl")))).drop("__blk", "__lvl", "__lp", "__li")

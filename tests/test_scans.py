@@ -117,3 +117,27 @@ def test_one_chromosome_spreads(spark):
 def test_region_size_that_could_stand_still(spark):
     with pytest.raises(ValueError):
         genome.chromosome_partition(spark.createDataFrame([], "chr string, pos long"), spark.createDataFrame([], "chr string, first long, last long"), 900)
+
+
+def test_overlaps_of_any_length(spark):
+    """Intervals of all lengths on both sides, repeats, bounds of bins and nulls: pairs are those of two loops."""
+    r = random.Random(4)
+
+    def rows(n: int, longest: int) -> list[tuple]:
+        out = []
+        for i in range(n):
+            a = r.choice((r.randrange(200_000), 64 * r.randrange(3000), 4096 * r.randrange(40)))
+            out.append((r.choice("ab"), i, a, a + r.choice((0, 1, 63, 64, 511, r.randrange(longest)))))
+        return [*out, out[0], ("a", -1, None, 5), ("b", -2, 5, None)]
+
+    left, right = rows(300, 3_000), rows(200, 150_000)
+    for one, two in ((left, right), (right, left)):
+        p = spark.createDataFrame(one, "c string, x int, p0 long, p1 long")
+        q = spark.createDataFrame(two, "c string, y int, i0 long, i1 long")
+        got = sorted((h.x, h.y) for h in genome.overlap_join(p, q, "c", "p0", "p1", "i0", "i1", 64).collect())
+        want = sorted((x, y) for c, x, a, b in one for k, y, i, j in two if c == k and None not in (a, b, i, j) and a <= j and b >= i)
+        assert got == want
+    assert genome.overlap_join(p, q.limit(0), "c", "p0", "p1", "i0", "i1", 64).count() == 0
+    # an interval over 10^9 bases is a row a level, not a row a bin
+    plan = genome.overlap_join(p, spark.createDataFrame([("a", 1, 0, 10**9)], q.schema), "c", "p0", "p1", "i0", "i1", 64)
+    assert plan.count() == sum(c == "a" and a is not None and b is not None for c, _, a, b in right)
