@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandloom.session import settled
+
 
 def confusion(df: DataFrame, truth: Column, call: Column) -> DataFrame:
     """tp, fp, tn, fn and the four rates."""
@@ -188,32 +190,63 @@ def histogram2d_log(df: DataFrame, x: Column, y: Column, bins: int) -> DataFrame
     return full.select("bx", "by", (-F.log10(F.col("n") / F.sum("n").over(W.partitionBy()))).alias("v"))
 
 
-def box_statistics(df: DataFrame, keys: list[str], value: Column, near: float = 0.01) -> DataFrame:
-    """keys, q1, median, q3 (between ranks linear, exact), n.
+#: Ranges of a step of the search for ranks, and how many values a range may hold to be sorted in its row.
+RANGES, SORTED = 64, 4096
 
-    A sketch bounds each quartile; the values inside the bounds, a small share, are counted and
-    ranked, those below only counted, so no group's values meet in one buffer.
-    """
-    rows = df.select(*keys, value.cast("double").alias("v")).where("v is not null and not isnan(v)")
-    marks = [0.25, 0.5, 0.75]
-    sketch = F.percentile_approx("v", F.lit([x for q in marks for x in (q - near, q + near)]), F.lit(10_000))
-    bounds = rows.groupBy(*keys).agg(sketch.alias("b"), F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    # where ranks are few, the sketch's bounds can cut a neighbour off: the ends stand in
-    few = F.col("n") < F.lit(4 / near)
-    each = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.when(few, F.col("lo")).otherwise(F.get("b", F.lit(2 * i))).alias("a"), F.when(few, F.col("hi")).otherwise(F.get("b", F.lit(2 * i + 1))).alias("z")) for i, q in enumerate(marks)])).alias("e")
-    ranges = bounds.select(*[F.col(k).alias(f"r_{k}") for k in keys], "n", each).select(*[f"r_{k}" for k in keys], "n", "e.*")
+
+def _same(keys: list[str], prefix: str) -> Column:
     on = F.lit(True)
     for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"r_{k}"))
-    hit = rows.join(ranges, on).where("v <= z")
-    counts = hit.groupBy(*keys, "q", "n", F.when(F.col("v") >= F.col("a"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    by = W.partitionBy(*keys, "q").orderBy(F.asc_nulls_first("v")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = counts.withColumn("upto", F.sum("c").over(by))
-    rank = F.col("q") * (F.col("n") - 1)
-    at = lambda r: F.min(F.when((F.col("upto") > r) & F.col("v").isNotNull(), F.col("v")))
-    quart = ranked.groupBy(*keys, "q", "n").agg(at(F.floor(rank)).alias("x"), at(F.ceil(rank)).alias("y")).select(*keys, "q", "n", (F.col("x") + (rank - F.floor(rank)) * (F.col("y") - F.col("x"))).alias("x"))
-    pick = lambda q: F.max(F.when(F.col("q") == q, F.col("x")))
-    return quart.groupBy(*keys).agg(pick(0.25).alias("q1"), pick(0.5).alias("median"), pick(0.75).alias("q3"), F.max("n").alias("n"))
+        on = on & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return on
+
+
+def ranked_values(rows: DataFrame, keys: list[str], ranks: Column, sorted_at: int = SORTED) -> DataFrame:
+    """keys, n, r, x: the value v of ``rows`` (keys, v; no null or NaN) at each rank r (from 0) of its key.
+
+    ``ranks``: an array of longs made from the column n, the number of rows of a key. Ranks are narrowed by
+    histograms: a sketch cuts the values between a rank's bounds into ``RANGES`` ranges of like numbers, these are
+    counted exactly, and the least and greatest value of the range that holds the rank are the new bounds. Where a
+    range holds at most ``sorted_at`` values they are sorted in its row. So a step shuffles sketches and counts, no
+    values, and no task sees a key's values; how the values are distributed doesn't matter, and steps grow with the
+    logarithm of their number. The bounds, a row a rank, lie in the shared folder.
+    """
+    # without keys the bounds are a row a rank, few by their making
+    bounds = (lambda df: df) if keys else F.broadcast
+    named = [*[f"r_{k}" for k in keys], "n"]
+    ends = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    opened = ends.select(*[F.col(k).alias(f"r_{k}") for k in keys], "n", F.explode(F.array_distinct(ranks)).alias("r"), "lo", "hi")
+    # under: values below lo; inside: values from lo to hi
+    state = settled(opened.select(*named, "r", F.lit(0).cast("long").alias("under"), F.col("n").alias("inside"), "lo", "hi"))
+    wide = (F.col("lo") < F.col("hi")) & (F.col("inside") > sorted_at)
+    marks = F.lit([i / RANGES for i in range(1, RANGES)])
+    # the ends have ranges of their own, so that each step takes values away
+    place = F.when(F.col("v") <= F.col("lo"), 0).when(F.col("v") >= F.col("hi"), RANGES + 1).otherwise(1 + F.size(F.filter("edges", lambda e: e < F.col("v"))))
+    while state.where(wide).limit(1).count():
+        inside = rows.join(bounds(state.where(wide)), _same(keys, "r_")).where("v between lo and hi")
+        cut = settled(inside.groupBy(*named, "r", "under", "lo", "hi").agg(F.percentile_approx("v", marks, F.lit(20 * RANGES)).alias("edges")))
+        inside = rows.join(bounds(cut), _same(keys, "r_")).where("v between lo and hi")
+        counts = inside.groupBy(*named, "r", "under", place.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = F.sum("c").over(W.partitionBy(*named, "r").orderBy("b").rowsBetween(W.unboundedPreceding, W.currentRow))  # at most RANGES + 2 rows
+        found = counts.withColumn("below", F.col("under") + upto - F.col("c")).where("below <= r and r < below + c")
+        state = settled(state.where(~wide).unionByName(found.select(*named, "r", F.col("below").alias("under"), F.col("c").alias("inside"), "lo", "hi")))
+    few = state.where("lo < hi")
+    held = rows.join(bounds(few), _same(keys, "r_")).where("v between lo and hi").groupBy(*named, "r", "under").agg(F.sort_array(F.collect_list("v")).alias("all"))
+    x = F.get("all", (F.col("r") - F.col("under")).cast("int"))
+    out = state.where("lo = hi").select(*named, "r", F.col("lo").alias("x")).unionByName(held.select(*named, "r", x.alias("x")))
+    return out.select(*[F.col(f"r_{k}").alias(k) for k in keys], "n", "r", "x")
+
+
+def box_statistics(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """keys, q1, median, q3 (between ranks linear, exact), n; null and NaN don't count."""
+    marks = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    rows = df.select(*keys, value.cast("double").alias("v")).where("v is not null and not isnan(v)")
+    at = {q: F.lit(m) * (F.col("n") - 1) for q, m in marks.items()}
+    ranks = F.array(*[f(x).cast("long") for x in at.values() for f in (F.floor, F.ceil)])
+    full = ranked_values(rows, keys, ranks).groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("r", "x"))).alias("x"))
+    of = lambda r: F.element_at("x", r.cast("long"))
+    quart = lambda r: of(F.floor(r)) + F.when(r > F.floor(r), (r - F.floor(r)) * (of(F.ceil(r)) - of(F.floor(r)))).otherwise(0.0)
+    return full.select(*keys, *[quart(r).alias(q) for q, r in at.items()], "n")
 
 
 def ecdf(df: DataFrame, value: Column, thresholds: list[float]) -> DataFrame:
