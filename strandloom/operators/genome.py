@@ -41,10 +41,24 @@ def motif_positions(df: DataFrame, key: str, seq: str, pattern: str = "[Cc][Gg]"
     text = F.col(seq)
     short = df.where(F.length(text) <= tile).select(key, F.lit(0).cast("long").alias("tile"), text.alias("text"))
     near = _found(short, key, pattern, width, 1).select(key, "tile", F.lit(0).alias("entry"), F.lit(0).cast("long").alias("carry"), F.get("p", F.lit(0)).alias("p"))
+    far = _far(scans.tiles(df.where(F.length(text) > tile), key, seq, width - 1, tile), key, pattern, width, tile)
+    return _positions(near.unionByName(far), key, width, tile)
+
+
+def motif_positions_of_tiles(cut: DataFrame, key: str, pattern: str = "[Cc][Gg]", width: int = 2, tile: int = scans.BLOCK) -> DataFrame:
+    """``motif_positions`` of sequences that come in tiles: key, tile (from 0), text, which reaches ``width`` - 1
+    characters into the next tile. No sequence is ever whole (``readers.fasta_tiles`` reads a file so)."""
+    return _positions(_far(cut, key, pattern, width, tile), key, width, tile)
+
+
+def _far(cut: DataFrame, key: str, pattern: str, width: int, tile: int) -> DataFrame:
     # the lengths between matches are read three times: by tiles, by keys, and at last
-    long = settled(_found(scans.tiles(df.where(F.length(text) > tile), key, seq, width - 1, tile), key, pattern, width, 1 if _never_overlap(pattern, width) else width))
-    far = long.join(_carries(long, key, tile), [key, "tile"]).withColumn("entry", F.least(F.col("entry"), F.size("p") - 1)).select(key, "tile", "entry", "carry", F.get("p", F.col("entry")).alias("p"))
-    rows = near.unionByName(far).select(key, "tile", "entry", "carry", F.posexplode(F.slice("p", 1, F.size("p") - 1)).alias("i", "len"))
+    long = settled(_found(cut, key, pattern, width, 1 if _never_overlap(pattern, width) else width))
+    return long.join(_carries(long, key, tile), [key, "tile"]).withColumn("entry", F.least(F.col("entry"), F.size("p") - 1)).select(key, "tile", "entry", "carry", F.get("p", F.col("entry")).alias("p"))
+
+
+def _positions(found: DataFrame, key: str, width: int, tile: int) -> DataFrame:
+    rows = found.select(key, "tile", "entry", "carry", F.posexplode(F.slice("p", 1, F.size("p") - 1)).alias("i", "len"))
     upto = W.partitionBy(key, "tile").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
     pos = F.col("tile") * tile + F.col("entry") + F.sum(F.col("len") + width).over(upto) - width + 1
     return rows.select(key, (F.col("i") + F.col("carry")).cast("int").alias("n"), pos.cast("long").alias("pos"))

@@ -4,27 +4,21 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.sources.ranges import open_anywhere
+
 SCHEMA = "qname string, flag int, chr string, pos long, mapq int, xm string, has_xs boolean"
 #: Bytes of a value of each fixed-size tag type.
 _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 _ROWS = 4096
 
 
-def _open(path: str):
-    if "://" in path or path.startswith("file:"):
-        from pyarrow.fs import FileSystem
-
-        fs, rest = FileSystem.from_uri(path if "://" in path else "file://" + path[5:])
-        return fs.open_input_file(rest)
-    return open(path, "rb")  # noqa: SIM115
-
-
 class _Walker:
     """Bytes of a block-compressed file from a virtual offset (block << 16 | place in it)."""
 
@@ -105,53 +99,123 @@ def _tags(data: bytes) -> tuple[str | None, bool]:
     return xm, xs
 
 
-def _records(walker: _Walker, names: list[str], end: int) -> Iterator[tuple]:
+#: Operations of an alignment that take reference bases.
+_ON_REFERENCE = frozenset((0, 2, 3, 7, 8))
+#: First bin and bits of a bin's width, from the widest level of an index to the finest.
+_BINS = ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14))
+
+Stretches = dict[str, tuple[list[int], list[int]]]
+
+
+def _stretches(windows: list[tuple[str, int, int]]) -> Stretches:
+    """Starts and ends of the windows of each chromosome, in order, those that touch made one."""
+    out: Stretches = {}
+    for c, a, b in sorted(w for w in windows if w[1] <= w[2]):
+        starts, ends = out.setdefault(c, ([], []))
+        if ends and a <= ends[-1] + 1:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return out
+
+
+def _meets(stretches: Stretches, chrom: str, first: int, last: int) -> bool:
+    if chrom not in stretches:
+        return False
+    starts, ends = stretches[chrom]
+    i = bisect_left(ends, first)
+    return i < len(ends) and starts[i] <= last
+
+
+def _records(walker: _Walker, names: list[str], end: int, within: Stretches | None = None) -> Iterator[tuple]:
+    """Records from where the walker is to ``end``; ``within``: those whose aligned bases meet a stretch."""
     while end < 0 or walker.tell() < end:
         size = walker.read(4)
         if not size:
             return
         r = walker.read(struct.unpack("<i", size)[0])
         ref, pos, name, mapq, _, cigar, flag, seq = struct.unpack("<iiBBHHHi", r[:20])
+        chrom = names[ref] if ref >= 0 else "*"
+        if within is not None:
+            ops = struct.unpack_from(f"<{cigar}I", r, 32 + name)
+            if not _meets(within, chrom, pos + 1, pos + max(1, sum(o >> 4 for o in ops if o & 15 in _ON_REFERENCE))):
+                continue
         xm, xs = _tags(r[32 + name + 4 * cigar + (seq + 1) // 2 + seq :])
-        yield r[32 : 31 + name].decode(), flag, names[ref] if ref >= 0 else "*", pos + 1, mapq, xm, xs
+        yield r[32 : 31 + name].decode(), flag, chrom, pos + 1, mapq, xm, xs
 
 
-def _index_offsets(path: str) -> list[int]:
-    """Offsets of records in the linear index of ``path``.bai; none without an index."""
+def _index(path: str) -> list[tuple[dict[int, list[tuple[int, int]]], tuple[int, ...]]] | None:
+    """(chunks by bin, offsets by 16 kb) of each reference in ``path``.bai; None if there is no such file."""
     try:
-        with _open(path + ".bai") as f:
+        with open_anywhere(path + ".bai") as f:
             data = f.read()
-    except (FileNotFoundError, OSError):
-        return []
+    except FileNotFoundError:
+        return None
     if data[:4] != b"BAI\1":
         raise ValueError("not a BAI index")
-    at, found = 8, set()
+    at, out = 8, []
     for _ in range(struct.unpack_from("<i", data, 4)[0]):
-        bins = struct.unpack_from("<i", data, at)[0]
+        chunks: dict[int, list[tuple[int, int]]] = {}
+        count = struct.unpack_from("<i", data, at)[0]
         at += 4
-        for _ in range(bins):
-            at += 8 + 16 * struct.unpack_from("<Ii", data, at)[1]
+        for _ in range(count):
+            number, n = struct.unpack_from("<Ii", data, at)
+            ends = struct.unpack_from(f"<{2 * n}Q", data, at + 8)
+            if number < 37450:  # the last one holds counts, not chunks
+                chunks[number] = list(zip(ends[::2], ends[1::2], strict=True))
+            at += 8 + 16 * n
         n = struct.unpack_from("<i", data, at)[0]
-        found.update(struct.unpack_from(f"<{n}Q", data, at + 4))
+        out.append((chunks, struct.unpack_from(f"<{n}Q", data, at + 4)))
         at += 4 + 8 * n
-    return sorted(found - {0})
+    return out
+
+
+def _chunks(index: list, names: list[str], within: Stretches) -> list[tuple[int, int]]:
+    """Stretches of the file, in order and apart, that hold all records which meet a stretch of the reference."""
+    found = []
+    for ref, name in enumerate(names):
+        chunks, linear = index[ref] if ref < len(index) else ({}, ())
+        for a, b in zip(*within.get(name, ((), ())), strict=True):
+            a = max(a, 1) - 1
+            low = linear[a >> 14] if a >> 14 < len(linear) else 0  # no record that meets the window lies before
+            for first, bits in _BINS:
+                for k in range(first + (a >> bits), first + ((max(b, 1) - 1) >> bits) + 1):
+                    found += [(max(x, low), y) for x, y in chunks.get(k, ()) if y > low]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a >> 16 <= out[-1][1] >> 16:  # a block is unpacked once
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
-def _splits(path: str, split_bytes: int) -> list[tuple[str, int, int]]:
+def _splits(path: str, split_bytes: int, within: Stretches | None = None) -> list[tuple[str, int, int]]:
     """(path, first offset, end offset or -1): stretches of about ``split_bytes`` that start at records."""
-    with _open(path) as f:
+    with open_anywhere(path) as f:
         w = _Walker(f)
-        _header(w)
-        starts = [w.tell()]
-    for o in _index_offsets(path):
-        if (o >> 16) - (starts[-1] >> 16) >= split_bytes:
-            starts.append(o)
-    return [(path, a, b) for a, b in zip(starts, [*starts[1:], -1], strict=True)]
-
-
-def read_bam(spark: SparkSession, paths: str | list[str], split_bytes: int = 32 << 20) -> DataFrame:
+        names = _header(w)
+        begin = w.tell()
+    index = _index(path)
+    marks = sorted({o for _, linear in index or () for o in linear} - {0})
+    out = []
+    for a, b in [(begin, -1)] if index is None or within is None else _chunks(index, names, within):
+        cuts = [a]
+        for o in marks:
+            if (o >> 16) - (cuts[-1] >> 16) >= split_bytes and (b < 0 or o < b):
+                cuts.append(o)
+        out += [(path, x, y) for x, y in zip(cuts, [*cuts[1:], b], strict=True)]
+    return out
+
+
+def read_bam(spark: SparkSession, paths: str | list[str], split_bytes: int = 32 << 20, windows: list[tuple[str, int, int]] | None = None) -> DataFrame:
     """qname, flag, chr, pos (1-based), mapq, xm, has_xs: a row per alignment.
 
+    ``windows`` (chr, start, end; as the rows of a target file, held by the driver like the index) keeps the
+    alignments whose bases on the reference meet one, each once. With an index only the chunks of the bins that
+    windows touch are read; without one the file is read whole.
+
     With an index (``.bai``) a file is read by many tasks, each from a record that the linear index
     names; without one a task reads it whole, in batches. The driver reads headers and indexes only.
     Files must be readable from every executor. A damaged file raises.
@@ -159,15 +223,16 @@ def read_bam(spark: SparkSession, paths: str | list[str], split_bytes: int = 32
     from strandloom.session import ship
 
     ship(spark)
-    rows = [s for p in ([paths] if isinstance(paths, str) else paths) for s in _splits(p, split_bytes)]
+    within = None if windows is None else _stretches(windows)
+    rows = [s for p in ([paths] if isinstance(paths, str) else paths) for s in _splits(p, split_bytes, within)]
 
     def run(batches):
         for pdf in batches:
             for path, start, end in pdf.itertuples(index=False):
-                with _open(path) as f:
+                with open_anywhere(path) as f:
                     names = _header(_Walker(f))
                     buffer = []
-                    for r in _records(_Walker(f, int(start)), names, int(end)):
+                    for r in _records(_Walker(f, int(start)), names, int(end), within):
                         buffer.append(r)
                         if len(buffer) == _ROWS:
                             yield pd.DataFrame(buffer, columns=cols)

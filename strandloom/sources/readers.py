@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.sources.ranges import open_anywhere
+
 
 def _tsv(spark: SparkSession, paths: str | list[str], schema: str, header: bool = False) -> DataFrame:
     return spark.read.csv(paths, sep="\t", schema=schema, header=header, nanValue="NaN", quote="")
@@ -26,6 +29,53 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.split(F.trim(head), r"\s+")[0].alias("chr"), seq.alias("seq")).withColumn("length", F.length("seq").cast("long"))
 
 
+def fasta_windows(spark: SparkSession, path: str, windows: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """``windows`` (chr, start, end; others stay) with seq, their bases, cut at the end of the record.
+
+    Only the bytes of a window are read: its place in the file comes from ``index`` (``read_fai``; ``path``.fai if
+    not given). Windows of unknown records, or that begin before or behind theirs, go. An index that doesn't
+    fit the file raises. The file must be readable from every executor.
+    """
+    from strandloom.session import ship
+
+    ship(spark)
+    index = read_fai(spark, path + ".fai") if index is None else index
+    byte = lambda base: F.col("offset") + F.floor(base / F.col("linebases")) * F.col("linewidth") + base % F.col("linebases")
+    place = index.select("chr", "length", "offset", F.col("linebases").cast("long").alias("linebases"), F.col("linewidth").cast("long").alias("linewidth"))
+    inside = windows.join(place, "chr").withColumn("end", F.least("end", "length").cast("long")).where("start >= 1 and start <= end")
+    rows = inside.select(*windows.columns, byte(F.col("start") - 1).alias("__from"), (byte(F.col("end") - 1) + 1).alias("__to"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__from", "__to").schema) + ", seq string"
+
+    def run(batches):
+        with open_anywhere(path) as f:
+            for pdf in batches:
+                at, seqs, held = 0, [], 0
+                for first, to, a, b in zip(pdf["__from"], pdf["__to"], pdf["start"], pdf["end"], strict=True):
+                    f.seek(int(first))
+                    seqs.append(f.read(int(to - first)).translate(None, b"\r\n").decode("ascii"))
+                    if len(seqs[-1]) != b - a + 1 or ">" in seqs[-1]:
+                        raise ValueError(f"the index does not fit {path}")
+                    held += len(seqs[-1])
+                    if held >= 1 << 24:  # what is handed on at once stays small
+                        yield pdf.iloc[at : at + len(seqs)].drop(columns=["__from", "__to"]).assign(seq=seqs)
+                        at, seqs, held = at + len(seqs), [], 0
+                yield pdf.iloc[at:].drop(columns=["__from", "__to"]).assign(seq=pd.Series(seqs, dtype=object, index=pdf.index[at:]))
+
+    return rows.mapInPandas(run, schema)
+
+
+def fasta_tiles(spark: SparkSession, path: str, tile: int = 1 << 16, reach: int = 0, index: DataFrame | None = None, part_bases: int = 1 << 25) -> DataFrame:
+    """chr, tile (from 0), text: all records in tiles of ``tile`` bases that reach ``reach`` into the next.
+
+    A record is nowhere whole; a task reads some ``part_bases`` of neighbouring tiles.
+    """
+    index = read_fai(spark, path + ".fai") if index is None else index
+    parts = (index.agg(F.sum("length")).first()[0] or 0) // part_bases + 1
+    starts = index.where("length > 0").select("chr", F.explode(F.sequence(F.lit(1).cast("long"), F.col("length"), F.lit(tile).cast("long"))).alias("start"))
+    cut = starts.withColumn("end", F.col("start") + tile - 1 + reach).repartitionByRange(int(parts), "chr", "start")
+    return fasta_windows(spark, path, cut, index).select("chr", F.floor((F.col("start") - 1) / tile).alias("tile"), F.col("seq").alias("text"))
+
+
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """chr, start, end as they stand; rows that end before they start go."""
     return _tsv(spark, path, "chr string, start long, end long").where("end >= start")
