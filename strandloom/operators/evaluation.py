@@ -71,12 +71,13 @@ def adjacent_pairs(df: DataFrame, keys: list[str], order: list[str], ratio: Colu
     return two.select(*keys, F.least("r", "r2").alias("ratio"), (F.col("t") * F.col("t2")).alias("truth"), (F.col("c") * F.col("c2")).alias("call"))
 
 
-def accuracy_by_interval(df: DataFrame, value: Column, right: Column, low: float, width: float) -> DataFrame:
+def accuracy_by_interval(df: DataFrame, value: Column, right: Column, low: float, width: float = 1.0, per: int = 1) -> DataFrame:
     """bin, n, share, accuracy of calls by interval of ``value``, and both summed up from the first bin.
 
-    upto: the calls of this and earlier bins; running: their accuracy.
+    An interval is ``width / per`` wide: tenths are ``per=10``, as the double 0.1 is more than a tenth and
+    puts 0.3 into the third interval. upto: the calls of this and earlier bins; running: their accuracy.
     """
-    place = F.floor((value - low) / width).cast("long").alias("bin")
+    place = F.floor((value - low) * per / width).cast("long").alias("bin")
     b = df.select(place, right.alias("t")).where("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("t").cast("long")).alias("k"))
     w = W.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)  # a row per interval
     every = F.sum("n").over(W.partitionBy(F.lit(0)))

@@ -463,7 +463,7 @@ def thresholded_calls(spark, d):
 @_query(f"""with b as (select cast(floor(s * 10) as bigint) bin, count(*) n, count(*) filter (t) k from {_SCORED} group by 1)
 select bin, n, round(n / sum(n) over (), 6) as share, round(k / n, 6) as accuracy, cast(sum(n) over (order by bin) as bigint) as upto, round(sum(k) over (order by bin) / sum(n) over (order by bin), 6) as running from b""")
 def lrt_interval(spark, d):
-    b = evaluation.accuracy_by_interval(_scored(spark, d), F.col("s"), F.col("t"), 0.0, 0.1)
+    b = evaluation.accuracy_by_interval(_scored(spark, d), F.col("s"), F.col("t"), 0.0, per=10)
     return b.select("bin", "n", _r("share").alias("share"), _r("accuracy").alias("accuracy"), "upto", _r("running").alias("running"))
 
 
