@@ -526,13 +526,13 @@ def dedup_unique(spark, d):
     return calls.region_reads(_t(spark, d, "orders").select(F.lit("r").alias("region_id"), F.col("o_custkey").alias("read_id"))).select("read_id")
 
 
-#: Parts that are sold in large lots: some by suppliers of one group of nations alone.
-_LARGE = "(select l_partkey, case when s_nationkey < 12 then 1 else 2 end s from lineitem join supplier on s_suppkey = l_suppkey where l_quantity > 47)"
+#: Parts and the groups of nations whose suppliers sell them.
+_SOLD = "(select l_partkey, case when s_nationkey < 12 then 1 else 2 end s from lineitem join supplier on s_suppkey = l_suppkey)"
 
 
-@_query(f"select distinct l_partkey, s from {_LARGE} x where not exists (select 1 from {_LARGE} y where y.l_partkey = x.l_partkey and y.s <> x.s)")
+@_query(f"select distinct l_partkey, s from {_SOLD} x where not exists (select 1 from {_SOLD} y where y.l_partkey = x.l_partkey and y.s <> x.s)")
 def set_complement(spark, d):
-    grouped = _t(spark, d, "lineitem").where("l_quantity > 47").join(_t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_partkey", F.when(F.col("s_nationkey") < 12, 1).otherwise(2).alias("grp"))
+    grouped = _t(spark, d, "lineitem").join(_t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_partkey", F.when(F.col("s_nationkey") < 12, 1).otherwise(2).alias("grp"))
     return comparison.exclusive_keys(grouped, ["l_partkey"]).select("l_partkey", F.col("grp").alias("s"))
 
 
