@@ -25,12 +25,17 @@ def messages(field: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarra
     f, b = np.zeros_like(field), np.zeros_like(field)
     beta = np.broadcast_to(beta, (*field.shape[:-2], n - 1))
     for i in range(n - 1):
-        f[..., i + 1, :] = np.logaddexp.reduce((f[..., i, :] + field[..., i, :])[..., :, None] + beta[..., i, None, None] * SS, axis=-2)
+        f[..., i + 1, 0], f[..., i + 1, 1] = _passed(f[..., i, :] + field[..., i, :], beta[..., i])
     for i in range(n - 2, -1, -1):
-        b[..., i, :] = np.logaddexp.reduce((b[..., i + 1, :] + field[..., i + 1, :])[..., None, :] + beta[..., i, None, None] * SS, axis=-1)
+        b[..., i, 0], b[..., i, 1] = _passed(b[..., i + 1, :] + field[..., i + 1, :], beta[..., i])
     return f, b
 
 
+def _passed(g: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log messages to both states of a neighbour, from a site's log weights (..., 2)."""
+    return np.logaddexp(g[..., 0] + beta, g[..., 1] - beta), np.logaddexp(g[..., 0] - beta, g[..., 1] + beta)
+
+
 def expectations(field: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(log Z, P(X_n = s), E[X_n X_{n+1}], forward, backward)."""
     f, b = messages(field, beta)
@@ -88,6 +93,49 @@ def summarise_all(alphas, betas, cells: int = 1 << 17) -> list[Summary]:
     return out
 
 
+def _padded(out: np.ndarray, values: np.ndarray, offsets: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """``out`` with the values of the lists ``own`` at the beginning of its rows; lists are values and offsets."""
+    sizes = offsets[own + 1] - offsets[own]
+    column = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(np.arange(len(own)), sizes), column] = values[np.repeat(offsets[own], sizes) + column]
+    return out
+
+
+def read_statistics(alpha: tuple, beta: tuple, site: tuple, log_u: np.ndarray, log_m: np.ndarray, cells: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """(log p(y), E[log p(y | X)] under its posterior) of each read; messages run once for many reads.
+
+    ``alpha``, ``beta``, ``site`` (from 0, of the calls ``log_u``, ``log_m``) are lists of all reads as (values,
+    offsets). Reads are padded as in ``summarise_all``; neighbours of one model share its log Z.
+    """
+    sizes, calls = np.diff(alpha[1]), np.diff(site[1])
+    if ((site[0] < 0) | (site[0] >= np.repeat(sizes, calls))).any():
+        raise IndexError("a call lies outside of its region's groups")
+    log_lik, emission = np.zeros(len(sizes)), np.zeros(len(sizes))
+    order, at = np.argsort(-sizes, kind="stable"), 0
+    while at < len(order):
+        n = max(int(sizes[order[at]]), 1)
+        own = order[at : at + max(1, cells // n)]
+        at += len(own)
+        a = _padded(np.zeros((len(own), n)), *alpha, own)
+        field, couple = fields(a), _padded(np.zeros((len(own), max(n - 1, 0))), *beta, own)
+        field[np.arange(n) >= sizes[own, None]] = -np.log(2.0)
+        new = np.ones(len(own), bool)
+        new[1:] = (field[1:] != field[:-1]).any(axis=(1, 2)) | (couple[1:] != couple[:-1]).any(axis=1)
+        model = np.cumsum(new) - 1
+        k = calls[own]
+        row, which = np.repeat(np.arange(len(own)), k), np.repeat(site[1][own] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        seen = ~np.isnan(log_u[which])
+        evidence = np.zeros_like(field)
+        evidence[row, site[0][which]] = np.where(seen[:, None], np.stack([log_u[which], log_m[which]], axis=-1), 0.0)
+        whole = field + evidence
+        f, b = messages(whole, couple)
+        log_z = np.logaddexp(*np.moveaxis((f + whole)[:, -1], -1, 0))
+        prior = messages(field[new], couple[new])[0][:, -1] + field[new][:, -1]
+        log_lik[own] = log_z - np.logaddexp(prior[:, 0], prior[:, 1])[model]
+        emission[own] = (np.exp(f + b + whole - log_z[:, None, None]) * evidence).sum(axis=(-1, -2))
+    return log_lik, emission
+
+
 def _energy(s: Summary, model: Summary, p: int, q: int) -> float:
     """-E_s[log of ``model``'s marginal of sites p..q] (0-based, inclusive)."""
     ends = (s.p[p] * model.f[p]).sum() + (s.p[q] * model.b[q]).sum()

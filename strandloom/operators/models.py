@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,22 +94,22 @@ def read_likelihoods(calls: DataFrame, models: DataFrame) -> DataFrame:
     ``calls``: region_id, read_id, grp (from 1), log_m, log_u; ``models``: region_id, alpha, beta.
     One row a read is made first, so a region with any number of reads is spread over tasks.
     """
-    per = calls.groupBy("region_id", "read_id").agg(F.collect_list(F.struct("grp", "log_m", "log_u")).alias("v"))
+    per = calls.groupBy("region_id", "read_id").agg(F.collect_list(F.struct(F.col("grp").cast("int").alias("grp"), F.col("log_m").cast("double").alias("log_m"), F.col("log_u").cast("double").alias("log_u"))).alias("v"))
     rows = per.join(models.select("region_id", "alpha", "beta"), "region_id")
     flat = rows.select("region_id", "read_id", "alpha", "beta", *[F.col(f"v.{c}").alias(c) for c in ("grp", "log_m", "log_u")])
+    names = ["region_id", "read_id", "log_lik", "log_emission"]
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                u = np.full((1, len(r.alpha)), np.nan)
-                m = u.copy()
-                at = np.asarray(r.grp, int) - 1
-                u[0, at], m[0, at] = r.log_u, r.log_m
-                out.append((r.region_id, r.read_id, ising.read_log_likelihoods(r.alpha, r.beta, u, m)[0], ising.expected_log_emissions(r.alpha, r.beta, u, m)[0]))
-            yield pd.DataFrame(out, columns=["region_id", "read_id", "log_lik", "log_emission"])
-
-    return flat.mapInPandas(run, "region_id string, read_id string, log_lik double, log_emission double")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            offsets = lambda k: np.asarray(b.column(k).offsets) - b.column(k).offsets[0].as_py()
+            values = lambda k: b.column(k).flatten().to_numpy(zero_copy_only=False)
+            log_lik, emission = ising.read_statistics((values(2), offsets(2)), (values(3), offsets(3)), (values(4) - 1, offsets(4)), values(6), values(5))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(log_lik), pa.array(emission)], names)
+
+    types = [per.schema[c].dataType.simpleString() for c in names[:2]]
+    return flat.mapInArrow(run, f"region_id {types[0]}, read_id {types[1]}, log_lik double, log_emission double")
 
 
 def model_pairs(models: DataFrame) -> DataFrame:
