@@ -6,6 +6,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -162,16 +164,21 @@ def assign_pieces(sites: DataFrame, start: Column, end: Column, max_size: int =
     return sites.withColumn("k", (F.least(k, n - 1) + 1).cast("int"))
 
 
-def _edges(e: np.ndarray, pos: np.ndarray, last: int, min_dist: int) -> np.ndarray:
-    """Where a region that would end at ``e`` ends, so that it cuts no group of the sites within 1000 bases."""
+def _group_ends(pos: np.ndarray, min_dist: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the sites in order, the first and the last one of its group (row numbers)."""
     n = len(pos)
-    if not n:
-        return e
     new = np.ones(n, bool)
     new[1:] = np.diff(pos) > min_dist
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     ends = np.append(np.flatnonzero(new)[1:], n) - 1
-    behind = ends[np.cumsum(new) - 1]
+    return np.maximum.accumulate(np.where(new, np.arange(n), 0)), ends[np.cumsum(new) - 1]
+
+
+def _edges(e: np.ndarray, pos: np.ndarray, last: int | np.ndarray, groups: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Where a region that would end at ``e`` ends, so that it cuts no group of the sites within 1000 bases."""
+    n = len(pos)
+    if not n:
+        return e
+    first, behind = groups
     lo, hi = np.searchsorted(pos, e - 1000, "left"), np.searchsorted(pos, np.minimum(last, e + 1000), "right") - 1
     pad = np.where(hi > lo, 5, 0)
     # the first site whose padded end is not before e: of the groups that hold e the first is its
@@ -183,6 +190,31 @@ def _edges(e: np.ndarray, pos: np.ndarray, last: int, min_dist: int) -> np.ndarr
     return np.where(has & (a <= e), np.where(2 * e - a > b, b + 2, a - 1), e)
 
 
+def _regions(begin: np.ndarray, entry: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, counts: np.ndarray, size: int, min_dist: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the regions of many blocks, one a row, entered in ``entry``; ``at``: the sites of all, ``counts`` a row.
+
+    Blocks lie on one line, too far apart for groups and windows to meet, and all make a step at a time: the
+    work is that of the bounds, not of the characters.
+    """
+    n = len(begin)
+    shift = np.arange(n) * (block + 8192 + min_dist) - begin
+    pos = np.sort(at + np.repeat(shift, counts))
+    groups, until, last = _group_ends(pos, min_dist), begin + block + shift, last + shift
+    e, on, out = np.maximum(first + size - 1, begin + entry) + shift, np.arange(n), []
+    while len(on):
+        over = e[on] >= last[on]
+        done = on[over]  # what is left, here or in no block of its own
+        done = done[e[done] - size + 1 < last[done]]
+        out.append((done, e[done] - size + 1, last[done]))
+        on = on[~over]
+        on = on[e[on] < until[on]]
+        bound = _edges(e[on], pos, last[on], groups)
+        out.append((on, e[on] - size + 1, bound))
+        e[on] = bound + size
+    row, start, end = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
+    return row, start - shift[row], end - shift[row]
+
+
 def chromosome_partition(sites: DataFrame, sizes: DataFrame, size: int = 3000, min_dist: int = 10, block: int = scans.BLOCK) -> DataFrame:
     """chr, chrst, chrend: ~``size`` regions whose bounds don't cut a group.
 
@@ -204,7 +236,7 @@ def chromosome_partition(sites: DataFrame, sizes: DataFrame, size: int = 3000, m
 
     def steps(row: dict, e: np.ndarray) -> np.ndarray:
         pos = np.sort(np.asarray(row["at"] or [], np.int64))
-        return _edges(e, pos, row["last"], min_dist)
+        return _edges(e, pos, row["last"], _group_ends(pos, min_dist))
 
     def table(row: dict) -> Iterator[dict]:
         begin = row["block"] * block
@@ -215,25 +247,18 @@ def chromosome_partition(sites: DataFrame, sizes: DataFrame, size: int = 3000, m
             e[inside] = to[e[inside] - begin]
         yield {"chr": row["chr"], "block": row["block"], "f": np.where(e >= row["last"], -1, e - begin - block).tolist()}
 
-    def walk(row: dict) -> Iterator[dict]:
-        begin, e, last = row["block"] * block, row["entry"], row["last"]
-        to = steps(row, np.arange(begin, begin + block))
-        e = max(row["first"] + size - 1, begin + e)
-        while e < begin + block:
-            if e >= last:
-                if e - size + 1 < last:
-                    yield {"chr": row["chr"], "chrst": e - size + 1, "chrend": last}
-                return
-            bound = int(to[e - begin])
-            yield {"chr": row["chr"], "chrst": e - size + 1, "chrend": bound}
-            e = bound + size
-        if e >= last and e - size + 1 < last:  # what is left has no block of its own
-            yield {"chr": row["chr"], "chrst": e - size + 1, "chrend": last}
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            at = x.column("at")
+            number = lambda k: x.column(k).to_numpy(zero_copy_only=False)
+            counts = pc.fill_null(pc.list_value_length(at), 0).to_numpy(zero_copy_only=False)
+            row, start, end = _regions(number("block") * block, number("entry"), number("first"), number("last"), at.flatten().to_numpy(zero_copy_only=False), counts, size, min_dist, block)
+            yield pa.RecordBatch.from_arrays([x.column("chr").take(pa.array(row)), pa.array(start), pa.array(end)], ["chr", "chrst", "chrend"])
 
     one = F.col("block") == b(F.col("first") + size - 1)
     out = "chr string, chrst long, chrend long"
     cut = F.col("first") + size - 1 < b(F.col("last")) * block  # more blocks than the first
-    lone = scans.walked(blocks.where(one & ~cut).withColumn("entry", F.lit(0).cast("long")), out, walk)
+    lone = blocks.where(one & ~cut).withColumn("entry", F.lit(0).cast("long")).mapInArrow(walk, out)
     many = blocks.where(cut)
     most = ends.agg(F.max(b(F.col("last")) - b(F.col("first")))).first()[0] or 0
     if most < 1:
@@ -241,7 +266,7 @@ def chromosome_partition(sites: DataFrame, sizes: DataFrame, size: int = 3000, m
     tables = settled(scans.walked(many, "chr string, block long, f array<int>", table))
     starts = many.where(one).select("chr", "block", F.lit(0).cast("long").alias("entry"))
     entered = scans.entries(tables, starts, "chr", int(most) + 2).where("entry >= 0")
-    return lone.unionByName(scans.walked(many.join(entered, ["chr", "block"]), out, walk))
+    return lone.unionByName(many.join(entered, ["chr", "block"]).mapInArrow(walk, out))
 
 
 def subregion_table(regions: DataFrame, sites: DataFrame, max_size: int = 350, min_sites: int = 10) -> DataFrame:
