@@ -37,6 +37,8 @@ TOLERANCE = 1e-6
 STEP = 16
 #: Nodes and bytes of shingle sets of a block, on average; blocks bound the memory of a task, whatever a cluster's size.
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
+#: Nodes of a block in which links are counted, at most: so many that a large class is spread over tasks.
+COUNTED = 2048
 #: Rounds of stars; every round has other leaders.
 ROUNDS = 2
 
@@ -133,6 +135,7 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
 _NODE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("size", T.LongType())])
 _SET = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("grams", T.BinaryType())])
 _LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_COUNT = T.StructType([T.StructField("l_rep", T.LongType()), T.StructField("links", T.LongType())])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -247,6 +250,69 @@ def _linked(blocks: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     return blocks.mapInArrow(run, _LINK)
 
 
+def _block_counts(rows: list[dict], threshold: float) -> list[tuple[int, int]]:
+    """Of one block pair: (rep, documents with which it is linked there), on the sets."""
+    left = [r for r in rows if r["side"] != 1]
+    right = [r for r in rows if r["side"] != 0]
+    if not left or not right:
+        return []
+    sets_a, sets_b = ([np.frombuffer(r["grams"], np.uint64) for r in x] for x in (left, right))
+    sizes = np.fromiter(map(len, sets_b), np.int64, len(sets_b))
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    known, codes = np.unique(np.concatenate(sets_b), return_inverse=True)
+    codes = codes.astype(np.int32)
+    copies_a, copies_b = (np.fromiter((r["copies"] for r in x), np.int64, len(x)) for x in (left, right))
+    got_a, got_b = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+    same, mark = rows[0]["side"] == 2, np.zeros(len(known), bool)
+    for i, a in enumerate(sets_a):
+        j = i + 1 if same else 0  # in a block of its own each pair once
+        if j == len(right):
+            break
+        own = np.minimum(np.searchsorted(known, a), len(known) - 1)
+        own = own[known[own] == a]
+        mark[own] = True
+        both = np.add.reduceat(mark[codes[at[j] :]], at[j:-1] - at[j], dtype=np.int64)
+        mark[own] = False
+        on = j + np.flatnonzero(both >= threshold * (len(a) + sizes[j:] - both) - 1e-9)
+        got_a[i] += copies_b[on].sum()
+        got_b[on] += copies_a[i]
+    counts = [(left, got_a), (right, got_b)]
+    return [(r["rep"], int(n)) for side, got in counts for r, n in zip(side, got, strict=True) if n]
+
+
+def link_counts(labels: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, block: int, block_bytes: int) -> DataFrame:
+    """l_rep, links: the documents of other nodes that each node is linked with; ``labels``: rep, class.
+
+    Links lie inside classes. A class fills blocks of bounded size, each of which meets all others, so a
+    node is in as many rows as its class fills blocks.
+    """
+    who = labels.join(nodes.select(F.col("rep").alias("n_rep"), "copies", "size"), F.col("rep") == F.col("n_rep")).drop("n_rep")
+    full = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("size") * F.lit(8) / F.lit(block_bytes))).cast("int")
+    parts = who.groupBy(F.col("class").alias("p_class")).agg(F.count(F.lit(1)).alias("n"), full.alias("parts")).where("n > 1").drop("n")
+    at = who.join(parts, F.col("class") == F.col("p_class")).select("class", "rep", "copies", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    at = at.select("class", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), side.alias("side"), "rep", "copies")
+    rows = at.join(sets, F.col("rep") == F.col("doc_id")).drop("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, out = None, [], []
+        for b in batches:
+            for row in b.to_pylist():
+                now = (row["class"], row["p"], row["q"])
+                if now != key:
+                    out += _block_counts(group, threshold) if len(group) > 1 else []
+                    key, group = now, []
+                    if len(out) > 20_000:
+                        yield _pairs(_COUNT.names, out)
+                        out = []
+                group.append(row)
+        out += _block_counts(group, threshold) if len(group) > 1 else []
+        yield _pairs(_COUNT.names, out)
+
+    counted = rows.repartition("class", "p", "q").sortWithinPartitions("class", "p", "q").mapInArrow(run, _COUNT)
+    return counted.groupBy("l_rep").agg(F.sum("links").alias("links"))
+
+
 #: Ids that are broadcast at most (8 bytes each) where a join picks documents by id.
 MAX_BROADCAST_IDS = 500_000
 
@@ -328,11 +394,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 
     Two documents are linked if their sets of ``words``-word shingles have a Jaccard similarity
     of at least ``threshold``; a class is a connected component of links, named by its least
-    doc_id. rep_id is the least document with the same shingle set. n_links counts the documents
-    that the join has linked to this one: copies, and the other ends of verified pairs. Two
-    documents of a class that hang together through others needn't be compared, so not each of
-    their links is counted; no link between classes is missed but by pruning or by sharing no
-    band (with the defaults, at the threshold, with probabilities of 1e-6 and 3e-6).
+    doc_id. rep_id is the least document with the same shingle set. n_links counts all documents
+    that are linked to this one: copies, and those of its class that reach the threshold, compared
+    on the sets. No link between classes is missed but by pruning or by sharing no band (with
+    the defaults, at the threshold, with probabilities of 1e-6 and 3e-6).
 
     Texts are taken whole, whatever their length; those of fewer words are one shingle; null
     texts and texts without words have no links. Rows of one doc_id and one text are one node;
@@ -346,7 +411,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     chosen = pick(_texts(docs), members.select(F.col("rep").alias("id")).distinct(), "left_semi").where("doc_id is not null")
     # rows that repeat an id with other texts: the representative's set is that of its node
     sets = scratch(_sets(chosen, words).join(nodes.select(F.col("rep").alias("n_rep"), "size"), F.col("doc_id") == F.col("n_rep")).where(F.octet_length("grams") == 8 * F.col("size")).groupBy("doc_id").agg(F.first("grams").alias("grams")), "sets")
-    labels, links = scratch(members.select("rep", "class").distinct(), "labels"), None
+    labels = scratch(members.select("rep", "class").distinct(), "labels")
     for r in range(rounds + 1):
         if r < rounds:
             found = verified(star_pairs(members, r), nodes, sets, threshold, tolerance)
@@ -357,10 +422,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
         found = scratch(found, "links")
         labels = scratch(relabelled(labels, found), "labels")
         members = scratch(still_open(members, labels), "members") if r < rounds else members
-        links = found if links is None else links.unionByName(found)
-    both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct()
-    copies = nodes.select(F.col("rep").alias("n_rep"), "copies")
-    counted = both.join(copies, F.col("b") == F.col("n_rep")).groupBy(F.col("a").alias("l_rep")).agg(F.sum("copies").alias("links"))
+    counted = scratch(link_counts(labels, nodes, sets, threshold, min(block, COUNTED), block_bytes), "counts")
     classes = labels.select(F.col("rep").alias("c_rep"), "class")
     of_node = nodes.select(F.col("node").alias("n_node"), "rep", "copies").join(counted, F.col("rep") == F.col("l_rep"), "left").join(classes, F.col("rep") == F.col("c_rep"), "left")
     of_node = of_node.select("n_node", "rep", F.coalesce("class", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
