@@ -221,6 +221,25 @@ def test_a_passage_whose_seeds_are_all_held_elsewhere(spark, partitions):
         assert min(s for s, _ in spans) <= 53 and max(e for _, e in spans) >= 111
 
 
+@pytest.mark.parametrize("copies", [1, 20])
+def test_a_partner_between_the_first_and_the_last(spark, copies):
+    """Six words of a passage differ, so it needs its one whole partner; pieces of it are before both and between them."""
+    whole, short, rows = words(64, 150_000), words(59, 160_000), []
+    pieces = [whole[6 * i : 6 * i + 10] for i in range(10)] + [short[10 * i : 10 * i + 9] for i in range(6)]
+    for i, piece in enumerate(pieces):
+        for c in range(copies):
+            rows += [(d, " ".join(words(15, 151_000 + d) + piece + words(15, 161_000 + d))) for d in (100 * i + c, 3000 + 100 * i + c)]
+    for d in (2000, 6000):
+        other = d == 6000
+        rows.append((d, " ".join(words(50, 170_000 + d) + whole[:29] + (words(6, 180_000) if other else whole[29:35]) + whole[35:] + words(50, 171_000 + d))))
+        rows.append((d + 1, " ".join(words(50, 172_000 + d) + [w if i % 10 < 9 or not other else "zz" for i, w in enumerate(short)] + words(50, 173_000 + d))))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    pairs = {(r.doc_id, r.other_doc_id) for r in got}
+    assert (6000, 2000) in pairs and (6001, 2001) in pairs
+    span = [(r.start, r.end) for r in got if (r.doc_id, r.other_doc_id) == (6000, 2000)]
+    assert min(s for s, _ in span) <= 52 and max(e for _, e in span) >= 112
+
+
 def test_every_verbatim_run_of_the_documents(spark, sf_dir):
     """Each 40 words that an earlier document has word for word lie in a passage."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
